@@ -59,3 +59,126 @@ def with_backtest(body: str, extra_ctes: str = "") -> str:
     """Prefix a query body with the backtest CTEs (plus more CTEs if given,
     each starting with a comma)."""
     return "WITH " + BACKTEST_CTE.strip() + extra_ctes.rstrip() + "\n" + body
+
+
+# ---- answers (SQL twin of tessera.sources.fixtures.answers) ----------------------
+ANSWERS_CTE = """
+ans_base AS (
+  SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    CASE user_id % 4
+      WHEN 0 THEN CAST(user_id * 37 + 1000 AS VARCHAR)
+      WHEN 1 THEN 'Blue sky-' || CAST(user_id AS VARCHAR)
+      WHEN 2 THEN CAST(user_id AS VARCHAR) || ', red; ' || CAST(user_id * 2 AS VARCHAR)
+      ELSE CAST(user_id AS VARCHAR) || '.5' END AS true_answer
+  FROM events
+),
+answers AS (
+  SELECT
+    event_id AS task_id,
+    'agent_' || event_type AS agent_name,
+    'org' || CAST(user_id % 2 AS VARCHAR) || '/model-' || CAST(k % 3 AS VARCHAR) AS model_id,
+    CASE WHEN event_type IN ('view', 'click', 'error') THEN 'code' ELSE 'tool-calling' END AS agent_action_type,
+    CASE user_id % 4 WHEN 0 THEN 'MATH' WHEN 1 THEN 'SimpleQA' ELSE 'GAIA' END AS source,
+    'L' || CAST(user_id % 3 + 1 AS VARCHAR) AS task,
+    'Q' || CAST(user_id AS VARCHAR) AS question,
+    true_answer,
+    list_transform(range(1, k % 5 + 2), lambda i: {
+      'step_number': CAST(i AS INTEGER),
+      'error_type': CASE WHEN (k + i) % 4 = 0 THEN 'AgentParsingError'
+                         WHEN (k + i) % 7 = 0 THEN 'AgentExecutionError' END,
+      'llm_output': 'r = ' || CASE WHEN (k + i) % 3 = 0 THEN 'web_search' WHEN (k + i) % 3 = 1 THEN 'visit_page'
+                                   ELSE 'Inspect' END || '(q' || CAST(i AS VARCHAR) || ')' || chr(10) || 'print(r)'
+    }) AS intermediate_steps,
+    strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_time,
+    strftime(make_timestamp((epoch_us(ts) // 1000000 + CAST(trunc(value * 10) AS BIGINT)) * 1000000),
+             '%Y-%m-%d %H:%M:%S') AS end_time,
+    CASE k % 4 WHEN 1 THEN 'doc' || CAST(k AS VARCHAR) || '.pdf'
+               WHEN 2 THEN 'img' || CAST(k AS VARCHAR) || '.png'
+               WHEN 3 THEN 'audio' || CAST(k AS VARCHAR) || '.mp3' ELSE '' END AS file_name,
+    {'input_tokens': CAST(trunc(value * 100) AS BIGINT), 'output_tokens': CAST(k AS BIGINT)} AS token_counts,
+    CASE k % 6
+      WHEN 0 THEN true_answer
+      WHEN 1 THEN CASE user_id % 4
+                    WHEN 0 THEN 'We get ' || substring(true_answer, 1, length(true_answer) - 3) || ','
+                                || substring(true_answer, length(true_answer) - 2) || '.'
+                    WHEN 1 THEN upper(true_answer)
+                    WHEN 2 THEN replace(true_answer, ', ', ' ,')
+                    ELSE '$' || true_answer END
+      WHEN 2 THEN true_answer || '7'
+      WHEN 3 THEN NULL
+      WHEN 4 THEN 'Unable to determine'
+      ELSE substring(true_answer, 1, length(true_answer) - 1) END AS prediction
+  FROM ans_base
+),
+eval_tasks AS (
+  SELECT user_id AS task_order, 'Q' || CAST(user_id AS VARCHAR) AS question,
+         CASE WHEN ext = '' THEN '' ELSE 'file' || CAST(user_id AS VARCHAR) || ext END AS file_name
+  FROM (SELECT DISTINCT user_id, (['', '.pdf', '.png', '.mp3', '.xlsx', '.jpg', '.zip'])[user_id % 7 + 1] AS ext FROM events)
+)
+"""
+
+# Column expressions of the scorer in DuckDB SQL, mirroring tessera.functions.scoring.
+_D = r"\d(?:_?\d)*"
+FLOAT_RE = (rf"^\s*[+-]?(?:(?:{_D}(?:\.(?:{_D})?)?|\.{_D})(?:[eE][+-]?{_D})?"
+            r"|(?i:inf|infinity|nan))\s*$")
+
+
+def sql_is_float(x: str) -> str:
+    return f"coalesce(regexp_matches({x}, '{FLOAT_RE}'), false)"
+
+
+def sql_to_float(x: str) -> str:
+    return f"CASE WHEN {sql_is_float(x)} THEN TRY_CAST(trim(replace({x}, '_', '')) AS DOUBLE) END"
+
+
+def sql_norm_number(x: str) -> str:
+    return f"coalesce({sql_to_float(f'translate({x}, {chr(39)}$%,{chr(39)}, {chr(39)}{chr(39)})')}, CAST('inf' AS DOUBLE))"
+
+
+PUNCT_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
+
+
+def sql_norm_str(x: str, remove_punct: bool = True) -> str:
+    out = f"lower(regexp_replace({x}, '\\s', '', 'g'))"
+    return f"translate({out}, {PUNCT_SQL}, '')" if remove_punct else out
+
+
+def sql_question_scorer(ma: str, gt: str) -> str:
+    g, m = f"regexp_split_to_array({gt}, '[,;]')", f"regexp_split_to_array({ma}, '[,;]')"
+    elem = (f"list_bool_and(list_transform(range(1, len({g}) + 1), lambda i: coalesce(CASE WHEN {sql_is_float(f'{g}[i]')} "
+            f"THEN {sql_norm_number(f'{m}[i]')} = {sql_to_float(f'{g}[i]')} "
+            f"ELSE {sql_norm_str(f'{m}[i]', False)} = {sql_norm_str(f'{g}[i]', False)} END, false)))")
+    return (f"CASE WHEN {sql_is_float(gt)} THEN {sql_norm_number(ma)} = {sql_to_float(gt)} "
+            f"WHEN regexp_matches({gt}, '[,;]') THEN (len({g}) = len({m}) AND {elem}) "
+            f"ELSE {sql_norm_str(ma)} = {sql_norm_str(gt)} END")
+
+
+NUMBER_RE = r"-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+
+
+def sql_math_scorer(ans: str, truth: str) -> str:
+    nums = f"list_transform(regexp_extract_all({ans}, '{NUMBER_RE}'), lambda x: replace(x, ',', ''))"
+    last = f"TRY_CAST(({nums})[-1] AS DOUBLE)"
+    b = sql_to_float(truth)
+    return (f"CASE WHEN len({nums}) = 0 THEN false ELSE coalesce(abs({last} - {b}) <= 1e-7 + 1e-5 * abs({b}), false) END")
+
+
+def sql_close_call(p: str, t: str, ok: str) -> str:
+    pos = (f"list_reduce(string_split(lower({t}), ''), lambda acc, ch: CASE WHEN acc = 0 THEN 0 "
+           f"ELSE CASE WHEN strpos(substring(lower({p}), acc), ch) = 0 THEN 0 "
+           f"ELSE acc + strpos(substring(lower({p}), acc), ch) - 1 END END, 1)")
+    near = (f"(length({p}) <= length({t}) * 3 AND (length({t}) = 0 OR {pos} > 0) "
+            f"AND length({p}) >= length({t}) * 0.5 AND length({p}) <= length({t}) * 2)")
+    return f"CASE WHEN {ok} THEN true WHEN {sql_is_float(t)} THEN false ELSE {near} END"
+
+
+SCORED_CTE = f"""
+scored0 AS (SELECT * REPLACE (coalesce(prediction, 'No prediction') AS prediction) FROM answers),
+scored1 AS (SELECT *, CASE WHEN source = 'MATH' THEN {sql_math_scorer('prediction', 'true_answer')}
+                           ELSE {sql_question_scorer('prediction', 'true_answer')} END AS is_correct FROM scored0),
+scored AS (SELECT *, {sql_close_call('prediction', 'true_answer', 'is_correct')} AS is_near_correct FROM scored1)
+"""
+
+
+def with_answers(body: str, extra_ctes: str = "") -> str:
+    return "WITH " + ANSWERS_CTE.strip() + ",\n" + SCORED_CTE.strip() + extra_ctes.rstrip() + "\n" + body

@@ -141,3 +141,99 @@ def backtest_facts(spark: SparkSession, sf_dir: str, columns=None,
     ))
     out = facts.select(*[exprs[c].alias(c) for c in rest], gen)
     return out.select("round", *cols)
+
+
+# ------------------------------------------------------------------ answers
+# An evaluation run log derived from ``events``: one answer per event. The
+# agent is the event type, the question the user, the item kind (number,
+# text, list, decimal) and the answer style (exact, reformatted, wrong,
+# missing, refusal, near miss) follow from the user id and the payload k.
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    kind = F.col("user_id") % 4
+    uid = F.col("user_id").cast("string")
+    number = (F.col("user_id") * 37 + 1000).cast("string")
+    truth = (F.when(kind == 0, number)
+             .when(kind == 1, F.concat(F.lit("Blue sky-"), uid))
+             .when(kind == 2, F.concat(uid, F.lit(", red; "), (F.col("user_id") * 2).cast("string")))
+             .otherwise(F.concat(uid, F.lit(".5"))))
+    style = F.col("k") % 6
+    t = F.col("true_answer")
+    reformatted = (F.when(kind == 0, F.concat(F.lit("We get "),
+                                              F.expr("substring(true_answer, 1, length(true_answer) - 3)"),
+                                              F.lit(","), F.expr("substring(true_answer, length(true_answer) - 2)"),
+                                              F.lit(".")))
+                   .when(kind == 1, F.upper(t))
+                   .when(kind == 2, F.replace(t, F.lit(", "), F.lit(" ,")))
+                   .otherwise(F.concat(F.lit("$"), t)))
+    prediction = (F.when(style == 0, t)
+                  .when(style == 1, reformatted)
+                  .when(style == 2, F.concat(t, F.lit("7")))
+                  .when(style == 3, F.lit(None).cast("string"))
+                  .when(style == 4, F.lit("Unable to determine"))
+                  .otherwise(F.expr("substring(true_answer, 1, length(true_answer) - 1)")))
+    n_steps = F.col("k") % 5 + 1
+    step = lambda i: F.struct(
+        i.alias("step_number"),
+        F.when((F.col("k") + i) % 4 == 0, F.lit("AgentParsingError"))
+         .when((F.col("k") + i) % 7 == 0, F.lit("AgentExecutionError")).alias("error_type"),
+        F.concat(F.lit("r = "),
+                 F.when((F.col("k") + i) % 3 == 0, F.lit("web_search"))
+                  .when((F.col("k") + i) % 3 == 1, F.lit("visit_page")).otherwise(F.lit("Inspect")),
+                 F.lit("(q"), i.cast("string"), F.lit(")\nprint(r)")).alias("llm_output"))
+    start_s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    base = ev.select(
+        "event_id", "ts", "user_id", "event_type", "value", _k().alias("k"))
+    out = base.select(
+        F.col("user_id"),
+        F.col("event_id").alias("task_id"),
+        F.concat(F.lit("agent_"), F.col("event_type")).alias("agent_name"),
+        F.concat(F.lit("org"), (F.col("user_id") % 2).cast("string"), F.lit("/model-"),
+                 (F.col("k") % 3).cast("string")).alias("model_id"),
+        F.when(F.col("event_type").isin("view", "click", "error"), F.lit("code"))
+         .otherwise(F.lit("tool-calling")).alias("agent_action_type"),
+        F.when(kind == 0, F.lit("MATH")).when(kind == 1, F.lit("SimpleQA")).otherwise(F.lit("GAIA")).alias("source"),
+        F.concat(F.lit("L"), (F.col("user_id") % 3 + 1).cast("string")).alias("task"),
+        F.concat(F.lit("Q"), uid).alias("question"),
+        truth.alias("true_answer"),
+        F.col("k"),
+        F.transform(F.sequence(F.lit(1), n_steps), step).alias("intermediate_steps"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
+        F.date_format(F.timestamp_seconds(start_s + (F.col("value") * 10).cast("bigint")),
+                      "yyyy-MM-dd HH:mm:ss").alias("end_time"),
+        F.when(F.col("k") % 4 == 1, F.concat(F.lit("doc"), F.col("k").cast("string"), F.lit(".pdf")))
+         .when(F.col("k") % 4 == 2, F.concat(F.lit("img"), F.col("k").cast("string"), F.lit(".png")))
+         .when(F.col("k") % 4 == 3, F.concat(F.lit("audio"), F.col("k").cast("string"), F.lit(".mp3")))
+         .otherwise(F.lit("")).alias("file_name"),
+        F.struct((F.col("value") * 100).cast("bigint").alias("input_tokens"),
+                 F.col("k").cast("bigint").alias("output_tokens")).alias("token_counts"),
+    )
+    return out.withColumn("prediction", prediction).drop("k", "user_id")
+
+
+def with_answer_scores(df: DataFrame) -> DataFrame:
+    """S3 read rule + scoring: null prediction -> "No prediction", then
+    is_correct (F5/F7 by source) and is_near_correct (F8)."""
+    from ..functions.scoring import answer_correct, close_call
+    df = df.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit("No prediction")))
+    df = df.withColumn("is_correct", answer_correct("prediction", "true_answer", "source"))
+    return df.withColumn("is_near_correct", close_call("prediction", "true_answer", "is_correct"))
+
+
+def eval_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task list of the evaluation (one per question, in user order) with
+    its attachment file name, derived from ``events``."""
+    ev = read_table(spark, sf_dir, "events", ["user_id"])
+    u = ev.select("user_id").distinct()
+    ext = F.element_at(F.array(F.lit(""), F.lit(".pdf"), F.lit(".png"), F.lit(".mp3"), F.lit(".xlsx"),
+                               F.lit(".jpg"), F.lit(".zip")), (F.col("user_id") % 7 + 1).cast("int"))
+    return u.select(
+        F.col("user_id").alias("task_order"),
+        F.concat(F.lit("Q"), F.col("user_id").cast("string")).alias("question"),
+        F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("file"), F.col("user_id").cast("string"), ext))
+         .alias("file_name"))
