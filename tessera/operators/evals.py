@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import NON_ANSWERS
-from .metrics import prefix_sum
+from .ordered import prefix_sum
 
 # Fixed values that must equal the reference's: attachment classes by extension.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")

@@ -182,3 +182,48 @@ scored AS (SELECT *, {sql_close_call('prediction', 'true_answer', 'is_correct')}
 
 def with_answers(body: str, extra_ctes: str = "") -> str:
     return "WITH " + ANSWERS_CTE.strip() + ",\n" + SCORED_CTE.strip() + extra_ctes.rstrip() + "\n" + body
+
+
+STEPS_CTE = """
+st_base AS (
+  SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         CASE WHEN event_type IN ('view', 'click', 'error') THEN 'action'
+              WHEN event_type = 'purchase' THEN 'planning' ELSE 'task' END AS step_type
+  FROM events
+),
+st_base2 AS (
+  SELECT *,
+    CASE WHEN k % 5 = 0 THEN 'import math' || chr(10) WHEN k % 7 = 0 THEN 'import os.path' || chr(10)
+         WHEN k % 11 = 0 THEN 'from collections import Counter' || chr(10) ELSE '' END
+      || 'result = ' || event_type || '_tool(' || CAST(k AS VARCHAR) || ')' || chr(10) || 'print(result)' AS code_body,
+    CASE k % 3 WHEN 0 THEN 'AgentMaxStepsError' WHEN 1 THEN 'AgentExecutionError' ELSE 'AgentParsingError' END AS err,
+    step_type IN ('action', 'planning') AND k % 10 <> 0 AS has_usage
+  FROM st_base
+),
+steps AS (
+  SELECT user_id AS run_id, CAST(trunc(user_id / 5) AS BIGINT) AS root_run_id, event_id, ts, step_type,
+    value AS duration,
+    CASE WHEN has_usage THEN CAST(trunc(value * 100) AS BIGINT) END AS input_tokens,
+    CASE WHEN has_usage THEN CAST(k AS BIGINT) END AS output_tokens,
+    CASE WHEN step_type = 'action' THEN
+      CASE k % 4 WHEN 0 THEN 'Thought: check ' || event_type || chr(10) || '<code>' || chr(10) || code_body || chr(10) || '</code>'
+                 WHEN 1 THEN 'Thought: fenced' || chr(10) || '```python' || chr(10) || code_body || chr(10) || '```'
+                 WHEN 2 THEN 'Action: {"name": "' || event_type || '_tool", "arguments": {"k": ' || CAST(k AS VARCHAR) || '}}'
+                 ELSE 'final answer pending for ' || event_type END END AS model_output,
+    CASE WHEN step_type = 'action' AND k % 4 < 2 THEN code_body END AS code_action,
+    CASE WHEN step_type = 'action' THEN 'Observed k=' || CAST(k AS VARCHAR) END AS observations,
+    CASE WHEN event_type = 'error' THEN err END AS error_type,
+    CASE WHEN event_type = 'error' THEN err || ': step ' || CAST(event_id AS VARCHAR) || ' failed' END AS error_message,
+    CASE WHEN step_type = 'action' THEN list_transform(range(1, k % 3 + 2), lambda i: {
+        'id': 'call_' || CAST((k * 7 + i) % 10 AS VARCHAR), 'name': event_type || '_tool',
+        'arguments': '{''q'': ' || CAST(i AS VARCHAR) || '}', 'output': 'out ' || CAST(i AS VARCHAR) || '  '}) END AS tool_calls,
+    CASE WHEN step_type = 'planning' THEN 'Plan: buy ' || CAST(k AS VARCHAR) || ' items ' END AS plan,
+    CASE WHEN step_type = 'task' THEN 'Sign up user ' || CAST(user_id AS VARCHAR) END AS task,
+    k % 13 = 0 AS is_final_answer
+  FROM st_base2
+)
+"""
+
+
+def with_steps(body: str, extra_ctes: str = "") -> str:
+    return "WITH " + STEPS_CTE.strip() + extra_ctes.rstrip() + "\n" + body

@@ -237,3 +237,56 @@ def eval_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Q"), F.col("user_id").cast("string")).alias("question"),
         F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("file"), F.col("user_id").cast("string"), ext))
          .alias("file_name"))
+
+
+# ------------------------------------------------------------------ run steps
+# Agent run traces derived from ``events``: run = user, order = (ts, event_id),
+# step type from the event type ("error" = failed action step), token usage
+# from value and the payload k.
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    k = F.col("k")
+    step_type = (F.when(F.col("event_type").isin("view", "click", "error"), F.lit("action"))
+                 .when(F.col("event_type") == "purchase", F.lit("planning")).otherwise(F.lit("task")))
+    has_usage = F.col("step_type").isin("action", "planning") & (k % 10 != 0)
+    code_body = F.concat(
+        F.when(k % 5 == 0, F.lit("import math\n")).when(k % 7 == 0, F.lit("import os.path\n"))
+         .when(k % 11 == 0, F.lit("from collections import Counter\n")).otherwise(F.lit("")),
+        F.lit("result = "), F.col("event_type"), F.lit("_tool("), k.cast("string"), F.lit(")\nprint(result)"))
+    model_output = (F.when(k % 4 == 0, F.concat(F.lit("Thought: check "), F.col("event_type"), F.lit("\n<code>\n"),
+                                               code_body, F.lit("\n</code>")))
+                    .when(k % 4 == 1, F.concat(F.lit("Thought: fenced\n```python\n"), code_body, F.lit("\n```")))
+                    .when(k % 4 == 2, F.concat(F.lit('Action: {"name": "'), F.col("event_type"),
+                                               F.lit('_tool", "arguments": {"k": '), k.cast("string"), F.lit("}}")))
+                    .otherwise(F.concat(F.lit("final answer pending for "), F.col("event_type"))))
+    tool_call = lambda i: F.struct(
+        F.concat(F.lit("call_"), ((k * 7 + i) % 10).cast("string")).alias("id"),
+        F.concat(F.col("event_type"), F.lit("_tool")).alias("name"),
+        F.concat(F.lit("{'q': "), i.cast("string"), F.lit("}")).alias("arguments"),
+        F.concat(F.lit("out "), i.cast("string"), F.lit("  ")).alias("output"))
+    err = (F.when(k % 3 == 0, F.lit("AgentMaxStepsError")).when(k % 3 == 1, F.lit("AgentExecutionError"))
+           .otherwise(F.lit("AgentParsingError")))
+    base = ev.select("event_id", "ts", "user_id", "event_type", "value", _k().alias("k")) \
+             .withColumn("step_type", step_type)
+    return base.select(
+        F.col("user_id").alias("run_id"),
+        (F.col("user_id") / 5).cast("bigint").alias("root_run_id"),
+        "event_id", "ts", "step_type",
+        F.col("value").alias("duration"),
+        F.when(has_usage, (F.col("value") * 100).cast("bigint")).alias("input_tokens"),
+        F.when(has_usage, k.cast("bigint")).alias("output_tokens"),
+        F.when(F.col("step_type") == "action", model_output).alias("model_output"),
+        F.when((F.col("step_type") == "action") & (k % 4 < 2), code_body).alias("code_action"),
+        F.when(F.col("step_type") == "action", F.concat(F.lit("Observed k="), k.cast("string"))).alias("observations"),
+        F.when(F.col("event_type") == "error", err).alias("error_type"),
+        F.when(F.col("event_type") == "error",
+               F.concat(err, F.lit(": step "), F.col("event_id").cast("string"), F.lit(" failed"))).alias("error_message"),
+        F.when(F.col("step_type") == "action",
+               F.transform(F.sequence(F.lit(1), k % 3 + 1), tool_call)).alias("tool_calls"),
+        F.when(F.col("step_type") == "planning", F.concat(F.lit("Plan: "), F.lit("buy "), k.cast("string"), F.lit(" items ")))
+         .alias("plan"),
+        F.when(F.col("step_type") == "task", F.concat(F.lit("Sign up user "), F.col("user_id").cast("string")))
+         .alias("task"),
+        (k % 13 == 0).alias("is_final_answer"),
+    )
