@@ -227,3 +227,23 @@ steps AS (
 
 def with_steps(body: str, extra_ctes: str = "") -> str:
     return "WITH " + STEPS_CTE.strip() + extra_ctes.rstrip() + "\n" + body
+
+
+RECEIPTS_CTE = """
+receipts AS (
+  SELECT o.o_orderkey AS receipt_id, c.c_name AS customer_name, o.o_totalprice AS price,
+         coalesce(t.tip, CAST(0 AS DECIMAL(18,2))) AS tip
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,2)) AS tip
+             FROM lineitem GROUP BY l_orderkey) t ON o.o_orderkey = t.l_orderkey
+),
+waiters AS (
+  SELECT l.l_orderkey AS receipt_id, min(s.s_name) AS waiter_name
+  FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  WHERE l.l_linenumber = 1 GROUP BY l.l_orderkey
+)
+"""
+
+
+def with_receipts(body: str) -> str:
+    return "WITH " + RECEIPTS_CTE.strip() + "\n" + body

@@ -290,3 +290,27 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("task"),
         (k % 13 == 0).alias("is_final_answer"),
     )
+
+
+# ------------------------------------------------------------------ receipts / waiters
+# The relational demo tables of the text-to-SQL example, derived from orders,
+# lineitem, customer and supplier.
+
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_tax"])
+    tips = li.groupBy("l_orderkey").agg(
+        F.sum(F.col("l_extendedprice").cast(MONEY) * _factor("l_tax")).cast(MONEY).alias("tip"))
+    return (o.join(c, o.o_custkey == c.c_custkey, "left").join(tips, o.o_orderkey == tips.l_orderkey, "left")
+            .select(F.col("o_orderkey").alias("receipt_id"), F.col("c_name").alias("customer_name"),
+                    F.col("o_totalprice").alias("price"), F.coalesce("tip", F.lit(0).cast(MONEY)).alias("tip")))
+
+
+def waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber"])
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    first = li.where(F.col("l_linenumber") == 1)
+    return (first.join(s, first.l_suppkey == s.s_suppkey, "left")
+            .groupBy(F.col("l_orderkey").alias("receipt_id"))
+            .agg(F.min("s_name").alias("waiter_name")))
