@@ -72,8 +72,7 @@ def _blocks(text: Column, open_tag: str, close_tag: str) -> Column:
     return F.when(F.size(found) > 0, joined)
 
 
-@F.pandas_udf("boolean")
-def is_python_source(s: pd.Series) -> pd.Series:
+def _parses_as_python(s: pd.Series) -> pd.Series:
     """True where the text parses as Python (null stays null)."""
     import ast
 
@@ -88,6 +87,17 @@ def is_python_source(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
+_UDFS: dict = {}
+
+
+def is_python_source(col: Column) -> Column:
+    """Arrow-batched check (pandas UDF, created on first use so that importing
+    this module on an executor needs no session)."""
+    if "py" not in _UDFS:
+        _UDFS["py"] = F.pandas_udf(_parses_as_python, "boolean")
+    return _UDFS["py"](col)
+
+
 def extract_code(text, tags=CODE_TAGS) -> Column:
     """struct(code, status): tagged blocks, else fenced python blocks,
     joined by a blank line; else the whole text if it parses as Python; else

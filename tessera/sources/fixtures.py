@@ -246,6 +246,11 @@ def eval_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return steps_from_events(ev)
+
+
+def steps_from_events(ev: DataFrame) -> DataFrame:
+    """The step derivation as a per-row projection (works on streams too)."""
     k = F.col("k")
     step_type = (F.when(F.col("event_type").isin("view", "click", "error"), F.lit("action"))
                  .when(F.col("event_type") == "purchase", F.lit("planning")).otherwise(F.lit("task")))
