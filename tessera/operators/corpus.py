@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.chunking import DEFAULT_SEPARATORS, chunk_with_starts
 from ..functions.html import html_to_markdown, route_for_url
+from ..session import cut_lineage
 
 # BM25 defaults of the public BM25Okapi scorer the reference uses.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -103,6 +104,9 @@ def tokenize(text) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda x: x != "")
 
 
+SCORE_SCALE = 1e9  # per-term contributions are summed as integers of 1e-9
+
+
 def bm25_scores(units: DataFrame, unit_keys, text_col: str, queries: DataFrame, query_key: str,
                 query_text: str, k1: float = BM25_K1, b: float = BM25_B,
                 epsilon: float = BM25_EPSILON) -> DataFrame:
@@ -110,16 +114,23 @@ def bm25_scores(units: DataFrame, unit_keys, text_col: str, queries: DataFrame,
 
     idf = ln(N - n + 0.5) - ln(n + 0.5); negative idf -> epsilon * mean idf
     over the whole vocabulary. Each query token counts once per occurrence.
-    Scores are summed as decimals, so they do not depend on row order.
+
+    Plan: tokenize once into the term-frequency table (one shuffle on
+    (unit, term)) and write it to the shared checkpoint folder, since it
+    feeds the corpus statistics and the scoring join. The query-term table
+    is small (size checked, then broadcast), so the big side is never
+    shuffled for the join. Contributions are summed as scaled integers, so
+    scores do not depend on summation order.
     """
     unit_keys = list(unit_keys)
-    u = units.select(*unit_keys, tokenize(text_col).alias("__toks"))
-    dl = u.select(*unit_keys, F.size("__toks").alias("__dl"))
-    tf = (u.select(*unit_keys, F.explode("__toks").alias("term"))
-          .groupBy(*unit_keys, "term").agg(F.count(F.lit(1)).alias("__tf")))
+    toks = units.select(*unit_keys, tokenize(text_col).alias("__toks"))
+    tf = (toks.select(*unit_keys, F.size("__toks").alias("__dl"), F.explode("__toks").alias("term"))
+          .groupBy(*unit_keys, "__dl", "term").agg(F.count(F.lit(1)).alias("__tf")))
+    tf = cut_lineage(tf)
+    n_docs = units.count()  # units with no tokens count too
+    total = tf.agg(F.sum("__tf").alias("t")).first()["t"] or 0
+    avgdl = float(total) / n_docs if n_docs else 0.0
     df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("__nd"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     raw_idf = F.log(F.lit(n_docs) - F.col("__nd") + 0.5) - F.log(F.col("__nd") + 0.5)
     # mean over the vocabulary from an exact decimal sum (order independent)
     mean_idf = df_t.agg((F.sum(raw_idf.cast("decimal(38,18)")).cast("double") / F.count(F.lit(1))).alias("m")
@@ -128,15 +139,15 @@ def bm25_scores(units: DataFrame, unit_keys, text_col: str, queries: DataFrame,
 
     qt = (queries.select(query_key, F.explode(tokenize(query_text)).alias("term"))
           .groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("__qc")))
-    qt = qt.join(idf, "term")  # semi-join effect: only terms that exist in the corpus
+    qt = qt.join(idf, "term")  # only terms that exist in the corpus
     n_qt = qt.count()
     if n_qt <= MAX_BROADCAST_ROWS:
         qt = F.broadcast(qt)  # size checked: the query side is the small one
-    hits = tf.join(qt, "term").join(dl, unit_keys)
+    hits = tf.join(qt, "term")
     denom = F.col("__tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("__dl") / F.lit(avgdl))
     contrib = F.col("__qc") * F.col("__idf") * (F.col("__tf") * F.lit(k1 + 1)) / denom
-    return hits.groupBy(query_key, *unit_keys).agg(
-        F.sum(contrib.cast("decimal(38,18)")).cast("double").alias("score"))
+    scaled = F.round(contrib * F.lit(SCORE_SCALE)).cast("long")
+    return hits.groupBy(query_key, *unit_keys).agg((F.sum(scaled) / F.lit(SCORE_SCALE)).alias("score"))
 
 
 def bm25_top_k(units, unit_keys, text_col, queries, query_key, query_text, k: int = 10, **kw) -> DataFrame:
@@ -185,28 +196,42 @@ def vector_top_k(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFram
 
 # ------------------------------------------------------------------ viewports
 
+def _viewport_bounds_batch(texts: pd.Series, size: int) -> pd.DataFrame:
+    brk = re.compile(r"[ \t\r\n]")
+    starts, ends = [], []
+    for t in texts:
+        if t is None:
+            starts.append(None)
+            ends.append(None)
+            continue
+        n = len(t)
+        if n == 0:
+            starts.append([0])
+            ends.append([0])
+            continue
+        s_list, e_list, pos = [], [], 0
+        while pos < n:
+            end = min(pos + size, n)
+            if end < n:  # extend to end on whitespace: first break at or after index end-1
+                m = brk.search(t, end - 1)
+                end = n if m is None else m.start() + 1
+            s_list.append(pos)
+            e_list.append(end)
+            pos = end
+        starts.append(s_list)
+        ends.append(e_list)
+    return pd.DataFrame({"starts": starts, "ends": ends})
+
+
 def viewport_bounds(text, size: int) -> Column:
     """array<struct<start,end>> (0-based, end exclusive) of viewports of
     ``size`` characters, each extended to end on whitespace; empty text ->
-    [(0, 0)]. A fold over at most ceil(len/size) steps on the JVM."""
+    [(0, 0)]. The split is sequential within a text, so it runs as an
+    Arrow-batched pandas UDF (one regex search per viewport)."""
     t = F.col(text) if isinstance(text, str) else text
-    n = F.length(t)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / F.lit(size)).cast("int")))
-    init = F.struct(F.lit(0).alias("pos"),
-                    F.array().cast("array<struct<start:int,end:int>>").alias("pages"))
-
-    def step(acc, _i):
-        pos = acc["pos"]
-        e = F.least(pos + F.lit(size), n)
-        rest = F.substring(t, e, 2147483647)
-        ws = F.regexp_instr(rest, F.lit("[ \\t\\r\\n]"))
-        run = F.when(ws > 0, ws - 1).otherwise(F.length(rest))
-        end = F.when(e >= n, e).otherwise(F.least(e + run, n))
-        return F.when(pos < n, F.struct(end.alias("pos"), F.array_append(
-            acc["pages"], F.struct(pos.alias("start"), end.cast("int").alias("end"))).alias("pages"))).otherwise(acc)
-
-    folded = F.aggregate(steps, init, step)["pages"]
-    return F.when(n == 0, F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))).otherwise(folded)
+    udf = F.pandas_udf(lambda s: _viewport_bounds_batch(s, size), "starts array<int>, ends array<int>")
+    b = udf(t)
+    return F.arrays_zip(b["starts"].alias("start"), b["ends"].alias("end"))
 
 
 def viewports(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -249,6 +274,9 @@ def find_on_pages(vp: DataFrame, id_col: str, queries: dict[str, str], start_pag
             continue
         structs.append(F.struct(F.lit(name).alias("query"), F.col("__nc").rlike(rx).alias("hit")))
     hits = nc.select(id_col, "page_index", "n_pages", F.inline(F.array(*structs))).where("hit")
+    # hits (one row per matching viewport) feed two aggregates: write them once
+    # to the shared checkpoint folder instead of recomputing the text pipeline
+    hits = cut_lineage(hits.select(id_col, "page_index", "n_pages", "query"))
     first = hits.groupBy(id_col, "query").agg(
         F.min_by("page_index", F.struct((F.col("page_index") < start_page).alias("w"),
                                          F.col("page_index").alias("p"))).alias("first_match"),

@@ -65,8 +65,8 @@ qt AS (SELECT item_id, term, count(*) AS qc FROM (
          FROM benchmark) GROUP BY item_id, term),
 scores AS (
   SELECT q.item_id, {ku},
-    CAST(sum(CAST(q.qc * i.idf * (u.tf * 2.5) / (u.tf + 1.5 * (0.25 + 0.75 * d.dl / (SELECT avgdl FROM stats)))
-             AS DECIMAL(38,18))) AS DOUBLE) AS score
+    sum(CAST(round(q.qc * i.idf * (u.tf * 2.5) / (u.tf + 1.5 * (0.25 + 0.75 * d.dl / (SELECT avgdl FROM stats))) * 1e9)
+             AS BIGINT)) / 1e9 AS score
   FROM qt q JOIN idf i ON q.term = i.term JOIN tf u ON u.term = q.term JOIN dl d USING ({kk})
   GROUP BY q.item_id, {ku}),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {kk}) AS rank

@@ -49,6 +49,19 @@ def build_session(master: str | None = None, app_name: str = "tessera",
     return spark
 
 
+def ensure_python_path(spark: SparkSession) -> None:
+    """Make the package importable by Python workers started for UDFs.
+
+    On a cluster ship the package with ``--py-files``; locally the folder that
+    holds the package is added to the PYTHONPATH handed to new workers.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root] + parts)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -60,6 +73,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
+    ensure_python_path(spark)
     return configured
 
 
