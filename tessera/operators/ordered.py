@@ -59,8 +59,9 @@ def bucketize(t: DataFrame, keys, order_col: str, buckets: int = DEFAULT_BUCKETS
 
 
 def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = True,
-               buckets: int = DEFAULT_BUCKETS, accuracy: int = 2000) -> DataFrame:
-    """Running sums ``cum_<v>`` of ``value_cols`` in ``order_cols`` order per group.
+               buckets: int = DEFAULT_BUCKETS, accuracy: int = 2000, with_totals: bool = False) -> DataFrame:
+    """Running sums ``cum_<v>`` of ``value_cols`` in ``order_cols`` order per group
+    (and the group totals ``tot_<v>`` when ``with_totals``).
 
     Rows tied on all order columns are ordered arbitrarily, as in a ROWS
     window; give a unique tie-breaker for a deterministic result.
@@ -70,9 +71,12 @@ def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = Tru
     tb = bucketize(t, keys, order_cols[0], buckets, accuracy)
     totals = tb.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
     wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*keys)
     before = totals.select(*keys, "__bucket",
                            *[F.coalesce(F.sum(f"__bt_{v}").over(wb), F.lit(0)).alias(f"__before_{v}")
-                             for v in value_cols])
+                             for v in value_cols],
+                           *([F.sum(f"__bt_{v}").over(wall).alias(f"tot_{v}") for v in value_cols]
+                             if with_totals else []))
     end = 0 if inclusive else -1
     wr = Window.partitionBy(*keys, "__bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     within = tb.select("*", *[F.coalesce(F.sum(v).over(wr), F.lit(0)).alias(f"__in_{v}") for v in value_cols])
