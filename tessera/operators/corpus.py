@@ -347,3 +347,34 @@ def nearest_snapshot(snapshots: DataFrame, key_col: str, ts_col: str, wanted: Da
     ordering = F.when(F.col(wanted_col).isNotNull(), F.struct(diff.alias("d"), F.col(ts_col).alias("t")))
     pick_near = F.min_by(F.col(ts_col), ordering)
     return j.groupBy(key_col).agg(F.coalesce(pick_near, F.max(ts_col)).alias("snapshot_ts"))
+
+
+# ------------------------------------------------------------------ search payloads
+
+SEARCH_RESULT = "struct<title:string,url:string,description:string>"
+
+
+def flatten_search_payload(payloads: DataFrame, id_col: str, payload_col: str, max_results: int = 10) -> DataFrame:
+    """F25 + T6: ``web.results[]`` of a JSON search payload as ranked rows
+    (rank from 1), cut to ``max_results``."""
+    parsed = payloads.select(id_col, F.from_json(payload_col, f"struct<web:struct<results:array<{SEARCH_RESULT}>>>")
+                             .alias("__p"))
+    res = F.slice(F.coalesce(F.col("__p.web.results"), F.array().cast(f"array<{SEARCH_RESULT}>")), 1, max_results)
+    return parsed.select(id_col, F.posexplode(res).alias("__i", "__r")).select(
+        id_col, (F.col("__i") + 1).alias("rank"), "__r.title", "__r.url",
+        F.coalesce(F.col("__r.description"), F.lit("")).alias("description"))
+
+
+def search_markdown(payloads: DataFrame, id_col: str, payload_col: str, max_results: int = 10) -> DataFrame:
+    """the markdown block of a payload: "## Search Results" then
+    "i. [title](url)\\ndescription" items (numbered from 1) separated by a
+    blank line; "No results found." when empty. Built per payload from the
+    payload's own array (bounded by ``max_results``), no regrouping."""
+    parsed = payloads.select(id_col, F.from_json(payload_col, f"struct<web:struct<results:array<{SEARCH_RESULT}>>>")
+                             .alias("__p"))
+    res = F.slice(F.coalesce(F.col("__p.web.results"), F.array().cast(f"array<{SEARCH_RESULT}>")), 1, max_results)
+    items = F.transform(res, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), r["title"], F.lit("]("),
+                                                   r["url"], F.lit(")\n"), F.coalesce(r["description"], F.lit(""))))
+    md = F.when(F.size(res) == 0, F.lit("No results found.")).otherwise(
+        F.concat(F.lit("## Search Results\n\n"), F.array_join(items, "\n\n")))
+    return parsed.select(id_col, md.alias("markdown"))

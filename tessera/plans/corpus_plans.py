@@ -222,3 +222,41 @@ def nearest(spark, sf_dir):
                           .otherwise(F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
                                      + F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("wanted_ts"))
     return C.nearest_snapshot(snaps, "url", "ts", wanted, "wanted_ts")
+
+
+PAYLOAD_SQL = """
+WITH items AS (
+  SELECT CAST(trunc(page_id / 10) AS BIGINT) AS payload_id, page_id,
+         regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url,
+         'Page ' || CAST(page_id AS VARCHAR) || ' in ' || regexp_extract(url, '/([a-z]{2})/', 1) AS description
+  FROM pages),
+res AS (SELECT payload_id, list({'title': title, 'url': url, 'description': description} ORDER BY page_id) AS r
+        FROM items GROUP BY payload_id)"""
+
+
+@register("F25_T6_search_results_ranked",
+          PAYLOAD_SQL + """
+SELECT payload_id, CAST(i AS INTEGER) AS rank, r[i].title AS title, r[i].url AS url, r[i].description AS description
+FROM res, LATERAL (SELECT unnest(range(1, least(len(r), 5) + 1)) AS i)""")
+def search_ranked(spark, sf_dir):
+    from ..sources.fixtures import search_payloads
+    return C.flatten_search_payload(search_payloads(spark, sf_dir), "payload_id", "payload", max_results=5)
+
+
+@register("F25_search_results_markdown",
+          PAYLOAD_SQL + """
+SELECT payload_id, '## Search Results' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(len(r), 5) + 1),
+  lambda i: CAST(i AS VARCHAR) || '. [' || r[i].title || '](' || r[i].url || ')' || chr(10) || r[i].description),
+  chr(10) || chr(10)) AS markdown FROM res""")
+def search_md(spark, sf_dir):
+    from ..sources.fixtures import search_payloads
+    return C.search_markdown(search_payloads(spark, sf_dir), "payload_id", "payload", max_results=5)
+
+
+@register("P6_source_prefix_filter_with_suffix",
+          """SELECT doc_id, source, regexp_extract(source, '^src(.*)$', 1) AS source_suffix, n_chars
+FROM documents WHERE starts_with(source, 'src1')""")
+def source_prefix(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "n_chars"])
+    return d.where(F.col("source").startswith("src1")).select(
+        "doc_id", "source", F.regexp_extract("source", r"^src(.*)$", 1).alias("source_suffix"), "n_chars")

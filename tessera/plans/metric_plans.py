@@ -212,3 +212,20 @@ def segment_alignment(spark, sf_dir):
     # round 2 of this fixture drops the BRASS products so the alignment has one-sided segments
     facts = facts.where((F.col("round") == 1) | ~F.col("product_type").like("%BRASS%"))
     return M.align_segments(facts, ["product_type"])
+
+
+@register("U2_segment_intersection_and_difference",
+          with_backtest("""
+SELECT product_type, 'both' AS part FROM (
+  SELECT product_type FROM backtest_rounds WHERE round = 1
+  INTERSECT SELECT product_type FROM backtest_rounds WHERE round = 2 AND product_type NOT LIKE '%BRASS%')
+UNION ALL
+SELECT product_type, 'only_round_1' FROM (
+  SELECT product_type FROM backtest_rounds WHERE round = 1
+  EXCEPT SELECT product_type FROM backtest_rounds WHERE round = 2 AND product_type NOT LIKE '%BRASS%')"""))
+def segment_sets(spark, sf_dir):
+    from pyspark.sql import functions as F
+    facts = backtest_facts(spark, sf_dir, ["product_type"], rounds=True)
+    r1 = facts.where(F.col("round") == 1).select("product_type")
+    r2 = facts.where((F.col("round") == 2) & ~F.col("product_type").like("%BRASS%")).select("product_type")
+    return M.segment_sets(r1, r2).where(F.col("part") != "only_round_2")

@@ -319,3 +319,21 @@ def waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (first.join(s, first.l_suppkey == s.s_suppkey, "left")
             .groupBy(F.col("l_orderkey").alias("receipt_id"))
             .agg(F.min("s_name").alias("waiter_name")))
+
+
+# ------------------------------------------------------------------ search payloads
+# JSON search responses built from ``pages``: ten consecutive pages per
+# response (a bounded group), title from the page's <title>.
+
+def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    item = F.struct(F.col("page_id"),
+                    F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"),
+                    F.col("url"),
+                    F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" in "),
+                             F.regexp_extract("url", r"/([a-z]{2})/", 1)).alias("description"))
+    g = p.groupBy((F.col("page_id") / 10).cast("long").alias("payload_id")).agg(
+        F.sort_array(F.collect_list(item)).alias("__items"))
+    results = F.transform("__items", lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"),
+                                                         r["description"].alias("description")))
+    return g.select("payload_id", F.to_json(F.struct(F.struct(results.alias("results")).alias("web"))).alias("payload"))
