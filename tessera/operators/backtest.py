@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 DIMENSIONS = ("statement_month", "vintage", "horizon", "performance_month", "feature_bins")
 VINTAGE_PERIODS = {"year": "YEAR", "quarter": "QUARTER", "month": "MONTH"}
 
@@ -99,10 +101,11 @@ def quantile_edges(df: DataFrame, feature: str, n_bins: int, exact: bool = True,
     probs = [i / n_bins for i in range(n_bins + 1)]
     x = F.col(feature).cast("double")
     if exact:
-        agg = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
+        # distributed exact selection (no value map of the whole column in one task)
+        row = exact_quantiles(df, [], feature, probs).select(F.col("quantiles").alias("q")).first()
     else:
-        agg = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy)
-    row = df.where(x.isNotNull()).agg(agg.alias("q")).first()
+        row = df.where(x.isNotNull()).agg(
+            F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).alias("q")).first()
     if row is None or row["q"] is None:
         raise ValueError(f"Column '{feature}' is entirely null — cannot create bins.")
     edges: list[float] = []
@@ -285,10 +288,16 @@ def distribution(df: DataFrame, actual: str, predicted: str, dimension: str = "s
 
 
 def distribution_summary(dist: DataFrame, group_col: str) -> DataFrame:
-    """Rows, distinct groups, rows per group and median MPE (one row)."""
-    return dist.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(group_col).alias("n_groups"),
-        (F.count(F.lit(1)) / F.count_distinct(group_col)).alias("rows_per_group"),
-        F.median("MPE").alias("median_MPE"),
-    )
+    """Rows, distinct groups, rows per group and median MPE (one row).
+
+    The groups are counted from a distinct projection and the median comes
+    from the distributed exact selection; the three one-row results are
+    stacked and folded rather than joined."""
+    counts = dist.agg(F.count(F.lit(1)).alias("n_rows"))
+    groups = dist.select(group_col).distinct().agg(F.count(F.lit(1)).alias("n_groups"))
+    med = exact_quantiles(dist, [], "MPE", [0.5]).select(F.col("quantiles")[0].alias("median_MPE"))
+    parts = counts.unionByName(groups, allowMissingColumns=True).unionByName(med, allowMissingColumns=True)
+    folded = parts.agg(F.max("n_rows").alias("n_rows"), F.max("n_groups").alias("n_groups"),
+                       F.max("median_MPE").alias("median_MPE"))
+    return folded.select("n_rows", "n_groups", (F.col("n_rows") / F.col("n_groups")).alias("rows_per_group"),
+                         "median_MPE")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .backtest import bin_bounds, bin_index
+from .ordered import exact_quantiles
 
 
 def _mean(c: str):
@@ -47,8 +48,9 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     the box) and outlier count. Quartiles are one aggregate per x; joining
     them back is a join against one row per x."""
     v = F.col(y).cast("double")
-    q = df.groupBy(x).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(x, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(df, [x], y, [0.25, 0.5, 0.75])
+    q = q.select(x, F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
+                 F.col("quantiles")[2].alias("q3"))
     lo = F.col("q1") - (F.col("q3") - F.col("q1")) * 1.5
     hi = F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5
     j = df.select(x, v.alias("_v")).join(q, x)

@@ -111,3 +111,35 @@ def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int = DEFAUL
         out = out.withColumn(f"prev_{v}", F.when(F.col("__rn") == 1, F.col(f"__pb_{v}"))
                              .otherwise(F.col(f"__lag_{v}")))
     return out.drop("__bucket", "__rn", *[f"__lag_{v}" for v in value_cols], *[f"__pb_{v}" for v in value_cols])
+
+
+def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact p-quantiles per group with linear interpolation between the
+    values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
+    ``percentile`` / ``quantile_cont``).
+
+    Built from distinct values and their running counts, so no task keeps a
+    group's values in memory (an exact percentile aggregate does). Returns
+    keys, ``n`` and ``quantiles`` (array in ``probs`` order); null values are
+    ignored, groups with no values are absent.
+    """
+    keys = list(keys)
+    v = F.col(value_col).cast("double")
+    t = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ps = prefix_sum(t, keys, "__v", ["__c"], with_totals=True, buckets=buckets)
+    n = F.col("tot___c")
+    start = F.col("cum___c") - F.col("__c")
+    aggs = [F.max(n).alias("n")]
+    for i, p in enumerate(probs):
+        pos = (n - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs.append(F.min(F.when((start <= lo) & (lo < F.col("cum___c")), F.col("__v"))).alias(f"__lo{i}"))
+        aggs.append(F.min(F.when((start <= hi) & (hi < F.col("cum___c")), F.col("__v"))).alias(f"__hi{i}"))
+        aggs.append(F.max(pos).alias(f"__pos{i}"))
+    g = ps.groupBy(*keys).agg(*aggs)
+    qs = []
+    for i, _ in enumerate(probs):
+        pos, lo_v, hi_v = F.col(f"__pos{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        qs.append(F.when(lo == hi, lo_v).otherwise((hi - pos) * lo_v + (pos - lo) * hi_v))
+    return g.select(*keys, "n", F.array(*qs).alias("quantiles"))

@@ -127,32 +127,40 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """Count, mean, std, min, quartiles and max of numeric columns, and
-    count, unique, top, freq of string columns (top ties -> smallest value)."""
+    count, unique, top, freq of string columns (top ties -> smallest value).
+
+    Numeric columns are stacked into (column_name, value) so one aggregate
+    and one quantile pipeline serve all of them; exact quartiles come from
+    the distributed selection (no per-column value map in one task)."""
+    from ..operators.ordered import exact_quantiles, join_on_keys
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     txt = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    parts = []
+    stats = None
     if num:
-        aggs = []
-        for c in num:
-            v = F.col(c).cast("double")
-            q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-                 else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).cast("array<double>"))
-            aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-                                 F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q[0].alias("q25"),
-                                 q[1].alias("q50"), q[2].alias("q75"), F.max(v).alias("max")).alias(c))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in num]))))
-    stats = parts[0] if parts else None
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                     F.col(c).cast("double").alias("value")) for c in num])))
+        base = long.groupBy("column_name").agg(
+            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"))
+        if exact:
+            q = exact_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75]).select(
+                "column_name", F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("q50"),
+                F.col("quantiles")[2].alias("q75"))
+        else:
+            q = long.groupBy("column_name").agg(
+                F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("_q")).select(
+                "column_name", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+        stats = join_on_keys(base, q, ["column_name"], "left").select(
+            "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
     if txt:
-        tops = None
-        for c in txt:
-            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            t = counts.agg(F.lit(c).alias("column_name"), F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-                           F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("top"),
-                           F.max("n").alias("freq"))
-            tops = t if tops is None else tops.unionByName(t)
-        if stats is None:
-            return tops
-        return stats.unionByName(tops, allowMissingColumns=True)
+        long_t = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v"))
+                                             for c in txt]))).where(F.col("v").isNotNull())
+        counts = long_t.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+        tops = counts.groupBy("column_name").agg(
+            F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+            F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("top"),
+            F.max("n").alias("freq"))
+        return tops if stats is None else stats.unionByName(tops, allowMissingColumns=True)
     return stats
 
 
