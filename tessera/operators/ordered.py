@@ -58,8 +58,17 @@ def bucketize(t: DataFrame, keys, order_col: str, buckets: int = DEFAULT_BUCKETS
         "__cuts", "__ov")
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared checkpoint folder (it is read
+    by several branches of the plan; recomputing its upstream shuffles for
+    each would cost more than one write)."""
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
 def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = True,
-               buckets: int = DEFAULT_BUCKETS, accuracy: int = 2000, with_totals: bool = False) -> DataFrame:
+               buckets: int = DEFAULT_BUCKETS, accuracy: int = 2000, with_totals: bool = False,
+               materialize: bool = True) -> DataFrame:
     """Running sums ``cum_<v>`` of ``value_cols`` in ``order_cols`` order per group
     (and the group totals ``tot_<v>`` when ``with_totals``).
 
@@ -68,6 +77,8 @@ def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = Tru
     """
     keys = list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    if materialize:
+        t = _materialize(t)
     tb = bucketize(t, keys, order_cols[0], buckets, accuracy)
     totals = tb.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
     wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,6 +107,7 @@ def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int = DEFAUL
     """
     keys = list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    t = _materialize(t)
     tb = bucketize(t, keys, order_cols[0], buckets, accuracy)
     w = Window.partitionBy(*keys, "__bucket").orderBy(*order_cols)
     tb = tb.withColumn("__rn", F.row_number().over(w))

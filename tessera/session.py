@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,11 +79,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back.
 
-    Used where a plan is reused by several sinks or iterated; survives
-    executor loss because the data sits in the shared folder, not on a
-    machine-local disk.
+    Used where an intermediate is read by several branches of a plan; it
+    survives executor loss because the data sits in the shared folder, not
+    on a machine-local disk, and later stages read it column-pruned.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "tables", f"cut-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
