@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import exact_quantiles
 
 DIMENSIONS = ("statement_month", "vintage", "horizon", "performance_month", "feature_bins")
@@ -74,14 +75,21 @@ def available_months(df: DataFrame, month_col: str = "statement_month", n: int =
 
 
 def stock_filter(df: DataFrame, stmt_col: str = "statement_month",
-                 horizon_col: str = "horizon") -> DataFrame:
+                 horizon_col: str = "horizon", materialize: bool = True) -> DataFrame:
     """Keep rows at the max horizon of their statement month.
 
     The per-month max is a tiny aggregate (one row per month); Spark plans it
     as a broadcast hash join when its size is below the broadcast threshold
     and falls back to a shuffle join otherwise. Null months and horizons drop
     out (null never equals null), as in the reference.
+
+    The facts feed both sides, so they are written once to the shared
+    checkpoint folder (``materialize``): two scans of that table replace a
+    second run of the upstream fact joins. A window max over the month would
+    avoid the join but put a whole month into one task.
     """
+    if materialize:
+        df = cut_lineage(df)
     max_h = (df.groupBy(F.col(stmt_col).alias("_m"))
              .agg(F.max(horizon_col).alias("_max_h")))
     return (df.join(max_h, (F.col(stmt_col) == F.col("_m")) & (F.col(horizon_col) == F.col("_max_h")), "inner")
