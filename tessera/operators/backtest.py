@@ -164,8 +164,10 @@ def bin_bounds(idx: Column, method: str, edges: list[float]) -> tuple[Column, Co
         highs = edges + [float("inf")]
     else:
         lows, highs = edges[:-1], edges[1:]
-    lo = F.element_at(F.array(*[F.lit(v) for v in lows]), idx)
-    hi = F.element_at(F.array(*[F.lit(v) for v in highs]), idx)
+    # explicit null guard: element_at over a literal array with a null index
+    # does not return null in every Spark version
+    lo = F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in lows]), idx))
+    hi = F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in highs]), idx))
     return lo, hi
 
 

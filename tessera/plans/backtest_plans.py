@@ -267,3 +267,17 @@ WHERE actual <> 0"""))
 def distribution_stock(spark, sf_dir):
     facts = backtest_facts(spark, sf_dir, ["account_id", "statement_month", "horizon", *EOS])
     return bt.distribution(facts, *EOS, dimension="horizon", metric_type="stock")
+
+
+@register("A9_quantile_bins_with_null_bin",
+          with_backtest(_bins_sql(
+              "SELECT list_sort(list_distinct(quantile_cont(cl, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS e "
+              "FROM (SELECT CASE WHEN credit_limit >= 0 THEN credit_limit END AS cl FROM backtest) WHERE cl IS NOT NULL",
+              "CASE WHEN cl IS NULL THEN NULL ELSE greatest(1, len(list_filter(e, lambda v: cl > v))) END",
+              *PV, "(SELECT *, CASE WHEN credit_limit >= 0 THEN credit_limit END AS cl FROM backtest)")))
+def null_bins(spark, sf_dir):
+    # a feature with missing values: balances below zero are unknown limits
+    facts = backtest_facts(spark, sf_dir, ["credit_limit", *PV]).withColumn(
+        "credit_limit", F.when(F.col("credit_limit") >= 0, F.col("credit_limit")))
+    return bt.aggregate(facts, *PV, dimension="feature_bins", feature="credit_limit",
+                        bin_method="quantile", n_bins=4)

@@ -21,3 +21,17 @@ def test_prefix_sum_and_lag_match_windows(spark):
     got_p = {r["o"]: r["prev_v"] for r in lag_values(df, ["k"], "o", ["v"], buckets=8).collect()}
     assert got_c == {o: c for o, (c, _) in want.items()}
     assert got_p == {o: p for o, (_, p) in want.items()}
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from tessera.operators.ordered import exact_quantiles
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 2), float(rnd.randint(0, 50)) if rnd.random() > 0.1 else None) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    got = {r["g"]: list(r["quantiles"]) for r in exact_quantiles(df, ["g"], "v", probs, buckets=4).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
