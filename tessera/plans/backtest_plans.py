@@ -134,7 +134,7 @@ def _bins_sql(edges_sql: str, idx_sql: str, a: str, p: str, source: str, level:
     inner = (f"SELECT bin_idx, CAST(coalesce(sum({a}), 0) AS DOUBLE) AS total_actual, "
              f"CAST(coalesce(sum({p}), 0) AS DOUBLE) AS total_predicted, count(*) AS n_rows, "
              f"any_value({lower}) AS bin_lower, any_value({upper}) AS bin_upper "
-             f"FROM (SELECT s.*, ed.e, {idx_sql} AS bin_idx FROM {source} s, ({edges_sql}) ed) x GROUP BY bin_idx")
+             f"FROM (SELECT s.*, ed.e, CAST({idx_sql} AS INTEGER) AS bin_idx FROM {source} s, ({edges_sql}) ed) x GROUP BY bin_idx")
     return sql_group_metrics(inner, "bin_idx", level, extra=", bin_lower, bin_upper")
 
 

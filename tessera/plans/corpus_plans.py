@@ -69,7 +69,7 @@ scores AS (
              AS BIGINT)) / 1e9 AS score
   FROM qt q JOIN idf i ON q.term = i.term JOIN tf u ON u.term = q.term JOIN dl d USING ({kk})
   GROUP BY q.item_id, {ku}),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {kk}) AS rank
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {kk}) AS INTEGER) AS rank
                        FROM scores) WHERE rank <= {k})
 {body}"""
 
@@ -106,7 +106,7 @@ QUERY_VECTORS_SQL = """SELECT label AS query_label, arg_min(embedding, vec_id) A
 @register("D6_T5_vector_top3",
           f"""SELECT * FROM (
   SELECT query_label, vec_id, distance,
-         row_number() OVER (PARTITION BY query_label ORDER BY distance, vec_id) AS rank FROM (
+         CAST(row_number() OVER (PARTITION BY query_label ORDER BY distance, vec_id) AS INTEGER) AS rank FROM (
     SELECT q.query_label, e.vec_id,
       list_reduce(list_transform(range(1, len(e.embedding) + 1),
         lambda i: (CAST(q.qv[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.qv[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE))),

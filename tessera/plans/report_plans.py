@@ -161,7 +161,7 @@ def correlation(spark, sf_dir):
           with_backtest("""
 SELECT bin_idx, count(*) AS count, any_value(e[bin_idx]) AS bin_lower, any_value(e[bin_idx + 1]) AS bin_upper,
        count(*) / (any_value(n) * (any_value(e[bin_idx + 1]) - any_value(e[bin_idx]))) AS density
-FROM (SELECT greatest(1, len(list_filter(e, lambda x: v > x))) AS bin_idx, e, n
+FROM (SELECT CAST(greatest(1, len(list_filter(e, lambda x: v > x))) AS INTEGER) AS bin_idx, e, n
       FROM (SELECT CAST(predicted_payment - actual_payment AS DOUBLE) AS v FROM backtest) d,
            (SELECT [lo + (hi - lo) * i / 20 for i in range(20)] || [hi] AS e, CAST(n AS DOUBLE) AS n
             FROM (SELECT min(CAST(predicted_payment - actual_payment AS DOUBLE)) AS lo,
@@ -174,7 +174,7 @@ def error_histogram(spark, sf_dir):
 
 @register("C6_residuals_payment_by_month",
           with_backtest(f"SELECT statement_month, plot_predicted AS predicted, plot_predicted - plot_actual AS residual, "
-                        f"0.0 AS zero_line FROM ({A1_SQL_BODY}) a"))
+                        f"CAST(0.0 AS DOUBLE) AS zero_line FROM ({A1_SQL_BODY}) a"))
 def residual_table(spark, sf_dir):
     return C.residuals(flow_by_statement_month(spark, sf_dir), "statement_month")
 
