@@ -91,3 +91,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = os.path.join(base, "tables", f"cut-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 128 * 1024 * 1024,
+                 broadcast_limit_bytes: int = 64 * 1024 * 1024) -> dict:
+    """Settings sized from the input volume for a large cluster.
+
+    Shuffle partitions are chosen so each initial partition holds about
+    ``target_partition_bytes`` of input (AQE then coalesces small ones and
+    splits skewed ones); file splits match the same size; the broadcast
+    threshold is an explicit, bounded number.
+    """
+    parts = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_limit_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_limit_bytes),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.executor.cores": str(executor_cores),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
