@@ -378,3 +378,38 @@ def search_markdown(payloads: DataFrame, id_col: str, payload_col: str, max_resu
     md = F.when(F.size(res) == 0, F.lit("No results found.")).otherwise(
         F.concat(F.lit("## Search Results\n\n"), F.array_join(items, "\n\n")))
     return parsed.select(id_col, md.alias("markdown"))
+
+
+RSS_ITEM = "struct<title:string,link:string,description:string>"
+
+
+def flatten_rss_payload(payloads: DataFrame, id_col: str, xml_col: str, max_results: int = 10) -> DataFrame:
+    """F25 (RSS form) + T6: ``channel.item[]`` of an RSS document (parsed with
+    ``from_xml``) as ranked rows, cut to ``max_results``."""
+    p = payloads.select(id_col, F.from_xml(xml_col, f"channel struct<item: array<{RSS_ITEM}>>",
+                                           {"rowTag": "rss", "ignoreSurroundingSpaces": "false"}).alias("__p"))
+    items = F.slice(F.coalesce(F.col("__p.channel.item"), F.array().cast(f"array<{RSS_ITEM}>")), 1, max_results)
+    return p.select(id_col, F.posexplode(items).alias("__i", "__r")).select(
+        id_col, (F.col("__i") + 1).alias("rank"), "__r.title", "__r.link", "__r.description")
+
+
+def organic_markdown(ranked: DataFrame, id_col: str, title: str = "title", link: str = "link",
+                     snippet: str | None = "description", date: str | None = None,
+                     source: str | None = None) -> DataFrame:
+    """F25 (second style): "## Search Results\\n" then items numbered from 0,
+    "i. [title](link)" + optional "\\nDate published: ..." / "\\nSource: ..." +
+    "\\n" + optional "\\n<snippet>", joined by blank lines, per payload."""
+    extra = F.lit("")
+    if date:
+        extra = F.concat(extra, F.when(F.col(date).isNotNull(), F.concat(F.lit("\nDate published: "), F.col(date)))
+                         .otherwise(F.lit("")))
+    if source:
+        extra = F.concat(extra, F.when(F.col(source).isNotNull(), F.concat(F.lit("\nSource: "), F.col(source)))
+                         .otherwise(F.lit("")))
+    snip = (F.when(F.col(snippet).isNotNull(), F.concat(F.lit("\n"), F.col(snippet))).otherwise(F.lit(""))
+            if snippet else F.lit(""))
+    item = F.concat((F.col("rank") - 1).cast("string"), F.lit(". ["), F.col(title), F.lit("]("), F.col(link),
+                    F.lit(")"), extra, F.lit("\n"), snip)
+    return ranked.select(id_col, "rank", item.alias("__it")).groupBy(id_col).agg(
+        F.concat(F.lit("## Search Results\n"),
+                 F.expr("listagg(__it, '\\n\\n') WITHIN GROUP (ORDER BY rank)")).alias("markdown"))

@@ -260,3 +260,29 @@ def source_prefix(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "n_chars"])
     return d.where(F.col("source").startswith("src1")).select(
         "doc_id", "source", F.regexp_extract("source", r"^src(.*)$", 1).alias("source_suffix"), "n_chars")
+
+
+RSS_SQL = """
+WITH items AS (
+  SELECT CAST(trunc(page_id / 10) AS BIGINT) AS payload_id, page_id,
+         regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS link, 'Page ' || CAST(page_id AS VARCHAR) AS description,
+         CAST(row_number() OVER (PARTITION BY CAST(trunc(page_id / 10) AS BIGINT) ORDER BY page_id) AS INTEGER) AS rank
+  FROM pages)"""
+
+
+@register("F25_T6_rss_results_ranked",
+          RSS_SQL + "\nSELECT payload_id, rank, title, link, description FROM items WHERE rank <= 5")
+def rss_ranked(spark, sf_dir):
+    from ..sources.fixtures import rss_payloads
+    return C.flatten_rss_payload(rss_payloads(spark, sf_dir), "payload_id", "rss", max_results=5)
+
+
+@register("F25_rss_results_markdown",
+          RSS_SQL + """
+SELECT payload_id, '## Search Results' || chr(10) || string_agg(CAST(rank - 1 AS VARCHAR) || '. [' || title || '](' || link
+  || ')' || chr(10) || chr(10) || description, chr(10) || chr(10) ORDER BY rank) AS markdown
+FROM items WHERE rank <= 5 GROUP BY payload_id""")
+def rss_markdown(spark, sf_dir):
+    from ..sources.fixtures import rss_payloads
+    ranked = C.flatten_rss_payload(rss_payloads(spark, sf_dir), "payload_id", "rss", max_results=5)
+    return C.organic_markdown(ranked, "payload_id")

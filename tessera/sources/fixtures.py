@@ -337,3 +337,17 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = F.transform("__items", lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"),
                                                          r["description"].alias("description")))
     return g.select("payload_id", F.to_json(F.struct(F.struct(results.alias("results")).alias("web"))).alias("payload"))
+
+
+def rss_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS documents of ten pages each (values in CDATA sections)."""
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    cdata = lambda c: F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
+    item = F.concat(F.lit("<item><title>"), cdata(F.regexp_extract("html", r"<title>(.*?)</title>", 1)),
+                    F.lit("</title><link>"), cdata(F.col("url")), F.lit("</link><description>"),
+                    cdata(F.concat(F.lit("Page "), F.col("page_id").cast("string"))), F.lit("</description></item>"))
+    g = p.groupBy((F.col("page_id") / 10).cast("long").alias("payload_id")).agg(
+        F.sort_array(F.collect_list(F.struct("page_id", item.alias("xml")))).alias("__items"))
+    return g.select("payload_id", F.concat(F.lit("<rss><channel>"),
+                                           F.array_join(F.transform("__items", lambda r: r["xml"]), ""),
+                                           F.lit("</channel></rss>")).alias("rss"))
