@@ -34,8 +34,15 @@ def clean_href(href: str | None) -> str | None:
 
 
 class _ToMarkdown(HTMLParser):
-    def __init__(self):
+    def __init__(self, only_id: str | None = None):
         super().__init__(convert_charrefs=True)
+        self.only_id = only_id          # convert only inside the element with this id
+        self.capture = only_id is None
+        self.cap_tag: str | None = None
+        self.cap_depth = 0
+        self.main_title: list[str] | None = None
+        self.in_main_title = False
+        self.meta: dict[str, str] = {}
         self.out: list[str] = []
         self.skip = 0
         self.in_title = False
@@ -46,6 +53,8 @@ class _ToMarkdown(HTMLParser):
         self.heading: list | None = None  # [level, text parts]
 
     def _emit(self, s: str):
+        if not self.capture:
+            return
         if self.link is not None:
             self.link[1].append(s)
         elif self.heading is not None:
@@ -58,9 +67,22 @@ class _ToMarkdown(HTMLParser):
         if tag in DROPPED_BLOCKS:
             self.skip += 1
             return
+        if tag == "meta":
+            for k in ("itemprop", "property", "name"):
+                if k in a:
+                    self.meta[a[k]] = a.get("content") or ""
+                    break
+        if tag == "span" and "mw-page-title-main" in (a.get("class") or "").split():
+            self.in_main_title, self.main_title = True, []
+        if self.only_id is not None:
+            if self.cap_tag is None and a.get("id") == self.only_id:
+                self.capture, self.cap_tag, self.cap_depth = True, tag, 1
+                return
+            if self.cap_tag == tag:
+                self.cap_depth += 1
         if tag == "title":
             self.in_title = True
-        elif tag == "body":
+        elif tag == "body" and self.only_id is None:
             self.body_seen = True
             self.out = []  # only the body is converted when there is one
         elif tag in HEADINGS:
@@ -87,6 +109,13 @@ class _ToMarkdown(HTMLParser):
         if tag in DROPPED_BLOCKS:
             self.skip = max(0, self.skip - 1)
             return
+        if tag == "span" and self.in_main_title:
+            self.in_main_title = False
+        if self.only_id is not None and self.cap_tag == tag:
+            self.cap_depth -= 1
+            if self.cap_depth == 0:
+                self.capture, self.cap_tag = False, None
+                return
         if tag == "title":
             self.in_title = False
         elif tag in HEADINGS and self.heading is not None:
@@ -113,28 +142,73 @@ class _ToMarkdown(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
+        if self.in_main_title and self.main_title is not None:
+            self.main_title.append(data)
         if self.in_title:
             self.title.append(data)
             return
         self._emit(re.sub(r"\s+", " ", data))
 
 
-def html_to_markdown(html: str | None, max_chars: int = MAX_MARKDOWN_CHARS) -> tuple[str | None, str | None]:
-    """(title, markdown) of a page; runs of 3+ newlines collapse to 2; long
-    text is truncated in the middle like the reference's tool output."""
-    if html is None:
-        return None, None
-    p = _ToMarkdown()
-    p.feed(html)
-    p.close()
-    text = "".join(p.out)
+def _finish(text: str, max_chars: int) -> str:
     text = re.sub(r"[ \t]+\n", "\n", text)
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
     if len(text) > max_chars:
         marker = f"\n..._This content has been truncated to stay below {max_chars} characters_...\n"
         text = text[: max_chars // 2] + marker + text[-(max_chars // 2):]
+    return text
+
+
+def _parse(html: str, only_id: str | None = None) -> _ToMarkdown:
+    p = _ToMarkdown(only_id)
+    p.feed(html)
+    p.close()
+    return p
+
+
+def html_to_markdown(html: str | None, max_chars: int = MAX_MARKDOWN_CHARS, url: str | None = None
+                     ) -> tuple[str | None, str | None]:
+    """(title, markdown) of a page; runs of 3+ newlines collapse to 2; long
+    text is truncated in the middle like the reference's tool output. The
+    URL picks a site-specific extractor (D3)."""
+    if html is None:
+        return None, None
+    route = route_for_url(url)
+    if route == "wikipedia":
+        p = _parse(html, only_id="mw-content-text")
+        if p.cap_tag is not None or "".join(p.out).strip():
+            title = ("".join(p.main_title).strip() if p.main_title else "".join(p.title).strip()) or None
+            return title, _finish(f"# {title}\n\n" + "".join(p.out), max_chars)
+    if route == "youtube":
+        p = _parse(html)
+        return _video_page(p, max_chars)
+    p = _parse(html)
     title = "".join(p.title).strip() or None
-    return title, text
+    return title, _finish("".join(p.out), max_chars)
+
+
+def _video_page(p: _ToMarkdown, max_chars: int) -> tuple[str | None, str]:
+    """D3: metadata summary of a video page (title, views, keywords, runtime,
+    description)."""
+    meta = dict(p.meta)
+    page_title = "".join(p.title).strip()
+    meta.setdefault("title", page_title)
+    get = lambda keys: next((meta[k] for k in keys if meta.get(k)), "")
+    text = "# YouTube\n"
+    title = get(["title", "og:title", "name"])
+    if title:
+        text += f"\n## {title}\n"
+    stats = ""
+    for label, keys in (("Views", ["interactionCount"]), ("Keywords", ["keywords"]), ("Runtime", ["duration"])):
+        v = get(keys)
+        if v:
+            stats += f"- **{label}:** {v}\n"
+    if stats:
+        text += f"\n### Video Metadata\n{stats}\n"
+    desc = get(["description", "og:description"])
+    if desc:
+        text += f"\n### Description\n{desc}\n"
+    return (title or page_title or None), text[:max_chars]
 
 
 def route_for_url(url: str | None) -> str:

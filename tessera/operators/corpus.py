@@ -313,7 +313,7 @@ def pages_to_markdown(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for pdf in batches:
             out = []
             for pid, url, html in zip(pdf[id_col], pdf[url_col], pdf[html_col]):
-                title, md = html_to_markdown(html)
+                title, md = html_to_markdown(html, url=url)
                 out.append((pid, url, route_for_url(url), title, md))
             yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
 

@@ -53,3 +53,16 @@ def test_top_k_ties_by_key(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, 3, 1.0), (1, 4, 2.0), (2, 1, 0.5)], "q long, d long, s double")
     got = sorted((r["q"], r["rank"], r["d"]) for r in C.top_k(df, ["q"], "s", ["d"], 2).collect())
     assert got == [(1, 1, 4), (1, 2, 3), (2, 1, 1)]
+
+
+def test_site_routes():
+    wiki = ('<html><head><title>X - Wikipedia</title></head><body><div id="nav">menu</div>'
+            '<span class="mw-page-title-main">Spark</span><div id="mw-content-text"><div><p>Body <b>bold</b></p></div>'
+            '</div><div>footer</div></body></html>')
+    title, md = html_to_markdown(wiki, url="https://en.wikipedia.org/wiki/Spark")
+    assert title == "Spark" and md.startswith("# Spark") and "Body **bold**" in md
+    assert "menu" not in md and "footer" not in md
+    yt = ('<html><head><title>Vid</title><meta name="keywords" content="a,b">'
+          '<meta itemprop="interactionCount" content="42"><meta name="description" content="About"></head></html>')
+    title, md = html_to_markdown(yt, url="https://www.youtube.com/watch?v=1")
+    assert md.startswith("# YouTube\n\n## Vid") and "- **Views:** 42" in md and "### Description\nAbout" in md
