@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 32
+BUCKETS_CONF = "tessera.ordered.buckets"
+
+
+def _buckets(df: DataFrame, buckets: int | None) -> int:
+    """Bucket count: explicit argument, else the session setting
+    ``tessera.ordered.buckets`` (raise it with the data: a hot group is split
+    into this many ordered ranges), else 32."""
+    if buckets:
+        return int(buckets)
+    v = df.sparkSession.conf.get(BUCKETS_CONF, None)
+    return int(v) if v else DEFAULT_BUCKETS
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -39,10 +50,12 @@ def _numeric(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def bucketize(t: DataFrame, keys, order_col: str, buckets: int = DEFAULT_BUCKETS,
+def bucketize(t: DataFrame, keys, order_col: str, buckets: int | None = None,
               accuracy: int = 2000) -> DataFrame:
     """Add ``__bucket`` (0..buckets-1), monotone in ``order_col`` within each group."""
     keys = list(keys)
+    buckets = _buckets(t, buckets)
+    accuracy = max(accuracy, 4 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     v = _numeric(t, order_col)
     tv = t.withColumn("__ov", v)
@@ -67,7 +80,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = True,
-               buckets: int = DEFAULT_BUCKETS, accuracy: int = 2000, with_totals: bool = False,
+               buckets: int | None = None, accuracy: int = 2000, with_totals: bool = False,
                materialize: bool = True) -> DataFrame:
     """Running sums ``cum_<v>`` of ``value_cols`` in ``order_cols`` order per group
     (and the group totals ``tot_<v>`` when ``with_totals``).
@@ -97,7 +110,7 @@ def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = Tru
     return out.drop("__bucket", *[f"__in_{v}" for v in value_cols], *[f"__before_{v}" for v in value_cols])
 
 
-def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int = DEFAULT_BUCKETS,
+def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int | None = None,
                accuracy: int = 2000) -> DataFrame:
     """``prev_<v>``: the value of the previous row in order within each group.
 
@@ -125,7 +138,7 @@ def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int = DEFAUL
     return out.drop("__bucket", "__rn", *[f"__lag_{v}" for v in value_cols], *[f"__pb_{v}" for v in value_cols])
 
 
-def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int | None = None) -> DataFrame:
     """Exact p-quantiles per group with linear interpolation between the
     values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
     ``percentile`` / ``quantile_cont``).
