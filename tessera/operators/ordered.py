@@ -143,28 +143,44 @@ def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int | N
     values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
     ``percentile`` / ``quantile_cont``).
 
-    Built from distinct values and their running counts, so no task keeps a
-    group's values in memory (an exact percentile aggregate does). Returns
-    keys, ``n`` and ``quantiles`` (array in ``probs`` order); null values are
-    ignored, groups with no values are absent.
+    A distributed selection: distinct values with counts are split into
+    ordered buckets per group; bucket totals (a small table) tell which
+    bucket holds each wanted rank, and only those buckets are sorted. No task
+    keeps a whole group's values (an exact percentile aggregate does).
+    Returns keys, ``n`` and ``quantiles`` (array in ``probs`` order); null
+    values are ignored, groups with no values are absent.
     """
     keys = list(keys)
+    probs = [float(p) for p in probs]
     v = F.col(value_col).cast("double")
-    t = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ps = prefix_sum(t, keys, "__v", ["__c"], with_totals=True, buckets=buckets)
-    n = F.col("tot___c")
-    start = F.col("cum___c") - F.col("__c")
-    aggs = [F.max(n).alias("n")]
-    for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.min(F.when((start <= lo) & (lo < F.col("cum___c")), F.col("__v"))).alias(f"__lo{i}"))
-        aggs.append(F.min(F.when((start <= hi) & (hi < F.col("cum___c")), F.col("__v"))).alias(f"__hi{i}"))
-        aggs.append(F.max(pos).alias(f"__pos{i}"))
-    g = ps.groupBy(*keys).agg(*aggs)
+    t = _materialize(df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    tb = _materialize(bucketize(t, keys, "__v", buckets))
+    totals = tb.groupBy(*keys, "__bucket").agg(F.sum("__c").alias("__bc"))
+    before = F.coalesce(F.sum("__bc").over(Window.partitionBy(*keys).orderBy("__bucket")
+                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cum = totals.select(*keys, "__bucket", "__bc", before.alias("__before"),
+                        F.sum("__bc").over(Window.partitionBy(*keys)).alias("n"))
+    # wanted ranks (0-based) per probability: floor and ceil of (n - 1) * p
+    wanted = cum.select(*keys, "__bucket", "__bc", "__before", "n", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.lit(side).alias("__side"),
+                 (F.floor if side == "lo" else F.ceil)((F.col("n") - 1).cast("double") * F.lit(p)).alias("__rank"))
+        for i, p in enumerate(probs) for side in ("lo", "hi")])))
+    wanted = wanted.where((F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__bc")))
+    need = wanted.select(*keys, "__bucket").distinct()
+    rows = join_on_keys(tb, need, keys + ["__bucket"], "left_semi") if keys else tb.join(need, ["__bucket"], "left_semi")
+    w = Window.partitionBy(*keys, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("__cum", F.sum("__c").over(w))
+    hit = join_on_keys(local, wanted.select(*keys, "__bucket", "__before", "n", "__i", "__side", "__rank"),
+                       keys + ["__bucket"])
+    r = F.col("__rank") - F.col("__before")
+    hit = hit.where((F.col("__cum") - F.col("__c") <= r) & (r < F.col("__cum")))
+    picked = hit.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when((F.col("__i") == i) & (F.col("__side") == side), F.col("__v"))).alias(f"__{side}{i}")
+        for i in range(len(probs)) for side in ("lo", "hi")])
     qs = []
-    for i, _ in enumerate(probs):
-        pos, lo_v, hi_v = F.col(f"__pos{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1).cast("double") * F.lit(p)
         lo, hi = F.floor(pos), F.ceil(pos)
+        lo_v, hi_v = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         qs.append(F.when(lo == hi, lo_v).otherwise((hi - pos) * lo_v + (pos - lo) * hi_v))
-    return g.select(*keys, "n", F.array(*qs).alias("quantiles"))
+    return picked.select(*keys, "n", F.array(*qs).alias("quantiles"))
