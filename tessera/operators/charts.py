@@ -105,8 +105,8 @@ def residuals(agg: DataFrame, key: str, actual: str = "plot_actual", predicted:
 def scatter_with_fit_line(df: DataFrame, actual: str, predicted: str, keys=()) -> DataFrame:
     """(actual, predicted) pairs plus the shared bounds of the perfect-fit
     line. The bounds are one aggregate (two numbers) read back to the driver."""
-    b = df.agg(F.least(F.min(actual), F.min(predicted)).cast("double").alias("lo"),
-               F.greatest(F.max(actual), F.max(predicted)).cast("double").alias("hi")).first()
+    a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    b = df.agg(F.least(F.min(a), F.min(p)).alias("lo"), F.greatest(F.max(a), F.max(p)).alias("hi")).first()
     return df.select(*keys, F.col(actual).cast("double").alias("actual"),
                      F.col(predicted).cast("double").alias("predicted"),
                      F.lit(b["lo"]).alias("line_lo"), F.lit(b["hi"]).alias("line_hi"))

@@ -166,5 +166,5 @@ def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int | N
     for i, _ in enumerate(probs):
         pos, lo_v, hi_v = F.col(f"__pos{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
         lo, hi = F.floor(pos), F.ceil(pos)
-        qs.append(F.when(lo == hi, lo_v).otherwise((hi - pos) * lo_v + (pos - lo) * hi_v))
+        qs.append(F.when(lo == hi, lo_v).otherwise(lo_v + (pos - lo) * (hi_v - lo_v)))
     return g.select(*keys, "n", F.array(*qs).alias("quantiles"))

@@ -43,15 +43,17 @@ def metrics_sql(pairs, segs=(), extra=(), source="backtest", level="both", rank=
     if level in ("account", "both"):
         ctes.append(f"""m_acc AS (
   SELECT {k}, count(*) AS n_rows,
-    avg(CASE WHEN actual <> 0 THEN abs(CAST(predicted - actual AS DOUBLE)) / abs(CAST(actual AS DOUBLE)) END) * 100 AS AMPE_pct,
-    avg(CASE WHEN actual <> 0 THEN CAST(predicted - actual AS DOUBLE) / CAST(actual AS DOUBLE) END) * 100 AS MPE_pct,
-    CAST(sum(abs(predicted - actual)) AS DOUBLE) / count(*) AS MAE,
-    CAST(sum(predicted - actual) AS DOUBLE) / count(*) AS bias,
-    sqrt(CAST(sum(CAST(predicted - actual AS DECIMAL(38,4)) * CAST(predicted - actual AS DECIMAL(38,4))) AS DOUBLE) / count(*)) AS RMSE,
+    CAST(CAST(sum(CAST(CASE WHEN actual <> 0 THEN abs(CAST(predicted - actual AS DOUBLE)) / abs(CAST(actual AS DOUBLE)) END
+                  AS DECIMAL(38,12))) AS VARCHAR) AS DOUBLE) / count(CASE WHEN actual <> 0 THEN 1 END) * 100 AS AMPE_pct,
+    CAST(CAST(sum(CAST(CASE WHEN actual <> 0 THEN CAST(predicted - actual AS DOUBLE) / CAST(actual AS DOUBLE) END
+                  AS DECIMAL(38,12))) AS VARCHAR) AS DOUBLE) / count(CASE WHEN actual <> 0 THEN 1 END) * 100 AS MPE_pct,
+    CAST(CAST(sum(abs(predicted - actual)) AS VARCHAR) AS DOUBLE) / count(*) AS MAE,
+    CAST(CAST(sum(predicted - actual) AS VARCHAR) AS DOUBLE) / count(*) AS bias,
+    sqrt(CAST(CAST(sum(CAST(predicted - actual AS DECIMAL(38,4)) * CAST(predicted - actual AS DECIMAL(38,4))) AS VARCHAR) AS DOUBLE) / count(*)) AS RMSE,
     CASE WHEN max(actual) > min(actual)
-          AND CAST(sum(CAST(actual AS DECIMAL(38,4)) * CAST(actual AS DECIMAL(38,4))) AS DOUBLE) - CAST(sum(actual) AS DOUBLE) * CAST(sum(actual) AS DOUBLE) / count(*) > 0
-         THEN 1.0 - CAST(sum(CAST(predicted - actual AS DECIMAL(38,4)) * CAST(predicted - actual AS DECIMAL(38,4))) AS DOUBLE)
-              / (CAST(sum(CAST(actual AS DECIMAL(38,4)) * CAST(actual AS DECIMAL(38,4))) AS DOUBLE) - CAST(sum(actual) AS DOUBLE) * CAST(sum(actual) AS DOUBLE) / count(*))
+          AND CAST(CAST(sum(CAST(actual AS DECIMAL(38,4)) * CAST(actual AS DECIMAL(38,4))) AS VARCHAR) AS DOUBLE) - CAST(CAST(sum(actual) AS VARCHAR) AS DOUBLE) * CAST(CAST(sum(actual) AS VARCHAR) AS DOUBLE) / count(*) > 0
+         THEN 1.0 - CAST(CAST(sum(CAST(predicted - actual AS DECIMAL(38,4)) * CAST(predicted - actual AS DECIMAL(38,4))) AS VARCHAR) AS DOUBLE)
+              / (CAST(CAST(sum(CAST(actual AS DECIMAL(38,4)) * CAST(actual AS DECIMAL(38,4))) AS VARCHAR) AS DOUBLE) - CAST(CAST(sum(actual) AS VARCHAR) AS DOUBLE) * CAST(CAST(sum(actual) AS VARCHAR) AS DOUBLE) / count(*))
     END AS R2
   FROM m_scoped GROUP BY {k})""")
         parts.append("m_acc")
@@ -64,7 +66,7 @@ m_gt AS (SELECT {k}, score, sum(pos) AS cp, sum(1 - pos) AS cn FROM m_glab GROUP
 m_gw AS (SELECT *, coalesce(sum(cn) OVER (PARTITION BY {k} ORDER BY score
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_cn FROM m_gt),
 m_gini AS (SELECT {k}, CASE WHEN sum(cp) > 0 AND sum(cn) > 0 THEN
-             CAST(sum(cp * (2 * cum_cn + cn)) AS DOUBLE) / (CAST(sum(cp) AS DOUBLE) * CAST(sum(cn) AS DOUBLE)) - 1 END AS Gini
+             CAST(CAST(sum(cp * (2 * cum_cn + cn)) AS VARCHAR) AS DOUBLE) / (CAST(CAST(sum(cp) AS VARCHAR) AS DOUBLE) * CAST(CAST(sum(cn) AS VARCHAR) AS DOUBLE)) - 1 END AS Gini
            FROM m_gw GROUP BY {k}),
 m_med AS (SELECT {k}, quantile_cont(CAST(actual AS DOUBLE), 0.5) AS med FROM m_scoped GROUP BY {k}),
 m_klab AS (SELECT {", ".join("s." + c for c in keys)}, s.predicted AS score,
@@ -87,9 +89,9 @@ m_ks AS (SELECT {k}, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN
     CASE WHEN n_accounts > 0 THEN portfolio_abs_error / n_accounts END AS per_account_abs_error,
     CASE WHEN n_accounts > 0 THEN portfolio_error / n_accounts END AS per_account_error"""
         ctes.append(f"""m_port0 AS (
-  SELECT {k}, count(*) AS n_rows, CAST(sum(actual) AS DOUBLE) AS total_actual,
-         CAST(sum(predicted) AS DOUBLE) AS total_predicted,
-         CAST(sum(predicted) - sum(actual) AS DOUBLE) AS portfolio_error{", sum(" + n_accounts + ") AS n_accounts" if n_accounts else ""}
+  SELECT {k}, count(*) AS n_rows, CAST(CAST(sum(actual) AS VARCHAR) AS DOUBLE) AS total_actual,
+         CAST(CAST(sum(predicted) AS VARCHAR) AS DOUBLE) AS total_predicted,
+         CAST(CAST(sum(predicted) - sum(actual) AS VARCHAR) AS DOUBLE) AS portfolio_error{", sum(" + n_accounts + ") AS n_accounts" if n_accounts else ""}
   FROM m_scoped GROUP BY {k}),
 m_port AS (SELECT {k}{"" if parts else ", n_rows"}, total_actual, total_predicted,
     CASE WHEN total_actual <> 0 THEN abs(portfolio_error) / abs(total_actual) * 100 END AS portfolio_AMPE_pct,

@@ -182,8 +182,8 @@ def residual_table(spark, sf_dir):
 @register("C7_scatter_rounds_by_month",
           with_backtest("""
 SELECT round, statement_month, CAST(actual AS DOUBLE) AS actual, CAST(predicted AS DOUBLE) AS predicted,
-       (SELECT CAST(least(min(actual), min(predicted)) AS DOUBLE) FROM r) AS line_lo,
-       (SELECT CAST(greatest(max(actual), max(predicted)) AS DOUBLE) FROM r) AS line_hi
+       (SELECT least(min(CAST(actual AS DOUBLE)), min(CAST(predicted AS DOUBLE))) FROM r) AS line_lo,
+       (SELECT greatest(max(CAST(actual AS DOUBLE)), max(CAST(predicted AS DOUBLE))) FROM r) AS line_hi
 FROM r""", """,
 r AS (SELECT round, statement_month, sum(actual_payment) AS actual, sum(predicted_payment) AS predicted
       FROM backtest_rounds GROUP BY round, statement_month)"""))
