@@ -122,3 +122,25 @@ def segment_report(df: DataFrame, actual: str, predicted: str, segment: str, n_b
         "error_histogram": histogram(df, (F.col(predicted) - F.col(actual)), n_bins),
         "segment_means": bar_means(df, segment, [actual, predicted]),
     }
+
+
+def segment_report_long(df: DataFrame, actual: str, predicted: str, segment: str, n_bins: int = 20) -> DataFrame:
+    """C8 as one table: (component, segment, x, y) rows of the scatter with
+    its fit-line bounds, the residuals, the error histogram and the segment
+    means, so a report is one result set."""
+    parts = segment_report(df, actual, predicted, segment, n_bins)
+    sc = parts["scatter"]
+    scatter = sc.select(F.lit("scatter").alias("component"), F.col(segment).cast("string").alias("segment"),
+                        F.col("actual").alias("x"), F.col("predicted").alias("y"))
+    line = sc.agg(F.max("line_lo").alias("x"), F.max("line_hi").alias("y")).select(
+        F.lit("fit_line").alias("component"), F.lit(None).cast("string").alias("segment"), "x", "y")
+    resid = parts["residuals"].select(F.lit("residual").alias("component"),
+                                      F.col(segment).cast("string").alias("segment"),
+                                      F.col("predicted").alias("x"), F.col("residual").alias("y"))
+    hist = parts["error_histogram"].select(F.lit("histogram").alias("component"),
+                                           F.lit(None).cast("string").alias("segment"),
+                                           F.col("bin_lower").alias("x"), F.col("count").cast("double").alias("y"))
+    means = parts["segment_means"].select(F.concat(F.lit("mean_"), F.col("series")).alias("component"),
+                                          F.col(segment).cast("string").alias("segment"),
+                                          F.lit(None).cast("double").alias("x"), F.col("value").alias("y"))
+    return scatter.unionByName(line).unionByName(resid).unionByName(hist).unionByName(means)

@@ -223,3 +223,12 @@ SELECT account_id, statement_month, feature, n_distinct FROM (
 def static_features(spark, sf_dir):
     facts = backtest_facts(spark, sf_dir, ["account_id", "statement_month", "credit_limit", "product_type"])
     return Q.static_feature_violations(facts, ["credit_limit", "product_type"])
+
+
+@register("C8_segment_report")
+def segment_report(spark, sf_dir):
+    # per (segment, month) totals: scatter + fit line, residuals, error histogram, segment means
+    facts = backtest_facts(spark, sf_dir, ["risk_segment", "statement_month", "actual_payment", "predicted_payment"])
+    g = facts.groupBy("risk_segment", "statement_month").agg(
+        F.sum("actual_payment").alias("actual"), F.sum("predicted_payment").alias("predicted"))
+    return C.segment_report_long(g, "actual", "predicted", "risk_segment", n_bins=20)
