@@ -66,3 +66,22 @@ def test_site_routes():
           '<meta itemprop="interactionCount" content="42"><meta name="description" content="About"></head></html>')
     title, md = html_to_markdown(yt, url="https://www.youtube.com/watch?v=1")
     assert md.startswith("# YouTube\n\n## Vid") and "- **Views:** 42" in md and "### Description\nAbout" in md
+
+
+def test_substring_fallback_matches_automaton_on_documents(spark):
+    """The exact k-gram equi-join (used beyond the broadcast limit) finds the
+    same (document, passage, position) triples as the automaton."""
+    from tessera.sources.tables import read_table
+    sf = "/root/testdata/sf0.001"
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    bench = read_table(spark, sf, "benchmark", ["item_id", "text"])
+    a = sorted(tuple(r) for r in substring_matches(docs, "doc_id", "text", bench, "item_id", "text", "automaton").collect())
+    b = sorted(tuple(r) for r in substring_matches(docs, "doc_id", "text", bench, "item_id", "text", "kgram").collect())
+    assert a == b and len(a) > 0
+
+
+def test_cluster_conf_scales_with_input():
+    from tessera.session import cluster_conf
+    small, big = cluster_conf(10 * 1024 ** 3), cluster_conf(100 * 1024 ** 4)
+    assert int(big["spark.sql.shuffle.partitions"]) > int(small["spark.sql.shuffle.partitions"]) >= 200
+    assert int(big["tessera.ordered.buckets"]) > int(small["tessera.ordered.buckets"])
