@@ -9,24 +9,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, documents
-from tessera.llm.language import UNDETERMINED, identify, piece_log_probs
+from tessera.llm.language import identified, piece_log_probs
 from tessera.llm.packing import pack
-from tessera.llm.quality import judge, references
+from tessera.llm.quality import kept, references
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language (operator 7, learned from all labelled rows)."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return identify(docs, path, *piece_log_probs(docs, path), carry=docs.columns).where(
-        F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return identified(docs, path, *piece_log_probs(docs, path))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rules and the divergence from the references keep (operator 5)."""
-    return judge(docs, references(docs), carry=docs.columns).where("kept").select(*docs.columns)
+    return kept(docs, references(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,9 @@ pieces, computed by the forward algorithm. Pieces do not reach across white
 space, so it is the product over words of the words' sums, and each distinct
 word of a slice is summed once, all words of a length at a time.
 
-The probabilities come from two passes of Spark over the training rows: counts
-of pieces in the library's own segmentation, pre-aggregated by batch, then
-counts expected under the first model's segmentations are not needed, as the
-sums already marginalise them at scoring time.
+The probabilities come from one pass of Spark over the training rows: counts of
+pieces in the library's own segmentation, summed by task before they are
+shuffled, then smoothed.
 """
 
 from __future__ import annotations
@@ -120,6 +119,31 @@ def piece_log_probs(docs: DataFrame, path: str, train: Column | None = None) ->
     return langs, np.log(n / n.sum(axis=0)) if langs else n
 
 
+def _predictor(path: str, langs: list[str], log_p: np.ndarray):
+    """A function from texts to their languages and posterior probabilities."""
+    vocab, known = Vocabulary(path), {}
+
+    def predict(texts: list[str]) -> tuple[list[str], list[float]]:
+        cuts = [WORD.findall(x) for x in texts]
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        new = list(set().union(*cuts).difference(known)) if langs else []
+        known.update(zip(new, word_log_probs(new, vocab, log_p)))
+        pred, score = [], []
+        for text, words in zip(texts, cuts):
+            if not langs or not LETTER.search(text):
+                pred.append(UNDETERMINED)
+                score.append(0.0)
+                continue
+            total = np.sum([k * known[w] for w, k in Counter(words).items()], axis=0)
+            best = int(np.argmax(total))
+            pred.append(langs[best])
+            score.append(float(1 / np.exp(total - total[best]).sum()))
+        return pred, score
+
+    return predict
+
+
 def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score.
 
@@ -132,32 +156,27 @@ def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) ->
     model = docs.sparkSession.sparkContext.broadcast(log_p)  # pieces x languages, bounded above
 
     def run(batches):
-        vocab, known = Vocabulary(path), {}
+        predict = _predictor(path, langs, model.value)
         for part in text_slices(batches):
-            texts = strings(part)
-            cuts = [WORD.findall(x) for x in texts]
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-            new = list(set().union(*cuts).difference(known)) if langs else []
-            known.update(zip(new, word_log_probs(new, vocab, model.value)))
-            pred, score = [], []
-            for text, words in zip(texts, cuts):
-                if not langs or not LETTER.search(text):
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for w, k in Counter(words).items():
-                    total += k * known[w]
-                best = int(np.argmax(total))
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
             ids = part.column("doc_id")
-            yield table(COLUMNS, [ids, [id_remainder(i, FOLDS) == HELD_OUT for i in ids.to_pylist()], pred, score])
+            held_out = [id_remainder(i, FOLDS) == HELD_OUT for i in ids.to_pylist()]
+            yield table(COLUMNS, [ids, held_out, *predict(strings(part))])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the languages, all columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(log_p)
+
+    def run(batches):
+        predict = _predictor(path, langs, model.value)
+        for part in text_slices(batches):
+            yield part.filter(pa.array([x != UNDETERMINED for x in predict(strings(part))[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def in_training_fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS != HELD_OUT
 

@@ -24,9 +24,9 @@ from .common import WordHashes, documents, strings, table, text_slices
 #: Words of a language that its reference names; all others count as one.
 COMMON_WORDS = 100
 #: Largest distance of the character classes, and least characters to compare.
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.45, 200
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.28, 200
 #: Largest distance of the common words, and least words to compare.
-MAX_WORD_DISTANCE, MIN_WORDS = 0.70, 100
+MAX_WORD_DISTANCE, MIN_WORDS = 0.48, 100
 #: Base rules: least words, and largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -173,6 +173,18 @@ def judge(docs: DataFrame, refs: References) -> DataFrame:
              "base_failed boolean, kept boolean, nearest_lang string, char_distance double, word_distance double")
 
 
+def kept(docs: DataFrame, refs: References) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
+
+    def run(batches):
+        refs, classes, hashes = shared.value, CharClasses(), WordHashes()
+        for part in text_slices(batches):
+            yield part.filter(pa.array([_judged(x, refs, classes, hashes)[6] for x in strings(part)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _judged(text: str, refs: References, classes: CharClasses, hashes: WordHashes) -> tuple:
     raw = text.encode()
     words = raw.split()
