@@ -8,8 +8,9 @@ from .near_duplicates import op8_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .pieces import op9_sentencepiece
 from .quality import op5_quality_rules
+from .substrings import op6_suffix_array_dedup
 from .tokens import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op5_quality_rules, op7_language_id, op8_ngram_jaccard_join,
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op5_quality_rules, op6_suffix_array_dedup, op7_language_id, op8_ngram_jaccard_join,
                                    op9_sentencepiece, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
