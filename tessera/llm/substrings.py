@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, map_shared, mix, shared_dir, table, text_slices, utf8, write_shared
+from .common import cut, documents, mix, shared_dir, table, utf8
+from .exchange import by_key, deal, read_slice, slice_rows, slices, write_by_slice
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a repeated string.
@@ -51,28 +51,6 @@ _CONTEXT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("start", "<u8"), ("n", "u1"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def slices(docs: DataFrame, size: int = SLICE) -> DataFrame:
-    """``docs`` as rows of slices: number, bytes of text, rows (Arrow, compressed)."""
-    names = [("slice", pa.int64()), ("n_bytes", pa.int64()), ("rows", pa.binary())]
-
-    def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        for part in text_slices(batches, max_bytes=size):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(part)
-            yield table(names, [[number], [sum(map(len, utf8(part)))], [sink.getvalue().to_pybytes()]])
-            number += 1
-
-    return docs.mapInArrow(run, "slice long, n_bytes long, rows binary")
-
-
-def _rows(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
-    for b in batches:
-        for number, raw in zip(b.column("slice").to_pylist(), b.column("rows")):
-            yield number, pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
-
-
 def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     """Hash of the k-gram at each position of ``buffer`` that has one."""
     n = len(buffer) - GRAM + 1
@@ -112,43 +90,12 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return h[first], at[first], doc[first], fits[first], np.diff(np.append(first, len(at)))
 
 
-def _by_key(batches, key: str, *columns: str) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """Groups of the rows of a sorted partition, as (key, rows)."""
-    from itertools import groupby
-
-    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (key, *columns))))
-    for k, group in groupby(rows, lambda r: r[0]):
-        yield k, (r[1:] for r in group)
-
-
-def _deal(df: DataFrame, key: str, *order: str) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key, *order)
-
-
-def _write_by_slice(df: DataFrame, folder: str) -> None:
-    """Write what ``df`` (slice, data) has for each slice as a file of the shared folder."""
-    def run(batches):
-        for number, rows in _by_key(batches, "slice", "data"):
-            write_shared(f"{folder}/{number}", b"".join(d for d, in rows))
-            yield table([("slice", pa.int64())], [[number]])
-
-    _deal(df, "slice").mapInArrow(run, "slice long").write.format("noop").mode("overwrite").save()
-
-
-def _read_slice(folder: str, number: int, dtype) -> np.ndarray:
-    try:
-        return map_shared(f"{folder}/{number}", dtype)
-    except FileNotFoundError:  # nothing of this slice repeats
-        return np.empty(0, dtype)
-
-
 def _repeated_anchors(made: DataFrame, buckets: int, folder: str) -> None:
     """Write for each slice its anchor hashes that are met twice or more."""
     names = [("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())]
 
     def ask(batches):
-        for number, part in _rows(batches):
+        for number, part in slice_rows(batches):
             h, n = np.unique(anchor_runs(utf8(part))[0], return_counts=True)
             h = np.repeat(h, np.minimum(n, 2))
             of = (h % np.uint64(buckets)).astype(np.int32)
@@ -157,7 +104,7 @@ def _repeated_anchors(made: DataFrame, buckets: int, folder: str) -> None:
                 yield table(names, [[int(of[own[0]])], [number], [h[own].tobytes()]])
 
     def answer(batches):
-        for _, rows in _by_key(batches, "bucket", "slice", "data"):
+        for _, rows in by_key(batches, "bucket", "slice", "data"):
             asked = [(number, np.frombuffer(d, np.uint64)) for number, d in rows]
             h, n = np.unique(np.concatenate([a for _, a in asked]), return_counts=True)
             h = h[n > 1]
@@ -167,7 +114,7 @@ def _repeated_anchors(made: DataFrame, buckets: int, folder: str) -> None:
                     yield table(names[1:], [[number], [own.tobytes()]])
 
     asked = made.mapInArrow(ask, "bucket int, slice long, data binary")
-    _write_by_slice(_deal(asked, "bucket").mapInArrow(answer, "slice long, data binary"), folder)
+    write_by_slice(deal(asked, "bucket").mapInArrow(answer, "slice long, data binary"), folder)
 
 
 def _contexts(made: DataFrame, buckets: int, folder: str) -> DataFrame:
@@ -177,10 +124,10 @@ def _contexts(made: DataFrame, buckets: int, folder: str) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(1)
-        for number, part in _rows(batches):
+        for number, part in slice_rows(batches):
             texts = utf8(part)
             h, at, doc, start, n = anchor_runs(texts)
-            own = np.flatnonzero(np.isin(h, np.sort(_read_slice(folder, number, np.uint64))))
+            own = np.flatnonzero(np.isin(h, np.sort(read_slice(folder, number, np.uint64))))
             if not len(own):
                 continue
             ids = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False)
@@ -338,7 +285,7 @@ def _repeated_windows(contexts: DataFrame, folder: str) -> None:
     names = [("slice", pa.int64()), ("data", pa.binary())]
 
     def run(batches):
-        for bucket, rows in _by_key(batches, "bucket", "slice", "data", "text"):
+        for bucket, rows in by_key(batches, "bucket", "slice", "data", "text"):
             found = _Bucket()
             for number, data, text in rows:
                 if bucket < 0:
@@ -351,7 +298,7 @@ def _repeated_windows(contexts: DataFrame, folder: str) -> None:
                 found.compare()
                 yield from (table(names, [[s], [d]]) for s, d in found.rows())
 
-    _write_by_slice(_deal(contexts, "bucket", "slice").mapInArrow(run, "slice long, data binary"), folder)
+    write_by_slice(deal(contexts, "bucket", "slice").mapInArrow(run, "slice long, data binary"), folder)
 
 
 def _removed(texts: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
@@ -367,7 +314,7 @@ def _removed(texts: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     """The slices of ``docs`` and the folder that has the repeated windows of each."""
-    made = cut(slices(docs), "slices")
+    made = cut(slices(docs, SLICE), "slices")
     size = made.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, size // BUCKET)
     anchors, windows = (shared_dir(docs.sparkSession, x) for x in ("anchors", "windows"))
@@ -391,10 +338,10 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
              ("kept_sha256", pa.string())]
 
     def run(batches):
-        for number, part in _rows(batches):
+        for number, part in slice_rows(batches):
             texts, out = utf8(part), [[] for _ in names]
             for doc_id, text, gone in zip(part.column("doc_id").to_pylist(), texts,
-                                          _removed(texts, _read_slice(windows, number, _ANY))):
+                                          _removed(texts, read_slice(windows, number, _ANY))):
                 spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
                 for c, v in zip(out, (doc_id, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())):
@@ -411,10 +358,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     made, windows = find_repeats(docs)
 
     def run(batches):
-        for number, part in _rows(batches):
+        for number, part in slice_rows(batches):
             texts = utf8(part)
             kept = []
-            for text, gone in zip(texts, _removed(texts, _read_slice(windows, number, _ANY))):
+            for text, gone in zip(texts, _removed(texts, read_slice(windows, number, _ANY))):
                 if gone.any():
                     raw = np.frombuffer(text, np.uint8)
                     char = np.cumsum((raw & 0xC0) != 0x80) - 1
