@@ -12,14 +12,16 @@ length tells its bin and its place there.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, cut, documents, strings, table, text_slices
+from .common import MEMO_ENTRIES, cut, documents, gathered, split_words, table, text_slices
 from .tokens import by_bytes, tokenizer
 
 #: Tokens of a sequence.
@@ -32,31 +34,91 @@ _PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
 _PLACES = _PIECES[:5] + [("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
+class WordIds:
+    """Ids of the parts of texts between white space.
+
+    A part that is a run of letters and closing punctuation is two pre-tokens,
+    whose ids stand one after the other. The new runs of letters of a slice are
+    encoded together: each is one pre-token, and its last id closes a word.
+    """
+
+    #: Punctuation that may close a part.
+    CLOSING = ".,;:!?"
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_letters(self, runs: list[str], at_once: int = 500) -> None:
+        lists = [runs[i: i + at_once] for i in range(0, len(runs), at_once)]
+        for some, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(some) and ends[-1] == len(raw):
+                found = [raw[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # a letter that is more than a letter once it is normalised
+                found = self._encode(some)
+            self.known.update(zip(some, found))
+
+    def of(self, parts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """(ids of pre-tokens, two places in them for each part): those of its
+        letters and of its closing punctuation, or of the whole and of nothing."""
+        if len(self.known) > MEMO_ENTRIES:
+            self.known.clear()
+        letters = pc.utf8_rtrim(parts, self.CLOSING)
+        plain = pc.utf8_is_alpha(letters)
+        closing = pc.struct_field(pc.extract_regex(parts, f"(?P<end>[{self.CLOSING}]*)$"), "end")
+        first = pc.if_else(plain, pc.ascii_lower(letters), parts).dictionary_encode()
+        second = pc.if_else(plain, closing, "").dictionary_encode()
+        firsts, seconds = first.dictionary.to_pylist(), second.dictionary.to_pylist()
+        alpha = pc.utf8_is_alpha(first.dictionary).to_pylist()
+        new = [(x, a) for x, a in zip(firsts, alpha) if x not in self.known]
+        self._encode_letters([x for x, a in new if a])
+        for some in by_bytes(x for x, a in new if not a):
+            self.known.update(zip(some, self._encode(some)))
+        ids = [self.known[x] for x in firsts] + self._encode(seconds)
+        places = np.column_stack([first.indices.to_numpy(zero_copy_only=False),
+                                  second.indices.to_numpy(zero_copy_only=False) + len(firsts)])
+        return ids, places
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One memo for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and cut: a row for each piece with its token checksum, the task
     (``slice``) that made it and its number among that task's pieces of its length.
 
     The tokenizer drops white space, so the ids of a text are those of its parts
-    between plain white spaces, one after another.
+    between white space, one after another.
     """
     end = np.uint32(END_ID).tobytes()
 
     def run(batches):
-        encode, known = tokenizer(path).encode_batch_fast, {}
+        known = word_ids(path)
         slice_id, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for part in text_slices(batches):
-            cuts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in strings(part)]
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-            for new in by_bytes(set().union(*cuts).difference(known)):
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encode(new, add_special_tokens=False)))
+            parts, index, begins = split_words(part.column("text"), lower=False)
+            found, places = known.of(parts)
+            ids, starts = gathered(found, places[index].ravel(), "<u4")
+            bounds = starts[2 * begins]
             out = [[] for _ in _PIECES]
-            for doc_id, words in zip(part.column("doc_id").to_pylist(), cuts):
-                ids = b"".join(map(known.__getitem__, words)) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at: at + 4 * capacity]
-                    n = len(own) // 4
-                    for c, v in zip(out, (doc_id, k, at // 4, n, zlib.crc32(own), slice_id, int(seen[n]))):
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = ids[a:b].tobytes() + end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    piece = own[at: at + 4 * capacity]
+                    n = len(piece) // 4
+                    for c, v in zip(out, (doc_id, k, at // 4, n, zlib.crc32(piece), slice_id, int(seen[n]))):
                         c.append(v)
                     seen[n] += 1
             yield table(_PIECES, out)
