@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op10_fingerprints
 from .language import op7_language_id
+from .language_model import op4_lm_scoring
 from .licenses import op1_license_scans
 from .near_duplicates import op8_ngram_jaccard_join
 from .packing import op3_best_fit_packing
@@ -12,6 +13,6 @@ from .quality import op5_quality_rules
 from .substrings import op6_suffix_array_dedup
 from .tokens import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_best_fit_packing, op5_quality_rules, op6_suffix_array_dedup, op7_language_id, op8_ngram_jaccard_join,
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_suffix_array_dedup, op7_language_id, op8_ngram_jaccard_join,
                                    op9_sentencepiece, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
