@@ -93,17 +93,21 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return words, index, begins
 
 
-def gathered(values: list[bytes], index: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """``values[i]`` for each i of ``index`` one after another as an array, and
-    where each begins in it (one more than indices)."""
-    flat = np.frombuffer(b"".join(values), dtype)
-    size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
-    first = (np.cumsum(size) - size)[index] if len(values) else np.empty(0, np.int64)
-    size = size[index] if len(values) else first
+def expanded(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ``size`` numbers stand in ``flat``; those at the places ``index``
+    one after another, and where each begins (one more than places)."""
+    first = (np.cumsum(size) - size)[index]
+    size = size[index]
     begins = np.concatenate([[0], np.cumsum(size)])
     return flat[np.repeat(first - begins[:-1], size) + np.arange(begins[-1])], begins
 
 
+def gathered(values: list[bytes], index: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """``expanded`` for lists packed as bytes."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
+    return expanded(np.frombuffer(b"".join(values), dtype), size, index)
+
+
 def id_remainder(doc_id: int | None, modulus: int) -> int:
     """crc32 of the id as text, modulo ``modulus`` (a null id counts as empty text)."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus

@@ -1,10 +1,10 @@
 """Language ID (operator 7): segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A
-text's probability in a language is the sum over all its segmentations into
-pieces, computed by the forward algorithm. Pieces do not reach across white
-space, so it is the product over words of the words' sums, and each distinct
-word of a slice is summed once, all words of a length at a time.
+text is its words, runs of letters in lower case; digits and signs say little of
+a language. A word's probability is the sum over all its segmentations into
+pieces, computed by the forward algorithm, and a text's the product over its
+words; each distinct word is summed once, all words of a length at a time.
 
 The probabilities come from one pass of Spark over the training rows: counts of
 pieces in the library's own segmentation, summed by task before they are
@@ -13,27 +13,31 @@ shuffled, then smoothed.
 
 from __future__ import annotations
 
-import re
+import string
+import uuid
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, documents, id_remainder, strings, table, text_slices
+from .common import MEMO_ENTRIES, documents, expanded, id_remainder, split_words, table, text_slices
 
 #: Added to each piece's count in each language.
 SMOOTHING = 0.1
-#: Longer runs without white space are cut into words of this many characters.
+#: Longer runs of letters are cut into words of this many.
 WORD_CHARS = 48
 #: Fold that is held out of training: crc32(doc_id) mod FOLDS == HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 #: Label of texts without any letter.
 UNDETERMINED = "und"
+#: Signs that may stand before and after a word.
+SIGNS = string.punctuation
 
-WORD = re.compile(r"\S{1,%d}" % WORD_CHARS)
-LETTER = re.compile(r"[^\W\d_]")
 COLUMNS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())]
 
 
@@ -81,28 +85,70 @@ def word_log_probs(words: list[str], vocab: Vocabulary, log_p: np.ndarray) -> np
     return out
 
 
+def letter_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The runs of letters of a column of texts in lower case: distinct words, for
+    each word its place among them, where each text's words begin (one more than
+    texts)."""
+    raw, index, begins = split_words(pc.utf8_lower(pc.fill_null(texts, "")), lower=False)
+    trimmed = pc.utf8_trim(raw, SIGNS)
+    plain = pc.and_(pc.utf8_is_alpha(trimmed), pc.less_equal(pc.utf8_length(trimmed), WORD_CHARS))
+    coded = pc.if_else(plain, trimmed, "").dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    place = {w: i for i, w in enumerate(words)}
+    first = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.ones(len(first), np.int64)
+    others: dict[int, list[int]] = {}
+    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+        runs = "".join([c if c.isalpha() else " " for c in raw[i].as_py()]).split()
+        others[i] = [place.setdefault(w, len(place)) for r in runs
+                     for w in (r[k: k + WORD_CHARS] for k in range(0, len(r), WORD_CHARS))]
+        size[i] = len(others[i])
+    at = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.int64)
+    flat[at[size == 1]] = first[size == 1]
+    for i, own in others.items():
+        flat[at[i]: at[i] + len(own)] = own
+    found, starts = expanded(flat, size, index)
+    return list(place), found, starts[begins]
+
+
 def piece_log_probs(docs: DataFrame, path: str, train: Column | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities (pieces x languages) learned from the
     rows of ``docs`` (text, lang) where ``train`` holds and lang is not null.
 
     What reaches the driver is a number for each piece and language.
     """
+    names = [("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())]
+
     def run(batches):
-        vocab = Vocabulary(path)
-        seen: dict[str, Counter] = {}
+        vocab, counts = vocabulary(path), {}
+
+        def counted():
+            for lang, own in counts.items():
+                n = np.zeros(vocab.size, np.int64)
+                words = list(own)
+                for at in range(0, len(words), 10_000):
+                    some = words[at: at + 10_000]
+                    ids = vocab.model.encode(some, num_threads=1)
+                    size = np.fromiter(map(len, ids), np.int64, len(ids))
+                    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+                    n += np.bincount(flat, np.repeat([own[w] for w in some], size), vocab.size).astype(np.int64)
+                used = np.flatnonzero(n)
+                yield table(names, [[lang] * len(used), used, n[used]])
+
         for part in text_slices(batches):
-            words: dict[str, Counter] = {}
-            for text, lang in zip(strings(part), part.column("lang").to_pylist()):
-                words.setdefault(lang, Counter()).update(text.split())
-            for lang, count in words.items():
-                total = seen.setdefault(lang, Counter())
-                distinct = list(count)
-                for ids, n in zip(vocab.model.encode(distinct, num_threads=1), count.values()):
-                    for i in ids:
-                        total[i] += n
-        names = [("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())]
-        for lang, total in seen.items():
-            yield table(names, [[lang] * len(total), list(total), list(total.values())])
+            words, index, begins = letter_words(part.column("text"))
+            langs = np.array(part.column("lang").to_pylist(), object)
+            of = np.repeat(np.arange(len(langs)), np.diff(begins))
+            for lang in set(langs.tolist()):
+                n = np.bincount(index[(langs == lang)[of]], minlength=len(words))
+                own = counts.setdefault(lang, Counter())
+                for i in np.flatnonzero(n).tolist():
+                    own[words[i]] += int(n[i])
+            if sum(map(len, counts.values())) > MEMO_ENTRIES:
+                yield from counted()
+                counts.clear()
+        yield from counted()
 
     rows = docs.where(F.col("lang").isNotNull())
     if train is not None:
@@ -119,29 +165,55 @@ def piece_log_probs(docs: DataFrame, path: str, train: Column | None = None) ->
     return langs, np.log(n / n.sum(axis=0)) if langs else n
 
 
-def _predictor(path: str, langs: list[str], log_p: np.ndarray):
-    """A function from texts to their languages and posterior probabilities."""
-    vocab, known = Vocabulary(path), {}
-
-    def predict(texts: list[str]) -> tuple[list[str], list[float]]:
-        cuts = [WORD.findall(x) for x in texts]
-        if len(known) > MEMO_ENTRIES:
-            known.clear()
-        new = list(set().union(*cuts).difference(known)) if langs else []
-        known.update(zip(new, word_log_probs(new, vocab, log_p)))
-        pred, score = [], []
-        for text, words in zip(texts, cuts):
-            if not langs or not LETTER.search(text):
-                pred.append(UNDETERMINED)
-                score.append(0.0)
-                continue
-            total = np.sum([k * known[w] for w, k in Counter(words).items()], axis=0)
-            best = int(np.argmax(total))
-            pred.append(langs[best])
-            score.append(float(1 / np.exp(total - total[best]).sum()))
+class _Predictor:
+    """Languages and posterior probabilities of texts; one memo of words for all
+    tasks that a Python worker runs with one model."""
+
+    def __init__(self, path: str, langs: list[str], log_p: np.ndarray):
+        self.vocab, self.langs, self.log_p = vocabulary(path), langs, log_p
+        self.place: dict[str, int] = {}
+        self.sums = np.empty((1 << 16, len(langs)))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > MEMO_ENTRIES:
+            self.place = {}
+        new = [w for w in words if w not in self.place]
+        begin = len(self.place)
+        while begin + len(new) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.empty_like(self.sums)])
+        self.sums[begin: begin + len(new)] = word_log_probs(new, self.vocab, self.log_p)
+        self.place.update(zip(new, range(begin, begin + len(new))))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        words, index, begins = letter_words(texts)
+        n = len(begins) - 1
+        pred, score = [UNDETERMINED] * n, [0.0] * n
+        full = np.flatnonzero(np.diff(begins)) if self.langs else []
+        if len(full):
+            places = self._places(words)
+            total = np.add.reduceat(self.sums[places[index]], begins[full], axis=0)
+            best = np.argmax(total, axis=1)
+            top = total[np.arange(len(full)), best]
+            posterior = 1 / np.exp(total - top[:, None]).sum(axis=1)
+            for i, k, p in zip(full.tolist(), best.tolist(), posterior.tolist()):
+                pred[i], score[i] = self.langs[k], p
         return pred, score
 
-    return predict
+
+@lru_cache(1)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+_predictors: dict[str, _Predictor] = {}
+
+
+def _predictor(model: str, path: str, langs: list[str], log_p: np.ndarray) -> _Predictor:
+    if model not in _predictors:
+        _predictors.clear()
+        _predictors[model] = _Predictor(path, langs, log_p)
+    return _predictors[model]
 
 
 def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
@@ -153,26 +225,26 @@ def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) ->
     score 0. Equal posteriors go to the language first in the alphabet. A null
     id stays null; repeated rows give repeated results; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(log_p)  # pieces x languages, bounded above
+    model, name = docs.sparkSession.sparkContext.broadcast(log_p), uuid.uuid4().hex  # pieces x languages, bounded above
 
     def run(batches):
-        predict = _predictor(path, langs, model.value)
+        predict = _predictor(name, path, langs, model.value)
         for part in text_slices(batches):
             ids = part.column("doc_id")
             held_out = [id_remainder(i, FOLDS) == HELD_OUT for i in ids.to_pylist()]
-            yield table(COLUMNS, [ids, held_out, *predict(strings(part))])
+            yield table(COLUMNS, [ids, held_out, *predict(part.column("text"))])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the languages, all columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(log_p)
+    model, name = docs.sparkSession.sparkContext.broadcast(log_p), uuid.uuid4().hex
 
     def run(batches):
-        predict = _predictor(path, langs, model.value)
+        predict = _predictor(name, path, langs, model.value)
         for part in text_slices(batches):
-            yield part.filter(pa.array([x != UNDETERMINED for x in predict(strings(part))[0]], pa.bool_()))
+            yield part.filter(pa.array([x != UNDETERMINED for x in predict(part.column("text"))[0]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
