@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ class PieceCoder:
         return b"".join(map(self.text.__getitem__, ids))[1:]
 
 
+@lru_cache(1)
+def coder_and_memo(path: str) -> tuple[PieceCoder, dict[str, tuple[bytes, float]]]:
+    """One coder, and one memo of parts, for all tasks that a Python worker runs."""
+    return PieceCoder(path), {}
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode and decode the texts of ``docs`` (doc_id, text).
 
@@ -113,7 +120,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     columns = COLUMNS + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        coder, known = PieceCoder(path), {}
+        coder, known = coder_and_memo(path)
         for part in text_slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
