@@ -1,33 +1,24 @@
 """Ordered computations within groups that stay distributed for hot groups.
 
 A window ``PARTITION BY key ORDER BY ...`` sorts a whole group in one task;
-when one key holds a large share of the rows that task becomes the job. The
-helpers here split each group into buckets by approximate quantiles of the
-leading order column (one small aggregate per group), do the ordered work
-per (group, bucket), and stitch bucket boundaries through a small per-bucket
-table. Results are exact; bucket cut points only affect parallelism.
+when one key holds a large share of the rows that task becomes the job. Here
+rows are dealt into ranges of (keys, order columns) instead, as many as the
+session has shuffle partitions, so small groups share a range and a large one
+goes over several. Windows run within (range, group); what a group brings from
+earlier ranges comes from a table with a row for each range that a group
+crosses into, which is never larger than the number of ranges.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 32
-BUCKETS_CONF = "tessera.ordered.buckets"
+from ..session import cut_lineage
 
-
-def _buckets(df: DataFrame, buckets: int | None) -> int:
-    """Bucket count: explicit argument, else the session setting
-    ``tessera.ordered.buckets`` (raise it with the data: a hot group is split
-    into this many ordered ranges), else 32."""
-    if buckets:
-        return int(buckets)
-    v = df.sparkSession.conf.get(BUCKETS_CONF, None)
-    return int(v) if v else DEFAULT_BUCKETS
+PART = "__part"
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -41,47 +32,29 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") ->
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _numeric(df: DataFrame, c: str) -> Column:
-    dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
+def in_ranges(t: DataFrame, keys, order_cols, ranges: int | None = None) -> DataFrame:
+    """``t`` dealt into ranges of (keys, order columns), with the number of its
+    range in ``__part``; written once to the shared checkpoint folder, since
+    several branches read it. Rows equal in all these columns share a range."""
+    n = ranges or int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in [*keys, *order_cols]]
+    return cut_lineage(t.repartitionByRange(n, *by).withColumn(PART, F.spark_partition_id()))
 
 
-def bucketize(t: DataFrame, keys, order_col: str, buckets: int | None = None,
-              accuracy: int = 2000) -> DataFrame:
-    """Add ``__bucket`` (0..buckets-1), monotone in ``order_col`` within each group."""
-    keys = list(keys)
-    buckets = _buckets(t, buckets)
-    accuracy = max(accuracy, 4 * buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    v = _numeric(t, order_col)
-    tv = t.withColumn("__ov", v)
-    cuts = tv.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(
-        "__ov", F.array(*[F.lit(p) for p in probs]), accuracy)).alias("__cuts"))
-    if keys:
-        tb = join_on_keys(tv, cuts, keys)
-    else:
-        # a single group: the cut list is one row of at most ``buckets`` numbers
-        c = cuts.first()["__cuts"] or []
-        tb = tv.withColumn("__cuts", F.array(*[F.lit(float(x)) for x in c]) if c else F.array().cast("array<double>"))
-    return tb.withColumn("__bucket", F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__ov")))).drop(
-        "__cuts", "__ov")
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate once to the shared checkpoint folder (it is read
-    by several branches of the plan; recomputing its upstream shuffles for
-    each would cost more than one write)."""
-    from ..session import cut_lineage
-    return cut_lineage(df)
+def _crossing(per_range: DataFrame, keys) -> DataFrame:
+    """Adds ``__ranges``, the number of ranges a group is in, and keeps groups in
+    more than one: at most two rows for each range, so it may be broadcast."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return per_range.withColumn("__ranges", F.count(F.lit(1)).over(w)).where("__ranges > 1")
+
+
+def _earlier(keys):
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return w.orderBy(PART)
 
 
 def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = True,
-               buckets: int | None = None, accuracy: int = 2000, with_totals: bool = False,
-               materialize: bool = True) -> DataFrame:
+               with_totals: bool = False, ranges: int | None = None) -> DataFrame:
     """Running sums ``cum_<v>`` of ``value_cols`` in ``order_cols`` order per group
     (and the group totals ``tot_<v>`` when ``with_totals``).
 
@@ -90,58 +63,53 @@ def prefix_sum(t: DataFrame, keys, order_cols, value_cols, inclusive: bool = Tru
     """
     keys = list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    if materialize:
-        t = _materialize(t)
-    tb = bucketize(t, keys, order_cols[0], buckets, accuracy)
-    totals = tb.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(f"__bt_{v}") for v in value_cols])
-    wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*keys)
-    before = totals.select(*keys, "__bucket",
-                           *[F.coalesce(F.sum(f"__bt_{v}").over(wb), F.lit(0)).alias(f"__before_{v}")
-                             for v in value_cols],
-                           *([F.sum(f"__bt_{v}").over(wall).alias(f"tot_{v}") for v in value_cols]
-                             if with_totals else []))
-    end = 0 if inclusive else -1
-    wr = Window.partitionBy(*keys, "__bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
-    within = tb.select("*", *[F.coalesce(F.sum(v).over(wr), F.lit(0)).alias(f"__in_{v}") for v in value_cols])
-    out = join_on_keys(within, before, keys + ["__bucket"])
+    tb = in_ranges(t, keys, order_cols, ranges)
+    sums = tb.groupBy(PART, *keys).agg(*[F.sum(v).alias(f"__s_{v}") for v in value_cols])
+    before = _earlier(keys).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    carry = _crossing(sums, keys).select(
+        PART, *keys, *[F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0)).alias(f"__before_{v}") for v in value_cols],
+        *[(F.sum(f"__s_{v}").over(whole) - F.coalesce(F.col(f"__s_{v}"), F.lit(0))).alias(f"__others_{v}")
+          for v in value_cols if with_totals])
+    own = Window.partitionBy(PART, *keys)
+    upto = own.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = tb.select("*", *[F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"__in_{v}") for v in value_cols],
+                    *[F.sum(v).over(own).alias(f"__own_{v}") for v in value_cols if with_totals])
+    out = join_on_keys(out, F.broadcast(carry), [PART, *keys], "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     for v in value_cols:
-        out = out.withColumn(f"cum_{v}", F.col(f"__in_{v}") + F.col(f"__before_{v}"))
-    return out.drop("__bucket", *[f"__in_{v}" for v in value_cols], *[f"__before_{v}" for v in value_cols])
+        out = out.withColumn(f"cum_{v}", plus(f"__in_{v}", f"__before_{v}"))
+        if with_totals:
+            out = out.withColumn(f"tot_{v}", plus(f"__own_{v}", f"__others_{v}"))
+    return out.drop(PART, *[f"__{x}_{v}" for v in value_cols for x in ("in", "before", "own", "others")])
 
 
-def lag_values(t: DataFrame, keys, order_cols, value_cols, buckets: int | None = None,
-               accuracy: int = 2000) -> DataFrame:
+def lag_values(t: DataFrame, keys, order_cols, value_cols, ranges: int | None = None) -> DataFrame:
     """``prev_<v>``: the value of the previous row in order within each group.
 
-    Within a bucket it is a plain ``lag``; the first row of a bucket takes the
-    last row of the nearest earlier non-empty bucket, found through a table
-    with one row per (group, bucket).
+    Within a range it is a plain ``lag``; the first row of a group in a range
+    takes the group's last row of the nearest earlier range.
     """
     keys = list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    t = _materialize(t)
-    tb = bucketize(t, keys, order_cols[0], buckets, accuracy)
-    w = Window.partitionBy(*keys, "__bucket").orderBy(*order_cols)
-    tb = tb.withColumn("__rn", F.row_number().over(w))
-    for v in value_cols:
-        tb = tb.withColumn(f"__lag_{v}", F.lag(v).over(w))
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
-    last = tb.groupBy(*keys, "__bucket").agg(
-        *[F.max_by(F.col(v), order_struct).alias(f"__last_{v}") for v in value_cols])
-    wb = Window.partitionBy(*keys).orderBy("__bucket")
-    prev = last.select(*keys, "__bucket", *[F.lag(f"__last_{v}").over(wb).alias(f"__pb_{v}") for v in value_cols])
-    out = join_on_keys(tb, prev, keys + ["__bucket"])
-    for v in value_cols:
-        out = out.withColumn(f"prev_{v}", F.when(F.col("__rn") == 1, F.col(f"__pb_{v}"))
-                             .otherwise(F.col(f"__lag_{v}")))
-    return out.drop("__bucket", "__rn", *[f"__lag_{v}" for v in value_cols], *[f"__pb_{v}" for v in value_cols])
-
-
-def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int | None = None) -> DataFrame:
+    tb = in_ranges(t, keys, order_cols, ranges)
+    own = Window.partitionBy(PART, *keys).orderBy(*order_cols)
+    values = F.struct(*[F.col(v) for v in value_cols])
+    ends = tb.groupBy(PART, *keys).agg(F.max_by(values, F.struct(*[F.col(c) for c in order_cols])).alias("__last"))
+    carry = _crossing(ends, keys).select(PART, *keys, F.lag("__last").over(_earlier(keys)).alias("__edge"))
+    out = join_on_keys(tb.select("*", F.row_number().over(own).alias("__rn"), F.lag(values).over(own).alias("__lag")),
+                       F.broadcast(carry), [PART, *keys], "left")
+    prev = F.when(F.col("__rn") == 1, F.col("__edge")).otherwise(F.col("__lag"))
+    return out.withColumn("__prev", prev).select(
+        *t.columns, *[F.col("__prev")[v].alias(f"prev_{v}") for v in value_cols])
+
+
+def exact_quantiles(df: DataFrame, keys, value_col: str, probs, count_col: str | None = None,
+                    ranges: int | None = None) -> DataFrame:
     """Exact p-quantiles per group with linear interpolation between the
     values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
-    ``percentile`` / ``quantile_cont``).
+    ``percentile`` / ``quantile_cont``). With ``count_col`` a row stands for so
+    many equal values.
 
     Built from distinct values and their running counts, so no task keeps a
     group's values in memory (an exact percentile aggregate does). Returns
@@ -150,8 +118,9 @@ def exact_quantiles(df: DataFrame, keys, value_col: str, probs, buckets: int | N
     """
     keys = list(keys)
     v = F.col(value_col).cast("double")
-    t = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ps = prefix_sum(t, keys, "__v", ["__c"], with_totals=True, buckets=buckets)
+    count = F.sum(count_col) if count_col else F.count(F.lit(1))
+    t = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(count.alias("__c"))
+    ps = prefix_sum(t, keys, "__v", ["__c"], with_totals=True, ranges=ranges)
     n = F.col("tot___c")
     start = F.col("cum___c") - F.col("__c")
     aggs = [F.max(n).alias("n")]

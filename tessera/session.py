@@ -117,6 +117,4 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_byt
         "spark.executor.cores": str(executor_cores),
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        # ordered ranges per group for prefix sums / lag / exact quantiles
-        "tessera.ordered.buckets": str(min(1024, max(32, int(input_bytes // (8 * 1024 ** 3))))),
     }

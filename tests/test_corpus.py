@@ -84,4 +84,3 @@ def test_cluster_conf_scales_with_input():
     from tessera.session import cluster_conf
     small, big = cluster_conf(10 * 1024 ** 3), cluster_conf(100 * 1024 ** 4)
     assert int(big["spark.sql.shuffle.partitions"]) > int(small["spark.sql.shuffle.partitions"]) >= 200
-    assert int(big["tessera.ordered.buckets"]) > int(small["tessera.ordered.buckets"])

@@ -1,4 +1,4 @@
-"""Two-level ordered helpers equal plain windows."""
+"""Range-partitioned ordered helpers equal plain windows."""
 
 import random
 
@@ -17,8 +17,8 @@ def test_prefix_sum_and_lag_match_windows(spark):
     want = {r["o"]: (r["c"], r["p"]) for r in df.select(
         "o", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
         F.lag("v").over(w).alias("p")).collect()}
-    got_c = {r["o"]: r["cum_v"] for r in prefix_sum(df, ["k"], "o", ["v"], buckets=8).collect()}
-    got_p = {r["o"]: r["prev_v"] for r in lag_values(df, ["k"], "o", ["v"], buckets=8).collect()}
+    got_c = {r["o"]: r["cum_v"] for r in prefix_sum(df, ["k"], "o", ["v"], ranges=8).collect()}
+    got_p = {r["o"]: r["prev_v"] for r in lag_values(df, ["k"], "o", ["v"], ranges=8).collect()}
     assert got_c == {o: c for o, (c, _) in want.items()}
     assert got_p == {o: p for o, (_, p) in want.items()}
 
@@ -31,7 +31,30 @@ def test_exact_quantiles_match_percentile(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(
         F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
-    got = {r["g"]: list(r["quantiles"]) for r in exact_quantiles(df, ["g"], "v", probs, buckets=4).collect()}
+    got = {r["g"]: list(r["quantiles"]) for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     assert got.keys() == want.keys()
     for g in want:
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
+
+
+def test_nulls_totals_and_no_keys(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, 1, 1, 1, 2]), i, rnd.choice([None, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    for keys in (["k"], []):
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        want = {r["o"]: tuple(r)[1:] for r in df.select(
+            "o", F.coalesce(F.sum("v").over(w.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
+            F.sum("v").over(w), F.lag("v").over(w.orderBy("o"))).collect()}
+        sums = {r["o"]: (r["cum_v"], r["tot_v"]) for r in prefix_sum(df, keys, "o", ["v"], with_totals=True, ranges=6).collect()}
+        lags = {r["o"]: r["prev_v"] for r in lag_values(df, keys, "o", ["v"], ranges=6).collect()}
+        assert sums == {o: x[:2] for o, x in want.items()}
+        assert lags == {o: x[2] for o, x in want.items()}
+
+
+def test_pair_counts_beyond_64_bits(spark):
+    from tessera.operators.metrics import gini_ks
+    n = 4_000_000_000
+    df = spark.createDataFrame([("g", 1.0, 0, n, 0, n), ("g", 2.0, n, 0, n, 0)], "k string, __score double, gp long, gn long, kp long, kn long")
+    r = gini_ks(df, ["k"]).first()
+    assert n * 2 * n > 9.3e18 and (r["Gini"], r["KS"]) == (1.0, 1.0)
