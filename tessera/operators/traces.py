@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .ordered import lag_values, prefix_sum
+from .ordered import join_on_keys, lag_values, prefix_sum
 
 # Fixed values that must equal the reference's for the same results.
 MESSAGE_ROLES = ("user", "assistant", "system", "tool-call", "tool-response")
@@ -20,6 +20,7 @@ PLAN_FOLLOW_UP = "Now proceed and carry out this plan."
 RETRY_NOTE = ("\nNow let's retry: take care not to repeat previous errors! "
               "If you have retried several times, try a completely different approach.\n")
 MAX_STEPS_ERROR = "AgentMaxStepsError"
+ITERATION_LIMIT_NOTE = "Agent stopped due to iteration limit or time limit."
 
 ORDER = ("ts", "event_id")
 
@@ -38,8 +39,9 @@ def _tool_calls_repr(tc: Column) -> Column:
 def step_messages(steps: DataFrame, summary_mode: bool = False) -> DataFrame:
     """one row per chat message produced by each step, in order.
 
-    Action: model output (not in summary mode), tool calls, observation,
-    error with retry note; planning: plan + follow-up (not in summary mode);
+    Action: model output (not in summary mode), tool calls, observed images (a
+    user message whose text lists their references), observation, error with
+    retry note; planning: plan + follow-up (not in summary mode);
     task: "New task:" text; system prompt (not in summary mode).
     """
     st = F.col("step_type")
@@ -49,17 +51,20 @@ def step_messages(steps: DataFrame, summary_mode: bool = False) -> DataFrame:
         F.when(F.col("tool_calls").isNotNull() & (F.size("tool_calls") > 0),
                F.concat(F.lit("Call id: "), F.col("tool_calls")[0]["id"], F.lit("\n"))).otherwise(F.lit("")),
         F.lit("Error:\n"), F.col("error_message"), F.lit(RETRY_NOTE))
+    seen = F.col("observation_images") if "observation_images" in steps.columns else F.lit(None).cast("array<string>")
+    images = [_msg(2, "user", F.array_join(seen, "\n"), action & seen.isNotNull() & (F.size(seen) > 0))]
     msgs = F.array_compact(F.array(
         _msg(0, "assistant", strip_ws("model_output"), action & not_summary & F.col("model_output").isNotNull()),
         _msg(1, "tool-call", F.concat(F.lit("Calling tools:\n"), _tool_calls_repr(F.col("tool_calls"))),
              action & F.col("tool_calls").isNotNull()),
-        _msg(2, "tool-response", F.concat(F.lit("Observation:\n"), F.col("observations")),
+        *images,
+        _msg(3, "tool-response", F.concat(F.lit("Observation:\n"), F.col("observations")),
              action & F.col("observations").isNotNull()),
-        _msg(3, "tool-response", err_text, action & F.col("error_message").isNotNull()),
-        _msg(4, "assistant", strip_ws("plan"), (st == "planning") & not_summary),
-        _msg(5, "user", F.lit(PLAN_FOLLOW_UP), (st == "planning") & not_summary),
-        _msg(6, "user", F.concat(F.lit("New task:\n"), F.col("task")), st == "task"),
-        _msg(7, "system", F.col("system_prompt") if "system_prompt" in steps.columns else F.lit(None).cast("string"),
+        _msg(4, "tool-response", err_text, action & F.col("error_message").isNotNull()),
+        _msg(5, "assistant", strip_ws("plan"), (st == "planning") & not_summary),
+        _msg(6, "user", F.lit(PLAN_FOLLOW_UP), (st == "planning") & not_summary),
+        _msg(7, "user", F.concat(F.lit("New task:\n"), F.col("task")), st == "task"),
+        _msg(8, "system", F.col("system_prompt") if "system_prompt" in steps.columns else F.lit(None).cast("string"),
              (st == "system") & not_summary),
     ))
     return steps.select("run_id", *ORDER, F.inline(msgs))
@@ -91,31 +96,36 @@ def run_monitor(steps: DataFrame) -> DataFrame:
 
 
 def run_token_usage(steps: DataFrame) -> DataFrame:
-    """input/output totals over action and planning steps; null when
-    any of those steps lacks usage."""
-    s = steps.where(F.col("step_type").isin("action", "planning"))
-    complete = F.count(F.lit(1)) == F.count("input_tokens")
-    return s.groupBy("run_id").agg(
-        F.when(complete, F.sum("input_tokens")).alias("input_tokens"),
-        F.when(complete, F.sum("output_tokens")).alias("output_tokens"))
-
-
-def run_state(steps: DataFrame) -> DataFrame:
-    """A47 (+A49): max_steps_error when the last step failed with the
-    max-steps error, else success; plus a parsing-error flag."""
-    last_err = F.max_by(F.col("error_type"), F.struct(*[F.col(c) for c in ORDER]))
+    """input/output totals over action and planning steps; null when any of
+    those steps lacks usage, 0 for a run without such steps."""
+    counted = F.col("step_type").isin("action", "planning")
+    complete = F.count_if(counted) == F.count_if(counted & F.col("input_tokens").isNotNull())
+    total = lambda c: F.when(complete, F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0)))
+    return steps.groupBy("run_id").agg(total("input_tokens").alias("input_tokens"),
+                                       total("output_tokens").alias("output_tokens"))
+
+
+def run_state(steps: DataFrame, output_col: str = "observations") -> DataFrame:
+    """A47 (+A49): max_steps_error when the last step failed with the max-steps
+    error, else success; a parsing-error flag; and whether the output of the last
+    step says that the iteration or time limit was met."""
+    order = F.struct(*[F.col(c) for c in ORDER])
+    last = lambda c: F.max_by(F.struct(c), order)[c]  # noqa: E731  a struct keeps a null of the last step
+    has_output = output_col in steps.columns
+    limit = F.coalesce(last(output_col).contains(ITERATION_LIMIT_NOTE), F.lit(False)) if has_output else F.lit(False)
     return steps.groupBy("run_id").agg(
-        F.when(F.coalesce(last_err == MAX_STEPS_ERROR, F.lit(False)), F.lit("max_steps_error"))
+        F.when(F.coalesce(last("error_type") == MAX_STEPS_ERROR, F.lit(False)), F.lit("max_steps_error"))
          .otherwise(F.lit("success")).alias("state"),
-        F.coalesce(F.bool_or(F.col("error_type") == "AgentParsingError"), F.lit(False)).alias("parsing_error"))
+        F.coalesce(F.bool_or(F.col("error_type") == "AgentParsingError"), F.lit(False)).alias("parsing_error"),
+        limit.alias("iteration_limit_exceeded"))
 
 
 def team_token_rollup(steps: DataFrame, root_col: str = "root_run_id") -> DataFrame:
-    """Manager + sub-agent token totals per root run."""
-    runs = run_token_usage(steps).join(steps.select("run_id", root_col).distinct(), "run_id")
-    return runs.groupBy(root_col).agg(F.sum("input_tokens").alias("input_tokens"),
-                                      F.sum("output_tokens").alias("output_tokens"),
-                                      F.count(F.lit(1)).alias("n_runs"))
+    """Manager + sub-agent token totals per root run, as the monitors add
+    them up: a step without usage adds nothing."""
+    return steps.groupBy(root_col).agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+                                       F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+                                       F.countDistinct("run_id").alias("n_runs"))
 
 
 def run_full_code(steps: DataFrame) -> DataFrame:
@@ -148,8 +158,8 @@ def merge_consecutive_messages(messages: DataFrame, conv_col: str = "conv_id", o
                                role_col: str = "role", text_col: str = "text",
                                role_conversions: dict | None = None) -> DataFrame:
     """Convert roles, reject unknown ones, and merge consecutive messages
-    of the same role (texts joined by a newline). Islands come from a
-    running count of role changes, computed with the two-level helpers."""
+    of the same role (texts joined by a newline). Islands come from a running
+    count of role changes over (conversation, turn), which identify a message."""
     conv = ROLE_CONVERSIONS if role_conversions is None else role_conversions
     role = F.col(role_col)
     checked = F.when(~role.isin(*MESSAGE_ROLES) | role.isNull(),
@@ -157,13 +167,15 @@ def merge_consecutive_messages(messages: DataFrame, conv_col: str = "conv_id", o
     mapped = role
     for src, dst in conv.items():
         mapped = F.when(role == src, F.lit(dst)).otherwise(mapped)
-    m = messages.select(F.col(conv_col), F.col(order_col), F.coalesce(checked, mapped).alias("_role"),
-                        F.col(text_col).alias("_text"))
+    m = messages.select(F.col(conv_col), F.col(order_col), F.coalesce(checked, mapped).alias("_role"))
     lagged = lag_values(m, [conv_col], [order_col], ["_role"])
     changes = lagged.withColumn("_chg", F.when(F.col("prev__role").isNull() | (F.col("prev__role") != F.col("_role")), 1)
                                 .otherwise(0).cast("long"))
-    isl = prefix_sum(changes, [conv_col], [order_col], ["_chg"])
-    return isl.groupBy(conv_col, F.col("cum__chg").alias("message_index")).agg(
+    islands = prefix_sum(changes, [conv_col], [order_col], ["_chg"]).select(
+        conv_col, order_col, "_role", F.col("cum__chg").alias("message_index"))
+    # the texts join once, at the end
+    texts = messages.select(conv_col, order_col, F.col(text_col).alias("_text"))
+    return join_on_keys(texts, islands, [conv_col, order_col]).groupBy(conv_col, "message_index").agg(
         F.min_by("_role", F.col(order_col)).alias("role"),
         F.expr(f"listagg(_text, '\\n') WITHIN GROUP (ORDER BY {order_col})").alias("content"),
         F.count(F.lit(1)).alias("n_parts"),

@@ -211,7 +211,10 @@ steps AS (
                  WHEN 2 THEN 'Action: {"name": "' || event_type || '_tool", "arguments": {"k": ' || CAST(k AS VARCHAR) || '}}'
                  ELSE 'final answer pending for ' || event_type END END AS model_output,
     CASE WHEN step_type = 'action' AND k % 4 < 2 THEN code_body END AS code_action,
-    CASE WHEN step_type = 'action' THEN 'Observed k=' || CAST(k AS VARCHAR) END AS observations,
+    CASE WHEN step_type = 'action' THEN 'Observed k=' || CAST(k AS VARCHAR) || CASE WHEN k % 9 = 0
+      THEN chr(10) || 'Agent stopped due to iteration limit or time limit.' ELSE '' END END AS observations,
+    CASE WHEN step_type = 'action' AND k % 6 = 0
+      THEN list_transform(range(1, k % 2 + 2), lambda i: 'shot' || CAST(i AS VARCHAR) || '.png') END AS observation_images,
     CASE WHEN event_type = 'error' THEN err END AS error_type,
     CASE WHEN event_type = 'error' THEN err || ': step ' || CAST(event_id AS VARCHAR) || ' failed' END AS error_message,
     CASE WHEN step_type = 'action' THEN list_transform(range(1, k % 3 + 2), lambda i: {

@@ -70,12 +70,13 @@ def _to_parquet_by_batch(sink: str):
 
 @register("ST1_assemble_deltas_stream", DELTAS_SQL)
 def deltas_stream(spark, sf_dir):
-    src = stream_table(spark, sf_dir, "events")
-    d = DL.deltas_from_events(src)
-    sink, ckpt = stream_dirs(spark, "deltas")
-    run_available_now(DL.assemble_stream(d).writeStream.outputMode("update")
-                      .foreachBatch(_to_parquet_by_batch(sink)).option("checkpointLocation", ckpt))
-    return DL.parse_stream_output(_latest_per_key(spark.read.parquet(sink), "run_id"))
+    # events arrive in several files, not in the order of their pieces, one file per batch
+    events = read_table(spark, sf_dir, "events")
+    folder, ckpt = stream_dirs(spark, "deltas")
+    events.repartition(4, F.xxhash64("event_id") % 4).write.parquet(f"{folder}_inbox")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}_inbox")
+    run_available_now(DL.start_assembly(DL.deltas_from_events(src), folder).option("checkpointLocation", ckpt))
+    return DL.latest_messages(spark, folder)
 
 
 def _steps_from(events_df):

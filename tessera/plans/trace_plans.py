@@ -30,10 +30,11 @@ def monitor(spark, sf_dir):
     return TR.run_monitor(steps(spark, sf_dir))
 
 
-RUN_TOKENS_SQL = """SELECT run_id,
-  CASE WHEN count(*) = count(input_tokens) THEN sum(input_tokens) END AS input_tokens,
-  CASE WHEN count(*) = count(input_tokens) THEN sum(output_tokens) END AS output_tokens
-FROM steps WHERE step_type IN ('action', 'planning') GROUP BY run_id"""
+RUN_TOKENS_SQL = """SELECT r.run_id,
+  CASE WHEN bool_and(s.event_id IS NULL OR s.input_tokens IS NOT NULL) THEN coalesce(sum(s.input_tokens), 0) END AS input_tokens,
+  CASE WHEN bool_and(s.event_id IS NULL OR s.input_tokens IS NOT NULL) THEN coalesce(sum(s.output_tokens), 0) END AS output_tokens
+FROM (SELECT DISTINCT run_id FROM steps) r
+LEFT JOIN (SELECT * FROM steps WHERE step_type IN ('action', 'planning')) s ON r.run_id = s.run_id GROUP BY r.run_id"""
 
 
 @register("A46_run_token_totals", with_steps(RUN_TOKENS_SQL))
@@ -45,7 +46,8 @@ def run_tokens(spark, sf_dir):
           with_steps("""SELECT run_id,
   CASE WHEN max(CASE WHEN rn = 1 AND error_type = 'AgentMaxStepsError' THEN 1 ELSE 0 END) = 1
        THEN 'max_steps_error' ELSE 'success' END AS state,
-  coalesce(bool_or(error_type = 'AgentParsingError'), false) AS parsing_error
+  coalesce(bool_or(error_type = 'AgentParsingError'), false) AS parsing_error,
+  coalesce(bool_or(rn = 1 AND contains(observations, 'iteration limit or time limit')), false) AS iteration_limit_exceeded
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rn FROM steps)
 GROUP BY run_id"""))
 def state(spark, sf_dir):
@@ -53,10 +55,8 @@ def state(spark, sf_dir):
 
 
 @register("A48_team_token_rollup",
-          with_steps(f"""SELECT root_run_id, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
-  count(*) AS n_runs
-FROM ({RUN_TOKENS_SQL}) r JOIN (SELECT DISTINCT run_id, root_run_id FROM steps) s USING (run_id)
-GROUP BY root_run_id"""))
+          with_steps("""SELECT root_run_id, sum(coalesce(input_tokens, 0)) AS input_tokens,
+  sum(coalesce(output_tokens, 0)) AS output_tokens, count(DISTINCT run_id) AS n_runs FROM steps GROUP BY root_run_id"""))
 def team(spark, sf_dir):
     return TR.team_token_rollup(steps(spark, sf_dir))
 
@@ -88,15 +88,17 @@ def _messages_sql(summary: bool) -> str:
          THEN {{'msg_ord': 1, 'role': 'tool-call', 'text': 'Calling tools:' || chr(10) || '[' || array_to_string(
            list_transform(tool_calls, lambda t: '{{''id'': ''' || t.id || ''', ''type'': ''function'', ''function'': {{''name'': '''
              || t.name || ''', ''arguments'': ' || t.arguments || '}}}}'), ', ') || ']'}} END,
+    CASE WHEN step_type = 'action' AND observation_images IS NOT NULL AND len(observation_images) > 0
+         THEN {{'msg_ord': 2, 'role': 'user', 'text': array_to_string(observation_images, chr(10))}} END,
     CASE WHEN step_type = 'action' AND observations IS NOT NULL
-         THEN {{'msg_ord': 2, 'role': 'tool-response', 'text': 'Observation:' || chr(10) || observations}} END,
+         THEN {{'msg_ord': 3, 'role': 'tool-response', 'text': 'Observation:' || chr(10) || observations}} END,
     CASE WHEN step_type = 'action' AND error_message IS NOT NULL
-         THEN {{'msg_ord': 3, 'role': 'tool-response', 'text':
+         THEN {{'msg_ord': 4, 'role': 'tool-response', 'text':
            CASE WHEN tool_calls IS NOT NULL AND len(tool_calls) > 0 THEN 'Call id: ' || tool_calls[1].id || chr(10) ELSE '' END
            || 'Error:' || chr(10) || error_message || '{retry}'}} END,
-    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 4, 'role': 'assistant', 'text': regexp_replace(plan, '^\\s+|\\s+$', '', 'g')}} END,
-    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 5, 'role': 'user', 'text': '{TR.PLAN_FOLLOW_UP}'}} END,
-    CASE WHEN step_type = 'task' THEN {{'msg_ord': 6, 'role': 'user', 'text': 'New task:' || chr(10) || task}} END
+    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 5, 'role': 'assistant', 'text': regexp_replace(plan, '^\\s+|\\s+$', '', 'g')}} END,
+    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 6, 'role': 'user', 'text': '{TR.PLAN_FOLLOW_UP}'}} END,
+    CASE WHEN step_type = 'task' THEN {{'msg_ord': 7, 'role': 'user', 'text': 'New task:' || chr(10) || task}} END
   ], lambda x: x IS NOT NULL)) AS m FROM steps) s""")
 
 
@@ -110,6 +112,14 @@ def messages_summary(spark, sf_dir):
     return TR.step_messages(steps(spark, sf_dir), summary_mode=True)
 
 
+@register("F24_succinct_steps",
+          with_steps("SELECT run_id, event_id, step_type, input_tokens, output_tokens FROM steps"))
+def succinct(spark, sf_dir):
+    # the model's input messages: what the run's steps said before, here their own outputs
+    full = steps(spark, sf_dir).withColumn("model_input_messages", F.array("model_output", "observations"))
+    return TR.succinct_steps(full).select("run_id", "event_id", "step_type", "input_tokens", "output_tokens")
+
+
 @register("W3_merge_consecutive_messages",
           """SELECT conv_id, message_index, any_value(role) AS role,
   string_agg(text, chr(10) ORDER BY turn) AS content, count(*) AS n_parts, min(turn) AS first_turn

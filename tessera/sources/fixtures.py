@@ -283,7 +283,13 @@ def steps_from_events(ev: DataFrame) -> DataFrame:
         F.when(has_usage, k.cast("bigint")).alias("output_tokens"),
         F.when(F.col("step_type") == "action", model_output).alias("model_output"),
         F.when((F.col("step_type") == "action") & (k % 4 < 2), code_body).alias("code_action"),
-        F.when(F.col("step_type") == "action", F.concat(F.lit("Observed k="), k.cast("string"))).alias("observations"),
+        F.when(F.col("step_type") == "action", F.concat(
+            F.lit("Observed k="), k.cast("string"),
+            F.when(k % 9 == 0, F.lit("\nAgent stopped due to iteration limit or time limit.")).otherwise(F.lit(""))))
+         .alias("observations"),
+        F.when((F.col("step_type") == "action") & (k % 6 == 0), F.transform(
+            F.sequence(F.lit(1), k % 2 + 1), lambda i: F.concat(F.lit("shot"), i.cast("string"), F.lit(".png"))))
+         .alias("observation_images"),
         F.when(F.col("event_type") == "error", err).alias("error_type"),
         F.when(F.col("event_type") == "error",
                F.concat(err, F.lit(": step "), F.col("event_id").cast("string"), F.lit(" failed"))).alias("error_message"),

@@ -6,25 +6,24 @@ piece, token usage). A run's message is: its content pieces concatenated in
 concatenated argument pieces (indices in first-seen order); summed tokens; a
 tool piece without an index is an error.
 
-``assemble_batch`` is the batch form (grouped aggregates, no Python).
-``assemble_stream`` is the streaming form: ``applyInPandasWithState`` keyed by
-run keeps the run's pieces in state (so out-of-order ``seq`` across
-micro-batches is fine) and emits the assembled message whenever the run
-changes (update mode). A watermark-driven timeout (our addition; the
-reference has no event time) evicts runs idle for ``idle_timeout``.
+``assemble_batch`` is the batch form (grouped aggregates, no Python). The
+streaming form loses nothing however late a piece is: each micro-batch appends
+its pieces to a table, where a repeated batch replaces itself, and the runs it
+touched are assembled anew from all their pieces. The pieces are partitioned by
+a hash of the run, so a batch reads the parts that hold its runs.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources.tables import read_table
 
+#: Parts of the table of pieces, by a hash of the run.
+PARTS = 64
+
 TOOL_CALL = "struct<index:int,id:string,type:string,name:string,arguments:string>"
 DELTA_SCHEMA = (f"run_id bigint, seq bigint, ts timestamp, content string, tool_call {TOOL_CALL}, "
                 "input_tokens bigint, output_tokens bigint")
@@ -82,77 +81,31 @@ def assemble_batch(d: DataFrame) -> DataFrame:
         F.when(F.col("_bad"), F.lit("Tool call index is not provided in tool delta")).alias("error"))
 
 
-def _assemble_pieces(pieces: list) -> dict:
-    pieces = sorted(pieces, key=lambda p: p["seq"])
-    content, tin, tout, error = "", 0, 0, None
-    calls: dict[int, dict] = {}
-    for p in pieces:
-        tin += p.get("input_tokens") or 0
-        tout += p.get("output_tokens") or 0
-        if p.get("content"):
-            content += p["content"]
-        tc = p.get("tool_call")
-        if tc:
-            if tc.get("index") is None:
-                error = "Tool call index is not provided in tool delta"
-                continue
-            c = calls.setdefault(tc["index"], {"index": tc["index"], "id": tc.get("id") or "", "type": "function",
-                                               "name": "", "arguments": ""})
-            if tc.get("id"):
-                c["id"] = tc["id"]
-            if tc.get("name"):
-                c["name"] = tc["name"]
-            if tc.get("arguments"):
-                c["arguments"] += tc["arguments"]
-    return {"content": content, "tool_calls": json.dumps(list(calls.values())), "input_tokens": tin,
-            "output_tokens": tout, "error": error}
-
-
-STREAM_OUT = "run_id bigint, content string, tool_calls string, input_tokens bigint, output_tokens bigint, error string"
-
-
-def assemble_stream(d: DataFrame, idle_timeout: str = "1 hour") -> DataFrame:
-    """ST1 streaming: per-run state of pieces, emitted on every change."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pieces = json.loads(state.get[0]) if state.exists else []
-        latest = None
-        for pdf in pdfs:
-            for rec in pdf.to_dict("records"):
-                tc = rec.get("tool_call")
-                if isinstance(tc, dict):
-                    tc = {k: (None if (isinstance(v, float) and pd.isna(v)) else v) for k, v in tc.items()}
-                    if tc.get("index") is not None:
-                        tc["index"] = int(tc["index"])
-                pieces.append({"seq": int(rec["seq"]), "content": rec.get("content"), "tool_call": tc,
-                               "input_tokens": None if pd.isna(rec.get("input_tokens")) else int(rec["input_tokens"]),
-                               "output_tokens": None if pd.isna(rec.get("output_tokens")) else int(rec["output_tokens"])})
-                ts = rec.get("ts")
-                latest = ts if latest is None or (ts is not None and ts > latest) else latest
-        state.update((json.dumps(pieces, default=str),))
-        if latest is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(latest).timestamp() * 1000) + _ms(idle_timeout))
-        row = _assemble_pieces(pieces)
-        row["run_id"] = key[0]
-        yield pd.DataFrame([row])
-
-    return (d.withWatermark("ts", idle_timeout)
-            .groupBy("run_id")
-            .applyInPandasWithState(step, STREAM_OUT, "pieces string", "update", GroupStateTimeout.EventTimeTimeout))
-
-
-def _ms(interval: str) -> int:
-    n, unit = interval.split()
-    return int(float(n) * {"second": 1000, "seconds": 1000, "minute": 60000, "minutes": 60000,
-                           "hour": 3600000, "hours": 3600000}[unit])
-
-
-def parse_stream_output(df: DataFrame) -> DataFrame:
-    """Stream rows -> the batch schema (tool calls from JSON text)."""
-    return df.select("run_id", "content",
-                     F.from_json("tool_calls", T.ArrayType(T._parse_datatype_string(TOOL_CALL))).alias("tool_calls"),
-                     "input_tokens", "output_tokens", "error")
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces that a stream has written to ``folder``."""
+    return spark.read.schema(f"{DELTA_SCHEMA}, batch_id long, part int").parquet(f"{folder}/pieces")
+
+
+def start_assembly(d: DataFrame, folder: str) -> DataStreamWriter:
+    """ST1 streaming: a writer that keeps the pieces of the stream ``d`` and, for
+    each batch, the messages of the runs it touched, under ``folder``."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int")
+        (batch.withColumn("part", part).write.mode("overwrite").partitionBy("part")
+         .parquet(f"{folder}/pieces/batch_id={batch_id}"))
+        # the batch as it was written: its source is not read again
+        own = pieces(spark, folder).where(F.col("batch_id") == batch_id)
+        parts = [r["part"] for r in own.select("part").distinct().collect()]  # at most PARTS numbers
+        every = pieces(spark, folder).where((F.col("batch_id") <= batch_id) & F.col("part").isin(parts))
+        touched = every.join(own.select("run_id").distinct(), "run_id", "left_semi")
+        assemble_batch(touched).write.mode("overwrite").parquet(f"{folder}/messages/batch_id={batch_id}")
+
+    return d.writeStream.foreachBatch(step)
+
+
+def latest_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The last message written for each run."""
+    m = spark.read.parquet(f"{folder}/messages")
+    cols = [c for c in m.columns if c != "batch_id"]
+    return m.groupBy("run_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("m")).select("m.*")

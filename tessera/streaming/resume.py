@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,13 @@ ANSWER_SCHEMA = "question string, answer string, error string"
 
 
 def answered(spark: SparkSession, sink: str) -> DataFrame:
+    """The answers in the sink; none if the sink is not there yet. Any other
+    error of the storage is raised: it does not mean that nothing is answered."""
     try:
         return spark.read.schema(ANSWER_SCHEMA).parquet(sink)
-    except Exception:  # nothing written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ANSWER_SCHEMA)
 
 

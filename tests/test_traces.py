@@ -48,9 +48,6 @@ def test_delta_assembly_example(spark):
     assert out["tool_calls"][0]["arguments"] == ' {"query": "current pope name and date of birth"}'
     assert out["input_tokens"] + out["output_tokens"] == 1372
     assert out["error"] is None
-    py = DL._assemble_pieces([{"seq": r[1], "content": r[3], "tool_call": r[4], "input_tokens": r[5],
-                               "output_tokens": r[6]} for r in reversed(rows)])
-    assert py["content"] == out["content"]
 
 
 def test_step_messages_roles(spark):
@@ -71,32 +68,56 @@ def test_step_messages_roles(spark):
     assert sorted(r["role"] for r in summary) == ["tool-call", "tool-response", "tool-response", "user"]
 
 
-def test_stream_assembly_matches_batch_with_out_of_order_files(spark, tmp_path):
-    """Deltas arrive in two files with interleaved seq; the stream's last
-    emission per run equals the batch assembly."""
+def test_stream_assembly_loses_nothing(spark, tmp_path):
+    """Pieces of runs arrive in files hours apart and out of order, one file per
+    batch; after each batch the messages equal the batch assembly of what came."""
     from pyspark.sql import functions as F
 
     from tessera.streaming.source import run_available_now
     t = dt.datetime(2024, 1, 1)
-    rows = [(1, s, t + dt.timedelta(seconds=s), f"p{s} ",
+    rows = [(s % 3, s, t + dt.timedelta(hours=7 * (s % 5)), f"p{s} ",
              {"index": s % 2, "id": f"id{s}" if s == 3 else None, "type": None, "name": "f" if s == 2 else "",
-              "arguments": str(s)}, s, 1) for s in range(1, 9)]
+              "arguments": str(s)}, s, 1) for s in range(1, 19)]
     df = spark.createDataFrame(rows, DL.DELTA_SCHEMA)
-    src = str(tmp_path / "src")
-    df.where(F.col("seq") % 2 == 0).write.parquet(src)         # even seq first
-    df.where(F.col("seq") % 2 == 1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(DL.DELTA_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    sink = str(tmp_path / "sink")
-
-    def write(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-    run_available_now(DL.assemble_stream(stream).writeStream.outputMode("update").foreachBatch(write)
-                      .option("checkpointLocation", str(tmp_path / "ck")))
-    emitted = spark.read.parquet(sink)
-    last = emitted.agg(F.max("batch_id")).first()[0]
-    assert last >= 1  # more than one micro-batch
-    want = DL.assemble_batch(df).first()
-    got = DL.parse_stream_output(emitted.where(F.col("batch_id") == last).drop("batch_id")).first()
-    assert got["content"] == want["content"] == "".join(f"p{s} " for s in range(1, 9))
-    assert [tuple(c) for c in got["tool_calls"]] == [tuple(c) for c in want["tool_calls"]]
-    assert got["input_tokens"] == want["input_tokens"] == 36
+    src, folder, ckpt = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    for k in (1, 0, 3, 2):
+        df.where(F.col("seq") % 4 == k).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(DL.DELTA_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        run_available_now(DL.start_assembly(stream, folder).option("checkpointLocation", ckpt))
+        want = DL.assemble_batch(spark.read.parquet(src))
+        key = lambda d: sorted(map(str, d.collect()))
+        assert key(DL.latest_messages(spark, folder)) == key(want)
+    assert spark.read.parquet(f"{folder}/messages").select("batch_id").distinct().count() == 4
+
+
+def test_runs_without_usage_or_steps(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 9, 1, t, "action", 1.0, 10, 2, None, None), (1, 9, 2, t, "planning", 1.0, None, None, None, None),
+            (2, 9, 3, t, "task", 1.0, None, None, None, None), (3, 8, 4, t, "action", 1.0, 5, 6, None, None)]
+    st = _steps(spark, rows)
+    usage = {r["run_id"]: (r["input_tokens"], r["output_tokens"]) for r in TR.run_token_usage(st).collect()}
+    assert usage == {1: (None, None), 2: (0, 0), 3: (5, 6)}
+    team = {r["root_run_id"]: tuple(r)[1:] for r in TR.team_token_rollup(st).collect()}
+    assert team == {9: (10, 2, 2), 8: (5, 6, 1)}
+
+
+def test_iteration_limit_is_that_of_the_last_step(spark):
+    t = dt.datetime(2024, 1, 1)
+    note = TR.ITERATION_LIMIT_NOTE
+    rows = [(1, t, 1, None, f"x {note}"), (1, t, 2, None, "done"), (2, t, 1, None, "go"), (2, t, 2, "AgentParsingError", note),
+            (3, t, 1, None, note), (3, t, 2, None, None)]
+    st = spark.createDataFrame(rows, "run_id long, ts timestamp, event_id long, error_type string, observations string")
+    got = {r["run_id"]: (r["iteration_limit_exceeded"], r["parsing_error"]) for r in TR.run_state(st).collect()}
+    assert got == {1: (False, False), 2: (True, True), 3: (False, False)}
+
+
+def test_image_message_and_succinct_steps(spark):
+    t = dt.datetime(2024, 1, 1)
+    schema = ("run_id long, ts timestamp, event_id long, step_type string, model_output string, "
+              "tool_calls array<struct<id:string,name:string,arguments:string,output:string>>, observations string, "
+              "observation_images array<string>, error_message string, plan string, task string, model_input_messages string")
+    df = spark.createDataFrame([(1, t, 1, "action", "out", None, "seen", ["a.png", "b.png"], None, None, None, "m"),
+                                (1, t, 2, "action", None, None, None, [], None, None, None, "m")], schema)
+    got = [(r["role"], r["text"]) for r in TR.step_messages(df).orderBy("event_id", "msg_ord").collect()]
+    assert got == [("assistant", "out"), ("user", "a.png\nb.png"), ("tool-response", "Observation:\nseen")]
+    assert TR.succinct_steps(df).columns == [c for c in df.columns if c != "model_input_messages"]
