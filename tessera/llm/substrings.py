@@ -42,7 +42,7 @@ LENGTH = 100
 #: Bytes of an anchor.
 GRAM = 24
 #: Bytes of text in a slice, of text for each bucket, and of a shard.
-SLICE, BUCKET, SHARD = 8 << 20, 16 << 20, 2 << 20
+SLICE, BUCKET, SHARD = 8 << 20, 8 << 20, 1 << 20
 #: Positions whose anchors are sought at once (arrays of this size stay in cache).
 BLOCK = 1 << 16
 
@@ -67,10 +67,8 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     being those in the texts put together."""
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    if len(buffer) < LENGTH:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     grams, low = LENGTH - GRAM + 1, np.uint64((1 << 20) - 1)
-    where, hashes = [], []
+    runs, before = [], (-1, -1)
     for begin in range(0, len(buffer) - LENGTH + 1, BLOCK):
         h = gram_hashes(buffer[begin: begin + BLOCK + LENGTH - 1])
         # the position in the low bits: of equal hashes the leftmost is the least
@@ -80,14 +78,25 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             width *= 2
         least = np.minimum(least[: len(least) - (grams - width)], least[grams - width:])
         at = (least & low).astype(np.int64)
-        where.append(at + begin)
-        hashes.append(h[at])
-    at, h = np.concatenate(where), np.concatenate(hashes)
-    doc = np.searchsorted(ends, np.arange(len(at)), "right")
-    fits = np.flatnonzero(np.arange(LENGTH, len(at) + LENGTH) <= ends[doc])
-    at, h, doc = at[fits], h[fits], doc[fits]
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(at) else fits
-    return h[first], at[first], doc[first], fits[first], np.diff(np.append(first, len(at)))
+        start = np.arange(begin, begin + len(at))
+        doc = np.searchsorted(ends, start, "right")
+        fits = np.flatnonzero(start + LENGTH <= ends[doc])
+        if not len(fits):
+            continue
+        at, start, doc = at[fits], start[fits], doc[fits]
+        new = np.empty(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        new[0] = (at[0] + begin, doc[0]) != before
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
+        if not new[0]:  # the last run of the block before goes on
+            runs[-1][4][-1] += first[0] if len(first) else len(at)
+        before = (at[-1] + begin, doc[-1])
+        if len(first):
+            runs.append((h[at[first]], at[first] + begin, doc[first], start[first], n))
+    if not runs:
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*runs))
 
 
 def _repeated_anchors(made: DataFrame, buckets: int, folder: str) -> None:
@@ -262,7 +271,7 @@ def _windows(texts: list[bytes], place: np.ndarray, rank: np.ndarray, anchor: np
     # only the anchors that stand first and last can go on in another shard
     ends = np.isin(anchor[owner[early]], anchor[[0, -1]])
     early = early[ends]
-    strings = np.ascontiguousarray(buffer[at[early][:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").ravel()
+    strings = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)[at[early]].view(f"S{LENGTH}").ravel()
     return strings, key[early], owner[early], anchor, repeats
 
 
