@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WHITESPACE
+
 # Fixed values that must equal the reference's for the same results:
 # ASCII punctuation removed by string normalization (Python string.punctuation).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -24,8 +26,8 @@ NON_ANSWERS = ("Unable to determine", "None")
 # What Python's float() accepts (H8): digits with single underscores between
 # them, optional fraction and exponent, or inf/infinity/nan; outer whitespace.
 _DIGITS = r"\d(?:_?\d)*"
-FLOAT_PATTERN = (rf"^\s*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-                 r"|(?i:inf|infinity|nan))\s*$")
+FLOAT_PATTERN = (rf"^{WHITESPACE}*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+                 rf"|(?i:inf|infinity|nan)){WHITESPACE}*$")
 
 
 def _c(x) -> Column:
@@ -41,7 +43,7 @@ def is_float(s) -> Column:
 def to_float(s) -> Column:
     """Python ``float(s)`` for strings accepted by ``is_float``, else null."""
     s = _c(s)
-    return F.when(is_float(s), F.trim(F.regexp_replace(s, "_", "")).try_cast("double"))
+    return F.when(is_float(s), F.regexp_replace(s, f"_|{WHITESPACE}", "").try_cast("double"))
 
 
 def normalize_number_str(s) -> Column:
@@ -57,7 +59,7 @@ def split_string(s) -> Column:
 
 def normalize_str(s, remove_punct: bool = True) -> Column:
     """remove all whitespace, lower-case, optionally drop ASCII punctuation."""
-    out = F.lower(F.regexp_replace(_c(s), r"\s", ""))
+    out = F.lower(F.regexp_replace(_c(s), WHITESPACE, ""))
     return F.translate(out, PUNCTUATION, "") if remove_punct else out
 
 

@@ -10,12 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's for the same results.
+# White space as Python's ``str.strip`` and ``str.split`` have it, written out: a
+# bare ``\s`` is ASCII only in Java and in RE2.
+WHITESPACE = (r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+              r"\x{3000}]")
 CODE_TAGS = ("<code>", "</code>")
 FENCE_TAGS = ("```(?:python|py)", "\n```")
 TRUNCATION_MARKER = "\n..._This content has been truncated to stay below {n} characters_...\n"
 IMPORT_PATTERN = r"(?m)^\s*import\s+(\S+?)(?:\s+as\s+\S+)?\s*$"
 FROM_IMPORT_PATTERN = r"(?m)^\s*from\s+(\S+)\s+import"
 TRY_BLOCK_PATTERN = r"(?s)\s*try\s*:.*?except.*?:"
+GUARDED_BLOCK_PATTERN = r"if is_flash_attn[a-zA-Z0-9_]+available\(\):\s*(from flash_attn\s*.*\s*)+"
 IMPORT_TO_PACKAGE = {"wikipediaapi": "wikipedia-api"}
 
 
@@ -25,18 +30,38 @@ def _c(x) -> Column:
 
 def strip_ws(x) -> Column:
     """Python ``str.strip()``: leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 # ---- F15 / F16 ------------------------------------------------------------------
 
+#: Control characters that a JSON text may hold escaped only, and their escapes.
+_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def escape_controls(blob: Column) -> Column:
+    """Line breaks, tabs and the like inside the strings of a JSON text, escaped
+    (a lenient parser accepts them as they are). Every second part between
+    unescaped quotes is a string."""
+    parts = F.split(blob, r'(?<=(?<!\\)(?:\\\\){0,8})"', -1)
+
+    def escaped(x: Column) -> Column:
+        for raw, to in _ESCAPES.items():
+            x = F.replace(x, F.lit(raw), F.lit(to))
+        return x
+
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, escaped(x)).otherwise(x)), '"')
+
+
 def parse_json_blob(text) -> Column:
     """struct(json, prefix, status): text from the first ``{`` to the last
-    ``}``, the text before it, and status ok / no_blob / invalid_json."""
+    ``}`` (raw control characters in its strings escaped), the text before it,
+    and status ok / no_blob / invalid_json."""
     s = _c(text)
     first = F.instr(s, "{")
     last = F.when(F.instr(F.reverse(s), "}") > 0, F.length(s) - F.instr(F.reverse(s), "}") + 1).otherwise(0)
-    blob = F.when(last >= first, s.substr(first, last - first + 1)).otherwise(F.lit(""))
+    raw = F.when(last >= first, s.substr(first, last - first + 1)).otherwise(F.lit(""))
+    blob = F.when(raw.rlike(r"[\x00-\x1f]"), escape_controls(raw)).otherwise(raw)
     ok = F.try_parse_json(blob).isNotNull()
     status = (F.when(s.isNull(), F.lit(None).cast("string"))
               .when((first == 0) | (last == 0), F.lit("no_blob"))
@@ -46,12 +71,6 @@ def parse_json_blob(text) -> Column:
                     status.alias("status"))
 
 
-def parse_json_if_needed(s) -> Column:
-    """F16 helper: normalized JSON text if the text parses as JSON, else the text."""
-    s = _c(s)
-    return F.when(F.try_parse_json(s).isNotNull(), F.to_json(F.try_parse_json(s))).otherwise(s)
-
-
 def tool_call_from_text(text, name_key: str = "name", arguments_key: str = "arguments") -> Column:
     """F16: struct(name, arguments, status) of a JSON tool call inside text.
     ``arguments`` is JSON text; a string argument that itself parses is unwrapped."""
@@ -146,8 +165,9 @@ def cut_at_stop_sequences(text, stops) -> Column:
 
 def code_imports(code) -> Column:
     """distinct top-level packages imported by a code text (try/except
-    blocks removed first; relative imports skipped; known renames applied)."""
-    c = F.regexp_replace(_c(code), TRY_BLOCK_PATTERN, "")
+    blocks and imports behind an availability guard removed first; relative
+    imports skipped; known renames applied)."""
+    c = F.regexp_replace(F.regexp_replace(_c(code), TRY_BLOCK_PATTERN, ""), GUARDED_BLOCK_PATTERN, "")
     names = F.concat(F.regexp_extract_all(c, F.lit(IMPORT_PATTERN), 1),
                      F.regexp_extract_all(c, F.lit(FROM_IMPORT_PATTERN), 1))
     names = F.filter(names, lambda n: ~n.startswith("."))

@@ -2,20 +2,21 @@
 
 * Chunking and HTML conversion are per-document Python helpers run with
   ``mapInPandas``: Spark partitions the corpus, nothing is collected.
-* BM25 is an inverted index built with explode/groupBy; the query-term table
-  is the small side (its size is checked before it is broadcast) and only
-  terms that occur in some query are joined.
-* Per-query top-k is two-level (top-k per (query, hash bucket of the key),
-  then top-k of those), so one query matching everything is not ranked in
-  one task.
-* Vector search ships the (size-checked) query vectors to every task as a
-  literal array; distances are higher-order array functions on the JVM.
+* BM25 needs the whole vocabulary's document counts (one aggregate on the term)
+  and the words of a unit, which are in one row: units are scored where they
+  are, against blocks of queries whose size is set, and only the best of a batch
+  are shuffled. Vector search works the same way.
+* Per-query top-k is a window with a row limit, which Spark applies in each
+  partition before the shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,16 @@ from pyspark.sql import types as T
 
 from ..functions.chunking import DEFAULT_SEPARATORS, chunk_with_starts
 from ..functions.html import html_to_markdown, route_for_url
+from ..functions.text import WHITESPACE
 from ..session import cut_lineage
+from .ordered import lag_values
 
 # BM25 defaults of the public BM25Okapi scorer the reference uses.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 # Characters a viewport may end on (fixed values of the reference).
 VIEWPORT_BREAKS = " \t\r\n"
-MAX_BROADCAST_ROWS = 1_000_000
-MAX_QUERY_VECTORS = 10_000
-TOPK_BUCKETS = 16
+#: Queries that are sent to all tasks at once; more are worked off in blocks.
+QUERY_BLOCK = 4096
 # Retrieved-documents text block (fixed values of the reference).
 RETRIEVED_HEADER = "\nRetrieved documents:\n"
 RETRIEVED_ITEM = "\n\n===== Document {i} =====\n"
@@ -68,6 +70,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("para_idx", "text"))
 
 
+def with_source_part(docs: DataFrame, prefix: str, source_col: str = "source") -> DataFrame:
+    """Documents whose source starts with ``prefix``, with the second part of
+    the source's path as ``source_part``."""
+    return docs.where(F.col(source_col).startswith(prefix)).withColumn("source_part", F.split(source_col, "/")[1])
+
+
 def dedupe_exact(units: DataFrame, text_col: str, order_cols) -> DataFrame:
     """Keep the first unit (by ``order_cols``) of every exact text. An
     aggregate with partial combination, so a text repeated very often does
@@ -80,20 +88,25 @@ def dedupe_exact(units: DataFrame, text_col: str, order_cols) -> DataFrame:
 
 # ------------------------------------------------------------------ top-k
 
-def top_k(df: DataFrame, group_cols, score_col: str, tie_cols, k: int, descending: bool = True,
-          buckets: int = TOPK_BUCKETS) -> DataFrame:
+def top_k(df: DataFrame, group_cols, score_col: str, tie_cols, k: int, descending: bool = True) -> DataFrame:
     """Best ``k`` rows per group by score (ties by ``tie_cols``
-    ascending) with ``rank`` 1..k. Two levels: per (group, hash bucket), then
-    per group over at most buckets*k rows."""
-    group_cols, tie_cols = list(group_cols), list(tie_cols)
+    ascending) with ``rank`` 1..k. Spark keeps ``k`` rows of a group in each
+    partition before it brings them together (WindowGroupLimit)."""
     s = F.col(score_col).desc() if descending else F.col(score_col).asc()
-    order = [s] + [F.col(c).asc() for c in tie_cols]
-    b = F.pmod(F.xxhash64(*[F.col(c) for c in tie_cols]), F.lit(buckets))
-    first = (df.withColumn("__b", b)
-             .withColumn("__r", F.row_number().over(Window.partitionBy(*group_cols, "__b").orderBy(*order)))
-             .where(F.col("__r") <= k).drop("__b", "__r"))
-    return (first.withColumn("rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
-            .where(F.col("rank") <= k))
+    w = Window.partitionBy(*group_cols).orderBy(s, *[F.col(c).asc() for c in tie_cols])
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def query_blocks(queries: DataFrame, *columns: str, size: int = QUERY_BLOCK) -> Iterator[list]:
+    """The queries in blocks of ``size`` rows; the driver holds one at a time."""
+    block = []
+    for r in queries.select(*columns).toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 # ------------------------------------------------------------------ BM25
@@ -101,59 +114,85 @@ def top_k(df: DataFrame, group_cols, score_col: str, tie_cols, k: int, descendin
 def tokenize(text) -> Column:
     """Whitespace tokens (the scorer's default preprocessing: ``str.split()``)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(t, f"{WHITESPACE}+"), lambda x: x != "")
 
 
 SCORE_SCALE = 1e9  # per-term contributions are summed as integers of 1e-9
 
 
-def bm25_scores(units: DataFrame, unit_keys, text_col: str, queries: DataFrame, query_key: str,
-                query_text: str, k1: float = BM25_K1, b: float = BM25_B,
-                epsilon: float = BM25_EPSILON) -> DataFrame:
-    """BM25Okapi score of every (query, unit) sharing at least one term.
+def bm25_statistics(units: DataFrame, text_col: str, epsilon: float = BM25_EPSILON) -> tuple[int, float, DataFrame]:
+    """Number of units, mean length and the idf of each term of the corpus:
+    ln(N - n + 0.5) - ln(n + 0.5), a negative one replaced by epsilon times the
+    mean over the vocabulary. One aggregate on the term; a null term carries the
+    number and the lengths of the units."""
+    toks = units.select(tokenize(text_col).alias("t"))
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    rows = F.concat(F.transform(F.array_distinct("t"), lambda x: one(x, F.lit(0))),
+                    F.array(one(F.lit(None).cast("string"), F.coalesce(F.size("t"), F.lit(0)))))
+    df = cut_lineage(toks.select(F.explode(rows).alias("r")).groupBy("r.term").agg(
+        F.count(F.lit(1)).alias("units"), F.sum("r.n").alias("length")))
+    whole = df.where("term is null").first()
+    n, length = (whole["units"], whole["length"]) if whole else (0, 0)
+    df = df.where("term is not null")
+    raw = F.log(F.lit(n) - F.col("units") + 0.5) - F.log(F.col("units") + 0.5)
+    # mean over the vocabulary from an exact decimal sum (order independent)
+    mean = df.agg((F.sum(raw.cast("decimal(38,18)")).cast("double") / F.count(F.lit(1))).alias("m")).first()["m"] or 0.0
+    return n, float(length) / n if n else 0.0, df.select("term", F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw).alias("idf"))
+
 
-    idf = ln(N - n + 0.5) - ln(n + 0.5); negative idf -> epsilon * mean idf
-    over the whole vocabulary. Each query token counts once per occurrence.
+def bm25_top_k(units: DataFrame, unit_keys, text_col: str, queries: DataFrame, query_key: str,
+               query_text: str, k: int = 10, k1: float = BM25_K1, b: float = BM25_B,
+               epsilon: float = BM25_EPSILON) -> DataFrame:
+    """D5 + T4: the ``k`` best units per query by BM25Okapi (ties by unit key) of
+    those that share a term with it; each query token counts once per occurrence.
 
-    Plan: tokenize once into the term-frequency table (one shuffle on
-    (unit, term)) and write it to the shared checkpoint folder, since it
-    feeds the corpus statistics and the scoring join. The query-term table
-    is small (size checked, then broadcast), so the big side is never
-    shuffled for the join. Contributions are summed as scaled integers, so
-    scores do not depend on summation order.
+    A unit's words are in one row, so it is scored in place against a block of
+    queries; a task keeps ``k`` units of each query for every batch. Scores are
+    sums of whole 1e-9, so they do not depend on the order of the terms.
     """
     unit_keys = list(unit_keys)
-    toks = units.select(*unit_keys, tokenize(text_col).alias("__toks"))
-    tf = (toks.select(*unit_keys, F.size("__toks").alias("__dl"), F.explode("__toks").alias("term"))
-          .groupBy(*unit_keys, "__dl", "term").agg(F.count(F.lit(1)).alias("__tf")))
-    tf = cut_lineage(tf)
-    n_docs = units.count()  # units with no tokens count too
-    total = tf.agg(F.sum("__tf").alias("t")).first()["t"] or 0
-    avgdl = float(total) / n_docs if n_docs else 0.0
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("__nd"))
-    raw_idf = F.log(F.lit(n_docs) - F.col("__nd") + 0.5) - F.log(F.col("__nd") + 0.5)
-    # mean over the vocabulary from an exact decimal sum (order independent)
-    mean_idf = df_t.agg((F.sum(raw_idf.cast("decimal(38,18)")).cast("double") / F.count(F.lit(1))).alias("m")
-                        ).first()["m"] or 0.0
-    idf = df_t.select("term", F.when(raw_idf < 0, F.lit(epsilon * mean_idf)).otherwise(raw_idf).alias("__idf"))
-
-    qt = (queries.select(query_key, F.explode(tokenize(query_text)).alias("term"))
-          .groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("__qc")))
-    qt = qt.join(idf, "term")  # only terms that exist in the corpus
-    n_qt = qt.count()
-    if n_qt <= MAX_BROADCAST_ROWS:
-        qt = F.broadcast(qt)  # size checked: the query side is the small one
-    hits = tf.join(qt, "term")
-    denom = F.col("__tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("__dl") / F.lit(avgdl))
-    contrib = F.col("__qc") * F.col("__idf") * (F.col("__tf") * F.lit(k1 + 1)) / denom
-    scaled = F.round(contrib * F.lit(SCORE_SCALE)).cast("long")
-    return hits.groupBy(query_key, *unit_keys).agg((F.sum(scaled) / F.lit(SCORE_SCALE)).alias("score"))
+    units = cut_lineage(units.select(*unit_keys, text_col))  # read by the statistics and by each block
+    _, mean_length, idf = bm25_statistics(units, text_col, epsilon)
+    terms = (queries.select(query_key, F.explode(tokenize(query_text)).alias("term"))
+             .groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term"))
+    per_query = terms.groupBy(query_key).agg(F.collect_list(F.struct("term", "n", "idf")).alias("terms"))  # of one text
+    schema = T.StructType([queries.schema[query_key], *(units.schema[c] for c in unit_keys), T.StructField("score", T.DoubleType())])
+    best = None
+    for block in query_blocks(per_query, query_key, "terms"):
+        part = _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        best = units.sparkSession.createDataFrame([], schema)
+    return top_k(best, [query_key], "score", unit_keys, k)
+
+
+def _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema) -> DataFrame:
+    weights: dict[str, list] = {}
+    for q, (_, terms) in enumerate(block):
+        for t in terms:
+            weights.setdefault(t["term"], []).append((q, t["n"] * t["idf"]))
+    names = [x[0] for x in block]
+    shared = units.sparkSession.sparkContext.broadcast((names, weights))  # of QUERY_BLOCK queries
 
-
-def bm25_top_k(units, unit_keys, text_col, queries, query_key, query_text, k: int = 10, **kw) -> DataFrame:
-    """T4: the ``k`` best units per query (ties by unit key)."""
-    s = bm25_scores(units, unit_keys, text_col, queries, query_key, query_text, **kw)
-    return top_k(s, [query_key], "score", list(unit_keys), k)
+    def run(batches):
+        names, weights = shared.value
+        for pdf in batches:
+            rows, found = pdf[unit_keys].to_numpy(object), {}
+            for row, text in enumerate(pdf[text_col]):
+                words = (text or "").split()
+                scores: dict[int, int] = {}
+                for word, n in Counter(words).items():
+                    if word in weights:
+                        denominator = n + k1 * ((1 - b) + b * len(words) / mean_length)
+                        for q, w in weights[word]:
+                            part = w * (n * (k1 + 1)) / denominator
+                            scores[q] = scores.get(q, 0) + int(np.floor(part * SCORE_SCALE + 0.5))
+                for q, s in scores.items():
+                    found.setdefault(q, []).append((-s, *rows[row]))
+            out = [(names[q], *key, -s / SCORE_SCALE) for q, own in found.items() for s, *key in sorted(own)[:k]]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return units.mapInPandas(run, schema)
 
 
 def retrieved_text(ranked: DataFrame, query_key: str, text_col: str, rank_col: str = "rank") -> DataFrame:
@@ -168,80 +207,80 @@ def retrieved_text(ranked: DataFrame, query_key: str, text_col: str, rank_col: s
 
 # ------------------------------------------------------------------ vectors
 
-def squared_l2(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(d, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
 def vector_top_k(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str,
                  query_vec: str, k: int = 3) -> DataFrame:
     """K nearest corpus vectors (squared L2) for each query vector.
 
-    The query set must be small: its size is checked, then it is sent to
-    every task as a literal array; each corpus row yields one distance per
-    query and the two-level top-k keeps the k best per query.
+    Blocks of query vectors go to all tasks; a task compares a batch of corpus
+    rows with a block at once and keeps the ``k`` nearest of the batch for each
+    query, which the final ranking brings together.
     """
-    n = queries.count()
-    if n > MAX_QUERY_VECTORS:
-        raise ValueError(f"{n} query vectors exceed the per-task limit {MAX_QUERY_VECTORS}; batch the queries")
-    qs = queries.select(query_id, query_vec).collect()
-    qid_type = queries.schema[query_id].dataType.simpleString()
-    qarr = F.array(*[F.struct(F.lit(r[0]).cast(qid_type).alias("qid"),
-                              F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv")) for r in qs])
-    pairs = corpus.select(id_col, F.explode(F.transform(qarr, lambda q: F.struct(
-        q["qid"].alias("qid"), squared_l2(q["qv"], F.col(vec_col)).alias("distance")))).alias("__p"))
-    flat = pairs.select(F.col("__p.qid").alias(query_id), id_col, F.col("__p.distance").alias("distance"))
-    return top_k(flat, [query_id], "distance", [id_col], k, descending=False)
+    schema = T.StructType([queries.schema[query_id], corpus.schema[id_col], T.StructField("distance", T.DoubleType())])
+    best = None
+    for block in query_blocks(queries, query_id, query_vec):
+        part = _nearest_block(corpus.select(id_col, vec_col), id_col, vec_col, block, k, schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        best = corpus.sparkSession.createDataFrame([], schema)
+    return top_k(best, [query_id], "distance", [id_col], k, descending=False)
+
+
+def _nearest_block(corpus, id_col, vec_col, block, k, schema) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        ([q for q, _ in block], np.array([v for _, v in block], np.float64)))  # QUERY_BLOCK vectors at most
+
+    def run(batches):
+        names, q = shared.value
+        for pdf in batches:
+            ids = pdf[id_col].to_numpy()
+            for at in range(0, len(pdf), 1024):
+                x = np.stack(pdf[vec_col].iloc[at: at + 1024].to_numpy()).astype(np.float64)
+                own, distance = ids[at: at + 1024], np.zeros((len(x), len(q)))
+                for d in range(x.shape[1]):  # in the order of the dimensions, as the sum is defined
+                    step = x[:, d: d + 1] - q[:, d]
+                    distance += step * step
+                best = [np.lexsort((own, distance[:, j]))[:k] for j in range(len(q))]
+                yield pd.DataFrame([(names[j], own[i], distance[i, j]) for j, rows in enumerate(best) for i in rows],
+                                   columns=schema.names)
+
+    return corpus.where(F.col(vec_col).isNotNull()).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ viewports
 
-def _viewport_bounds_batch(texts: pd.Series, size: int) -> pd.DataFrame:
-    brk = re.compile(r"[ \t\r\n]")
-    starts, ends = [], []
-    for t in texts:
-        if t is None:
-            starts.append(None)
-            ends.append(None)
-            continue
-        n = len(t)
-        if n == 0:
-            starts.append([0])
-            ends.append([0])
-            continue
-        s_list, e_list, pos = [], [], 0
-        while pos < n:
-            end = min(pos + size, n)
-            if end < n:  # extend to end on whitespace: first break at or after index end-1
-                m = brk.search(t, end - 1)
-                end = n if m is None else m.start() + 1
-            s_list.append(pos)
-            e_list.append(end)
-            pos = end
-        starts.append(s_list)
-        ends.append(e_list)
-    return pd.DataFrame({"starts": starts, "ends": ends})
-
-
-def viewport_bounds(text, size: int) -> Column:
-    """array<struct<start,end>> (0-based, end exclusive) of viewports of
-    ``size`` characters, each extended to end on whitespace; empty text ->
-    [(0, 0)]. The split is sequential within a text, so it runs as an
-    Arrow-batched pandas UDF (one regex search per viewport)."""
-    t = F.col(text) if isinstance(text, str) else text
-    udf = F.pandas_udf(lambda s: _viewport_bounds_batch(s, size), "starts array<int>, ends array<int>")
-    b = udf(t)
-    return F.arrays_zip(b["starts"].alias("start"), b["ends"].alias("end"))
-
-
-def viewports(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """D8 rows: (id, page_index, n_pages, start, end, content, header)."""
-    b = docs.select(id_col, text_col, viewport_bounds(text_col, size).alias("__vp"))
-    out = b.select(id_col, text_col, F.size("__vp").alias("n_pages"),
-                   F.posexplode("__vp").alias("page_index", "__b"))
-    content = F.expr(f"substring({text_col}, __b.start + 1, __b.end - __b.start)")
-    return out.select(id_col, "page_index", "n_pages", F.col("__b.start").alias("start"),
-                      F.col("__b.end").alias("end"), content.alias("content"),
+def _viewports_batch(texts: pd.Series, whole: pd.Series, size: int) -> pd.DataFrame:
+    breaks = re.compile(f"[{VIEWPORT_BREAKS}]")
+    starts, ends, contents = [], [], []
+    for text, one in zip(texts, whole):
+        bounds = None if text is None else [(0, len(text))]
+        if text and not one:
+            bounds, at = [], 0
+            while at < len(text):
+                end = min(at + size, len(text))
+                if end < len(text):  # on to the first break at or after the last character
+                    found = breaks.search(text, end - 1)
+                    end = found.end() if found else len(text)
+                bounds.append((at, end))
+                at = end
+        starts.append(bounds and [a for a, _ in bounds])
+        ends.append(bounds and [b for _, b in bounds])
+        contents.append(bounds and [text[a:b] for a, b in bounds])
+    return pd.DataFrame({"start": starts, "end": ends, "content": contents})
+
+
+def viewports(docs: DataFrame, id_col: str, text_col: str, size: int, whole: Column | None = None) -> DataFrame:
+    """D8 rows: (id, page_index, n_pages, start, end, content, header): texts in
+    viewports of ``size`` characters, each extended to end on white space; an
+    empty text is one empty viewport. Rows where ``whole`` holds (search results)
+    are not split. The split is sequential within a text, so an Arrow-batched
+    pandas UDF cuts the contents too and no text is copied for a viewport."""
+    split = F.pandas_udf(lambda t, w: _viewports_batch(t, w, size),
+                         "start array<int>, end array<int>, content array<string>")
+    whole = F.coalesce(whole, F.lit(False)) if whole is not None else F.lit(False)
+    v = docs.select(id_col, split(F.col(text_col), whole).alias("v")).select(
+        id_col, F.arrays_zip("v.start", "v.end", "v.content").alias("v"))
+    out = v.select(id_col, F.size("v").alias("n_pages"), F.posexplode("v").alias("page_index", "v"))
+    return out.select(id_col, "page_index", "n_pages", "v.start", "v.end", "v.content",
                       F.concat(F.lit("Viewport position: Showing page "), (F.col("page_index") + 1).cast("string"),
                                F.lit(" of "), F.col("n_pages").cast("string"), F.lit(".")).alias("header"))
 
@@ -250,12 +289,14 @@ WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
 def normalize_find_query(query: str) -> str | None:
-    """The page-search regex for a query: words separated by single
-    spaces, ``*`` a wildcard (merged with the previous word), lower case."""
-    q = re.sub(r"\*", "__STAR__", query)
-    q = " " + (" ".join(re.split(r"[^\w]+", q))).strip() + " "
-    q = q.replace(" __STAR__ ", "__STAR__ ").replace("__STAR__", ".*").lower()
-    return None if q.strip() == "" else q
+    """The page-search pattern of a query, lower case: its words between
+    single spaces; ``*`` within a word stands for any text, and one that stands
+    alone belongs to the word before it. None for a query without words."""
+    pattern, joined = "", False
+    for word in re.findall(r"[\w*]+", query.lower()):
+        joined = word == "*" and not joined
+        pattern += word if joined else " " + word
+    return pattern.replace("*", ".*") + " " if pattern else None
 
 
 def normalized_content(c) -> Column:
@@ -263,22 +304,24 @@ def normalized_content(c) -> Column:
     return F.concat(F.lit(" "), F.lower(F.trim(F.array_join(F.split(c, WORD_SPLIT, -1), " "))), F.lit(" "))
 
 
-def find_on_pages(vp: DataFrame, id_col: str, queries: dict[str, str], start_page: int = 0) -> DataFrame:
-    """Per (page, query) the first matching viewport from ``start_page``
-    with wrap-around, and the next match after it (find-next)."""
-    nc = vp.select(id_col, "page_index", "n_pages", normalized_content("content").alias("__nc"))
+def find_on_pages(vp: DataFrame, id_col: str, queries: dict[str, str], start_page: int | str = 0) -> DataFrame:
+    """Per (page, query) the first matching viewport from ``start_page`` (a
+    number, or the column that has each page's current viewport) with
+    wrap-around, and the next match after it (find-next)."""
+    from_page = F.col(start_page) if isinstance(start_page, str) else F.lit(start_page)
+    nc = vp.select(id_col, "page_index", "n_pages", from_page.alias("__from"), normalized_content("content").alias("__nc"))
     structs = []
     for name, q in queries.items():
         rx = normalize_find_query(q)
         if rx is None:
             continue
         structs.append(F.struct(F.lit(name).alias("query"), F.col("__nc").rlike(rx).alias("hit")))
-    hits = nc.select(id_col, "page_index", "n_pages", F.inline(F.array(*structs))).where("hit")
+    hits = nc.select(id_col, "page_index", "n_pages", "__from", F.inline(F.array(*structs))).where("hit")
     # hits (one row per matching viewport) feed two aggregates: write them once
     # to the shared checkpoint folder instead of recomputing the text pipeline
-    hits = cut_lineage(hits.select(id_col, "page_index", "n_pages", "query"))
+    hits = cut_lineage(hits.select(id_col, "page_index", "n_pages", "__from", "query"))
     first = hits.groupBy(id_col, "query").agg(
-        F.min_by("page_index", F.struct((F.col("page_index") < start_page).alias("w"),
+        F.min_by("page_index", F.struct((F.col("page_index") < F.col("__from")).alias("w"),
                                          F.col("page_index").alias("p"))).alias("first_match"),
         F.first("n_pages").alias("n_pages"))
     nxt = hits.join(first.select(id_col, "query", "first_match"), [id_col, "query"])
@@ -320,21 +363,32 @@ def pages_to_markdown(pages: DataFrame, id_col: str = "page_id", url_col: str =
     return pages.select(id_col, url_col, html_col).mapInPandas(run, schema)
 
 
-LINK_PATTERN = r"(?is)<a\s[^>]*?href\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
+#: An anchor: its address in double quotes, single quotes or none, and its content.
+LINK_PATTERN = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>"
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, link_index, href, text, kept) for every anchor; kept when the
-    scheme is http/https/file or there is none (relative link)."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(LINK_PATTERN), 1)
-    texts = F.regexp_extract_all(F.col(html_col), F.lit(LINK_PATTERN), 2)
-    z = pages.select(id_col, F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("link_index", "l"))
-    scheme = F.lower(F.regexp_extract(F.col("l.href"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    return z.select(id_col, "link_index", F.col("l.href").alias("href"),
-                    F.trim(F.regexp_replace(F.col("l.text"), r"<[^>]*>", "")).alias("text"),
+    """(page, link_index, href, text, kept) for every anchor with an address;
+    kept when the scheme is http/https/file or there is none (relative link)."""
+    part = lambda i: F.regexp_extract_all(F.col(html_col), F.lit(LINK_PATTERN), i)
+    found = F.arrays_zip(part(1).alias("double"), part(2).alias("single"), part(3).alias("bare"), part(4).alias("text"))
+    z = pages.select(id_col, F.posexplode(found).alias("link_index", "l")).select(
+        id_col, "link_index", F.concat("l.double", "l.single", "l.bare").alias("href"), F.col("l.text").alias("text"))
+    scheme = F.lower(F.regexp_extract("href", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    return z.select(id_col, "link_index", "href", F.trim(F.regexp_replace("text", r"<[^>]*>", "")).alias("text"),
                     ((scheme == "") | scheme.isin("http", "https", "file")).alias("kept"))
 
 
+def resolve_visits(visits: DataFrame, session_col: str, order_cols, url_col: str, href_col: str) -> DataFrame:
+    """Adds ``resolved``, the address that a visit asks for: an absolute one
+    (http, https, file) as it is, a relative one against the address that the
+    session visited before, and as it is when there was none."""
+    prior = lag_values(visits, [session_col], list(order_cols), [url_col])
+    href, before = F.col(href_col), F.col(f"prev_{url_col}")
+    absolute = href.rlike("^(http:|https:|file:)")
+    return prior.withColumn("resolved", F.when(absolute | before.isNull(), href).otherwise(url_join(before, href)))
+
+
 # ------------------------------------------------------------------ J8
 
 def nearest_snapshot(snapshots: DataFrame, key_col: str, ts_col: str, wanted: DataFrame,
@@ -365,14 +419,14 @@ def flatten_search_payload(payloads: DataFrame, id_col: str, payload_col: str, m
         F.coalesce(F.col("__r.description"), F.lit("")).alias("description"))
 
 
-def search_markdown(payloads: DataFrame, id_col: str, payload_col: str, max_results: int = 10) -> DataFrame:
+def search_markdown(payloads: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """the markdown block of a payload: "## Search Results" then
     "i. [title](url)\\ndescription" items (numbered from 1) separated by a
     blank line; "No results found." when empty. Built per payload from the
-    payload's own array (bounded by ``max_results``), no regrouping."""
+    payload's own array, no regrouping."""
     parsed = payloads.select(id_col, F.from_json(payload_col, f"struct<web:struct<results:array<{SEARCH_RESULT}>>>")
                              .alias("__p"))
-    res = F.slice(F.coalesce(F.col("__p.web.results"), F.array().cast(f"array<{SEARCH_RESULT}>")), 1, max_results)
+    res = F.coalesce(F.col("__p.web.results"), F.array().cast(f"array<{SEARCH_RESULT}>"))
     items = F.transform(res, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), r["title"], F.lit("]("),
                                                    r["url"], F.lit(")\n"), F.coalesce(r["description"], F.lit(""))))
     md = F.when(F.size(res) == 0, F.lit("No results found.")).otherwise(
@@ -383,16 +437,27 @@ def search_markdown(payloads: DataFrame, id_col: str, payload_col: str, max_resu
 RSS_ITEM = "struct<title:string,link:string,description:string>"
 
 
+def _rss_items(xml_col: str) -> Column:
+    parsed = F.from_xml(xml_col, f"channel struct<item: array<{RSS_ITEM}>>", {"rowTag": "rss", "ignoreSurroundingSpaces": "false"})
+    return F.coalesce(parsed["channel"]["item"], F.array().cast(f"array<{RSS_ITEM}>"))
+
+
 def flatten_rss_payload(payloads: DataFrame, id_col: str, xml_col: str, max_results: int = 10) -> DataFrame:
     """F25 (RSS form) + T6: ``channel.item[]`` of an RSS document (parsed with
     ``from_xml``) as ranked rows, cut to ``max_results``."""
-    p = payloads.select(id_col, F.from_xml(xml_col, f"channel struct<item: array<{RSS_ITEM}>>",
-                                           {"rowTag": "rss", "ignoreSurroundingSpaces": "false"}).alias("__p"))
-    items = F.slice(F.coalesce(F.col("__p.channel.item"), F.array().cast(f"array<{RSS_ITEM}>")), 1, max_results)
-    return p.select(id_col, F.posexplode(items).alias("__i", "__r")).select(
+    items = F.slice(_rss_items(xml_col), 1, max_results)
+    return payloads.select(id_col, F.posexplode(items).alias("__i", "__r")).select(
         id_col, (F.col("__i") + 1).alias("rank"), "__r.title", "__r.link", "__r.description")
 
 
+def rss_markdown(payloads: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """F25, style without numbers: "## Search Results" then
+    "[title](link)\\ndescription" items separated by blank lines."""
+    p = payloads.select(id_col, _rss_items(xml_col).alias("__items"))
+    items = F.transform("__items", lambda r: F.concat(F.lit("["), r["title"], F.lit("]("), r["link"], F.lit(")\n"), r["description"]))
+    return p.select(id_col, F.concat(F.lit("## Search Results\n\n"), F.array_join(items, "\n\n")).alias("markdown"))
+
+
 def organic_markdown(ranked: DataFrame, id_col: str, title: str = "title", link: str = "link",
                      snippet: str | None = "description", date: str | None = None,
                      source: str | None = None) -> DataFrame:

@@ -62,38 +62,37 @@ def attachment_class(path) -> Column:
 
 def accuracy_by_subset(scored: DataFrame, keys=("model_id", "agent_action_type", "source"),
                        min_scored: int = 30) -> DataFrame:
-    """Accuracy x100 per subset; subsets with <= ``min_scored`` scored
-    answers are dropped."""
+    """Accuracy x100 per subset, to two digits; subsets with <= ``min_scored``
+    scored answers are dropped."""
     return (scored.groupBy(*keys)
-            .agg((F.avg(F.col("is_correct").cast("double")) * 100).alias("acc"),
+            .agg(F.round(F.avg(F.col("is_correct").cast("double")) * 100, 2).alias("acc"),
                  F.count("is_correct").alias("n_scored"))
             .where(F.col("n_scored") > min_scored))
 
 
-def accuracy_pivot(acc: DataFrame, values=("code", "tool-calling")) -> DataFrame:
-    """Rows (model, source), one accuracy column per action type."""
-    out = acc.groupBy("model_id", "source").pivot("agent_action_type", list(values)).agg(F.first("acc"))
-    for v in values:
-        out = out.withColumnRenamed(v, "acc_" + v.replace("-", "_"))
-    return out
+def accuracy_pivot(acc: DataFrame) -> DataFrame:
+    """Rows (model, source), one accuracy column per action type that is there."""
+    values = sorted(r[0] for r in acc.select("agent_action_type").distinct().collect())  # column names
+    return acc.groupBy("model_id", "source").agg(*[
+        F.max(F.when(F.col("agent_action_type") == v, F.col("acc"))).alias("acc_" + v.replace("-", "_")) for v in values])
 
 
-def answer_counts(scored: DataFrame, order: str = "task_id", expected_total: int | None = None):
-    """Answers per agent, and per (agent, task) after W2 dedupe; the
-    completeness flag compares the deduplicated total to ``expected_total``."""
+def answer_counts(scored: DataFrame, order: str = "task_id"):
+    """Answers per agent, and per (agent, task) after W2 dedupe."""
     per_agent = scored.groupBy("agent_name").agg(F.count(F.lit(1)).alias("n_answers"))
     dedup = first_per_key(scored, ["agent_name", "question"], order)
-    per_task = dedup.groupBy("agent_name", "task").agg(F.count(F.lit(1)).alias("n_answers"))
-    if expected_total is not None:
-        total = dedup.agg(F.count(F.lit(1)).alias("total"))
-        per_task_flag = total.select("total", (F.col("total") == expected_total).alias("is_complete"))
-        return per_agent, per_task, per_task_flag
-    return per_agent, per_task
+    return per_agent, dedup.groupBy("agent_name", "task").agg(F.count(F.lit(1)).alias("n_answers"))
+
+
+def completeness(scored: DataFrame, expected_total: int) -> DataFrame:
+    """Number of answers, one per (agent, question), and whether all are there."""
+    total = scored.select("agent_name", "question").distinct().agg(F.count(F.lit(1)).alias("total"))
+    return total.select("total", (F.col("total") == expected_total).alias("is_complete"))
 
 
 def mean_score_by_agent(scored: DataFrame) -> DataFrame:
-    """A38."""
-    return scored.groupBy("agent_name").agg(F.avg(F.col("is_correct").cast("double")).alias("mean_is_correct"))
+    """Mean score of each agent, to three digits."""
+    return scored.groupBy("agent_name").agg(F.round(F.avg(F.col("is_correct").cast("double")), 3).alias("mean_is_correct"))
 
 
 def agent_task_table(scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..sources.tables import read_table
+from .oracle_views import WS_SQL
 from .registry import register
 
 CHUNK_SIZE, CHUNK_OVERLAP = 500, 50
@@ -52,7 +53,7 @@ def _bm25_sql(units_sql: str, keys: list[str], k: int = 10, final: str | None =
     body = final or "SELECT * FROM top"
     return f"""
 WITH units AS ({units_sql}),
-toks AS (SELECT {kk}, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM units),
+toks AS (SELECT {kk}, list_filter(regexp_split_to_array(text, '{WS_SQL}+'), lambda x: x <> '') AS t FROM units),
 dl AS (SELECT {kk}, len(t) AS dl FROM toks),
 tf AS (SELECT {kk}, term, count(*) AS tf FROM (SELECT {kk}, unnest(t) AS term FROM toks) GROUP BY ALL),
 nd AS (SELECT term, count(*) AS nd FROM tf GROUP BY term),
@@ -61,7 +62,7 @@ raw AS (SELECT term, ln((SELECT n FROM stats) - nd + 0.5) - ln(nd + 0.5) AS idf
 mean AS (SELECT CAST(sum(CAST(idf AS DECIMAL(38,18))) AS DOUBLE) / count(*) AS m FROM raw),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT m FROM mean) ELSE idf END AS idf FROM raw),
 qt AS (SELECT item_id, term, count(*) AS qc FROM (
-         SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS term
+         SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '{WS_SQL}+'), lambda x: x <> '')) AS term
          FROM benchmark) GROUP BY item_id, term),
 scores AS (
   SELECT q.item_id, {ku},
@@ -121,7 +122,7 @@ def vector_search(spark, sf_dir):
 
 VP_SQL = f"""
 WITH RECURSIVE vp(doc_id, page_index, s, e, n, text) AS (
-  SELECT doc_id, 0, 0, {{end0}}, length(text), text FROM documents
+  SELECT doc_id, 0, 0, CASE WHEN source = 'src0' THEN length(text) ELSE {{end0}} END, length(text), text FROM documents
   UNION ALL
   SELECT doc_id, page_index + 1, e, {{endn}}, n, text FROM vp WHERE e < n
 )"""
@@ -142,7 +143,9 @@ FROM vp"""
 
 
 def _viewports(spark, sf_dir):
-    return C.viewports(_docs(spark, sf_dir), "doc_id", "text", VIEWPORT)
+    # documents of one source stand for search results, which are not split
+    docs = _docs(spark, sf_dir, ("doc_id", "source", "text"))
+    return C.viewports(docs, "doc_id", "text", VIEWPORT, whole=F.col("source") == "src0")
 
 
 @register("D8_D10_viewports", VIEWPORTS_SQL)
@@ -177,29 +180,50 @@ def pages_markdown(spark, sf_dir):
     return C.pages_to_markdown(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
-LINK_RE = C.LINK_PATTERN
+# tag by tag, with plain string functions for the address
+LINKS_SQL = """
+SELECT page_id, CAST(i - 1 AS INTEGER) AS link_index, href, trim(regexp_replace(body, '<[^>]*>', '', 'g')) AS text,
+  (strpos(href, ':') = 0 OR NOT regexp_matches(split_part(href, ':', 1), '^[A-Za-z][A-Za-z0-9+.-]*$')
+   OR lower(split_part(href, ':', 1)) IN ('http', 'https', 'file')) AS kept
+FROM (SELECT page_id, i, CASE substring(attr, 1, 1) WHEN chr(34) THEN split_part(substring(attr, 2), chr(34), 1)
+               WHEN chr(39) THEN split_part(substring(attr, 2), chr(39), 1) ELSE regexp_extract(attr, '^[^ \t\r\n>]+') END AS href,
+             regexp_extract(tag, '(?is)^<a[^>]*>(.*)</a>$', 1) AS body
+      FROM (SELECT page_id, i, tags[i] AS tag, regexp_extract(tags[i], '(?is)^<a\s(?:[^>]*\s)?href\s*=\s*(.*)$', 1) AS attr
+            FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>'),
+                                              lambda t: regexp_matches(t, '(?is)^<a\s(?:[^>]*\s)?href\s*=')) AS tags FROM pages) p,
+                 LATERAL (SELECT unnest(range(1, len(tags) + 1)) AS i)))"""
 
 
-@register("D2_page_links",
-          f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS link_index, hrefs[i] AS href,
-  trim(regexp_replace(texts[i], '<[^>]*>', '', 'g')) AS text,
-  (lower(regexp_extract(hrefs[i], '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) = ''
-   OR lower(regexp_extract(hrefs[i], '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https', 'file')) AS kept
-FROM (SELECT page_id, regexp_extract_all(html, '{LINK_RE}', 1) AS hrefs,
-             regexp_extract_all(html, '{LINK_RE}', 2) AS texts FROM pages) p,
-     LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i)""")
+@register("D2_page_links", LINKS_SQL)
 def page_links(spark, sf_dir):
     return C.page_links(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
 
 
-@register("D10_resolve_relative_links")
+VISITED_SQL = """
+WITH visits AS (SELECT e.user_id AS session_id, e.event_id, e.ts, p.page_id, p.url FROM events e
+                JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)),
+clicks AS (SELECT page_id, arg_min(href, link_index) AS href FROM ({links}) l WHERE kept GROUP BY page_id),
+asked AS (SELECT v.*, CASE WHEN v.event_id % 2 = 0 THEN v.url ELSE c.href END AS href
+          FROM visits v LEFT JOIN clicks c ON v.page_id = c.page_id),
+prior AS (SELECT *, lag(url) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS before FROM asked)
+SELECT session_id, event_id, href, CASE
+  WHEN starts_with(href, 'http:') OR starts_with(href, 'https:') OR starts_with(href, 'file:') OR before IS NULL THEN href
+  ELSE regexp_extract(before, '^[a-z]+://[^/?#]+') || href END AS resolved FROM prior"""
+
+
+@register("D10_resolve_relative_links", VISITED_SQL.format(links=LINKS_SQL))
 def resolve_links(spark, sf_dir):
-    # each page's first relative link, resolved against the page's address
-    links = C.page_links(read_table(spark, sf_dir, "pages", ["page_id", "html"])).where("kept")
-    first = links.groupBy("page_id").agg(F.min_by("href", "link_index").alias("href"))
-    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
-    return pages.join(first, "page_id").select("page_id", "url", "href",
-                                               C.url_join(F.col("url"), F.col("href")).alias("resolved"))
+    # a session asks for a page's own address or for the first link of the page
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id"])
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    n_pages = pages.count()
+    clicks = C.page_links(pages).where("kept").groupBy("page_id").agg(F.min_by("href", "link_index").alias("click"))
+    visits = (ev.join(pages.select("page_id", "url"), F.pmod(ev.event_id, F.lit(n_pages)) == pages.page_id)
+              .join(clicks, "page_id", "left")
+              .select(F.col("user_id").alias("session_id"), "event_id", "ts", "url",
+                      F.when(F.col("event_id") % 2 == 0, F.col("url")).otherwise(F.col("click")).alias("href")))
+    return C.resolve_visits(visits, "session_id", ["ts", "event_id"], "url", "href").select(
+        "session_id", "event_id", "href", "resolved")
 
 
 SNAP_SQL = """
@@ -245,21 +269,21 @@ def search_ranked(spark, sf_dir):
 
 @register("F25_search_results_markdown",
           PAYLOAD_SQL + """
-SELECT payload_id, '## Search Results' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(len(r), 5) + 1),
+SELECT payload_id, '## Search Results' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(r) + 1),
   lambda i: CAST(i AS VARCHAR) || '. [' || r[i].title || '](' || r[i].url || ')' || chr(10) || r[i].description),
   chr(10) || chr(10)) AS markdown FROM res""")
 def search_md(spark, sf_dir):
     from ..sources.fixtures import search_payloads
-    return C.search_markdown(search_payloads(spark, sf_dir), "payload_id", "payload", max_results=5)
+    return C.search_markdown(search_payloads(spark, sf_dir), "payload_id", "payload")
 
 
-@register("P6_source_prefix_filter_with_suffix",
-          """SELECT doc_id, source, regexp_extract(source, '^src(.*)$', 1) AS source_suffix, n_chars
-FROM documents WHERE starts_with(source, 'src1')""")
+@register("P6_source_prefix_filter_with_path_part",
+          """SELECT doc_id, path AS source, string_split(path, '/')[2] AS source_part, n_chars
+FROM (SELECT *, 'src/' || substring(source, 4) AS path FROM documents) d WHERE starts_with(path, 'src/1')""")
 def source_prefix(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "n_chars"])
-    return d.where(F.col("source").startswith("src1")).select(
-        "doc_id", "source", F.regexp_extract("source", r"^src(.*)$", 1).alias("source_suffix"), "n_chars")
+    path = F.concat(F.lit("src/"), F.substring("source", 4, 100))  # sources as paths
+    return C.with_source_part(d.withColumn("source", path), "src/1").select("doc_id", "source", "source_part", "n_chars")
 
 
 RSS_SQL = """
@@ -279,10 +303,18 @@ def rss_ranked(spark, sf_dir):
 
 @register("F25_rss_results_markdown",
           RSS_SQL + """
+SELECT payload_id, '## Search Results' || chr(10) || chr(10) || string_agg('[' || title || '](' || link || ')' || chr(10)
+  || description, chr(10) || chr(10) ORDER BY rank) AS markdown FROM items GROUP BY payload_id""")
+def rss_markdown(spark, sf_dir):
+    from ..sources.fixtures import rss_payloads
+    return C.rss_markdown(rss_payloads(spark, sf_dir), "payload_id", "rss")
+
+
+@register("F25_organic_results_markdown",
+          RSS_SQL + """
 SELECT payload_id, '## Search Results' || chr(10) || string_agg(CAST(rank - 1 AS VARCHAR) || '. [' || title || '](' || link
   || ')' || chr(10) || chr(10) || description, chr(10) || chr(10) ORDER BY rank) AS markdown
-FROM items WHERE rank <= 5 GROUP BY payload_id""")
-def rss_markdown(spark, sf_dir):
+FROM items GROUP BY payload_id""")
+def organic_markdown(spark, sf_dir):
     from ..sources.fixtures import rss_payloads
-    ranked = C.flatten_rss_payload(rss_payloads(spark, sf_dir), "payload_id", "rss", max_results=5)
-    return C.organic_markdown(ranked, "payload_id")
+    return C.organic_markdown(C.flatten_rss_payload(rss_payloads(spark, sf_dir), "payload_id", "rss"), "payload_id")

@@ -26,7 +26,7 @@ def scored_answers(spark, sf_dir):
                                         "is_correct", "is_near_correct")
 
 
-ACC_SQL = f"""SELECT model_id, agent_action_type, source, avg(CAST(is_correct AS DOUBLE)) * 100 AS acc,
+ACC_SQL = f"""SELECT model_id, agent_action_type, source, round(avg(CAST(is_correct AS DOUBLE)) * 100, 2) AS acc,
        count(is_correct) AS n_scored
 FROM scored GROUP BY model_id, agent_action_type, source HAVING count(is_correct) > {MIN_SCORED}"""
 
@@ -61,6 +61,15 @@ def answers_per_agent_task(spark, sf_dir):
     return E.answer_counts(scored(spark, sf_dir))[1]
 
 
+EXPECTED_ANSWERS = 165
+
+
+@register("A37_completeness",
+          with_answers(f"SELECT count(*) AS total, count(*) = {EXPECTED_ANSWERS} AS is_complete FROM ({FIRST_SQL}) f"))
+def completeness(spark, sf_dir):
+    return E.completeness(scored(spark, sf_dir), EXPECTED_ANSWERS)
+
+
 @register("W2_first_answer_per_agent_question",
           with_answers(f"SELECT agent_name, question, task_id, prediction FROM ({FIRST_SQL}) f"))
 def first_answers(spark, sf_dir):
@@ -69,7 +78,7 @@ def first_answers(spark, sf_dir):
 
 
 @register("A38_mean_score_by_agent",
-          with_answers("SELECT agent_name, avg(CAST(is_correct AS DOUBLE)) AS mean_is_correct FROM scored GROUP BY agent_name"))
+          with_answers("SELECT agent_name, round(avg(CAST(is_correct AS DOUBLE)), 3) AS mean_is_correct FROM scored GROUP BY agent_name"))
 def mean_score(spark, sf_dir):
     return E.mean_score_by_agent(scored(spark, sf_dir))
 

@@ -118,9 +118,11 @@ eval_tasks AS (
 """
 
 # Column expressions of the scorer in DuckDB SQL, mirroring tessera.functions.scoring.
+# White space of Python's str methods, spelt out (RE2's \\s is ASCII only).
+WS_SQL = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _D = r"\d(?:_?\d)*"
-FLOAT_RE = (rf"^\s*[+-]?(?:(?:{_D}(?:\.(?:{_D})?)?|\.{_D})(?:[eE][+-]?{_D})?"
-            r"|(?i:inf|infinity|nan))\s*$")
+FLOAT_RE = (rf"^{WS_SQL}*[+-]?(?:(?:{_D}(?:\.(?:{_D})?)?|\.{_D})(?:[eE][+-]?{_D})?"
+            rf"|(?i:inf|infinity|nan)){WS_SQL}*$")
 
 
 def sql_is_float(x: str) -> str:
@@ -128,7 +130,7 @@ def sql_is_float(x: str) -> str:
 
 
 def sql_to_float(x: str) -> str:
-    return f"CASE WHEN {sql_is_float(x)} THEN TRY_CAST(trim(replace({x}, '_', '')) AS DOUBLE) END"
+    return f"CASE WHEN {sql_is_float(x)} THEN TRY_CAST(regexp_replace({x}, '_|{WS_SQL}', '', 'g') AS DOUBLE) END"
 
 
 def sql_norm_number(x: str) -> str:
@@ -139,7 +141,7 @@ PUNCT_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
 def sql_norm_str(x: str, remove_punct: bool = True) -> str:
-    out = f"lower(regexp_replace({x}, '\\s', '', 'g'))"
+    out = f"lower(regexp_replace({x}, '{WS_SQL}', '', 'g'))"
     return f"translate({out}, {PUNCT_SQL}, '')" if remove_punct else out
 
 

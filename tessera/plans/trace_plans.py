@@ -8,7 +8,7 @@ from ..functions import text as TX
 from ..operators import traces as TR
 from ..sources.fixtures import answers, steps
 from ..sources.tables import read_table
-from .oracle_views import PUNCT_SQL, with_answers, with_steps  # noqa: F401
+from .oracle_views import WS_SQL, with_answers, with_steps
 from .registry import register
 
 W_RUN = "PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
@@ -83,7 +83,7 @@ def _messages_sql(summary: bool) -> str:
     return with_steps(f"""SELECT run_id, ts, event_id, m.msg_ord, m.role, m.text FROM (
   SELECT run_id, ts, event_id, unnest(list_filter([
     CASE WHEN step_type = 'action' AND {ns} AND model_output IS NOT NULL
-         THEN {{'msg_ord': 0, 'role': 'assistant', 'text': regexp_replace(model_output, '^\\s+|\\s+$', '', 'g')}} END,
+         THEN {{'msg_ord': 0, 'role': 'assistant', 'text': regexp_replace(model_output, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')}} END,
     CASE WHEN step_type = 'action' AND tool_calls IS NOT NULL
          THEN {{'msg_ord': 1, 'role': 'tool-call', 'text': 'Calling tools:' || chr(10) || '[' || array_to_string(
            list_transform(tool_calls, lambda t: '{{''id'': ''' || t.id || ''', ''type'': ''function'', ''function'': {{''name'': '''
@@ -96,7 +96,7 @@ def _messages_sql(summary: bool) -> str:
          THEN {{'msg_ord': 4, 'role': 'tool-response', 'text':
            CASE WHEN tool_calls IS NOT NULL AND len(tool_calls) > 0 THEN 'Call id: ' || tool_calls[1].id || chr(10) ELSE '' END
            || 'Error:' || chr(10) || error_message || '{retry}'}} END,
-    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 5, 'role': 'assistant', 'text': regexp_replace(plan, '^\\s+|\\s+$', '', 'g')}} END,
+    CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 5, 'role': 'assistant', 'text': regexp_replace(plan, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')}} END,
     CASE WHEN step_type = 'planning' AND {ns} THEN {{'msg_ord': 6, 'role': 'user', 'text': '{TR.PLAN_FOLLOW_UP}'}} END,
     CASE WHEN step_type = 'task' THEN {{'msg_ord': 7, 'role': 'user', 'text': 'New task:' || chr(10) || task}} END
   ], lambda x: x IS NOT NULL)) AS m FROM steps) s""")

@@ -39,6 +39,59 @@ def test_find_query_normalization():
     assert C.normalize_find_query("  ") is None
 
 
+def test_find_query_stars():
+    assert C.normalize_find_query("the *of") == " the .*of "
+    assert C.normalize_find_query("a * * b") == " a.* .* b "
+    assert C.normalize_find_query("*") == ".* "
+    assert C.normalize_find_query("One, two!") == " one two "
+
+
+def test_search_results_are_not_split(spark):
+    df = spark.createDataFrame([(1, "aaaa bbbb cccc", True), (2, "aaaa bbbb", False), (3, None, True)], "id long, t string, w boolean")
+    vp = sorted((r["id"], r["n_pages"], r["content"]) for r in C.viewports(df, "id", "t", 3, whole=F.col("w")).collect())
+    assert vp == [(1, 1, "aaaa bbbb cccc"), (2, 2, "aaaa "), (2, 2, "bbbb")]
+
+
+def test_find_from_each_pages_own_viewport(spark):
+    df = spark.createDataFrame([(1, "cat dog cat dog ", 2), (2, "cat dog cat dog ", 0)], "id long, t string, at int")
+    vp = C.viewports(df, "id", "t", 3).join(df.select("id", "at"), "id")
+    got = {r["id"]: (r["first_match"], r["next_match"]) for r in C.find_on_pages(vp, "id", {"q": "cat"}, "at").collect()}
+    assert got == {1: (2, 0), 2: (0, 2)}
+
+
+def test_links_in_all_quote_forms(spark):
+    html = "<a href='/s'>one</a> <a href=/b class=x>two</a> <A HREF=\"https://d/\"><b>three</b></A> <a data-href='/no'>x</a> <a href='mailto:q'>m</a>"
+    rows = C.page_links(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("link_index").collect()
+    assert [(r["href"], r["text"], r["kept"]) for r in rows] == [
+        ("/s", "one", True), ("/b", "two", True), ("https://d/", "three", True), ("mailto:q", "m", False)]
+
+
+def test_visits_resolve_against_the_prior_address(spark):
+    rows = [(1, 1, "http://a/x/y", "/z"), (1, 2, "http://b/p/q", "r/s"), (1, 3, "http://c/", "../up"), (1, 4, "http://d/", "https://e/"),
+            (2, 1, "http://f/", "g")]
+    df = spark.createDataFrame(rows, "s long, o long, url string, href string")
+    got = [r["resolved"] for r in C.resolve_visits(df, "s", ["o"], "url", "href").orderBy("s", "o").collect()]
+    assert got == ["/z", "http://a/x/r/s", "http://b/up", "https://e/", "g"]
+
+
+def test_vectors_and_bm25_in_blocks(spark, monkeypatch):
+    import random
+    rnd = random.Random(1)
+    vec = [(i, [rnd.random() for _ in range(4)]) for i in range(60)]
+    docs = [(i, " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 12)))) for i in range(50)]
+    v, d = spark.createDataFrame(vec, "id long, v array<float>"), spark.createDataFrame(docs, "id long, t string")
+    q = v.where("id < 7").selectExpr("id AS qid", "v AS qv")
+    dq = d.where("id < 9").selectExpr("id AS qid", "t AS qt")
+    run = lambda: (sorted(map(tuple, C.vector_top_k(v, "id", "v", q, "qid", "qv", 3).collect())),
+                   sorted(map(tuple, C.bm25_top_k(d, ["id"], "t", dq, "qid", "qt", 4).collect())))
+    whole = run()
+    monkeypatch.setattr(C.query_blocks, "__defaults__", None)
+    monkeypatch.setattr(C.query_blocks, "__kwdefaults__", {"size": 2})
+    assert run() == whole and len(whole[0]) == 21
+    near = {r[0]: r[1] for r in whole[0] if r[3] == 1}
+    assert near == {i: i for i in range(7)}
+
+
 def test_html_to_markdown():
     html = ('<html><head><title>T</title><script>var t="</p>";</script></head><body><h1>Head</h1>'
             '<p>Text <a href="javascript:x()">js</a> <a href="/a b">rel</a><!-- c --></p>'

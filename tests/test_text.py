@@ -53,3 +53,28 @@ def test_imports_and_policy(spark):
     assert allowed == [True, True, True, False]
     star = [r[0] for r in df.select(TX.import_authorized(F.col("m"), ["*"])).collect()]
     assert all(star)
+
+
+def test_python_white_space(spark):
+    from tessera.functions.scoring import is_float, normalize_str, to_float
+    odd = "  a b 　"
+    assert _one(spark, odd, TX.strip_ws) == odd.strip()
+    assert _one(spark, odd, normalize_str) == "ab"
+    assert _one(spark, " 1_000 ", is_float) is True and _one(spark, " 1_000 ", to_float) == 1000.0
+
+
+def test_lenient_json(spark):
+    import json
+    blob = 'x {"a": "two\nlines\tand \\"quotes\\" \\\\", \n "b": [1, 2]} y'
+    r = _one(spark, blob, TX.parse_json_blob)
+    assert r["status"] == "ok"
+    assert json.loads(r["json"]) == json.loads(blob[2:-2], strict=False)
+    t = _one(spark, '{"name": "f", "arguments": "{\\"q\\": 3}"}', TX.tool_call_from_text)
+    assert t["arguments"] == '{"q": 3}'
+    assert _one(spark, '{"name": "f", "arguments": "abc"}', TX.tool_call_from_text)["arguments"] == "abc"
+
+
+def test_guarded_imports(spark):
+    code = "import torch\nif is_flash_attn_2_available():\n    from flash_attn import x\n    from flash_attn.y import z\nimport numpy"
+    assert "flash_attn" not in _one(spark, code, TX.code_imports)
+    assert "torch" in _one(spark, code, TX.code_imports)
