@@ -1,145 +1,122 @@
 """Substring ("contains") joins: which needles occur inside which texts.
 
-Spark has no index for substring predicates, so a plain join would be a
-nested loop over all pairs. Two exact strategies:
-
-* ``automaton``: when the needle table is small (its row count and total
-  length are checked first with one aggregate), the needles are shipped to
-  every task once and an Aho-Corasick automaton scans each text in a single
-  pass (``mapInPandas``; the haystack is never shuffled).
-* ``kgram``: otherwise both sides are keyed by character k-grams: each needle
-  by its first k characters (or its whole text when shorter), each text by
-  every window of those lengths. An equi-join on the key yields candidates,
-  which are verified by comparing the needle with the text at that offset.
-  Work is linear in the text length and fully distributed.
+Spark has no index for substring predicates, so a plain join would be a nested
+loop over all pairs. Here each needle is anchored on one of its grams (runs of
+``GRAM`` bytes, or the whole of a shorter needle). Texts are scanned for grams
+that may be an anchor, by a bitmap of fixed size; what is left, a text's key and
+the hash of a gram, is joined with the anchors, and the pairs that meet are
+verified on the text once, at the end. Work is linear in the text and nothing is
+collected but the bitmap.
 """
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Needle side limits for the automaton strategy.
-MAX_NEEDLES = 200_000
-MAX_NEEDLE_BYTES = 64 * 1024 * 1024
-KGRAM = 12
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(key, needles):
-    import ahocorasick
-    a = _AUTOMATA.get(key)
-    if a is None:
-        a = ahocorasick.Automaton()
-        for i, (text, _) in enumerate(needles):
-            if text:
-                prev = a.get(text, None)
-                a.add_word(text, (prev or []) + [i])
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return a
-
-
-def _matches_via_automaton(hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame,
-                           needle_key: str, needle_text: str) -> DataFrame:
-    spark = hay.sparkSession
-    rows = needles.select(needle_text, needle_key).collect()  # bounded by the size check
-    payload = [(r[0], r[1]) for r in rows if r[0]]
-    bc = spark.sparkContext.broadcast(payload)
-    cache_key = uuid.uuid4().hex
-    key_type = needles.schema[needle_key].dataType
-    hk_type = hay.schema[hay_key].dataType
-    schema = T.StructType([T.StructField(hay_key, hk_type), T.StructField(needle_key, key_type),
-                           T.StructField("match_pos", T.IntegerType())])
-
-    def run(batches):
-        data = bc.value
-        auto = _automaton(cache_key, data) if any(t for t, _ in data) else None
-        for pdf in batches:
-            out_h, out_n, out_p = [], [], []
-            for hk, text in zip(pdf[hay_key], pdf[hay_text]):
-                if text is None:
-                    continue
-                seen = set()
-                if auto is not None:
-                    for end, ids in auto.iter(text):
-                        for i in ids:
-                            if i not in seen:
-                                seen.add(i)
-                                out_h.append(hk)
-                                out_n.append(data[i][1])
-                                out_p.append(end - len(data[i][0]) + 2)  # 1-based first occurrence
-            yield pd.DataFrame({hay_key: out_h, needle_key: out_n, "match_pos": out_p})
-
-    return hay.select(hay_key, hay_text).mapInPandas(run, schema)
-
-
-def _matches_via_kgrams(hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame,
-                        needle_key: str, needle_text: str, k: int = KGRAM) -> DataFrame:
-    n = (needles.select(F.col(needle_key), F.col(needle_text).alias("_nt"))
-         .where(F.col("_nt").isNotNull() & (F.length("_nt") > 0)))
-    n = n.withColumn("_len", F.least(F.length("_nt"), F.lit(k))).withColumn("_key", F.substring("_nt", 1, k))
-    lengths = sorted(r[0] for r in n.select("_len").distinct().collect())  # at most k values
-    h = hay.select(F.col(hay_key), F.col(hay_text).alias("_ht")).where(F.col("_ht").isNotNull())
-    res = None
-    for L in lengths:
-        w = (h.where(F.length("_ht") >= L)
-             .select(hay_key, "_ht", F.explode(F.sequence(F.lit(1), F.length("_ht") - L + 1)).alias("_pos"))
-             .select(hay_key, "_ht", "_pos", F.substring("_ht", F.col("_pos"), L).alias("_key")))
-        cand = w.join(n.where(F.col("_len") == L).drop("_len"), "_key")
-        ok = F.substring(F.col("_ht"), F.col("_pos"), F.length("_nt")) == F.col("_nt")
-        part = cand.where(ok).select(hay_key, needle_key, "_pos")
-        res = part if res is None else res.unionByName(part)
-    if res is None:
-        schema = T.StructType([hay.schema[hay_key], needles.schema[needle_key],
-                               T.StructField("match_pos", T.IntegerType())])
-        return hay.sparkSession.createDataFrame([], schema)
-    return res.groupBy(hay_key, needle_key).agg(F.min("_pos").cast("int").alias("match_pos"))
-
-
-def needle_size(needles: DataFrame, needle_text: str) -> tuple[int, int]:
-    r = needles.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.octet_length(needle_text)), F.lit(0)).alias("b")).first()
-    return int(r["n"]), int(r["b"])
+#: Bytes of an anchor.
+GRAM = 16
+#: Bits of the bitmap of anchors (2 MB).
+BITS = 1 << 24
+#: Bytes of text that are scanned at once.
+WINDOW = 1 << 20
+
+
+def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 63-bit hash of the ``size`` bytes from each position on."""
+    n = len(data) - size + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for j in range(size if n > 0 else 0):
+        h = h * np.uint64(0x100000001B3) + data[j: j + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h & np.uint64((1 << 63) - 1)
+
+
+def _anchors(needles: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, size, gram) of each needle: its gram with the least hash."""
+    @F.pandas_udf("size int, gram long")
+    def anchor(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            size = min(GRAM, len(data))
+            out.append((size, int(_gram_hashes(data, size).min())))
+        return pd.DataFrame(out, columns=["size", "gram"])
+
+    n = needles.select(F.col(key).alias("needle"), F.col(text).alias("needle_text")).where(F.length("needle_text") > 0)
+    return n.withColumn("a", anchor("needle_text")).select("needle", "needle_text", "a.size", "a.gram")
+
+
+def _bitmap(anchors: DataFrame) -> np.ndarray:
+    """Which values modulo BITS the anchors' hashes take, as bytes of bits."""
+    bit = F.pmod("gram", F.lit(BITS))
+    out = np.zeros(BITS // 8, np.uint8)
+    # bits 0 to 32,767 are those of bucket 1, as Spark numbers them
+    for r in (anchors.select(F.bitmap_bucket_number(bit + 1).alias("bucket"), F.bitmap_bit_position(bit + 1).alias("at"))
+              .groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()):  # BITS / 32,768 rows at most
+        at = (r["bucket"] - 1) * 4096
+        out[at: at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def substring_matches(hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame,
-                      needle_key: str, needle_text: str, strategy: str = "auto") -> DataFrame:
+                      needle_key: str, needle_text: str) -> DataFrame:
     """All (hay_key, needle_key, match_pos) where a non-empty needle text
     occurs in the hay text (match_pos = 1-based first occurrence). Empty
     needles, which occur in every text, are handled by the callers below
-    without producing all pairs."""
-    if strategy == "auto":
-        n, b = needle_size(needles, needle_text)
-        strategy = "automaton" if n <= MAX_NEEDLES and b <= MAX_NEEDLE_BYTES else "kgram"
-    if strategy == "automaton":
-        return _matches_via_automaton(hay, hay_key, hay_text, needles, needle_key, needle_text)
-    if strategy == "kgram":
-        return _matches_via_kgrams(hay, hay_key, hay_text, needles, needle_key, needle_text)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    without producing all pairs; null texts match nothing."""
+    spark = hay.sparkSession
+    anchors = _anchors(needles, needle_key, needle_text)
+    sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())  # GRAM values at most
+    shared = spark.sparkContext.broadcast(_bitmap(anchors))
+    schema = T.StructType([T.StructField("hay", hay.schema[hay_key].dataType), T.StructField("size", T.IntegerType()),
+                           T.StructField("gram", T.LongType())])
+
+    def scan(batches):
+        bits = shared.value
+        for pdf in batches:
+            keys, widths, grams = [], [], []
+            for key, text in zip(pdf[hay_key], pdf[hay_text]):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                for size in sizes:
+                    met = []
+                    for at in range(0, len(data), WINDOW):
+                        h = _gram_hashes(data[at: at + WINDOW + size - 1], size)
+                        low = h & np.uint64(BITS - 1)
+                        met.append(h[bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1 == 1])
+                    found = np.unique(np.concatenate(met)).astype(np.int64) if met else ()
+                    keys.extend([key] * len(found))
+                    widths.extend([size] * len(found))
+                    grams.extend(found)
+            yield pd.DataFrame({"hay": pd.Series(keys, dtype=pdf[hay_key].dtype), "size": widths, "gram": grams})
+
+    met = hay.select(hay_key, hay_text).mapInPandas(scan, schema)
+    pairs = met.join(anchors, ["size", "gram"]).select("hay", "needle", "needle_text").distinct()
+    texts = hay.select(F.col(hay_key).alias("hay"), F.col(hay_text).alias("hay_text"))
+    place = F.expr("instr(hay_text, needle_text)")
+    return (pairs.join(texts, "hay").withColumn("match_pos", place).where("match_pos > 0")
+            .select(F.col("hay").alias(hay_key), F.col("needle").alias(needle_key), "match_pos"))
 
 
 def contains_any(hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame,
-                 needle_key: str, needle_text: str, strategy: str = "auto") -> DataFrame:
+                 needle_key: str, needle_text: str) -> DataFrame:
     """Rows of ``hay`` whose text contains at least one needle (left semi)."""
     if needles.where(F.col(needle_text) == "").limit(1).count():
         return hay.where(F.col(hay_text).isNotNull())
-    m = substring_matches(hay, hay_key, hay_text, needles, needle_key, needle_text, strategy)
+    m = substring_matches(hay, hay_key, hay_text, needles, needle_key, needle_text)
     return hay.join(m.select(hay_key).distinct(), hay_key, "left_semi")
 
 
 def first_contained(hay: DataFrame, hay_key: str, hay_text: str, needles: DataFrame,
-                    needle_key: str, needle_text: str, needle_order: str,
-                    strategy: str = "auto") -> DataFrame:
+                    needle_key: str, needle_text: str, needle_order: str) -> DataFrame:
     """For each hay row, the needle row (first in ``needle_order``) whose
     text occurs in the hay text; hay rows without a match keep nulls."""
-    m = substring_matches(hay, hay_key, hay_text, needles, needle_key, needle_text, strategy)
+    m = substring_matches(hay, hay_key, hay_text, needles, needle_key, needle_text)
     ranked = m.join(needles.select(needle_key, needle_order), needle_key).select(hay_key, needle_key, needle_order)
     # the first empty needle (if any) matches every text: one row, read back
     first_empty = (needles.where(F.col(needle_text) == "").orderBy(needle_order)

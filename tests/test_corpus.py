@@ -17,13 +17,23 @@ def test_chunks_are_substrings_within_size():
         assert text[start:start + len(chunk)] == chunk
 
 
-def test_substring_strategies_agree(spark):
-    hay = spark.createDataFrame([(1, "the quick brown fox"), (2, "lazy dog"), (3, "quick quick")], "h long, t string")
-    nee = spark.createDataFrame([(10, "quick"), (11, "dog"), (12, "cat"), (13, "the quick brown fox jumps")],
-                                "n long, s string")
-    a = sorted(tuple(r) for r in substring_matches(hay, "h", "t", nee, "n", "s", "automaton").collect())
-    b = sorted(tuple(r) for r in substring_matches(hay, "h", "t", nee, "n", "s", "kgram").collect())
-    assert a == b == [(1, 10, 5), (2, 11, 6), (3, 10, 1)]
+def test_substrings(spark):
+    hay = spark.createDataFrame([(1, "the quick brown fox"), (2, "lazy dog"), (3, "quick quick é日"), (4, None), (5, "")], "h long, t string")
+    nee = spark.createDataFrame([(10, "quick"), (11, "dog"), (12, "cat"), (13, "the quick brown fox jumps"), (14, "é"), (15, "日"),
+                                 (16, ""), (17, None), (18, "the quick brown fox")], "n long, s string")
+    got = sorted(tuple(r) for r in substring_matches(hay, "h", "t", nee, "n", "s").collect())
+    assert got == [(1, 10, 5), (1, 18, 1), (2, 11, 6), (3, 10, 1), (3, 14, 13), (3, 15, 14)]
+
+
+def test_substrings_of_a_text_of_a_megabyte(spark):
+    import random
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(2_500_000))
+    nee = [(i, text[p: p + n]) for i, (p, n) in enumerate([(0, 40), (1_048_570, 30), (2_499_990, 10), (1_500_000, 1_000_000)])]
+    nee += [(9, "x" * 30), (10, text[:20] + "x")]
+    hay = spark.createDataFrame([(1, text), (2, text[:1000])], "h long, t string")
+    got = sorted(tuple(r) for r in substring_matches(hay, "h", "t", spark.createDataFrame(nee, "n long, s string"), "n", "s").collect())
+    assert got == sorted((h, n, t.find(s) + 1) for h, t in ((1, text), (2, text[:1000])) for n, s in nee if s in t)
 
 
 def test_viewports_end_on_whitespace(spark):
@@ -121,18 +131,6 @@ def test_site_routes():
     assert md.startswith("# YouTube\n\n## Vid") and "- **Views:** 42" in md and "### Description\nAbout" in md
 
 
-def test_substring_fallback_matches_automaton_on_documents(spark):
-    """The exact k-gram equi-join (used beyond the broadcast limit) finds the
-    same (document, passage, position) triples as the automaton."""
-    from tessera.sources.tables import read_table
-    sf = "/root/testdata/sf0.001"
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    bench = read_table(spark, sf, "benchmark", ["item_id", "text"])
-    a = sorted(tuple(r) for r in substring_matches(docs, "doc_id", "text", bench, "item_id", "text", "automaton").collect())
-    b = sorted(tuple(r) for r in substring_matches(docs, "doc_id", "text", bench, "item_id", "text", "kgram").collect())
-    assert a == b and len(a) > 0
-
-
 def test_cluster_conf_scales_with_input():
     from tessera.session import cluster_conf
     small, big = cluster_conf(10 * 1024 ** 3), cluster_conf(100 * 1024 ** 4)
