@@ -1,99 +1,84 @@
 """Recursive character text splitting as a per-text helper.
 
-This is the public recursive splitter algorithm used by the reference's RAG
-examples: try separators in order, split on the first one present (keeping
-the separator at the start of each piece), merge pieces up to
-``chunk_size`` with ``chunk_overlap`` carried over, recurse into pieces that
-are still too long. Start offsets are found by searching forward from the
-previous chunk's start + length - overlap. It runs inside Spark tasks
-(``mapInPandas``) one document at a time; Spark partitions the corpus.
+A text is cut where a separator begins, the coarsest separator that occurs
+first. Neighbouring pieces shorter than ``chunk_size`` are put together into
+chunks of at most that many characters, each going back over up to
+``chunk_overlap`` of the one before; a longer piece is cut again by the finer
+separators. All of it is done on offsets: a chunk is a range of the text. It
+runs inside Spark tasks (``mapInPandas``) one document at a time.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 # Fixed values that must equal the reference's for the same results.
 DEFAULT_SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
 
-def _split_keep_start(text: str, sep: str) -> list[str]:
-    if not sep:
-        return [c for c in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    return [p for p in out if p != ""]
+def _pieces(text: str, begin: int, end: int, separator: str) -> list[tuple[int, int]]:
+    """Ranges from one occurrence of the separator to the next; single
+    characters for an empty separator."""
+    if not separator:
+        cuts = list(range(begin + 1, end))
+    else:
+        cuts, at = [], text.find(separator, begin, end)
+        while at >= 0:
+            cuts.append(at)
+            at = text.find(separator, at + len(separator), end)
+        if cuts and cuts[0] == begin:
+            del cuts[0]
+    return list(zip([begin, *cuts], [*cuts, end]))
 
 
-def _join(docs: list[str], sep: str, strip: bool) -> str | None:
-    text = sep.join(docs)
-    if strip:
-        text = text.strip()
-    return text or None
+def _together(pieces: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring pieces: as many as fit, then back by the overlap."""
+    first = 0
+    for i, (start, end) in enumerate(pieces):
+        if i > first and end - pieces[first][0] > size:
+            yield pieces[first][0], start
+            while first < i and (start - pieces[first][0] > overlap or end - pieces[first][0] > size):
+                first += 1
+    yield pieces[first][0], pieces[-1][1]
 
 
-def _merge(splits: list[str], sep: str, size: int, overlap: int, strip: bool) -> list[str]:
-    sep_len = len(sep)
-    docs: list[str] = []
-    current: list[str] = []
-    total = 0
-    for d in splits:
-        n = len(d)
-        if total + n + (sep_len if current else 0) > size:
-            if current:
-                doc = _join(current, sep, strip)
-                if doc is not None:
-                    docs.append(doc)
-                while total > overlap or (total + n + (sep_len if current else 0) > size and total > 0):
-                    total -= len(current[0]) + (sep_len if len(current) > 1 else 0)
-                    current = current[1:]
-        current.append(d)
-        total += n + (sep_len if len(current) > 1 else 0)
-    doc = _join(current, sep, strip)
-    if doc is not None:
-        docs.append(doc)
-    return docs
+def chunk_ranges(text: str, chunk_size: int, chunk_overlap: int, separators=DEFAULT_SEPARATORS,
+                 begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of the chunks of a text, white space at their ends left out."""
+    end = len(text) if end is None else end
+    used = next((i for i, s in enumerate(separators) if text.find(s, begin, end) >= 0), len(separators) - 1)
+    finer = separators[used + 1:] if separators[used] else ()
+    short: list[tuple[int, int]] = []
 
+    def flush():
+        if short:
+            for a, b in _together(short, chunk_size, chunk_overlap):
+                chunk = text[a:b]
+                if kept := len(chunk.strip()):
+                    a += len(chunk) - len(chunk.lstrip())
+                    yield a, a + kept
+            short.clear()
 
-def split_text(text: str, chunk_size: int, chunk_overlap: int,
-               separators=DEFAULT_SEPARATORS, strip: bool = True) -> list[str]:
-    separator = separators[-1]
-    rest: tuple[str, ...] = ()
-    for i, s in enumerate(separators):
-        if s == "":
-            separator = s
-            break
-        if s in text:
-            separator = s
-            rest = tuple(separators[i + 1:])
-            break
-    pieces = _split_keep_start(text, separator)
-    out: list[str] = []
-    good: list[str] = []
-    for p in pieces:
-        if len(p) < chunk_size:
-            good.append(p)
+    for a, b in _pieces(text, begin, end, separators[used]):
+        if b - a < chunk_size:
+            short.append((a, b))
             continue
-        if good:
-            out.extend(_merge(good, "", chunk_size, chunk_overlap, strip))
-            good = []
-        if not rest:
-            out.append(p)
+        yield from flush()
+        if finer:
+            yield from chunk_ranges(text, chunk_size, chunk_overlap, finer, a, b)
         else:
-            out.extend(split_text(p, chunk_size, chunk_overlap, rest, strip))
-    if good:
-        out.extend(_merge(good, "", chunk_size, chunk_overlap, strip))
-    return out
+            yield a, b
+    yield from flush()
 
 
 def chunk_with_starts(text: str, chunk_size: int, chunk_overlap: int,
                       separators=DEFAULT_SEPARATORS) -> list[tuple[int, str]]:
-    """(start_index, chunk) pairs; start found by a forward search."""
-    out = []
-    index, prev_len = 0, 0
-    for chunk in split_text(text, chunk_size, chunk_overlap, separators):
-        offset = index + prev_len - chunk_overlap
-        index = text.find(chunk, max(0, offset))
-        out.append((index, chunk))
-        prev_len = len(chunk)
+    """(start_index, chunk) pairs. The start is where the chunk's text is first
+    found from the end of the chunk before, less the overlap."""
+    out, search = [], 0
+    for a, b in chunk_ranges(text, chunk_size, chunk_overlap, tuple(separators)) if text else ():
+        chunk = text[a:b]
+        start = text.find(chunk, max(0, search))
+        out.append((start, chunk))
+        search = start + len(chunk) - chunk_overlap
     return out

@@ -13,7 +13,10 @@ from urllib.parse import quote, unquote, urlparse, urlunparse
 # Fixed values that must equal the reference's for the same results.
 KEPT_SCHEMES = ("http", "https", "file")
 DROPPED_BLOCKS = ("script", "style")
-MAX_MARKDOWN_CHARS = 40000
+WIKI_ADDRESS = r"^https?://[a-zA-Z]{2,3}\.wikipedia.org/"
+VIDEO_ADDRESS = "https://www.youtube.com/watch?"
+VIDEO_TITLE, VIDEO_DESCRIPTION = ("title", "og:title", "name"), ("description", "og:description")
+VIDEO_STATS = {"Views": "interactionCount", "Keywords": "keywords", "Runtime": "duration"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 BLOCKS = ("p", "div", "section", "article", "header", "footer", "main", "nav", "ul", "ol", "table", "tr",
           "blockquote", "pre")
@@ -150,13 +153,8 @@ class _ToMarkdown(HTMLParser):
         self._emit(re.sub(r"\s+", " ", data))
 
 
-def _finish(text: str, max_chars: int) -> str:
-    text = re.sub(r"[ \t]+\n", "\n", text)
-    text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    if len(text) > max_chars:
-        marker = f"\n..._This content has been truncated to stay below {max_chars} characters_...\n"
-        text = text[: max_chars // 2] + marker + text[-(max_chars // 2):]
-    return text
+def _finish(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
 
 
 def _parse(html: str, only_id: str | None = None) -> _ToMarkdown:
@@ -166,10 +164,8 @@ def _parse(html: str, only_id: str | None = None) -> _ToMarkdown:
     return p
 
 
-def html_to_markdown(html: str | None, max_chars: int = MAX_MARKDOWN_CHARS, url: str | None = None
-                     ) -> tuple[str | None, str | None]:
-    """(title, markdown) of a page; runs of 3+ newlines collapse to 2; long
-    text is truncated in the middle like the reference's tool output. The
+def html_to_markdown(html: str | None, url: str | None = None) -> tuple[str | None, str | None]:
+    """(title, markdown) of a whole page; runs of 3+ newlines collapse to 2. The
     URL picks a site-specific extractor (D3)."""
     if html is None:
         return None, None
@@ -178,43 +174,25 @@ def html_to_markdown(html: str | None, max_chars: int = MAX_MARKDOWN_CHARS, url:
         p = _parse(html, only_id="mw-content-text")
         if p.cap_tag is not None or "".join(p.out).strip():
             title = ("".join(p.main_title).strip() if p.main_title else "".join(p.title).strip()) or None
-            return title, _finish(f"# {title}\n\n" + "".join(p.out), max_chars)
-    if route == "youtube":
-        p = _parse(html)
-        return _video_page(p, max_chars)
+            return title, _finish(f"# {title}\n\n" + "".join(p.out))
     p = _parse(html)
-    title = "".join(p.title).strip() or None
-    return title, _finish("".join(p.out), max_chars)
+    if route == "youtube":
+        return _video_page(p)
+    return "".join(p.title).strip() or None, _finish("".join(p.out))
 
 
-def _video_page(p: _ToMarkdown, max_chars: int) -> tuple[str | None, str]:
-    """D3: metadata summary of a video page (title, views, keywords, runtime,
-    description)."""
-    meta = dict(p.meta)
+def _video_page(p: _ToMarkdown) -> tuple[str | None, str]:
+    """D3: the metadata of a video page as sections; one without content is left out."""
     page_title = "".join(p.title).strip()
-    meta.setdefault("title", page_title)
-    get = lambda keys: next((meta[k] for k in keys if meta.get(k)), "")
-    text = "# YouTube\n"
-    title = get(["title", "og:title", "name"])
-    if title:
-        text += f"\n## {title}\n"
-    stats = ""
-    for label, keys in (("Views", ["interactionCount"]), ("Keywords", ["keywords"]), ("Runtime", ["duration"])):
-        v = get(keys)
-        if v:
-            stats += f"- **{label}:** {v}\n"
-    if stats:
-        text += f"\n### Video Metadata\n{stats}\n"
-    desc = get(["description", "og:description"])
-    if desc:
-        text += f"\n### Description\n{desc}\n"
-    return (title or page_title or None), text[:max_chars]
+    first = lambda names: next((p.meta[n] for n in names if p.meta.get(n)), "")
+    title = first(VIDEO_TITLE) or page_title
+    stats = "".join(f"- **{label}:** {p.meta[name]}\n" for label, name in VIDEO_STATS.items() if p.meta.get(name))
+    sections = [("## ", title, "\n"), ("### Video Metadata\n", stats, "\n"), ("### Description\n", first(VIDEO_DESCRIPTION), "\n")]
+    return title or None, "# YouTube\n" + "".join(f"\n{head}{body}{end}" for head, body, end in sections if body)
 
 
 def route_for_url(url: str | None) -> str:
     """D3: which extractor a URL goes to."""
-    if url and re.search(r"^https?://[a-z]{2,3}\.wikipedia\.org/", url):
+    if url and re.search(WIKI_ADDRESS, url):
         return "wikipedia"
-    if url and re.search(r"^https?://(www\.)?youtube\.com/watch", url):
-        return "youtube"
-    return "generic"
+    return "youtube" if url and url.startswith(VIDEO_ADDRESS) else "generic"

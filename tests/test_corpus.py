@@ -112,6 +112,14 @@ def test_html_to_markdown():
     assert "![i](data:image/png;base64...)" in md and "var t" not in md
 
 
+def test_long_pages_are_whole():
+    body = "word " * 30_000
+    title, md = html_to_markdown(f"<html><head><title>T</title></head><body><p>{body}</p></body></html>")
+    assert md == body.strip()
+    video, md = html_to_markdown("<title>T</title>", url="http://youtube.com/watch?v=1")
+    assert not md.startswith("# YouTube")
+
+
 def test_top_k_ties_by_key(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, 3, 1.0), (1, 4, 2.0), (2, 1, 0.5)], "q long, d long, s double")
     got = sorted((r["q"], r["rank"], r["d"]) for r in C.top_k(df, ["q"], "s", ["d"], 2).collect())
