@@ -51,6 +51,9 @@ THRESHOLD = 0.8
 #: words is whole in some block.
 BLOCK, STEP = 64, 32
 
+#: Prefix words of all templates up to which they are sent to all tasks.
+MAX_BROADCAST_WORDS = 100_000
+
 #: Bytes of words, A-Z lower-cased, and spaces for all others.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
                     for b in range(256))
@@ -128,6 +131,8 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: float =
     b = (blocks.where(F.size("words") >= least)
          .select("row", F.col("words").alias("b_words"),
                  F.posexplode(F.expr(f"slice(words, 1, size(words) - {least} + 1)")).alias("b_at", "word")))
+    if t.count() <= MAX_BROADCAST_WORDS:  # else Spark shuffles, and splits the keys that are skewed
+        t = F.broadcast(t)
     left = F.least(F.size("b_words") - F.col("b_at"), F.size("t_words") - F.col("t_at"))  # from the shared word on
     both = F.array_intersect("b_words", "t_words")
     return (b.join(t, "word").where((F.size("b_words") >= F.col("need")) & (left >= F.col("need")))
