@@ -43,22 +43,22 @@ def spark_type(hint) -> T.DataType:
 def register_typed(spark: SparkSession, fn: Callable, name: str | None = None, vectorized: bool = False):
     """Register ``fn`` under ``name`` with the return type from its hints.
 
-    With ``vectorized`` the function is applied to whole Arrow batches
-    (pandas Series in, Series out) instead of row by row.
+    With ``vectorized`` the function takes and returns whole pandas Series (its
+    hints name the types of their values); a null argument gives null.
     """
     hints = typing.get_type_hints(fn)
     if "return" not in hints:
         raise TypeError(f"{fn.__name__} needs a return type hint")
     rtype = spark_type(hints["return"])
-    n_args = len([h for h in hints if h != "return"])
+
     if vectorized:
-        def batch(*cols: pd.Series) -> pd.Series:
-            return pd.Series([None if any(v is None for v in vals) else fn(*vals) for vals in zip(*cols)])
-        u = F.pandas_udf(batch, rtype)
+        @F.pandas_udf(rtype)
+        def u(*cols: pd.Series) -> pd.Series:
+            full = pd.concat(cols, axis=1).notna().all(axis=1)
+            return fn(*[c[full] for c in cols]).reindex(cols[0].index)
     else:
         u = F.udf(fn, rtype)
     spark.udf.register(name or fn.__name__, u)
-    u.n_args = n_args  # type: ignore[attr-defined]
     return u
 
 
@@ -90,7 +90,7 @@ def validate_calls(calls: DataFrame, spec: DataFrame, call_id: str = "call_id",
     """(call, argument, status) with status ok / missing / null_not_allowed /
     wrong_type / unknown. ``spec`` = (tool_name, arg_name, arg_type, nullable)."""
     parsed = calls.select(call_id, tool_col, F.from_json(F.col(args_col), "map<string,variant>").alias("__m"))
-    declared = parsed.join(F.broadcast(spec), tool_col)  # spec: one row per declared argument
+    declared = parsed.join(spec, tool_col)  # Spark broadcasts the declared arguments if they are small
     v = F.col("__m")[F.col("arg_name")]
     present = F.array_contains(F.map_keys("__m"), F.col("arg_name"))
     kind = json_kind(v)
@@ -99,7 +99,7 @@ def validate_calls(calls: DataFrame, spec: DataFrame, call_id: str = "call_id",
               .when(accepts(F.col("arg_type"), kind), F.lit("ok")).otherwise(F.lit("wrong_type")))
     d = declared.select(call_id, tool_col, "arg_name", status.alias("status"))
     passed = parsed.select(call_id, tool_col, F.explode(F.map_keys("__m")).alias("arg_name"))
-    unknown = (passed.join(F.broadcast(spec.select(tool_col, "arg_name")), [tool_col, "arg_name"], "left_anti")
+    unknown = (passed.join(spec.select(tool_col, "arg_name"), [tool_col, "arg_name"], "left_anti")
                .withColumn("status", F.lit("unknown")))
     return d.unionByName(unknown)
 

@@ -45,6 +45,17 @@ def require_columns(df: DataFrame, needed) -> None:
         raise ValueError(f"Columns not found: {missing}. Available: {df.columns}")
 
 
+def column_check(df: DataFrame, needed) -> DataFrame:
+    """S12 as a table: of each needed column whether it is there and, if so, how
+    many rows have a value, from one pass over those columns."""
+    there = [c for c in needed if c in df.columns]
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in there], F.count(F.lit(1)).alias("__rows"))
+    return counts.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.lit(c in there).alias("available"),
+        (F.col(c) if c in there else F.lit(None)).cast("long").alias("n_values"), F.col("__rows").alias("n_rows"))
+        for c in needed])))
+
+
 def apply_row_filter(df: DataFrame, row_filter: str | None) -> DataFrame:
     """Optional SQL predicate applied before any projection or aggregation.
 
@@ -74,28 +85,32 @@ def available_months(df: DataFrame, month_col: str = "statement_month", n: int =
     return first.unionByName(last)
 
 
-def stock_filter(df: DataFrame, stmt_col: str = "statement_month",
-                 horizon_col: str = "horizon", materialize: bool = True) -> DataFrame:
+def stock_filter(df: DataFrame, stmt_col: str = "statement_month", horizon_col: str = "horizon") -> DataFrame:
     """Keep rows at the max horizon of their statement month.
 
-    The per-month max is a tiny aggregate (one row per month); Spark plans it
-    as a broadcast hash join when its size is below the broadcast threshold
-    and falls back to a shuffle join otherwise. Null months and horizons drop
-    out (null never equals null), as in the reference.
-
-    The facts feed both sides, so they are written once to the shared
-    checkpoint folder (``materialize``): two scans of that table replace a
-    second run of the upstream fact joins. A window max over the month would
-    avoid the join but put a whole month into one task.
+    The per-month max is a small aggregate, which Spark broadcasts when its size
+    allows. Null months and horizons drop out (null never equals null), as in the
+    reference. Sums over stock rows do not need this join (``aggregate``).
     """
-    if materialize:
-        df = cut_lineage(df)
-    max_h = (df.groupBy(F.col(stmt_col).alias("_m"))
-             .agg(F.max(horizon_col).alias("_max_h")))
-    return (df.join(max_h, (F.col(stmt_col) == F.col("_m")) & (F.col(horizon_col) == F.col("_max_h")), "inner")
+    last = df.groupBy(F.col(stmt_col).alias("_m")).agg(F.max(horizon_col).alias("_max_h"))
+    return (df.join(last, (F.col(stmt_col) == F.col("_m")) & (F.col(horizon_col) == F.col("_max_h")), "inner")
             .drop("_m", "_max_h"))
 
 
+def _stock_sums(df: DataFrame, keys, sums: dict, stmt_col: str, horizon_col: str) -> DataFrame:
+    """Sums by ``keys`` of the rows at the max horizon of their statement month:
+    the facts are summed by (month, horizon, keys) once, and the horizons are
+    picked on that small table."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    outer = df.select(*keys, F.col(stmt_col).alias("_m"), F.col(horizon_col).alias("_h"), *sums).toDF(
+        *names, "_m", "_h", *sums)
+    small = cut_lineage(outer.where("_m is not null and _h is not null").groupBy(*names, "_m", "_h").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("n_rows")))
+    last = small.groupBy("_m").agg(F.max("_h").alias("_h"))
+    return small.join(last, ["_m", "_h"]).groupBy(*names).agg(
+        *[_sum_as_double(c).alias(name) for c, name in sums.items()], F.sum("n_rows").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- feature bins
 
 def quantile_edges(df: DataFrame, feature: str, n_bins: int, exact: bool = True,
@@ -115,13 +130,13 @@ def quantile_edges(df: DataFrame, feature: str, n_bins: int, exact: bool = True,
         row = df.where(x.isNotNull()).agg(
             F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).alias("q")).first()
     if row is None or row["q"] is None:
-        raise ValueError(f"Column '{feature}' is entirely null — cannot create bins.")
+        raise ValueError(f"every value of {feature!r} is null: no bins can be made")
     edges: list[float] = []
     for v in row["q"]:
         if not edges or v != edges[-1]:
             edges.append(float(v))
     if len(edges) < 2:
-        raise ValueError(f"Binning failed for column '{feature}': fewer than two distinct edges.")
+        raise ValueError(f"the values of {feature!r} give fewer than two distinct edges")
     return edges
 
 
@@ -130,7 +145,7 @@ def width_edges(df: DataFrame, feature: str, n_bins: int) -> list[float]:
     x = F.col(feature).cast("double")
     row = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if row["lo"] is None:
-        raise ValueError(f"Column '{feature}' is entirely null — cannot create bins.")
+        raise ValueError(f"every value of {feature!r} is null: no bins can be made")
     lo, hi = float(row["lo"]), float(row["hi"])
     return [lo + (hi - lo) * i / n_bins for i in range(n_bins)] + [hi]
 
@@ -238,21 +253,28 @@ def aggregate(df: DataFrame, actual: str, predicted: str, dimension: str = "stat
               **dim_opts) -> DataFrame:
     """Group sums, row counts and group-level error metrics, sorted by group.
 
-    Plan shape: scan (pruned + pushed filter) -> [stock: max-horizon join] ->
-    partial hash aggregate -> one shuffle on the group key -> final aggregate.
+    Plan shape: scan (pruned + pushed filter) -> partial hash aggregate -> one
+    shuffle on the group key -> final aggregate [stock: by month and horizon
+    first, and the last horizon of each month from that].
     """
     require_columns(df, [actual, predicted])
     df = apply_row_filter(df, row_filter)
-    if metric_type == "stock":
-        df = stock_filter(df, dim_opts.get("stmt_col", "statement_month"), dim_opts.get("horizon_col", "horizon"))
-    elif metric_type != "flow":
+    if metric_type not in ("flow", "stock"):
         raise ValueError("metric_type must be 'flow' or 'stock'")
+    stmt_col, horizon_col = dim_opts.get("stmt_col", "statement_month"), dim_opts.get("horizon_col", "horizon")
+    if metric_type == "stock" and dimension == "feature_bins":
+        df = stock_filter(df, stmt_col, horizon_col)  # the edges are those of the stock rows
     keys, bins = dimension_column(df, dimension, **dim_opts)
-    agg = df.groupBy(*keys).agg(
-        _sum_as_double(actual).alias("total_actual"),
-        _sum_as_double(predicted).alias("total_predicted"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
+    if metric_type == "stock" and bins is None:
+        name = df.select(*keys).columns
+        agg = _stock_sums(df, keys, {actual: "total_actual", predicted: "total_predicted"}, stmt_col, horizon_col)
+        agg = agg.withColumnsRenamed({f"_k{i}": n for i, n in enumerate(name)})
+    else:
+        agg = df.groupBy(*keys).agg(
+            _sum_as_double(actual).alias("total_actual"),
+            _sum_as_double(predicted).alias("total_predicted"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
     if bins is not None:
         lo, hi = bin_bounds(F.col("bin_idx"), *bins)
         agg = agg.withColumn("bin_lower", lo).withColumn("bin_upper", hi)
@@ -286,7 +308,7 @@ def distribution(df: DataFrame, actual: str, predicted: str, dimension: str = "s
     require_columns(df, [actual, predicted, account_col])
     df = apply_row_filter(df, row_filter)
     if metric_type == "stock":
-        df = stock_filter(df)
+        df = stock_filter(df, dim_opts.get("stmt_col", "statement_month"), dim_opts.get("horizon_col", "horizon"))
     keys, _ = dimension_column(df, dimension, **dim_opts)
     agg = df.groupBy(*keys, F.col(account_col)).agg(
         _sum_as_double(actual).alias("actual"),

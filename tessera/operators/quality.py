@@ -17,8 +17,10 @@ def balance_rollforward_breaks(df: DataFrame, account_col: str = "account_id",
     g = df.groupBy(account_col, stmt_col, horizon_col).agg(
         F.sum(eos).alias("eos"), F.sum(purchases).alias("purchases"), F.sum(payments).alias("payments"))
     w = Window.partitionBy(account_col, stmt_col).orderBy(horizon_col)
-    prev = F.lag("eos").over(w)
-    expected = F.greatest(prev + F.col("purchases") - F.col("payments"), F.lit(0))
+    # a step is checked against the horizon just before it, not against one across a gap
+    prev = F.when(F.lag(horizon_col).over(w) == F.col(horizon_col) - 1, F.lag("eos").over(w))
+    # (``greatest`` skips nulls, so the guard is explicit)
+    expected = F.when(prev.isNotNull(), F.greatest(prev + F.col("purchases") - F.col("payments"), F.lit(0)))
     out = g.select(account_col, stmt_col, horizon_col, "eos", expected.alias("expected_eos"))
     return out.where(F.col("expected_eos").isNotNull()).withColumn(
         "is_break", F.col("eos") != F.col("expected_eos"))

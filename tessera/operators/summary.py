@@ -76,7 +76,3 @@ def ampe_flag_months(summary: DataFrame, threshold: float = 10.0, targets=TARGET
                            flags.alias("_f"))
             .where(F.size("_f") > 0)
             .select("statement_month", F.array_join("_f", ",  ").alias("ampe_flags")))
-
-
-def targets_from_pairs(pairs) -> list[Target]:
-    return [Target(a, a, p) for a, p in pairs]

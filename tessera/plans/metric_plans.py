@@ -121,6 +121,20 @@ def metrics_by_segment(spark, sf_dir):
                               segment_cols=["risk_segment"], level="both")
 
 
+@register("P5_metrics_over_rows_with_null_targets",
+          metrics_query([("actual_payment", "predicted_payment")], segs=["risk_segment"], level="account", rank=False,
+                        source="(SELECT * REPLACE (CASE WHEN horizon % 3 = 0 THEN NULL ELSE predicted_payment END AS "
+                               "predicted_payment, CASE WHEN horizon % 4 = 0 THEN NULL ELSE actual_payment END AS "
+                               "actual_payment) FROM backtest)"))
+def metrics_with_nulls(spark, sf_dir):
+    from pyspark.sql import functions as F
+    facts = backtest_facts(spark, sf_dir, ["risk_segment", "horizon", "actual_payment", "predicted_payment"])
+    facts = (facts.withColumn("predicted_payment", F.when(F.col("horizon") % 3 != 0, F.col("predicted_payment")))
+             .withColumn("actual_payment", F.when(F.col("horizon") % 4 != 0, F.col("actual_payment"))))
+    return M.backtest_metrics(facts, "actual_payment:predicted_payment", segment_cols=["risk_segment"], level="account",
+                              rank_metrics=False)
+
+
 @register("A16_account_metrics_purchase_by_geography",
           metrics_query([("actual_purchase_volume", "predicted_purchase_volume")], segs=["geography"],
                         level="account", rank=False))
@@ -219,15 +233,15 @@ def segment_alignment(spark, sf_dir):
 @register("U2_segment_intersection_and_difference",
           with_backtest("""
 SELECT product_type, 'both' AS part FROM (
-  SELECT product_type FROM backtest_rounds WHERE round = 1
-  INTERSECT SELECT product_type FROM backtest_rounds WHERE round = 2 AND product_type NOT LIKE '%BRASS%')
-UNION ALL
-SELECT product_type, 'only_round_1' FROM (
-  SELECT product_type FROM backtest_rounds WHERE round = 1
-  EXCEPT SELECT product_type FROM backtest_rounds WHERE round = 2 AND product_type NOT LIKE '%BRASS%')"""))
+  SELECT product_type FROM r1 INTERSECT SELECT product_type FROM r2)
+UNION ALL SELECT product_type, 'only_round_1' FROM (SELECT product_type FROM r1 EXCEPT SELECT product_type FROM r2)
+UNION ALL SELECT product_type, 'only_round_2' FROM (SELECT product_type FROM r2 EXCEPT SELECT product_type FROM r1)""", """,
+r1 AS (SELECT product_type FROM backtest_rounds WHERE round = 1 AND product_type NOT LIKE '%TIN%'),
+r2 AS (SELECT product_type FROM backtest_rounds WHERE round = 2 AND product_type NOT LIKE '%BRASS%')"""))
 def segment_sets(spark, sf_dir):
     from pyspark.sql import functions as F
     facts = backtest_facts(spark, sf_dir, ["product_type"], rounds=True)
-    r1 = facts.where(F.col("round") == 1).select("product_type")
+    # each round lacks products that the other has
+    r1 = facts.where((F.col("round") == 1) & ~F.col("product_type").like("%TIN%")).select("product_type")
     r2 = facts.where((F.col("round") == 2) & ~F.col("product_type").like("%BRASS%")).select("product_type")
-    return M.segment_sets(r1, r2).where(F.col("part") != "only_round_2")
+    return M.segment_sets(r1, r2)

@@ -58,11 +58,20 @@ def mean_errors(spark, sf_dir):
     return S.mean_errors_by_target(_summary(spark, sf_dir))
 
 
+# a round whose stock predictions of spring are far too low
+LOW_SPRING = 100000000
+
+
 @register("A32_negative_prediction_months",
-          summary_sql("SELECT strftime(statement_month, '%Y-%m') AS statement_month, EOS_pred_negative "
-                      "FROM summary WHERE coalesce(EOS_pred_negative, false)"))
+          with_backtest("SELECT strftime(statement_month, '%Y-%m') AS statement_month, EOS_pred_negative "
+                        "FROM summary WHERE coalesce(EOS_pred_negative, false)",
+                        _summary_ctes().replace("FROM backtest", f"""FROM (SELECT * REPLACE (
+  CASE WHEN month(statement_month) BETWEEN 3 AND 5 THEN predicted_eos - {LOW_SPRING} ELSE predicted_eos END AS predicted_eos)
+  FROM backtest) backtest""")))
 def negative_months(spark, sf_dir):
-    return S.negative_prediction_months(_summary(spark, sf_dir))
+    facts = backtest_facts(spark, sf_dir, ["statement_month", "horizon", *ALL_TARGET_COLS])
+    low = F.when(F.month("statement_month").between(3, 5), F.col("predicted_eos") - LOW_SPRING).otherwise(F.col("predicted_eos"))
+    return S.negative_prediction_months(S.monthly_summary(facts.withColumn("predicted_eos", low), full_horizon=FULL_HORIZON))
 
 
 AMPE_THRESHOLD = 2.0
@@ -172,6 +181,23 @@ def error_histogram(spark, sf_dir):
     return C.histogram(facts, F.col("predicted_payment") - F.col("actual_payment"), 20)
 
 
+@register("C5_error_density_payment",
+          with_backtest("""
+SELECT CAST(p AS INTEGER) AS point, lo + (hi - lo) * p / 100 AS x,
+       round(sum(c * exp(-0.5 * pow((lo + (hi - lo) * p / 100 - (lo + (hi - lo) * (cell + 0.5) / 2048)) / h, 2)))
+             / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM (SELECT least(CAST(floor((v - lo) / (hi - lo) * 2048) AS BIGINT), 2047) AS cell, count(*) AS c, any_value(lo) AS lo,
+             any_value(hi) AS hi, any_value(n) AS n, any_value(sd * pow(n, -0.2)) AS h
+      FROM (SELECT CAST(predicted_payment - actual_payment AS DOUBLE) AS v FROM backtest) d,
+           (SELECT min(v) AS lo, max(v) AS hi, count(v) AS n, stddev_samp(v) AS sd
+            FROM (SELECT CAST(predicted_payment - actual_payment AS DOUBLE) AS v FROM backtest)) s GROUP BY 1) cells,
+     range(0, 101) r(p)
+GROUP BY p, lo, hi"""))
+def error_density(spark, sf_dir):
+    facts = backtest_facts(spark, sf_dir, ["actual_payment", "predicted_payment"])
+    return C.density_curve(facts, F.col("predicted_payment") - F.col("actual_payment"))
+
+
 @register("C6_residuals_payment_by_month",
           with_backtest(f"SELECT statement_month, plot_predicted AS predicted, plot_predicted - plot_actual AS residual, "
                         f"CAST(0.0 AS DOUBLE) AS zero_line FROM ({A1_SQL_BODY}) a"))
@@ -200,8 +226,9 @@ def scatter(spark, sf_dir):
           with_backtest("""
 SELECT statement_month, count(*) AS n_checked, sum(CASE WHEN eos <> expected_eos THEN 1 ELSE 0 END) AS n_breaks
 FROM (SELECT statement_month, eos,
-             greatest(lag(eos) OVER (PARTITION BY account_id, statement_month ORDER BY horizon) + purchases - payments, 0)
-               AS expected_eos
+             CASE WHEN lag(horizon) OVER (PARTITION BY account_id, statement_month ORDER BY horizon) = horizon - 1
+                  THEN greatest(lag(eos) OVER (PARTITION BY account_id, statement_month ORDER BY horizon) + purchases - payments, 0)
+                  END AS expected_eos
       FROM (SELECT account_id, statement_month, horizon, sum(actual_eos) AS eos,
                    sum(actual_purchase_volume) AS purchases, sum(actual_payment) AS payments
             FROM backtest GROUP BY 1, 2, 3) g) c
@@ -225,7 +252,24 @@ def static_features(spark, sf_dir):
     return Q.static_feature_violations(facts, ["credit_limit", "product_type"])
 
 
-@register("C8_segment_report")
+REPORT_SQL = """
+SELECT 'scatter' AS component, risk_segment AS segment, a AS x, p AS y FROM g
+UNION ALL SELECT 'fit_line', NULL, least(min(a), min(p)), greatest(max(a), max(p)) FROM g
+UNION ALL SELECT 'residual', risk_segment, p, CAST(predicted - actual AS DOUBLE) FROM g
+UNION ALL SELECT 'histogram', NULL, e[k], CAST(count(*) AS DOUBLE)
+  FROM (SELECT e, greatest(1, len(list_filter(e, lambda x: v > x))) AS k
+        FROM (SELECT CAST(predicted - actual AS DOUBLE) AS v FROM g) d,
+             (SELECT [lo + (hi - lo) * i / 20 for i in range(20)] || [hi] AS e
+              FROM (SELECT min(CAST(predicted - actual AS DOUBLE)) AS lo, max(CAST(predicted - actual AS DOUBLE)) AS hi FROM g)))
+  GROUP BY e, k
+UNION ALL SELECT 'mean_actual', risk_segment, CAST(NULL AS DOUBLE), CAST(sum(actual) AS DOUBLE) / count(*) FROM g GROUP BY risk_segment
+UNION ALL SELECT 'mean_predicted', risk_segment, NULL, CAST(sum(predicted) AS DOUBLE) / count(*) FROM g GROUP BY risk_segment"""
+
+
+@register("C8_segment_report", with_backtest(REPORT_SQL, """,
+g AS (SELECT risk_segment, statement_month, sum(actual_payment) AS actual, sum(predicted_payment) AS predicted,
+             CAST(sum(actual_payment) AS DOUBLE) AS a, CAST(sum(predicted_payment) AS DOUBLE) AS p
+      FROM backtest GROUP BY 1, 2)"""))
 def segment_report(spark, sf_dir):
     # per (segment, month) totals: scatter + fit line, residuals, error histogram, segment means
     facts = backtest_facts(spark, sf_dir, ["risk_segment", "statement_month", "actual_payment", "predicted_payment"])

@@ -32,10 +32,17 @@ TYPE_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN '
           f"""SELECT CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name, {TYPE_SQL} AS data_type,
   (SELECT count(*) FROM lineitem) AS n_rows FROM (DESCRIBE lineitem)""")
 def inspect(spark, sf_dir):
-    schema, n, _head = CAT.inspect_parquet(spark, table_path(sf_dir, "lineitem"))
+    schema, n, _ = CAT.inspect_parquet(spark, table_path(sf_dir, "lineitem"))
     return schema.withColumn("n_rows", F.lit(n).cast("long"))
 
 
+@register("S8_first_rows_orders",
+          "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders LIMIT 5")
+def first_rows(spark, sf_dir):
+    head = CAT.inspect_parquet(spark, table_path(sf_dir, "orders"))[2]
+    return head.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
 def _profile_sql(table: str, cols: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(DISTINCT {c}) AS n_distinct, "
@@ -128,49 +135,48 @@ def catalog_roundtrip(spark, sf_dir):
     facts = facts.withColumnRenamed("geography", "market").withColumnRenamed("risk_segment", "segment")
     path = scratch_path(spark, "backtest_catalog")
     CAT.write_partitioned(facts, path)
-    back = spark.read.parquet(path)
-    entries = [(r["market"], r["segment"], f"{path}/market={r['market']}/segment={r['segment']}")
-               for r in back.select("market", "segment").distinct().collect()]  # one row per folder
-    stacked = CAT.union_catalog(spark, entries)
-    return stacked.groupBy("market", "segment", "statement_month").agg(
+    return CAT.read_catalog(spark, path).groupBy("market", "segment", "statement_month").agg(
         F.sum("actual_payment").cast("double").alias("total_actual"),
         F.sum("predicted_payment").cast("double").alias("total_predicted"),
         F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("S2_S5_csv_summary_roundtrip",
+          with_backtest("""SELECT regexp_replace(trim(geography), ' ', '_') AS market, statement_month,
+  sum(actual_payment) AS actual, count(*) AS n_rows FROM backtest GROUP BY 1, 2"""))
+def csv_roundtrip(spark, sf_dir):
+    # The summary of each market as CSV files; S2: the files loaded by a declared schema
+    facts = backtest_facts(spark, sf_dir, ["geography", "statement_month", "actual_payment"])
+    summary = facts.groupBy(F.col("geography").alias("market"), "statement_month").agg(
+        F.sum("actual_payment").alias("actual"), F.count(F.lit(1)).alias("n_rows"))
+    path = scratch_path(spark, "summary_csv")
+    CAT.write_partitioned(summary, path, keys=("market",), fmt="csv")
+    return CAT.load_dataset(spark, path, "summaries", fmt="csv",
+                            schema="statement_month date, actual decimal(28,2), n_rows long, market string")
+
+
 @register("S2_S3_S6_S7_jsonl_runs_roundtrip",
           with_answers("""SELECT agent_name, count(*) AS n_answers,
   sum(CASE WHEN prediction IS NULL THEN 1 ELSE 0 END) AS n_no_prediction FROM answers GROUP BY agent_name"""))
 def jsonl_roundtrip(spark, sf_dir):
-    # Append answers as JSON lines, one folder per agent; S3: read them back
-    # (agent from the folder), S7: export a submission and re-read it
+    # Append answers as JSON lines, a folder named after each agent's file; S3: read
+    # them back (agent from that name), S7: export a submission and re-read it
     a = answers(spark, sf_dir).select("agent_name", "task_id", "question", "prediction", "true_answer")
     path = scratch_path(spark, "answers_jsonl")
-    agents = sorted(r[0] for r in a.select("agent_name").distinct().collect())  # one row per agent
-    for agent in agents:
-        CAT.append_jsonl(a.where(F.col("agent_name") == agent).drop("agent_name"), f"{path}/{agent}")
-    schema = "task_id long, question string, prediction string, true_answer string"
-    runs = None
-    for agent in agents:
-        r = CAT.read_run_files(spark, f"{path}/{agent}", schema).withColumn("agent_name", F.lit(agent))
-        runs = r if runs is None else runs.unionByName(r)
-    sub = CAT.export_submission(runs, f"{path}_submission", {"agent_name": "agent_name", "task_id": "task_id",
+    CAT.append_jsonl(a.withColumn("file", F.concat("agent_name", F.lit(".v1.jsonl"))).drop("agent_name"), path, by="file")
+    runs = CAT.read_run_files(spark, path, "task_id long, question string, prediction string, true_answer string")
+    CAT.export_submission(runs, f"{path}_submission", {"agent_name": "agent_name", "task_id": "task_id",
                                                               "prediction": "model_answer"})
     back = CAT.load_dataset(spark, f"{path}_submission", "submission", fmt="json",
                             schema="agent_name string, task_id long, model_answer string")
-    del sub
     return back.groupBy("agent_name").agg(
         F.count(F.lit(1)).alias("n_answers"),
         F.sum(F.when(F.col("model_answer") == "No prediction", 1).otherwise(0)).alias("n_no_prediction"))
 
 
-@register("S12_schema_guard_missing_columns")
+@register("S12_schema_guard_missing_columns",
+          """SELECT 'l_orderkey' AS column_name, true AS available, count(l_orderkey) AS n_values, count(*) AS n_rows FROM lineitem
+UNION ALL SELECT 'l_shipdate', true, count(l_shipdate), count(*) FROM lineitem
+UNION ALL SELECT 'l_missing_column', false, NULL, count(*) FROM lineitem""")
 def schema_guard(spark, sf_dir):
-    # reports missing and available columns instead of failing deep in a plan
-    df = read_table(spark, sf_dir, "lineitem")
-    try:
-        bt.require_columns(df, ["l_orderkey", "l_quantity", "l_missing_column"])
-        missing = []
-    except ValueError:
-        missing = [c for c in ["l_orderkey", "l_quantity", "l_missing_column"] if c not in df.columns]
-    return spark.createDataFrame([(m, ", ".join(df.columns)) for m in missing], "missing string, available string")
+    return bt.column_check(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_shipdate", "l_missing_column"])

@@ -199,9 +199,22 @@ def tool_calls(spark, sf_dir):
     return st.select("event_id", TX.tool_call_from_text("model_output").alias("t")).select("event_id", "t.*")
 
 
-@register("F17_extract_code")
+def _blocks_sql(pattern: str) -> str:
+    found = f"list_transform(regexp_extract_all(model_output, '{pattern}', 1), lambda b: regexp_replace(b, '^{WS_SQL}+|{WS_SQL}+$', '', 'g'))"
+    return f"CASE WHEN len({found}) > 0 THEN array_to_string({found}, chr(10) || chr(10)) END"
+
+
+_BLOCKS = f"coalesce({_blocks_sql('(?s)<code>(.*?)</code>')}, {_blocks_sql('(?s)```(?:python|py)(.*?)' + chr(10) + '```')})"
+
+
+# without a block, a text of these steps is an annotated name (it parses as Python) or prose
+@register("F17_extract_code",
+          with_steps(f"""SELECT event_id,
+  CASE WHEN b IS NOT NULL AND b <> '' THEN b WHEN starts_with(model_output, 'Action: {{') THEN model_output END AS code,
+  CASE WHEN (b IS NOT NULL AND b <> '') OR starts_with(model_output, 'Action: {{') THEN 'ok'
+       WHEN contains(model_output, 'final') AND contains(model_output, 'answer') THEN 'final_answer_hint' ELSE 'no_code' END AS status
+FROM (SELECT event_id, model_output, {_BLOCKS} AS b FROM steps WHERE model_output IS NOT NULL) x"""))
 def extract_code(spark, sf_dir):
-    # the "text parses as Python" fallback has no SQL form: rows-only check
     st = steps(spark, sf_dir).where(F.col("model_output").isNotNull())
     return st.select("event_id", TX.extract_code("model_output").alias("c")).select("event_id", "c.*")
 

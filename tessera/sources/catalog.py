@@ -39,21 +39,35 @@ def load_dataset(spark: SparkSession, path: str, name: str | None = None, schema
 
 def read_run_files(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """S3: JSONL files of a folder; the file stem becomes ``agent_name`` and a
-    null prediction reads as "No prediction"."""
+    null prediction reads as "No prediction". Where Spark wrote the file, the
+    folder it wrote (``x.jsonl`` or ``key=x.jsonl``) gives the stem, as part
+    files have names of their own."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
-    df = df.withColumn("agent_name", stem)
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    stem = F.regexp_extract(F.regexp_replace(file, "^[^=]*=", ""), r"^([^.]*)", 1)
+    df = df.withColumn("agent_name", F.url_decode(stem))
     if "prediction" in df.columns:
         df = df.withColumn("prediction", F.coalesce(F.col("prediction"), F.lit("No prediction")))
     return df
 
 
+def read_catalog(spark: SparkSession, path: str, keys=("market", "segment"), schema: str | None = None,
+                 fmt: str = "parquet") -> DataFrame:
+    """All folders of a partitioned catalog in one read, with their keys as
+    text columns; differing schemas are aligned by name."""
+    reader = spark.read.option("mergeSchema", True).option("header", True)
+    if schema is not None:
+        reader = reader.schema(schema + "".join(f", {k} string" for k in keys))
+    df = reader.format(fmt).load(path)
+    return df.select(*[c for c in df.columns if c not in keys], *[F.col(k).cast("string") for k in keys])
+
+
 def union_catalog(spark: SparkSession, entries, reader=None) -> DataFrame:
-    """Read every (market, segment, path) entry and stack them with their
-    keys as columns; differing schemas are aligned by name."""
+    """Flat entries (market, segment, path) that share no folder, stacked with
+    their keys as columns; differing schemas are aligned by name."""
     reader = reader or (lambda p: spark.read.parquet(p))
     out = None
     for market, segment, path in entries:
@@ -82,9 +96,11 @@ def write_partitioned(df: DataFrame, path: str, keys=("market", "segment"), fmt:
         w.format(fmt).save(path)
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    """Append-only JSON lines sink (new files per write; no lock needed)."""
-    df.write.mode("append").json(path)
+def append_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Append-only JSON lines sink (new files per write; no lock needed), in
+    one pass over ``df`` even with a folder for each value of ``by``."""
+    w = df.write.mode("append")
+    (w.partitionBy(by) if by else w).json(path)
 
 
 def export_submission(df: DataFrame, path: str, columns: dict[str, str]) -> DataFrame:

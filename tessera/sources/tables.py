@@ -30,9 +30,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
             raise ValueError(f"columns not found in {name}: {missing}; available: {df.columns}")
         df = df.select(*columns)
     return df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register every driver table as a temp view (name = table name)."""
-    for n in names:
-        spark.read.parquet(table_path(sf_dir, n)).createOrReplaceTempView(n)
