@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera.plans.registry import all_queries  # noqa: E402
-from tessera.session import build_session  # noqa: E402
+from tessera.session import build_session, drop_cuts  # noqa: E402
 
 HEADLINE = [
     "A1_flow_payment_by_statement_month",
@@ -54,6 +54,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "spark": spark.version}))
+    drop_cuts(spark)
     spark.stop()
 
 

@@ -9,6 +9,7 @@ folder from ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -66,11 +67,14 @@ def ensure_python_path(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/S3/...) folder there and we use it as is.
-    Only when it is unset, as in local tests, a fresh scratch folder is made.
+    A cluster names a shared (HDFS/S3/...) folder there and we use it as is. It
+    may be unset only where driver and executors are one process (master
+    ``local``), as in tests; then a fresh scratch folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -78,19 +82,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def cuts_dir(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and
     read it back.
 
     Used where an intermediate is read by several branches of a plan; it
     survives executor loss because the data sits in the shared folder, not
-    on a machine-local disk, and later stages read it column-pruned.
+    on a machine-local disk, and later stages read it column-pruned. The files
+    stay until ``drop_cuts``: a lazy result may still read them.
     """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"cut-{uuid.uuid4().hex}")
+    path = f"{cuts_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, when no frame that
+    reads them is needed any more (at the end of a job)."""
+    from pyarrow import fs
+
+    folder = cuts_dir(spark)
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
 
 
 def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 128 * 1024 * 1024,

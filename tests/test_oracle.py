@@ -13,6 +13,11 @@ ORACLES = E.oracle_sql()
 NAMES = sorted(E.queries())
 
 
+#: Queries that run a tokenizer, a parser of whole texts or a model; no SQL does.
+WITHOUT_SQL = {"D1_D3_pages_to_markdown", "D4_chunk_documents", "U3_dedupe_chunks", "D5_T4_bm25_top10_chunks",
+               *(n for n in NAMES if n.startswith("op") or n == "pipeline")}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -51,7 +56,7 @@ def test_query_matches_oracle(spark, con, name):
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in ORACLES:
-        assert len(got) >= 0
+        assert got and name in WITHOUT_SQL  # these have tests of their own against plain versions
         return
     rel = con.execute(ORACLES[name])
     dcols = [d[0] for d in rel.description]
