@@ -181,7 +181,7 @@ def pages_markdown(spark, sf_dir):
 
 
 # tag by tag, with plain string functions for the address
-LINKS_SQL = """
+LINKS_SQL = r"""
 SELECT page_id, CAST(i - 1 AS INTEGER) AS link_index, href, trim(regexp_replace(body, '<[^>]*>', '', 'g')) AS text,
   (strpos(href, ':') = 0 OR NOT regexp_matches(split_part(href, ':', 1), '^[A-Za-z][A-Za-z0-9+.-]*$')
    OR lower(split_part(href, ':', 1)) IN ('http', 'https', 'file')) AS kept
