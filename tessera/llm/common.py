@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import cuts_dir, ensure_checkpoint_dir
 from ..sources.tables import read_table
 
 #: Bytes of text an operator turns into Python objects at once.
@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"
+    return f"{cuts_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
