@@ -4,6 +4,7 @@ can be memory-mapped; all look-ups work on many queries at once."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -13,21 +14,6 @@ _ONES = _BITS.sum(axis=1).astype(np.int64)
 _PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)
 
 
-def _select(words: np.ndarray, before: np.ndarray, r: np.ndarray, ones: bool) -> np.ndarray:
-    """Positions of the r-th ones (or zeros) of a bit vector of 64-bit words;
-    ``before`` has the number of ones ahead of each word, and their sum."""
-    ahead = before if ones else np.arange(len(before)) * 64 - before
-    w = np.searchsorted(ahead, r, "right") - 1
-    left = r - ahead[w]
-    bits = words[w] if ones else ~words[w]
-    parts = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_ONES[parts], axis=1)
-    part = (upto <= left[:, None]).sum(axis=1)
-    row = np.arange(len(r))
-    left -= np.where(part > 0, upto[row, np.maximum(part - 1, 0)], 0)
-    return w * 64 + part * 8 + _PLACE[parts[row, part], left]
-
-
 @dataclass
 class EliasFano:
     """A monotone sequence of ``n`` numbers: ``low`` bits of each in ``lows``,
@@ -35,9 +21,8 @@ class EliasFano:
 
     n: int
     low: int
-    highs: np.ndarray   # 64-bit words of the unary part
-    before: np.ndarray  # ones ahead of each word
-    lows: np.ndarray    # 64-bit words of the low bits
+    highs: np.ndarray  # bytes of the unary part
+    lows: np.ndarray   # 64-bit words of the low bits
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -47,10 +32,9 @@ class EliasFano:
         low = max(0, (top // n).bit_length() - 1) if n else 0
         high = (values >> np.uint64(low)).astype(np.int64)
         size = (top >> low) + n + 1
-        bits = np.zeros(-(-size // 64) * 64, np.uint8)
+        bits = np.zeros(-(-size // 8) * 8, np.uint8)
         bits[high + np.arange(n)] = 1
-        highs = np.packbits(bits, bitorder="little").view(np.uint64)
-        before = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(axis=1, dtype=np.int64))])
+        highs = np.packbits(bits, bitorder="little")
         # low bits: each number ends up in one word or in two
         words = np.zeros(-(-n * low // 64) + 1, np.uint64)
         if low:
@@ -60,7 +44,23 @@ class EliasFano:
             np.bitwise_or.at(words, word, rest << shift)
             over = shift + np.uint64(low) > 64
             np.bitwise_or.at(words, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, low, highs, before, words)
+        return cls(n, low, highs, words)
+
+    @cached_property
+    def _ones_ahead(self) -> np.ndarray:
+        """Ones ahead of each byte: the directory of ``_select``, made when a
+        sequence is first asked and not stored."""
+        return np.concatenate([[0], np.cumsum(_ONES[self.highs])])
+
+    @cached_property
+    def _zeros_ahead(self) -> np.ndarray:
+        return np.arange(len(self.highs) + 1) * 8 - self._ones_ahead
+
+    def _select(self, r: np.ndarray, ones: bool) -> np.ndarray:
+        """Positions of the r-th ones (or zeros) of the unary part."""
+        ahead = self._ones_ahead if ones else self._zeros_ahead
+        at = np.searchsorted(ahead, r, "right") - 1
+        return at * 8 + _PLACE[self.highs[at] if ones else ~self.highs[at], r - ahead[at]]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -74,23 +74,29 @@ class EliasFano:
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``."""
-        high = (_select(self.highs, self.before, i, True) - i).astype(np.uint64)
+        high = (self._select(i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """For each x the first place whose number is x or more (``n`` if none)."""
         x = np.asarray(x, np.uint64)
         high = (x >> np.uint64(self.low)).astype(np.int64)
-        zeros = len(self.highs) * 64 - self.n
-        # numbers with a smaller high part stand ahead of its (high - 1)-th zero
-        place = np.where(high > 0, _select(self.highs, self.before, np.clip(high - 1, 0, zeros - 1), False) - high + 1, 0)
-        place = np.where(high - 1 >= zeros, self.n, place)
-        open_ = np.flatnonzero(place < self.n)
-        while len(open_):  # on within the few numbers of one high part
-            open_ = open_[self[place[open_]] < x[open_]]
-            place[open_] += 1
-            open_ = open_[place[open_] < self.n]
-        return place
+        begin, end = self._starts(high), self._starts(high + 1)
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):  # binary search within the numbers of one high part
+            mid = (begin[open_] + end[open_]) >> 1
+            less = self[mid] < x[open_]
+            begin[open_[less]] = mid[less] + 1
+            end[open_[~less]] = mid[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        return begin
+
+    def _starts(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a smaller high part: as many ones as stand ahead
+        of the zero that ends the part before."""
+        zeros = len(self.highs) * 8 - self.n
+        at = self._select(np.clip(high - 1, 0, zeros - 1), False) - high + 1
+        return np.where(high <= 0, 0, np.where(high > zeros, self.n, at))
 
 
 class BigramTrie:
@@ -146,8 +152,7 @@ class BigramTrie:
         out = {"codes": self.codes}
         for part in self.PARTS:
             e = getattr(self, part)
-            out |= {f"{part}.shape": np.array([e.n, e.low], np.int64), f"{part}.highs": e.highs,
-                    f"{part}.before": e.before, f"{part}.lows": e.lows}
+            out |= {f"{part}.shape": np.array([e.n, e.low], np.int64), f"{part}.highs": e.highs, f"{part}.lows": e.lows}
         return out
 
     @classmethod
@@ -156,6 +161,5 @@ class BigramTrie:
         levels = []
         for part in cls.PARTS:
             n, low = (int(x) for x in read(f"{part}.shape", np.int64))
-            levels.append(EliasFano(n, low, *(read(f"{part}.{x}", t) for x, t in
-                                              (("highs", np.uint64), ("before", np.int64), ("lows", np.uint64)))))
+            levels.append(EliasFano(n, low, read(f"{part}.highs", np.uint8), read(f"{part}.lows", np.uint64)))
         return cls(*levels, read("codes", np.uint8))

@@ -36,7 +36,7 @@ MU = 10.0
 #: Lowest logarithm (base 10) of the scale of codes; 0 stands for no such pair.
 LOWEST = -10.0
 #: Bytes of text in a slice, and of text for each bucket of words and shard of pairs.
-SLICE, BUCKET = 16 << 20, 16 << 20
+SLICE, BUCKET = 8 << 20, 8 << 20
 #: Fold that is held out of training: crc32(doc_id) mod FOLDS == HELD_OUT.
 FOLDS, HELD_OUT = 7, 2
 
