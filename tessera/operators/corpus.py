@@ -198,8 +198,8 @@ def _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema
 def retrieved_text(ranked: DataFrame, query_key: str, text_col: str, rank_col: str = "rank") -> DataFrame:
     """The retrieved-documents text block per query (items numbered from 0
     in rank order)."""
-    item = F.concat(F.lit("\n\n===== Document "), (F.col(rank_col) - 1).cast("string"),
-                    F.lit(" =====\n"), F.col(text_col))
+    before, after = RETRIEVED_ITEM.split("{i}")
+    item = F.concat(F.lit(before), (F.col(rank_col) - 1).cast("string"), F.lit(after), F.col(text_col))
     return ranked.select(query_key, rank_col, item.alias("__item")).groupBy(query_key).agg(
         F.concat(F.lit(RETRIEVED_HEADER),
                  F.expr(f"listagg(__item, '') WITHIN GROUP (ORDER BY {rank_col})")).alias("retrieved"))

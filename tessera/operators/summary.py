@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .backtest import TARGETS, Target, apply_row_filter
+from .backtest import TARGETS, apply_row_filter
 
 
 def monthly_summary(df: DataFrame, targets=TARGETS, full_horizon: int = 28,

@@ -36,11 +36,14 @@ def register(name: str, oracle: str | None = None, headline: bool = False):
 
 def all_queries() -> dict[str, QuerySpec]:
     # importing the plan modules fills the registry
-    from . import backtest_plans  # noqa: F401
-    for mod in ("metric_plans", "report_plans", "eval_plans", "trace_plans", "corpus_plans", "source_plans", "stream_plans"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # plan module not written yet
-            if mod not in str(e):
-                raise
+    from . import (  # noqa: F401
+        backtest_plans,
+        corpus_plans,
+        eval_plans,
+        metric_plans,
+        report_plans,
+        source_plans,
+        stream_plans,
+        trace_plans,
+    )
     return dict(_REGISTRY)
