@@ -7,12 +7,13 @@ from .language import op7_language_id
 from .language_model import op4_lm_scoring
 from .licenses import op1_license_scans
 from .near_duplicates import op8_ngram_jaccard_join
+from .oracles import ORACLES
 from .packing import op3_best_fit_packing
 from .pieces import op9_sentencepiece
 from .quality import op5_quality_rules
 from .substrings import op6_suffix_array_dedup
 from .tokens import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_suffix_array_dedup, op7_language_id, op8_ngram_jaccard_join,
-                                   op9_sentencepiece, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scans, op2_token_counts, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_suffix_array_dedup,
+    op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_fingerprints)}
