@@ -48,8 +48,9 @@ class PieceCoder:
         n = m.get_piece_size()
         normal = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.is_byte = np.zeros(n, bool)
-        self.is_byte[self.byte] = True
+        self.is_byte = [0] * n
+        for i in self.byte:
+            self.is_byte[i] = 1
         self.unknown = min(m.get_score(i) for i in normal) - UNKNOWN_COST
         self.automaton = ahocorasick.Automaton()
         self.text = [b""] * n
@@ -101,10 +102,26 @@ class PieceCoder:
         return b"".join(map(self.text.__getitem__, ids))[1:]
 
 
+class PartMemo(dict):
+    """What each part encodes to: ids as bytes, score, number of byte pieces, and
+    what the ids decode to."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.coder = PieceCoder(path)
+
+    def __missing__(self, part: str) -> tuple[bytes, float, int, bytes]:
+        ids, score = self.coder.best(part)
+        text = self.coder.text
+        own = self[part] = (np.array(ids, "<u4").tobytes(), score, sum(map(self.coder.is_byte.__getitem__, ids)),
+                            b"".join([text[i] for i in ids]))
+        return own
+
+
 @lru_cache(1)
-def coder_and_memo(path: str) -> tuple[PieceCoder, dict[str, tuple[bytes, float]]]:
-    """One coder, and one memo of parts, for all tasks that a Python worker runs."""
-    return PieceCoder(path), {}
+def part_memo(path: str) -> PartMemo:
+    """One memo for all tasks that a Python worker runs."""
+    return PartMemo(path)
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -120,23 +137,18 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     columns = COLUMNS + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        coder, known = coder_and_memo(path)
+        known = part_memo(path)
         for part in text_slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()
             out = [[] for _ in columns]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part)):
-                cuts, raw = coder.parts(text), text.encode()
-                for p in set(cuts).difference(known):
-                    ids, s = coder.best(p)
-                    known[p] = (np.array(ids, "<u4").tobytes(), s)
-                best = list(map(known.__getitem__, cuts))
-                packed = b"".join([b for b, _ in best])
-                ids = np.frombuffer(packed, "<u4")
-                decoded = coder.decode(ids.tolist())
-                row = [doc_id, len(raw), len(ids), int(coder.is_byte[ids].sum()), float(sum(s for _, s in best)),
+                best = list(map(known.__getitem__, known.coder.parts(text)))
+                packed, raw = b"".join([x[0] for x in best]), text.encode()
+                decoded = b"".join([x[3] for x in best])[1:]  # without the added space
+                row = [doc_id, len(raw), len(packed) // 4, sum([x[2] for x in best]), float(sum([x[1] for x in best])),
                        zlib.crc32(packed), hashlib.sha256(decoded).hexdigest(), decoded == raw]
-                for c, v in zip(out, row + [ids.tolist()] * with_ids):
+                for c, v in zip(out, row + [np.frombuffer(packed, "<u4").tolist()] * with_ids):
                     c.append(v)
             yield table(columns, out)
 
