@@ -15,8 +15,10 @@ what repeats is found first, and suffix arrays are built of that alone.
    those of a bucket before anything is sorted. Later ones repeat as a whole.
 4. The distinct contexts of a bucket are the shards: Larsson-Sadakane suffix
    arrays and Kasai's common prefixes show which windows are equal. An anchor
-   with more contexts than a shard holds goes on in the next one, and the
-   classes of the two are merged by binary search.
+   whose contexts go on in the next shard is merged there by binary search. The
+   contexts of an anchor that is met ``HOT`` times or more are dealt over all
+   buckets, and the distinct windows of those shards, as digests, are merged in
+   buckets of their own: no anchor meets in one task.
 5. The repeated windows go back to their slices, as numbers.
 
 Buckets, slices and shards have sizes of their own, whatever the input.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +46,15 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of text in a slice, of text for each bucket, and of a shard.
 SLICE, BUCKET, SHARD = 8 << 20, 8 << 20, 1 << 20
+#: Occurrences from which on an anchor is dealt over all buckets.
+HOT = 10_000
 #: Positions whose anchors are sought at once (arrays of this size stay in cache).
 BLOCK = 1 << 16
 
 _ANY = np.dtype([("doc", "<u4"), ("start", "<u8"), ("n", "<u4")])
+_COUNT = np.dtype([("hash", "<u8"), ("n", "<u4")])
+_ANCHOR = np.dtype([("hash", "<u8"), ("hot", "?")])
+_WINDOW = np.dtype([("digest", "S16"), ("id", "<i8"), ("slice", "<i8"), ("doc", "<u4"), ("start", "<u8")])
 _CONTEXT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("start", "<u8"), ("n", "u1"), ("anchor", "u1")])
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -99,36 +107,48 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*runs))
 
 
-def _repeated_anchors(made: DataFrame, buckets: int, folder: str) -> None:
-    """Write for each slice its anchor hashes that are met twice or more."""
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of the keys that fall into each bucket."""
+    of = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(keys) else ():
+        yield int(of[own[0]]), own
+
+
+def _repeated_anchors(made: DataFrame, buckets: int, folder: str, hot: int) -> None:
+    """Write for each slice its anchor hashes that are met twice or more, and
+    whether they are met ``hot`` times or more."""
     names = [("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())]
 
     def ask(batches):
         for number, part in slice_rows(batches):
             h, n = np.unique(anchor_runs(utf8(part))[0], return_counts=True)
-            h = np.repeat(h, np.minimum(n, 2))
-            of = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(of, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(h) else ():
-                yield table(names, [[int(of[own[0]])], [number], [h[own].tobytes()]])
+            data = np.zeros(len(h), _COUNT)
+            data["hash"], data["n"] = h, n
+            for bucket, own in _dealt(h, buckets):
+                yield table(names, [[bucket], [number], [data[own].tobytes()]])
 
     def answer(batches):
         for _, rows in by_key(batches, "bucket", "slice", "data"):
-            asked = [(number, np.frombuffer(d, np.uint64)) for number, d in rows]
-            h, n = np.unique(np.concatenate([a for _, a in asked]), return_counts=True)
-            h = h[n > 1]
+            asked = [(number, np.frombuffer(d, _COUNT)) for number, d in rows]
+            every = np.concatenate([a for _, a in asked])
+            h, place = np.unique(every["hash"], return_inverse=True)
+            n = np.bincount(place, every["n"], len(h))
             for number, own in asked:
-                own = np.unique(own)
-                if len(own := own[np.isin(own, h, assume_unique=True)]):
-                    yield table(names[1:], [[number], [own.tobytes()]])
+                met = n[np.searchsorted(h, own["hash"])]
+                data = np.zeros(int((met > 1).sum()), _ANCHOR)
+                data["hash"], data["hot"] = own["hash"][met > 1], met[met > 1] >= hot
+                if len(data):
+                    yield table(names[1:], [[number], [data.tobytes()]])
 
     asked = made.mapInArrow(ask, "bucket int, slice long, data binary")
     write_by_slice(deal(asked, "bucket").mapInArrow(answer, "slice long, data binary"), folder)
 
 
 def _contexts(made: DataFrame, buckets: int, folder: str) -> DataFrame:
-    """The contexts of repeated anchors, the earliest of equal ones in a slice;
-    the windows of later ones come as rows of a negative bucket."""
+    """The contexts of repeated anchors, the earliest of equal ones in a slice, in
+    the bucket of their anchor or, for a hot one, in one by their bytes, numbered
+    from ``buckets`` on; the windows of later ones come as rows of a negative bucket."""
     names = [("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary()), ("text", pa.binary())]
 
     def run(batches):
@@ -136,13 +156,16 @@ def _contexts(made: DataFrame, buckets: int, folder: str) -> DataFrame:
         for number, part in slice_rows(batches):
             texts = utf8(part)
             h, at, doc, start, n = anchor_runs(texts)
-            own = np.flatnonzero(np.isin(h, np.sort(read_slice(folder, number, np.uint64))))
-            if not len(own):
+            known = np.sort(read_slice(folder, number, _ANCHOR), order="hash")
+            if not len(known):
                 continue
+            place = np.minimum(np.searchsorted(known["hash"], h), len(known) - 1)
+            own = np.flatnonzero(known["hash"][place] == h)
             ids = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False)
             own = own[np.lexsort((start[own], doc[own], ids[doc[own]]))]
             begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             h, anchor, doc, start, n = h[own], (at - start)[own], doc[own], (start - begin[doc])[own], n[own]
+            hot = known["hot"][place[own]]
             seen, first, later, cuts = set(), [], [], []
             for i, (d, s, k) in enumerate(zip(doc.tolist(), start.tolist(), n.tolist())):
                 text = texts[d][s: s + k + LENGTH - 1]
@@ -159,11 +182,13 @@ def _contexts(made: DataFrame, buckets: int, folder: str) -> DataFrame:
             data = np.zeros(len(first), _CONTEXT)
             data["id"], data["doc"], data["start"] = ids[doc[first]], doc[first], start[first]
             data["n"], data["anchor"] = n[first], anchor[first]
-            of = (h[first] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(of, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                yield table(names, [[int(of[group[0]])], [number], [data[group].tobytes()],
-                                    [press.compress(b"".join([cuts[i] for i in group.tolist()]))]])
+            key, hot = h[first], hot[first]
+            key[hot] = [xxhash.xxh64_intdigest(cuts[i]) for i in np.flatnonzero(hot).tolist()]
+            for kind, base in ((np.flatnonzero(~hot), 0), (np.flatnonzero(hot), buckets)):
+                for bucket, group in _dealt(key[kind], buckets):
+                    group = kind[group]
+                    yield table(names, [[base + bucket], [number], [data[group].tobytes()],
+                                        [press.compress(b"".join([cuts[i] for i in group.tolist()]))]])
 
     return made.mapInArrow(run, "bucket int, slice long, data binary, text binary")
 
@@ -201,40 +226,54 @@ class _Bucket:
             data["doc"], data["start"], data["n"] = own[first, 1], own[first, 2], np.add.reduceat(own[:, 3], first)
             yield int(own[0, 0]), data.tobytes()
 
-    def compare(self, shard_bytes: int = SHARD) -> None:
-        """Find the equal windows of the distinct contexts, shard by shard in the
-        order of their anchors."""
-        if not self.earliest:
-            return
+    def _shards(self, shard_bytes: int) -> Iterator[tuple]:
+        """The shards in the order of their anchors: places of the contexts, their
+        anchors, and the distinct windows (``_windows``)."""
         texts = list(self.earliest)
-        place = np.array(list(self.earliest.values()), np.int64)
+        self.place = place = np.array(list(self.earliest.values()), np.int64).reshape(-1, 6)
         # documents in order, so that a window's place is one number
         by_doc = np.lexsort((place[:, 2], place[:, 1], place[:, 0]))
         new = np.any(place[by_doc][1:, :3] != place[by_doc][:-1, :3], axis=1)
-        rank = np.empty(len(texts), np.int64)
-        rank[by_doc] = np.concatenate([[0], np.cumsum(new)])
+        self.rank = np.empty(len(texts), np.int64)
+        self.rank[by_doc] = np.concatenate([[0], np.cumsum(new)])
         anchor = _anchor_hashes(texts, place[:, 5])
         order = np.argsort(anchor, kind="stable")
         size = np.cumsum([len(texts[k]) for k in order.tolist()])
-        cuts = np.flatnonzero(np.diff(size // shard_bytes)) + 1
-        carried = None
-        for shard in np.split(order, cuts):
-            strings, key, who, h, repeats = _windows([texts[k] for k in shard.tolist()], place[shard], rank[shard], anchor[shard])
+        for shard in np.split(order, np.flatnonzero(np.diff(size // shard_bytes)) + 1):
+            windows, repeats = _windows([texts[k] for k in shard.tolist()], place[shard], self.rank[shard])
             self.windows.append(repeats)
+            yield shard, anchor[shard], windows
+
+    def compare(self, shard_bytes: int = SHARD) -> None:
+        """Find the equal windows of the distinct contexts; an anchor that goes on
+        in the next shard is merged there."""
+        carried = None
+        for _, h, windows in self._shards(shard_bytes) if self.earliest else ():
             if carried is not None and carried[0] == h[0]:
-                own = anchor[shard[who]] == carried[0]
-                carried, late = _merge(carried, strings[own], key[own])
-                self._late(late, rank, place)
-                if h[-1] == carried[0]:
+                strings, key, _ = windows(h == h[0])
+                carried, late = _merge(carried, strings, key)
+                self._late(late)
+                if h[-1] == h[0]:
                     continue
-            own = anchor[shard[who]] == h[-1]
-            carried = (h[-1], strings[own], key[own])
-
-    def _late(self, keys: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
+            strings, key, _ = windows(h == h[-1])
+            carried = (h[-1], strings, key)
+
+    def digests(self, shard_bytes: int = SHARD) -> Iterator[np.ndarray]:
+        """Find the equal windows within each shard, and give the distinct ones to
+        be merged with those of all other shards."""
+        for shard, h, windows in self._shards(shard_bytes) if self.earliest else ():
+            strings, key, who = windows(np.ones(len(h), bool))
+            out = np.zeros(len(strings), _WINDOW)
+            out["digest"] = [hashlib.blake2b(x, digest_size=16).digest() for x in strings.tolist()]
+            out["id"], out["slice"], out["doc"] = self.place[shard[who]][:, :3].T
+            out["start"] = key & ((1 << 40) - 1)
+            yield out
+
+    def _late(self, keys: np.ndarray) -> None:
         """Note the windows of these keys as repeats."""
-        doc = np.empty(int(rank.max()) + 1, np.int64)
-        doc[rank] = np.arange(len(rank))
-        own = place[doc[keys >> 40]]
+        doc = np.empty(int(self.rank.max()) + 1, np.int64)
+        doc[self.rank] = np.arange(len(self.rank))
+        own = self.place[doc[keys >> 40]]
         self.windows.append(np.column_stack([own[:, 1], own[:, 2], keys & ((1 << 40) - 1), np.ones(len(keys), np.int64)]))
 
 
@@ -249,10 +288,10 @@ def _anchor_hashes(texts: list[bytes], at: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _windows(texts: list[bytes], place: np.ndarray, rank: np.ndarray, anchor: np.ndarray) -> tuple:
-    """The distinct windows of a shard in the order of their bytes: strings, keys
-    (rank of the document, start) of the earliest, its context, the anchors of the
-    shard's contexts; and the windows that are equal to an earlier one."""
+def _windows(texts: list[bytes], place: np.ndarray, rank: np.ndarray) -> tuple:
+    """The windows of a shard that are equal to an earlier one, and a function that
+    gives the distinct windows of chosen contexts in the order of their bytes:
+    strings, keys (rank of the document, start) of the earliest, its context."""
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     array, ranks = suffix_array(buffer, LENGTH)
     shared = common_prefixes(buffer, array, ranks, LENGTH)
@@ -268,11 +307,13 @@ def _windows(texts: list[bytes], place: np.ndarray, rank: np.ndarray, anchor: np
     late, early = order[~first], order[first]
     repeats = np.column_stack([place[owner[late], 1], place[owner[late], 2], place[owner[late], 3] + nth[late],
                                np.ones(len(late), np.int64)])
-    # only the anchors that stand first and last can go on in another shard
-    ends = np.isin(anchor[owner[early]], anchor[[0, -1]])
-    early = early[ends]
-    strings = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)[at[early]].view(f"S{LENGTH}").ravel()
-    return strings, key[early], owner[early], anchor, repeats
+    rows = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
+
+    def distinct(chosen: np.ndarray) -> tuple:
+        some = early[chosen[owner[early]]]
+        return rows[at[some]].view(f"S{LENGTH}").ravel(), key[some], owner[some]
+
+    return distinct, repeats
 
 
 def _merge(carried: tuple, strings: np.ndarray, key: np.ndarray) -> tuple[tuple, np.ndarray]:
@@ -289,25 +330,42 @@ def _merge(carried: tuple, strings: np.ndarray, key: np.ndarray) -> tuple[tuple,
     return (anchor, both[order], keys[order]), late
 
 
-def _repeated_windows(contexts: DataFrame, folder: str) -> None:
+def _repeated_windows(contexts: DataFrame, buckets: int, folder: str) -> None:
     """Write for each slice its windows that start earlier as well."""
-    names = [("slice", pa.int64()), ("data", pa.binary())]
+    names = [("slice", pa.int64()), ("data", pa.binary()), ("bucket", pa.int32())]
 
     def run(batches):
         for bucket, rows in by_key(batches, "bucket", "slice", "data", "text"):
             found = _Bucket()
             for number, data, text in rows:
                 if bucket < 0:
-                    yield table(names, [[number], [data]])
+                    yield table(names, [[number], [data], [None]])
                     continue
                 found.add(number, data, text)
                 if len(found.copies) > 1 << 17:
-                    yield from (table(names, [[s], [d]]) for s, d in found.rows())
-            if bucket >= 0:
+                    yield from (table(names, [[s], [d], [None]]) for s, d in found.rows())
+            if 0 <= bucket < buckets:
                 found.compare()
-                yield from (table(names, [[s], [d]]) for s, d in found.rows())
+            elif bucket >= buckets:
+                for windows in found.digests():
+                    key = np.frombuffer(windows["digest"].tobytes(), "<u8")[::2]
+                    for to, own in _dealt(key, buckets):
+                        yield table(names, [[None], [windows[own].tobytes()], [to]])
+            yield from (table(names, [[s], [d], [None]]) for s, d in found.rows())
+
+    def merge(batches):
+        for _, rows in by_key(batches, "bucket", "data"):
+            w = np.concatenate([np.frombuffer(d, _WINDOW) for d, in rows])
+            w = w[np.lexsort((w["start"], w["doc"], w["slice"], w["id"], w["digest"]))]
+            late = w[1:][w["digest"][1:] == w["digest"][:-1]]
+            found = _Bucket()
+            found.windows.append(np.column_stack([late["slice"], late["doc"], late["start"].astype(np.int64),
+                                                  np.ones(len(late), np.int64)]).astype(np.int64))
+            yield from (table(names[:2], [[s], [d]]) for s, d in found.rows())
 
-    write_by_slice(deal(contexts, "bucket", "slice").mapInArrow(run, "slice long, data binary"), folder)
+    found = cut(deal(contexts, "bucket", "slice").mapInArrow(run, "slice long, data binary, bucket int"), "found")
+    merged = deal(found.where("bucket is not null"), "bucket").mapInArrow(merge, "slice long, data binary")
+    write_by_slice(found.where("bucket is null").select("slice", "data").unionByName(merged), folder)
 
 
 def _removed(texts: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
@@ -321,18 +379,18 @@ def _removed(texts: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
     return [covered[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
+def find_repeats(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, str]:
     """The slices of ``docs`` and the folder that has the repeated windows of each."""
     made = cut(slices(docs, SLICE), "slices")
     size = made.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, size // BUCKET)
     anchors, windows = (shared_dir(docs.sparkSession, x) for x in ("anchors", "windows"))
-    _repeated_anchors(made, buckets, anchors)
-    _repeated_windows(_contexts(made, buckets, anchors), windows)
+    _repeated_anchors(made, buckets, anchors, hot)
+    _repeated_windows(_contexts(made, buckets, anchors), buckets, windows)
     return made, windows
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 of the bytes that no string of ``LENGTH`` bytes covers that also
     starts earlier: in a row with a smaller doc_id or, in the same row, before.
@@ -342,7 +400,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     are empty, and texts of fewer than ``LENGTH`` bytes keep all. An empty table
     gives no rows; other columns are not read.
     """
-    made, windows = find_repeats(docs.select("doc_id", "text"))
+    made, windows = find_repeats(docs.select("doc_id", "text"), hot)
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
              ("kept_sha256", pa.string())]
 

@@ -144,9 +144,10 @@ def _digest(rows):
 DIGEST = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def test_repeated_bytes(odd, small, nothing, odd_rows, small_rows):
+@pytest.mark.parametrize("hot", [2, 5, substrings.HOT])
+def test_repeated_bytes(odd, small, nothing, odd_rows, small_rows, hot):
     for df, rows in ((small, [r[:2] for r in small_rows]), (odd, [r[:2] for r in odd_rows])):
-        assert rows_of(substrings.repeated_bytes(df), *DIGEST) == _digest(rows)
+        assert rows_of(substrings.repeated_bytes(df, hot), *DIGEST) == _digest(rows)
     assert substrings.repeated_bytes(nothing).count() == 0
 
 
