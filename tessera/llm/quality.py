@@ -151,6 +151,7 @@ def repeated_words(ids: np.ndarray, width: int = 3) -> int:
 def judge(docs: DataFrame, refs: References) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base counts and the verdict.
 
+    Distances are rounded to 1e-9, so they do not depend on the order of sums.
     ``kept`` is false if a base rule fails, or if the text is long enough to be
     compared and lies too far from every language. A null or empty text has no
     words and fails the base rules. Without references nothing is compared. A
@@ -198,7 +199,7 @@ def _judged(text: str, refs: References, classes: CharClasses, hashes: WordHashe
     if refs.langs:
         if len(text) >= MIN_CHARS:
             by_char = js_distance(classes.histogram(text), refs.chars)
-            char_d = float(by_char.min())
+            char_d = round(float(by_char.min()), 9)
             near = refs.langs[int(np.argmin(by_char))]
         if n >= MIN_WORDS:
             seen = Counter(raw.lower().split())
@@ -209,7 +210,7 @@ def _judged(text: str, refs: References, classes: CharClasses, hashes: WordHashe
                     own[places[w]] = seen[w]
                 own[-1] = n - own.sum()
                 by_word[i] = js_distance(own, refs.counts[i: i + 1])[0]
-            word_d = float(by_word.min())
+            word_d = round(float(by_word.min()), 9)
             near = refs.langs[int(np.argmin(by_word))]
     kept = not failed and (char_d is None or char_d <= MAX_CHAR_DISTANCE) and (word_d is None or word_d <= MAX_WORD_DISTANCE)
     return (n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, kept,
