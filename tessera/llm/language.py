@@ -181,7 +181,9 @@ class _Predictor:
         begin = len(self.place)
         while begin + len(new) > len(self.sums):
             self.sums = np.concatenate([self.sums, np.empty_like(self.sums)])
-        self.sums[begin: begin + len(new)] = word_log_probs(new, self.vocab, self.log_p)
+        for at in range(0, len(new), 50_000):  # bounds the tables of the forward sums
+            some = new[at: at + 50_000]
+            self.sums[begin + at: begin + at + len(some)] = word_log_probs(some, self.vocab, self.log_p)
         self.place.update(zip(new, range(begin, begin + len(new))))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
