@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .backtest import bin_bounds, bin_index
+from .metrics import MAX_BROADCAST_GROUPS
 from .ordered import exact_quantiles
 
 
@@ -45,15 +47,16 @@ def trend_long(df: DataFrame, x: str, ys, group: str | None = None) -> DataFrame
 
 def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """Per x the quartiles, whiskers (furthest values within 1.5 IQR of
-    the box) and outlier count. Quartiles are one aggregate per x; joining
-    them back is a join against one row per x."""
+    the box) and outlier count. Quartiles are one row for each x, which goes to
+    all tasks when there are few, so the rows are not shuffled for it."""
     v = F.col(y).cast("double")
     q = exact_quantiles(df, [x], y, [0.25, 0.5, 0.75])
     q = q.select(x, F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
                  F.col("quantiles")[2].alias("q3"))
     lo = F.col("q1") - (F.col("q3") - F.col("q1")) * 1.5
     hi = F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5
-    j = df.select(x, v.alias("_v")).join(q, x)
+    q = cut_lineage(q)
+    j = df.select(x, v.alias("_v")).join(F.broadcast(q) if q.count() <= MAX_BROADCAST_GROUPS else q, x)
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
     return j.groupBy(x, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
