@@ -44,11 +44,11 @@ def tokenizer(path: str):
 
 
 def by_bytes(parts: Iterable[str], limit: int = ENCODE_BYTES) -> Iterator[list[str]]:
-    """Lists of parts of about ``limit`` characters each."""
+    """Lists of parts of about ``limit`` bytes each."""
     batch, size = [], 0
     for p in parts:
         batch.append(p)
-        size += len(p)
+        size += len(p) if p.isascii() else len(p.encode())
         if size >= limit:
             yield batch
             batch, size = [], 0
