@@ -14,6 +14,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -58,10 +59,11 @@ def deal(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 def write_by_slice(df: DataFrame, folder: str, *order: str) -> None:
     """Write what ``df`` (slice, data) has for each slice, in the order of the
-    columns ``order``, as a file of the shared folder."""
+    columns ``order``, as a compressed file of the shared folder."""
     def run(batches):
+        press = zstandard.ZstdCompressor(1)
         for number, rows in by_key(batches, "slice", "data"):
-            write_shared(f"{folder}/{number}", b"".join(d for d, in rows))
+            write_shared(f"{folder}/{number}", press.compress(b"".join(d for d, in rows)))
             yield table([("slice", pa.int64())], [[number]])
 
     deal(df, "slice", *order).mapInArrow(run, "slice long").write.format("noop").mode("overwrite").save()
@@ -70,6 +72,7 @@ def write_by_slice(df: DataFrame, folder: str, *order: str) -> None:
 def read_slice(folder: str, number: int, dtype) -> np.ndarray:
     """What was written for a slice; nothing if there was no answer for it."""
     try:
-        return map_shared(f"{folder}/{number}", dtype)
+        packed = map_shared(f"{folder}/{number}", np.uint8)
     except FileNotFoundError:
         return np.empty(0, dtype)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype)

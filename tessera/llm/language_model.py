@@ -110,7 +110,7 @@ def _count_words(made: DataFrame, buckets: int, folder: str) -> tuple[np.ndarray
     """Write for each slice the places and counts of its words; first id of each
     bucket with the number of words at the end, and the number of tokens."""
     names = [("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())]
-    asked_type = np.dtype([("hash", "<u8"), ("n", "<i8")])
+    asked_type = np.dtype([("hash", "<u8"), ("n", "<u4")])
 
     def ask(batches):
         for number, part in slice_rows(batches):
@@ -129,7 +129,7 @@ def _count_words(made: DataFrame, buckets: int, folder: str) -> tuple[np.ndarray
             every = np.concatenate([a for _, a in asked])
             hashes, place = np.unique(every["hash"], return_inverse=True)
             n = np.zeros(len(hashes), np.int64)
-            np.add.at(n, place, every["n"])
+            np.add.at(n, place, every["n"].astype(np.int64))
             rank = np.where(n > 0, np.cumsum(n > 0) - 1, -1)
             for number, own in asked:
                 at = np.searchsorted(hashes, own["hash"])
