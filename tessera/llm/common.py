@@ -20,8 +20,8 @@ from ..sources.tables import read_table
 
 #: Bytes of text an operator turns into Python objects at once.
 SLICE_BYTES = 4 << 20
-#: Entries a per-task memo of words may hold before it starts anew.
-MEMO_ENTRIES = 500_000
+#: Entries a memo of encoded words may hold before it starts anew, and one of hashes.
+MEMO_ENTRIES, HASH_ENTRIES = 500_000, 200_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +113,24 @@ def id_remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+_memo: dict = {}
+
+
+def worker_memo(key, make):
+    """What ``make`` returns, kept for the next tasks of this Python worker. A
+    worker keeps one such object: asking for another lets the last one go, so the
+    memos of several operators do not add up."""
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = make()
+    return _memo[key]
+
+
+def word_hashes() -> WordHashes:
+    """The worker's memo of word hashes."""
+    return worker_memo("word hashes", WordHashes)
+
+
 class WordHashes(dict):
     """Memo of the 64-bit hashes of words."""
 
@@ -121,7 +139,7 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > HASH_ENTRIES:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import map_shared, table, text_slices, utf8, write_shared
+from .common import map_shared, table, text_slices, utf8, worker_memo, write_shared
 
 
 def slices(docs: DataFrame, size: int) -> DataFrame:
@@ -26,6 +26,7 @@ def slices(docs: DataFrame, size: int) -> DataFrame:
     names = [("slice", pa.int64()), ("n_bytes", pa.int64()), ("rows", pa.binary())]
 
     def run(batches):
+        worker_memo("slices", dict)  # lets go of what an operator before has kept
         number = TaskContext.get().partitionId() << 32
         for part in text_slices(batches, max_bytes=size):
             sink = pa.BufferOutputStream()

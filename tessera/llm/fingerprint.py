@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, shingles, table, text_slices
+from .common import WordHashes, documents, shingles, table, text_slices, word_hashes
 
 #: One in so many shingle hashes is kept.
 SCALE = 8
@@ -68,7 +68,7 @@ def fingerprint(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     names = [("doc_id", pa.int64()), ("fingerprint", pa.string())]
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for part in text_slices(batches):
             raw = part.column("text").cast(pa.binary()).to_pylist()
             yield table(names, [part.column("doc_id"), [Sketch(x or b"", hashes, scale).text() for x in raw]])
@@ -112,7 +112,7 @@ def compare_with_next(docs: DataFrame, scale: int = SCALE) -> DataFrame:
              .sortWithinPartitions("part", "lent", F.desc("id"), "text"))
 
     def run(batches):
-        hashes, last = WordHashes(), None
+        hashes, last = word_hashes(), None
         for rows in text_slices(batches):
             out = [[] for _ in COLUMNS]
             for doc_id, text, part, lent in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "part", "lent"))):

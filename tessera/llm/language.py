@@ -16,7 +16,6 @@ from __future__ import annotations
 import string
 import uuid
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, documents, expanded, id_remainder, split_words, table, text_slices
+from .common import MEMO_ENTRIES, documents, expanded, id_remainder, split_words, table, text_slices, worker_memo
 
 #: Added to each piece's count in each language.
 SMOOTHING = 0.1
@@ -121,7 +120,7 @@ def piece_log_probs(docs: DataFrame, path: str, train: Column | None = None) ->
     names = [("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())]
 
     def run(batches):
-        vocab, counts = vocabulary(path), {}
+        vocab, counts = worker_memo(("vocabulary", path), lambda: Vocabulary(path)), {}
 
         def counted():
             for lang, own in counts.items():
@@ -170,7 +169,7 @@ class _Predictor:
     tasks that a Python worker runs with one model."""
 
     def __init__(self, path: str, langs: list[str], log_p: np.ndarray):
-        self.vocab, self.langs, self.log_p = vocabulary(path), langs, log_p
+        self.vocab, self.langs, self.log_p = Vocabulary(path), langs, log_p
         self.place: dict[str, int] = {}
         self.sums = np.empty((1 << 16, len(langs)))
 
@@ -203,21 +202,6 @@ class _Predictor:
         return pred, score
 
 
-@lru_cache(1)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-_predictors: dict[str, _Predictor] = {}
-
-
-def _predictor(model: str, path: str, langs: list[str], log_p: np.ndarray) -> _Predictor:
-    if model not in _predictors:
-        _predictors.clear()
-        _predictors[model] = _Predictor(path, langs, log_p)
-    return _predictors[model]
-
-
 def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score.
 
@@ -230,7 +214,7 @@ def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) ->
     model, name = docs.sparkSession.sparkContext.broadcast(log_p), uuid.uuid4().hex  # pieces x languages, bounded above
 
     def run(batches):
-        predict = _predictor(name, path, langs, model.value)
+        predict = worker_memo(name, lambda: _Predictor(path, langs, model.value))
         for part in text_slices(batches):
             ids = part.column("doc_id")
             held_out = [id_remainder(i, FOLDS) == HELD_OUT for i in ids.to_pylist()]
@@ -244,7 +228,7 @@ def identified(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray)
     model, name = docs.sparkSession.sparkContext.broadcast(log_p), uuid.uuid4().hex
 
     def run(batches):
-        predict = _predictor(name, path, langs, model.value)
+        predict = worker_memo(name, lambda: _Predictor(path, langs, model.value))
         for part in text_slices(batches):
             yield part.filter(pa.array([x != UNDETERMINED for x in predict(part.column("text"))[0]], pa.bool_()))
 

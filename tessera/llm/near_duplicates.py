@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, documents, mix, shingles, table, text_slices, utf8
+from .common import WordHashes, cut, documents, mix, shingles, table, text_slices, utf8, word_hashes
 
 #: Words of a shingle and the least similarity of a link.
 NGRAM, THRESHOLD = 5, 0.8
@@ -82,7 +82,7 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     names = [("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))]
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for part in text_slices(batches):
             sets = [shingles(hashes.of(x.lower().split()), NGRAM) for x in utf8(part)]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -189,7 +189,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHO
     names = [("node", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())]
 
     def run(batches):
-        hashes, key, rows = WordHashes(), None, []
+        hashes, key, rows = word_hashes(), None, []
         for part in text_slices(batches):
             found = []
             columns = [part.column(c).to_pylist() for c in ("leader", "low", "high", "own", "node", "leaders")]

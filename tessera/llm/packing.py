@@ -12,7 +12,6 @@ length tells its bin and its place there.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, cut, documents, gathered, split_words, table, text_slices
+from .common import MEMO_ENTRIES, cut, documents, gathered, split_words, table, text_slices, worker_memo
 from .tokens import by_bytes, tokenizer
 
 #: Tokens of a sequence.
@@ -89,12 +88,6 @@ class WordIds:
         return ids, places
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    """One memo for all tasks that a Python worker runs."""
-    return WordIds(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and cut: a row for each piece with its token checksum, the task
     (``slice``) that made it and its number among that task's pieces of its length.
@@ -105,7 +98,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     end = np.uint32(END_ID).tobytes()
 
     def run(batches):
-        known = word_ids(path)
+        known = worker_memo(("word ids", path), lambda: WordIds(path))
         slice_id, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for part in text_slices(batches):
             parts, index, begins = split_words(part.column("text"), lower=False)

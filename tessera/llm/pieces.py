@@ -18,13 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO_ENTRIES, documents, strings, table, text_slices
+from .common import MEMO_ENTRIES, documents, strings, table, text_slices, worker_memo
 
 #: The model's mark for a space.
 MARK = "▁"
@@ -118,12 +117,6 @@ class PartMemo(dict):
         return own
 
 
-@lru_cache(1)
-def part_memo(path: str) -> PartMemo:
-    """One memo for all tasks that a Python worker runs."""
-    return PartMemo(path)
-
-
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode and decode the texts of ``docs`` (doc_id, text).
 
@@ -137,7 +130,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     columns = COLUMNS + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        known = part_memo(path)
+        known = worker_memo(("parts", path), lambda: PartMemo(path))
         for part in text_slices(batches):
             if len(known) > MEMO_ENTRIES:
                 known.clear()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, strings, table, text_slices
+from .common import WordHashes, documents, strings, table, text_slices, word_hashes, worker_memo
 
 #: Words of a language that its reference names; all others count as one.
 COMMON_WORDS = 100
@@ -92,8 +92,8 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> References:
     names = [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]
 
     def run(batches):
-        classes = CharClasses()
-        for part in text_slices(batches, max_bytes=16 << 20):
+        classes = worker_memo("classes", CharClasses)
+        for part in text_slices(batches, max_bytes=8 << 20):
             words: dict[str, Counter] = {}
             chars: dict[str, np.ndarray] = {}
             for text, lang in zip(strings(part), part.column("lang").to_pylist()):
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, refs: References) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(refs)  # languages x (common words + classes)
 
     def run(batches):
-        refs, classes, hashes = shared.value, CharClasses(), WordHashes()
+        refs, classes, hashes = shared.value, CharClasses(), word_hashes()
         for part in text_slices(batches):
             out = [[] for _ in COLUMNS]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part)):
@@ -179,7 +179,7 @@ def kept(docs: DataFrame, refs: References) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches):
-        refs, classes, hashes = shared.value, CharClasses(), WordHashes()
+        refs, classes, hashes = shared.value, CharClasses(), word_hashes()
         for part in text_slices(batches):
             yield part.filter(pa.array([_judged(x, refs, classes, hashes)[6] for x in strings(part)], pa.bool_()))
 
