@@ -167,30 +167,48 @@ def bm25_top_k(units: DataFrame, unit_keys, text_col: str, queries: DataFrame, q
 
 
 def _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema) -> DataFrame:
-    weights: dict[str, list] = {}
+    weights: dict[str, tuple] = {}
     for q, (_, terms) in enumerate(block):
         for t in terms:
-            weights.setdefault(t["term"], []).append((q, t["n"] * t["idf"]))
+            qs, ws = weights.setdefault(t["term"], ([], []))
+            qs.append(q)
+            ws.append(t["n"] * t["idf"])
     names = [x[0] for x in block]
-    shared = units.sparkSession.sparkContext.broadcast((names, weights))  # of QUERY_BLOCK queries
+    shared = units.sparkSession.sparkContext.broadcast(
+        (names, {t: (np.array(qs), np.array(ws, np.float64)) for t, (qs, ws) in weights.items()}))  # of QUERY_BLOCK queries
+
+    def best(keys, texts, names, weights):
+        """The ``k`` best of some units for each query, a term at a time."""
+        words = [(t or "").split() for t in texts]
+        length = (1 - b) + b * np.array([len(w) for w in words]) / mean_length
+        postings: dict[str, tuple] = {}
+        for row, own in enumerate(words):
+            for term, n in Counter([w for w in own if w in weights]).items():
+                rows, counts = postings.setdefault(term, ([], []))
+                rows.append(row)
+                counts.append(n)
+        score, met = np.zeros((len(words), len(names)), np.int64), np.zeros((len(words), len(names)), bool)
+        for term, (rows, counts) in postings.items():
+            qs, w = weights[term]
+            n = np.array(counts, np.float64)[:, None]
+            part = w[None, :] * (n * (k1 + 1)) / (n + k1 * length[rows][:, None])
+            at = np.ix_(rows, qs)
+            score[at] += np.floor(part * SCORE_SCALE + 0.5).astype(np.int64)
+            met[at] = True
+        order = np.empty(len(keys), np.int64)
+        order[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+        for q in np.flatnonzero(met.any(axis=0)).tolist():
+            rows = np.flatnonzero(met[:, q])
+            for row in rows[np.lexsort((order[rows], -score[rows, q]))[:k]].tolist():
+                yield (names[q], *keys[row], score[row, q] / SCORE_SCALE)
 
     def run(batches):
         names, weights = shared.value
         for pdf in batches:
-            rows, found = pdf[unit_keys].to_numpy(object), {}
-            for row, text in enumerate(pdf[text_col]):
-                words = (text or "").split()
-                scores: dict[int, int] = {}
-                for word, n in Counter(words).items():
-                    if word in weights:
-                        denominator = n + k1 * ((1 - b) + b * len(words) / mean_length)
-                        for q, w in weights[word]:
-                            part = w * (n * (k1 + 1)) / denominator
-                            scores[q] = scores.get(q, 0) + int(np.floor(part * SCORE_SCALE + 0.5))
-                for q, s in scores.items():
-                    found.setdefault(q, []).append((-s, *rows[row]))
-            out = [(names[q], *key, -s / SCORE_SCALE) for q, own in found.items() for s, *key in sorted(own)[:k]]
-            yield pd.DataFrame(out, columns=schema.names)
+            keys = list(pdf[unit_keys].itertuples(index=False, name=None))
+            texts = pdf[text_col].tolist()
+            for at in range(0, len(pdf), 1024):  # bounds the table of units and queries
+                yield pd.DataFrame(list(best(keys[at: at + 1024], texts[at: at + 1024], names, weights)), columns=schema.names)
 
     return units.mapInPandas(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..sources.tables import read_table
 
 #: Parts of the table of pieces, by a hash of the run.
-PARTS = 64
+PARTS = 16
 
 TOOL_CALL = "struct<index:int,id:string,type:string,name:string,arguments:string>"
 DELTA_SCHEMA = (f"run_id bigint, seq bigint, ts timestamp, content string, tool_call {TOOL_CALL}, "
@@ -92,7 +92,7 @@ def start_assembly(d: DataFrame, folder: str) -> DataStreamWriter:
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int")
-        (batch.withColumn("part", part).write.mode("overwrite").partitionBy("part")
+        (batch.withColumn("part", part).repartition(PARTS, "part").write.mode("overwrite").partitionBy("part")
          .parquet(f"{folder}/pieces/batch_id={batch_id}"))
         # the batch as it was written: its source is not read again
         own = pieces(spark, folder).where(F.col("batch_id") == batch_id)
