@@ -25,10 +25,11 @@ from .common import WordHashes, documents, strings, table, text_slices, word_has
 COMMON_WORDS = 100
 #: Largest distance of the character classes, and least characters to compare.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.28, 200
-#: Largest distance of the common words, and least words to compare.
-MAX_WORD_DISTANCE, MIN_WORDS = 0.48, 100
 #: Base rules: least words, and largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Largest distance of the common words, and least words to compare: every text
+#: that the base rules admit is long enough.
+MAX_WORD_DISTANCE, MIN_WORDS = 0.48, LEAST_WORDS
 
 SYMBOLS = frozenset("#*$%&|<>")
 #: Character classes by the first letter of the Unicode category, letters by case.

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -166,6 +167,20 @@ def test_quality_agrees_with_labels(spark):
     assert n.get((0, False), 0) >= 2 * n.get((0, True), 0)
 
 
+def test_quality_compares_words_of_all_that_the_base_rules_admit(spark):
+    """Junk of 50 to 99 words whose character classes look like prose is rejected by its words."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(3, 9)))
+    rows = [(n, " | ".join(f"{word()} {word()} {word()}" for _ in range(n // 4 + 1))) for n in (50, 60, 75, 98)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs = quality.references(docs)
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), refs).collect()
+    assert all(50 <= r["n_words"] < 100 and not r["base_failed"] and r["char_distance"] <= quality.MAX_CHAR_DISTANCE for r in got)
+    assert all(r["word_distance"] > quality.MAX_WORD_DISTANCE and not r["kept"] for r in got)
+    admitted = quality.judge(docs, refs).where("not base_failed")
+    assert admitted.count() and not admitted.where("word_distance is null").count()
+
+
 # -- language
 
 def _marginal(word, vocab, log_p):
