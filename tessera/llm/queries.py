@@ -6,6 +6,7 @@ from .fingerprint import op10_fingerprints
 from .language import op7_language_id
 from .language_model import op4_lm_scoring
 from .licenses import op1_license_scans
+from .main_text import op12_html_extraction
 from .near_duplicates import op8_ngram_jaccard_join
 from .oracles import ORACLES
 from .packing import op3_best_fit_packing
@@ -16,4 +17,5 @@ from .tokens import op2_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_token_counts, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_suffix_array_dedup,
-    op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_fingerprints)}
+    op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_fingerprints,
+    op12_html_extraction)}
