@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op11_conversation_repair
 from .fingerprint import op10_fingerprints
 from .language import op7_language_id
 from .language_model import op4_lm_scoring
@@ -19,4 +20,4 @@ from .tokens import op2_token_counts
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_token_counts, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_suffix_array_dedup,
     op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_fingerprints,
-    op12_html_extraction, op13_prefix_trie)}
+    op11_conversation_repair, op12_html_extraction, op13_prefix_trie)}
