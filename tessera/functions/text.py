@@ -33,54 +33,107 @@ def strip_ws(x) -> Column:
     return F.regexp_replace(_c(x), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that it uses several times, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---- F15 / F16 ------------------------------------------------------------------
 
-#: Control characters that a JSON text may hold escaped only, and their escapes.
-_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+#: Stands for the backslash of an escape while a JSON text is taken apart (a private character).
+_MARK = "\ue000"
+
+
+def _json_parts(blob: Column) -> Column:
+    """A JSON text split at the quotes that begin or end its strings: every second
+    part is a string. Escapes are read from left to right, a backslash with the
+    character after it, so runs of backslashes of any length come out right."""
+    marked = F.regexp_replace(F.replace(blob, F.lit(_MARK), F.lit("\\ue000")), r"(?s)\\(.)", _MARK + "$1")
+    return F.split(marked, f'(?<!{_MARK})"', -1)
+
+
+def _outside_strings(parts: Column) -> Column:
+    """The text with its strings emptied."""
+    return F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), '""')
+
+
+def strict_json(blob: Column) -> Column:
+    """A JSON text as a lenient parser reads it, for strict ones: control characters
+    inside strings become escapes; NaN and the infinities, which JSON has no
+    numbers for, become the strings from which Spark reads them as doubles."""
+    def string(x: Column) -> Column:
+        out = x
+        for code in range(32):
+            out = F.regexp_replace(out, f"(?<!{_MARK})\\x{code:02x}", f"{_MARK}u{code:04x}")
+        return F.when(x.rlike(r"[\x00-\x1f]"), out).otherwise(x)
+
+    def outside(x: Column) -> Column:
+        return F.regexp_replace(x, r"(?<![\w.+-])(NaN|-?Infinity)(?![\w.+-]|\s*:)", '"$1"')
+
+    joined = F.array_join(F.transform(_json_parts(blob), lambda x, i: F.when(i % 2 == 1, string(x)).otherwise(outside(x))), '"')
+    return F.when(blob.rlike(r"[\x00-\x1f]|NaN|Infinity"), F.replace(joined, F.lit(_MARK), F.lit("\\"))).otherwise(blob)
+
+
+def _is_one_object(blob: Column) -> Column:
+    """Whether a text in braces is one JSON object and nothing else. Spark's parsers
+    stop at the end of the first value, so it is parsed within brackets of two
+    kinds, which no text can close both; they also take strings in single quotes."""
+    whole = F.lit(True)
+    for before, after in (("[", "]"), ('[{"_":', "}]")):
+        whole &= F.coalesce(F.json_array_length(F.concat(F.lit(before), blob, F.lit(after))) == 1, F.lit(False))
+    return whole & F.when(blob.contains("'"), ~_outside_strings(_json_parts(blob)).contains("'")).otherwise(F.lit(True))
 
 
-def escape_controls(blob: Column) -> Column:
-    """Line breaks, tabs and the like inside the strings of a JSON text, escaped
-    (a lenient parser accepts them as they are). Every second part between
-    unescaped quotes is a string."""
-    parts = F.split(blob, r'(?<=(?<!\\)(?:\\\\){0,8})"', -1)
+def _more_than_one_object(blob: Column) -> Column:
+    """Whether a whole object is followed by a comma and a line break."""
+    pieces = F.split(_outside_strings(_json_parts(blob)), r"(?<=\})", -1)
+    opened = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))
 
-    def escaped(x: Column) -> Column:
-        for raw, to in _ESCAPES.items():
-            x = F.replace(x, F.lit(raw), F.lit(to))
-        return x
+    def step(state: Column, x: Column) -> Column:
+        depth = state["depth"] + opened(x) - F.when(x.endswith("}"), 1).otherwise(0)
+        ends_here = (state["end"] == 0) & (depth == 0) & x.endswith("}")
+        return F.struct(depth.alias("depth"), (state["seen"] + 1).alias("seen"),
+                        F.when(ends_here, state["seen"] + 1).otherwise(state["end"]).alias("end"))
 
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, escaped(x)).otherwise(x)), '"')
+    end = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end")), step)["end"]
+    first = F.array_join(F.slice(pieces, F.lit(1), end), "")
+    return (end > 0) & F.coalesce(F.get(pieces, end).startswith(",\n"), F.lit(False)) & _is_one_object(first)
 
 
 def parse_json_blob(text) -> Column:
     """struct(json, prefix, status): text from the first ``{`` to the last
-    ``}`` (raw control characters in its strings escaped), the text before it,
-    and status ok / no_blob / invalid_json."""
+    ``}`` as strict JSON, the text before it, and status ok / no_blob /
+    multiple_tool_calls / invalid_json. A repeated key stays in ``json``; its last
+    value counts, as ``tool_call_from_text`` reads it."""
     s = _c(text)
     first = F.instr(s, "{")
     last = F.when(F.instr(F.reverse(s), "}") > 0, F.length(s) - F.instr(F.reverse(s), "}") + 1).otherwise(0)
     raw = F.when(last >= first, s.substr(first, last - first + 1)).otherwise(F.lit(""))
-    blob = F.when(raw.rlike(r"[\x00-\x1f]"), escape_controls(raw)).otherwise(raw)
-    ok = F.try_parse_json(blob).isNotNull()
-    status = (F.when(s.isNull(), F.lit(None).cast("string"))
-              .when((first == 0) | (last == 0), F.lit("no_blob"))
-              .when(ok, F.lit("ok")).otherwise(F.lit("invalid_json")))
-    return F.struct(F.when(status == "ok", blob).alias("json"),
-                    F.when(first > 0, s.substr(F.lit(1), first - 1)).alias("prefix"),
-                    status.alias("status"))
+    prefix = F.when(first > 0, s.substr(F.lit(1), first - 1))
+    read = lambda raw, blob: (F.when(s.isNull(), F.lit(None).cast("string"))
+                              .when((first == 0) | (last == 0), F.lit("no_blob"))
+                              .when(_is_one_object(blob), F.lit("ok"))
+                              .when(_more_than_one_object(raw), F.lit("multiple_tool_calls")).otherwise(F.lit("invalid_json")))
+    return _let(raw, lambda raw: _let(strict_json(raw), lambda blob: _let(read(raw, blob), lambda status: F.struct(
+        F.when(status == "ok", blob).alias("json"), prefix.alias("prefix"), status.alias("status")))))
 
 
 def tool_call_from_text(text, name_key: str = "name", arguments_key: str = "arguments") -> Column:
-    """F16: struct(name, arguments, status) of a JSON tool call inside text.
-    ``arguments`` is JSON text; a string argument that itself parses is unwrapped."""
-    p = parse_json_blob(text)
-    js = p["json"]
-    name = F.get_json_object(js, f"$.{name_key}")
-    raw = F.get_json_object(js, f"$.{arguments_key}")
-    status = (F.when(p["status"] != "ok", p["status"])
-              .when(name.isNull(), F.lit("missing_name")).otherwise(F.lit("ok")))
-    return F.struct(name.alias("name"), raw.alias("arguments"), status.alias("status"))
+    """F16: struct(name, arguments, status) of a JSON tool call inside text; of a
+    repeated key the last value counts. ``arguments`` is JSON text; a string
+    argument that itself parses is unwrapped."""
+    def value(members: Column, key: str) -> Column:
+        keys = F.map_keys(members)
+        return F.get(F.map_values(members), F.size(keys) - F.array_position(F.reverse(keys), key).cast("int"))
+
+    def call(p: Column, members: Column) -> Column:
+        name = value(members, name_key)
+        status = (F.when(p["status"] != "ok", p["status"])
+                  .when(name.isNull(), F.lit("missing_name")).otherwise(F.lit("ok")))
+        return F.struct(name.alias("name"), value(members, arguments_key).alias("arguments"), status.alias("status"))
+
+    # a map read from JSON keeps repeated keys, in order
+    return _let(parse_json_blob(text), lambda p: _let(F.from_json(p["json"], "map<string,string>"), lambda m: call(p, m)))
 
 
 # ---- F17 -------------------------------------------------------------------------

@@ -199,6 +199,24 @@ def tool_calls(spark, sf_dir):
     return st.select("event_id", TX.tool_call_from_text("model_output").alias("t")).select("event_id", "t.*")
 
 
+# one text for each event: repeated keys and a raw escape character; two calls in one
+# text; NaN and a run of 2 x event_id % 29 backslashes; quotes that JSON does not have
+@register("F15_F16_lenient_tool_calls",
+          """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || chr(27) WHEN 2 THEN 'pad' END AS name,
+  CASE event_id % 4 WHEN 0 THEN '{"id":' || event_id || '}' WHEN 2 THEN 'NaN' END AS arguments,
+  CASE event_id % 4 WHEN 1 THEN 'multiple_tool_calls' WHEN 3 THEN 'invalid_json' ELSE 'ok' END AS status FROM events""")
+def lenient_calls(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    k, escape = F.col("event_id") % 4, F.lit("\x1b")
+    text = (F.when(k == 0, F.concat(F.lit('Call {"name": "'), F.lower("event_type"), F.lit('", "arguments": 1, "name": "'), "event_type", escape,
+                                    F.lit('",\n "arguments": {"id": '), "event_id", F.lit("}}")))
+            .when(k == 1, F.concat(F.lit('{"name": "'), "event_type", F.lit('"},\n{"name": "'), "event_type", F.lit('"}')))
+            .when(k == 2, F.concat(F.lit('{"x": "'), F.repeat(F.lit("\\\\"), (F.col("event_id") % 29).cast("int")),
+                                   F.lit('", "name": "pad", "arguments": NaN}')))
+            .otherwise(F.concat(F.lit("{'name': '"), "event_type", F.lit("'}"))))
+    return ev.select("event_id", TX.tool_call_from_text(text).alias("t")).select("event_id", "t.*")
+
+
 def _blocks_sql(pattern: str) -> str:
     found = f"list_transform(regexp_extract_all(model_output, '{pattern}', 1), lambda b: regexp_replace(b, '^{WS_SQL}+|{WS_SQL}+$', '', 'g'))"
     return f"CASE WHEN len({found}) > 0 THEN array_to_string({found}, chr(10) || chr(10)) END"

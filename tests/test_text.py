@@ -1,5 +1,7 @@
 """Text functions (F15-F22) on the reference's literal examples."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
@@ -13,6 +15,8 @@ def test_parse_json_blob(spark):
     r = _one(spark, 'With text before{"simple": "json"}And text after', TX.parse_json_blob)
     assert r["status"] == "ok" and r["prefix"] == "With text before" and r["json"] == '{"simple": "json"}'
     assert _one(spark, "}}", TX.parse_json_blob)["status"] in ("no_blob", "invalid_json")
+    assert _one(spark, "} and {", TX.parse_json_blob)["status"] == "invalid_json"
+    assert _one(spark, 'simple": "json"}', TX.parse_json_blob)["status"] == "no_blob"
     assert _one(spark, "no braces", TX.parse_json_blob)["status"] == "no_blob"
 
 
@@ -64,7 +68,6 @@ def test_python_white_space(spark):
 
 
 def test_lenient_json(spark):
-    import json
     blob = 'x {"a": "two\nlines\tand \\"quotes\\" \\\\", \n "b": [1, 2]} y'
     r = _one(spark, blob, TX.parse_json_blob)
     assert r["status"] == "ok"
@@ -74,6 +77,49 @@ def test_lenient_json(spark):
     assert _one(spark, '{"name": "f", "arguments": "abc"}', TX.tool_call_from_text)["arguments"] == "abc"
 
 
+def _lenient(blob):
+    try:
+        return json.loads(blob, strict=False)
+    except json.JSONDecodeError:
+        return None
+
+
+ODD_JSON = [
+    '{"a": "x\x1by"}', '{"a": "x\x0by"}', '{"b": "' + "\\\\" * 9 + '", "a": "q\nr"}', '{"a":1,"a":2}', '{"a": NaN}',
+    '{"a": "' + "\\\\" * 500 + '"}', '{"a": "' + "\\\\" * 500 + '\\"}', '{"a": -Infinity, "b": [Infinity, NaN]}', '{NaN: 1}', '{"a": xNaN}',
+    '{"a": "NaN \t"}', '{"a": "\\\n"}', '{"a": "\\q"}', "{'a': 1}", '{"a": "it\'s"}', '{"a": 1} x}', '{"a":1}] , [{}', '{"a":1}}],[{"b":{"c":1}',
+    '{"a":1},{"b":2}', '{"a": "\ue000\x01"}', '{"a": \ue0001}', '{"a":1,}', '{"a":\x0b1}', '{\n "a":\t[1,\r\n 2]}', '{"a":01}', '{"\x1fk": {"k": "\x00"}}',
+    '{"a": "b" "c"}', '{}', '{"a": {"x": 1, "x": {"y": "\x02"}}, "a": 3}', '{"a": "\u2028é\U0001f600\x7f"}', '{"a":"\\u00e9\\/\\b"}',
+]
+
+
+def test_json_like_a_lenient_parser(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_JSON)), "n int, s string").select("n", TX.parse_json_blob("s").alias("p"))
+    same = lambda x: str(x).replace("'nan'", "nan").replace("'NaN'", "nan").replace("'Infinity'", "inf").replace("'-Infinity'", "-inf")
+    for r in df.collect():
+        want = _lenient(ODD_JSON[r["n"]])
+        assert (r["p"]["status"] == "ok") == (want is not None), ODD_JSON[r["n"]]
+        if want is not None:
+            assert same(json.loads(r["p"]["json"])) == same(want)
+
+
+def test_several_calls_in_one_blob(spark):
+    status = lambda x: _one(spark, x, TX.parse_json_blob)["status"]
+    assert status('{"name": "a", "arguments": {"q": "},\n"}},\n{"name": "b"}') == "multiple_tool_calls"
+    assert status('Action: {"name": "a}"},\n{"name": broken}') == "multiple_tool_calls"
+    assert status('{"name": "a"}, {"name": "b"}') == "invalid_json"
+    assert status('{"name": a},\n{"name": "b"}') == "invalid_json"
+    assert status('{"x": {"name": "a"},\n "y"}') == "invalid_json"
+
+
+def test_last_of_repeated_keys_counts(spark):
+    r = _one(spark, '{"name": "a", "arguments": {"q": 1}, "name": "b\x1b", "arguments": {"q": [2, "\t"]}}', TX.tool_call_from_text)
+    assert (r["name"], r["arguments"], r["status"]) == ("b\x1b", '{"q":[2,"\\t"]}', "ok")
+    r = _one(spark, '{"name": "a", "name": null}', TX.tool_call_from_text)
+    assert (r["name"], r["arguments"], r["status"]) == (None, None, "missing_name")
+    assert _one(spark, '{"name": "a", "arguments": NaN}', TX.tool_call_from_text)["arguments"] == "NaN"
+
+
 def test_guarded_imports(spark):
     code = "import torch\nif is_flash_attn_2_available():\n    from flash_attn import x\n    from flash_attn.y import z\nimport numpy"
     assert "flash_attn" not in _one(spark, code, TX.code_imports)
