@@ -41,6 +41,8 @@ from .common import cut
 
 #: Bytes of a turn id, turns a range holds at most (about), and turns that are worth a task of their own.
 WIDTH, RANGE_TURNS, TASK_TURNS = 16, 200_000, 5_000
+#: Nodes that several ranges share up to which they are broadcast; more are joined.
+MOST_BROADCAST = 500_000
 #: A conversation of every so many lends its first turns to the others; at most three.
 BASE_OF, MOST_LENT = 20, 3
 
@@ -351,6 +353,8 @@ def trie(keyed: DataFrame, range_turns: int = RANGE_TURNS, task_turns: int = TAS
     digests = shared.where("ends IS NOT NULL").select("node", "range", "ends").repartition("node").sortWithinPartitions(
         "node", "range").mapInArrow(_joined_digests, "shared binary, sha string")
     parents = merged.select(F.col("shared").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    if shared.count() <= MOST_BROADCAST:  # few nodes have many children, the root most of all
+        parents = F.broadcast(parents)
     columns = ["conv_id", "depth", "parent_conv_id", *sums, "ends_sha256"]
     across = merged.join(digests, "shared", "left").join(parents, "parent", "left").withColumn(
         "ends_sha256", F.coalesce("sha", F.sha2(F.lit(""), 256)))
