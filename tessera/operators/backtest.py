@@ -42,7 +42,7 @@ def require_columns(df: DataFrame, needed) -> None:
     """Schema guard listing the missing and the available columns."""
     missing = [c for c in needed if c and c not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}. Available: {df.columns}")
+        raise ValueError(f"no column {missing} in the frame, which has {df.columns}")
 
 
 def column_check(df: DataFrame, needed) -> DataFrame:

@@ -104,36 +104,63 @@ def lag_values(t: DataFrame, keys, order_cols, value_cols, ranges: int | None =
         *t.columns, *[F.col("__prev")[v].alias(f"prev_{v}") for v in value_cols])
 
 
-def exact_quantiles(df: DataFrame, keys, value_col: str, probs, count_col: str | None = None,
-                    ranges: int | None = None) -> DataFrame:
+#: Rows of a group's bands up to which one window runs over them; more go over ranges.
+WINDOW_ROWS = 2_000_000
+
+
+def exact_quantiles(df: DataFrame, keys, value_col: str, probs, is_table: bool = False,
+                    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Exact p-quantiles per group with linear interpolation between the
     values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
-    ``percentile`` / ``quantile_cont``). With ``count_col`` a row stands for so
-    many equal values.
-
-    Built from distinct values and their running counts, so no task keeps a
-    group's values in memory (an exact percentile aggregate does). Returns
-    keys, ``n`` and ``quantiles`` (array in ``probs`` order); null values are
-    ignored, groups with no values are absent.
+    ``percentile`` / ``quantile_cont``).
+
+    By selection in two passes: a sketch of each group bounds every wanted rank by
+    a narrow band of values (ten times the sketch's rank error to either side);
+    then what lies between bands is only counted, and only the values inside are
+    put in order. No group is sorted and no task keeps its values. The values are
+    written to the shared folder first, unless ``is_table`` says they already are.
+    Returns keys, ``n``, ``quantiles`` and ``above`` (rows above each quantile),
+    arrays in ``probs`` order; null values are ignored, groups without values absent.
     """
-    keys = list(keys)
-    v = F.col(value_col).cast("double")
-    count = F.sum(count_col) if count_col else F.count(F.lit(1))
-    t = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(count.alias("__c"))
-    ps = prefix_sum(t, keys, "__v", ["__c"], with_totals=True, ranges=ranges)
-    n = F.col("tot___c")
-    start = F.col("cum___c") - F.col("__c")
+    keys, probs = list(keys), [float(p) for p in probs]
+    t = df.select(*keys, F.col(value_col).cast("double").alias("__v")).where("__v is not null")
+    t = t if is_table else cut_lineage(t)
+    margin = 10 / accuracy
+    marks = F.array(*[F.lit(x) for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))])
+    everything = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
+    bands = t.groupBy(*keys).agg(F.when(F.count(F.lit(1)) * margin < 2, everything).otherwise(  # less than two ranks wide
+        F.percentile_approx("__v", marks, accuracy)).alias("__q"))
+    if keys:
+        t = join_on_keys(t, bands, keys)
+    else:
+        t = t.withColumn("__q", F.lit(bands.first()["__q"]).cast("array<double>"))  # two numbers for each p
+    v, ends = F.col("__v"), [(F.col("__q")[2 * i], F.col("__q")[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(lambda x, y: x | y, [(v >= lo) & (v <= hi) for lo, hi in ends])
+    passed = reduce(lambda x, y: x + y, [F.when(v > hi, 1).otherwise(0) for _, hi in ends])
+    few = cut_lineage(t.groupBy(*keys, passed.alias("__passed"), F.when(inside, v).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+
+    order = ["__passed", "__v"]  # what is only counted (null) comes before the band it lies below
+    if few.count() <= window_rows:
+        whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        ps = few.withColumn("cum___c", F.sum("__c").over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        ps = ps.withColumn("tot___c", F.sum("__c").over(whole))
+    else:
+        ps = prefix_sum(few, keys, order, ["__c"], with_totals=True)
+    n, upto = F.col("tot___c"), F.col("cum___c")
     aggs = [F.max(n).alias("n")]
     for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.min(F.when((start <= lo) & (lo < F.col("cum___c")), F.col("__v"))).alias(f"__lo{i}"))
-        aggs.append(F.min(F.when((start <= hi) & (hi < F.col("cum___c")), F.col("__v"))).alias(f"__hi{i}"))
+        pos = (n - 1).cast("double") * F.lit(p)
+        for name, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            here = (upto - F.col("__c") <= rank) & (rank < upto)
+            aggs.append(F.max(F.when(here, F.struct(F.col("__v").alias("v"), (n - upto).alias("above")))).alias(f"__{name}{i}"))
         aggs.append(F.max(pos).alias(f"__pos{i}"))
     g = ps.groupBy(*keys).agg(*aggs)
-    qs = []
+    quantiles, above = [], []
     for i, _ in enumerate(probs):
-        pos, lo_v, hi_v = F.col(f"__pos{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        lo, hi = F.floor(pos), F.ceil(pos)
-        qs.append(F.when(lo == hi, lo_v).otherwise(lo_v + (pos - lo) * (hi_v - lo_v)))
-    return g.select(*keys, "n", F.array(*qs).alias("quantiles"))
+        pos, lo, hi = F.col(f"__pos{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        outside = F.raise_error(F.lit("a quantile lies outside the band of its sketch")).cast("double")
+        low, high = (F.when(x["v"].isNull(), outside).otherwise(x["v"]) for x in (lo, hi))
+        q = F.when(F.floor(pos) == F.ceil(pos), low).otherwise(low + (pos - F.floor(pos)) * (high - low))
+        quantiles.append(q)
+        above.append(F.when(q >= high, hi["above"]).otherwise(lo["above"]))
+    return g.where("n > 0").select(*keys, "n", F.array(*quantiles).alias("quantiles"), F.array(*above).alias("above"))

@@ -53,8 +53,60 @@ def test_nulls_totals_and_no_keys(spark):
 
 
 def test_pair_counts_beyond_64_bits(spark):
-    from tessera.operators.metrics import gini_ks
+    from tessera.operators.metrics import _COUNTS, _POINTS, gini_ks
     n = 4_000_000_000
-    df = spark.createDataFrame([("g", 1.0, 0, n, 0, n), ("g", 2.0, n, 0, n, 0)], "k string, __score double, gp long, gn long, kp long, kn long")
+    items = [("g", 1, False, 0, n, 0, n, 0, 0, 0, 0, n), ("g", 2, False, n, 0, n, 0, 0, n, 0, 0, 0)]
+    df = spark.createDataFrame(items, "k string, first long, edge boolean, " + ", ".join(f"{c} long" for c in (*_COUNTS, *_POINTS)))
     r = gini_ks(df, ["k"]).first()
     assert n * 2 * n > 9.3e18 and (r["Gini"], r["KS"]) == (1.0, 1.0)
+
+
+def test_quantiles_from_bands_and_from_ranges(spark):
+    from tessera.operators.ordered import exact_quantiles
+    rnd = random.Random(9)
+    rows = [(None if i % 3 else "a", rnd.choice([7.0, rnd.lognormvariate(0, 4), -rnd.random()])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.33, 0.5, 0.999, 1.0]
+    for keys in (["g"], []):
+        want = {tuple(r[k] for k in keys): list(r["q"]) for r in df.groupBy(*keys).agg(
+            F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+        for window_rows in (10**6, 0):  # a coarse sketch, so bands matter; one window or ranges
+            got = exact_quantiles(df, keys, "v", probs, accuracy=200, window_rows=window_rows).collect()
+            assert {tuple(r[k] for k in keys) for r in got} == set(want)
+            for r in got:
+                key = tuple(r[k] for k in keys)
+                assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(r["quantiles"], want[key]))
+                values = [x for g, x in rows if not keys or g == key[0]]
+                assert list(r["above"]) == [sum(x > q for x in values) for q in r["quantiles"]]
+    assert exact_quantiles(df.where("v is null"), [], "v", probs).collect() == []
+
+
+def test_rank_metrics_with_hot_scores_over_many_ranges(spark):
+    """Most rows have one of two scores; each range holds part of them."""
+    from tessera.operators.metrics import backtest_metrics
+    rnd = random.Random(2)
+    rows = [("s" if i % 3 else None, rnd.choice([1.0, 5.0, 9.0]), rnd.choice([2.0, 2.0, 2.0, 4.0, 4.0, rnd.randint(0, 6) / 2])) for i in range(800)]
+    df = spark.createDataFrame(rows, "seg string, a double, p double")
+    got = {r["scope"]: r for r in backtest_metrics(df, "a:p", ["seg"], level="account").collect()}
+    for scope, mine in (("overall", rows), ("segment", [r for r in rows if r[0]])):
+        a = sorted(r[1] for r in mine)
+        mean, med = sum(a) / len(a), (a[(len(a) - 1) // 2] + a[len(a) // 2]) / 2
+        up, down = [p for _, x, p in mine if x > mean], [p for _, x, p in mine if x <= mean]
+        gini = 2 * sum((x > y) + (x == y) / 2 for x in up for y in down) / (len(up) * len(down)) - 1
+        high, low = [p for _, x, p in mine if x > med], [p for _, x, p in mine if x <= med]
+        ks = max(abs(sum(x <= c for x in high) / len(high) - sum(x <= c for x in low) / len(low)) for c in {r[2] for r in mine})
+        assert abs(got[scope]["Gini"] - gini) < 1e-12 and abs(got[scope]["KS"] - ks) < 1e-12
+
+
+def test_r2_keeps_its_digits(spark):
+    from decimal import Decimal
+
+    from tessera.operators.metrics import backtest_metrics
+    rows = [(Decimal("1000000000000.000") + Decimal(i % 2) / 1000, Decimal("1000000000000.5") + Decimal(i % 2) / 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a decimal(18,4), p decimal(18,4)")
+    r = backtest_metrics(df, "a:p", level="account", rank_metrics=False).first()
+    assert abs(r["R2"] - (1 - 0.25 * 1000 / (1000 * 0.0005 ** 2))) < 1e-3
+    odd = [(Decimal(x), Decimal(0)) for x in ("-7.0001", "3.0002", "11.5", "-0.0001")]
+    r = backtest_metrics(spark.createDataFrame(odd, "a decimal(18,4), p decimal(18,4)"), "a:p", level="account", rank_metrics=False).first()
+    mean = sum(float(a) for a, _ in odd) / 4
+    assert abs(r["R2"] - (1 - sum(float(a) ** 2 for a, _ in odd) / sum((float(a) - mean) ** 2 for a, _ in odd))) < 1e-12
