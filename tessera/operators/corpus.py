@@ -2,10 +2,9 @@
 
 * Chunking and HTML conversion are per-document Python helpers run with
   ``mapInPandas``: Spark partitions the corpus, nothing is collected.
-* BM25 needs the whole vocabulary's document counts (one aggregate on the term)
-  and the words of a unit, which are in one row: units are scored where they
-  are, against blocks of queries whose size is set, and only the best of a batch
-  are shuffled. Vector search works the same way.
+* BM25 has an inverted index (``bm25``), vector search compares units where they
+  are; both take blocks of queries whose size is set, and only the best of a shard
+  or batch are shuffled.
 * Per-query top-k is a window with a row limit, which Spark applies in each
   partition before the shuffle.
 """
@@ -13,7 +12,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +22,10 @@ from pyspark.sql import types as T
 
 from ..functions.chunking import DEFAULT_SEPARATORS, chunk_with_starts
 from ..functions.html import html_to_markdown, route_for_url
-from ..functions.text import WHITESPACE
 from ..session import cut_lineage
+from .bm25 import BM25_B, BM25_EPSILON, BM25_K1, Bm25Index
 from .ordered import lag_values
 
-# BM25 defaults of the public BM25Okapi scorer the reference uses.
-BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 # Characters a viewport may end on (fixed values of the reference).
 VIEWPORT_BREAKS = " \t\r\n"
 #: Queries that are sent to all tasks at once; more are worked off in blocks.
@@ -111,106 +107,24 @@ def query_blocks(queries: DataFrame, *columns: str, size: int = QUERY_BLOCK) ->
 
 # ------------------------------------------------------------------ BM25
 
-def tokenize(text) -> Column:
-    """Whitespace tokens (the scorer's default preprocessing: ``str.split()``)."""
-    t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(t, f"{WHITESPACE}+"), lambda x: x != "")
-
-
-SCORE_SCALE = 1e9  # per-term contributions are summed as integers of 1e-9
-
-
-def bm25_statistics(units: DataFrame, text_col: str, epsilon: float = BM25_EPSILON) -> tuple[int, float, DataFrame]:
-    """Number of units, mean length and the idf of each term of the corpus:
-    ln(N - n + 0.5) - ln(n + 0.5), a negative one replaced by epsilon times the
-    mean over the vocabulary. One aggregate on the term; a null term carries the
-    number and the lengths of the units."""
-    toks = units.select(tokenize(text_col).alias("t"))
-    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
-    rows = F.concat(F.transform(F.array_distinct("t"), lambda x: one(x, F.lit(0))),
-                    F.array(one(F.lit(None).cast("string"), F.coalesce(F.size("t"), F.lit(0)))))
-    df = cut_lineage(toks.select(F.explode(rows).alias("r")).groupBy("r.term").agg(
-        F.count(F.lit(1)).alias("units"), F.sum("r.n").alias("length")))
-    whole = df.where("term is null").first()
-    n, length = (whole["units"], whole["length"]) if whole else (0, 0)
-    df = df.where("term is not null")
-    raw = F.log(F.lit(n) - F.col("units") + 0.5) - F.log(F.col("units") + 0.5)
-    # mean over the vocabulary from an exact decimal sum (order independent)
-    mean = df.agg((F.sum(raw.cast("decimal(38,18)")).cast("double") / F.count(F.lit(1))).alias("m")).first()["m"] or 0.0
-    return n, float(length) / n if n else 0.0, df.select("term", F.when(raw < 0, F.lit(epsilon * mean)).otherwise(raw).alias("idf"))
-
-
 def bm25_top_k(units: DataFrame, unit_keys, text_col: str, queries: DataFrame, query_key: str,
                query_text: str, k: int = 10, k1: float = BM25_K1, b: float = BM25_B,
                epsilon: float = BM25_EPSILON) -> DataFrame:
     """D5 + T4: the ``k`` best units per query by BM25Okapi (ties by unit key) of
     those that share a term with it; each query token counts once per occurrence.
+    Scores are sums of whole 1e-9, so they do not depend on the order of the terms."""
+    return bm25_search(Bm25Index(units, unit_keys, text_col, k1, b, epsilon), queries, query_key, query_text, k)
 
-    A unit's words are in one row, so it is scored in place against a block of
-    queries; a task keeps ``k`` units of each query for every batch. Scores are
-    sums of whole 1e-9, so they do not depend on the order of the terms.
-    """
-    unit_keys = list(unit_keys)
-    units = cut_lineage(units.select(*unit_keys, text_col))  # read by the statistics and by each block
-    _, mean_length, idf = bm25_statistics(units, text_col, epsilon)
-    terms = (queries.select(query_key, F.explode(tokenize(query_text)).alias("term"))
-             .groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term"))
-    per_query = terms.groupBy(query_key).agg(F.collect_list(F.struct("term", "n", "idf")).alias("terms"))  # of one text
-    schema = T.StructType([queries.schema[query_key], *(units.schema[c] for c in unit_keys), T.StructField("score", T.DoubleType())])
+
+def bm25_search(index: Bm25Index, queries: DataFrame, query_key: str, query_text: str, k: int = 10) -> DataFrame:
+    """``bm25_top_k`` over an index that is there already."""
     best = None
-    for block in query_blocks(per_query, query_key, "terms"):
-        part = _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema)
+    for block in query_blocks(index.asked(queries, query_key, query_text), query_key, "terms"):
+        part = index.best(queries.schema[query_key], block, k)
         best = part if best is None else best.unionByName(part)
     if best is None:
-        best = units.sparkSession.createDataFrame([], schema)
-    return top_k(best, [query_key], "score", unit_keys, k)
-
-
-def _bm25_block(units, unit_keys, text_col, block, mean_length, k, k1, b, schema) -> DataFrame:
-    weights: dict[str, tuple] = {}
-    for q, (_, terms) in enumerate(block):
-        for t in terms:
-            qs, ws = weights.setdefault(t["term"], ([], []))
-            qs.append(q)
-            ws.append(t["n"] * t["idf"])
-    names = [x[0] for x in block]
-    shared = units.sparkSession.sparkContext.broadcast(
-        (names, {t: (np.array(qs), np.array(ws, np.float64)) for t, (qs, ws) in weights.items()}))  # of QUERY_BLOCK queries
-
-    def best(keys, texts, names, weights):
-        """The ``k`` best of some units for each query, a term at a time."""
-        words = [(t or "").split() for t in texts]
-        length = (1 - b) + b * np.array([len(w) for w in words]) / mean_length
-        postings: dict[str, tuple] = {}
-        for row, own in enumerate(words):
-            for term, n in Counter([w for w in own if w in weights]).items():
-                rows, counts = postings.setdefault(term, ([], []))
-                rows.append(row)
-                counts.append(n)
-        score, met = np.zeros((len(words), len(names)), np.int64), np.zeros((len(words), len(names)), bool)
-        for term, (rows, counts) in postings.items():
-            qs, w = weights[term]
-            n = np.array(counts, np.float64)[:, None]
-            part = w[None, :] * (n * (k1 + 1)) / (n + k1 * length[rows][:, None])
-            at = np.ix_(rows, qs)
-            score[at] += np.floor(part * SCORE_SCALE + 0.5).astype(np.int64)
-            met[at] = True
-        order = np.empty(len(keys), np.int64)
-        order[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-        for q in np.flatnonzero(met.any(axis=0)).tolist():
-            rows = np.flatnonzero(met[:, q])
-            for row in rows[np.lexsort((order[rows], -score[rows, q]))[:k]].tolist():
-                yield (names[q], *keys[row], score[row, q] / SCORE_SCALE)
-
-    def run(batches):
-        names, weights = shared.value
-        for pdf in batches:
-            keys = list(pdf[unit_keys].itertuples(index=False, name=None))
-            texts = pdf[text_col].tolist()
-            for at in range(0, len(pdf), 1024):  # bounds the table of units and queries
-                yield pd.DataFrame(list(best(keys[at: at + 1024], texts[at: at + 1024], names, weights)), columns=schema.names)
-
-    return units.mapInPandas(run, schema)
+        best = index.best(queries.schema[query_key], [], k)
+    return top_k(best, [query_key], "score", index.unit_keys, k)
 
 
 def retrieved_text(ranked: DataFrame, query_key: str, text_col: str, rank_col: str = "rank") -> DataFrame:

@@ -143,3 +143,39 @@ def test_cluster_conf_scales_with_input():
     from tessera.session import cluster_conf
     small, big = cluster_conf(10 * 1024 ** 3), cluster_conf(100 * 1024 ** 4)
     assert int(big["spark.sql.shuffle.partitions"]) > int(small["spark.sql.shuffle.partitions"]) >= 200
+
+
+def test_bm25_index_against_plain_scores(spark):
+    """Odd white space, null and empty units, ties, few and many shards, queries beyond one pass."""
+    import math
+    import random
+    from collections import Counter
+
+    from tessera.operators import bm25
+    rnd = random.Random(4)
+    units = [(i % 7, i, rnd.choice([None, "", " \t　 ", "a a", "b\x1ca c", " ".join(rnd.choices("abcdefg", k=rnd.randint(1, 9)))]))
+             for i in range(300)]
+    queries = [(i, rnd.choice(["a b", "", None, "zz", "c c c a", "g　f"])) for i in range(12)]
+    words = [(u or "").split() for _, _, u in units]
+    n, mean = len(units), sum(map(len, words)) / len(units)
+    df = Counter(w for ws in words for w in set(ws))
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: floor if v < 0 else v for w, v in idf.items()}
+    want = []
+    for q, text in queries:
+        asked, scored = Counter((text or "").split()), []
+        for (a, b, _), ws in zip(units, words):
+            tf = Counter(ws)
+            if tf.keys() & asked.keys():
+                scored.append((-sum(math.floor(m * idf[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) * 1e9 + 0.5)
+                                    for t, m in asked.items() if t in tf), a, b))
+        want += [(q, a, b, r + 1) for r, (_, a, b) in enumerate(sorted(scored)[:4])]
+    d = spark.createDataFrame(units, "a long, b long, t string").repartition(3)
+    dq = spark.createDataFrame(queries, "qid long, qt string")
+    for shard_units, scores in ((4096, 1 << 22), (7, 10)):
+        index = bm25.Bm25Index(d, ["a", "b"], "t", shard_units=shard_units, scores=scores)
+        got = C.bm25_search(index, dq, "qid", "qt", 4)
+        assert sorted((r["qid"], r["a"], r["b"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert C.bm25_top_k(d.where("a > 9"), ["a", "b"], "t", dq, "qid", "qt", 4).collect() == []
+    assert C.bm25_top_k(d, ["a", "b"], "t", dq.where("qid > 99"), "qid", "qt", 4).collect() == []

@@ -32,3 +32,14 @@ def test_cuts_are_written_and_dropped(spark):
     session.drop_cuts(spark)
     assert not os.path.exists(folder)
     session.drop_cuts(spark)  # nothing there: nothing to do
+
+
+def test_entry_works_without_a_package_of_the_llm_part():
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); "
+            "assert 'A1_flow_payment_by_statement_month' in q and not any(x.startswith('op') for x in q), list(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr
