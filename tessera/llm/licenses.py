@@ -8,7 +8,8 @@ word between the two prefixes (the rarest words, as many as may be missing and
 one more), so only blocks that meet a template there are looked at (prefix
 filter), if they have enough words at all (length filter) and enough words are
 left in both after the word they share (positional filter). What remains is
-verified on the whole sets.
+verified on the whole sets, and on the telling words: a part of a short template
+is not enough if it lacks the word that tells the license from another.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "under the terms of the GNU General Public License"),
     ("gpl", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
             "Free Software Foundation"),
     ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("bsd", "Released under the BSD License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
             "that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -45,11 +48,14 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "All rights reserved"),
 ]
+#: Words that tell a license from others, by label. A block must have those of them that are in the template.
+TELLING = {"mit": {"mit"}, "apache": {"apache"}, "gpl": {"gnu", "general"}, "lgpl": {"lesser"}, "cc-by-nc": {"cc", "nc"},
+           "bsd": {"bsd"}, "mpl": {"mozilla"}, "unlicense": {"unencumbered"}}
 #: Part of a template's words that a block must have.
 THRESHOLD = 0.8
-#: Words of a block and from one block to the next: a passage of up to ``STEP``
-#: words is whole in some block.
-BLOCK, STEP = 64, 32
+#: Words from one block to the next, at least; a block has twice as many, and a passage
+#: of up to so many words is whole in some block. A longer template makes longer blocks.
+STEP = 32
 
 #: Prefix words of all templates up to which they are sent to all tasks.
 MAX_BROADCAST_WORDS = 100_000
@@ -60,7 +66,7 @@ _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 els
 
 _COLUMNS = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()),
             ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())),
-            ("blocks", pa.list_(pa.list_(pa.int16())))]
+            ("blocks", pa.list_(pa.list_(pa.int32())))]
 
 
 def words(text: bytes) -> list[bytes]:
@@ -80,7 +86,12 @@ def phrase_places(own: list[bytes], phrase: list[bytes]) -> list[int]:
             places.append(start)
 
 
-def scan(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
+def step_for(templates: list[tuple[str, str]]) -> int:
+    """Words from one block to the next, so that every template fits in some block."""
+    return max([STEP, *(len(words(text.encode())) for _, text in templates)])
+
+
+def scan(docs: DataFrame, vocabulary: list[str], least: int, step: int = STEP) -> DataFrame:
     """The base scan of each row of ``docs`` (doc_id, text), and its blocks as the
     places in ``vocabulary`` of their distinct words; blocks with fewer than
     ``least`` such words are left out (length filter)."""
@@ -95,10 +106,10 @@ def scan(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
                 own = words(text)
                 found = [(at, label) for p, label in phrases for at in phrase_places(own, p)]
                 places = [at for at, _ in found]
-                known = np.fromiter((number.get(w, -1) for w in own), np.int16, len(own))
+                known = np.fromiter((number.get(w, -1) for w in own), np.int32, len(own))
                 hits = np.flatnonzero(known >= 0)
-                starts = np.arange(0, max(1, len(own) - STEP), STEP)
-                low, high = np.searchsorted(hits, starts), np.searchsorted(hits, starts + BLOCK)
+                starts = np.arange(0, max(1, len(own) - step), step)
+                low, high = np.searchsorted(hits, starts), np.searchsorted(hits, starts + 2 * step)
                 blocks = [np.unique(known[hits[a:b]]).tolist() for a, b in zip(low, high) if b - a >= least]
                 for c, v in zip(out, (row, doc_id, len(own), len(places), min(places, default=None),
                                       max(places, default=None), sorted({x for _, x in found}),
@@ -109,7 +120,7 @@ def scan(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "row long, doc_id long, n_words long, n_base long, first_word long, last_word long, "
-             "base_labels array<string>, blocks array<array<smallint>>")
+             "base_labels array<string>, blocks array<array<int>>")
 
 
 def containment_join(blocks: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,13 +128,16 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: float =
     whose block has at least ``threshold`` of the template's words.
 
     ``words`` are distinct numbers in the global order, rarest first, sorted; a
-    block may leave out what is in no template. Returns row, label, containment.
+    block may leave out what is in no template. A column ``telling`` of templates
+    names words that a block must have. Returns row, label, containment.
     Exact: the filters drop no pair that meets the threshold. Null or empty word
     lists match nothing.
     """
+    if "telling" not in templates.columns:
+        templates = templates.withColumn("telling", F.array().cast("array<int>"))
     need = F.ceil(F.size("words") * F.lit(threshold) - F.lit(1e-9)).cast("int")
     t = (templates.where(F.size("words") > 0).withColumn("need", need)
-         .select("label", F.col("words").alias("t_words"), "need",
+         .select("label", F.col("words").alias("t_words"), "telling", "need",
                  F.posexplode(F.expr("slice(words, 1, size(words) - need + 1)")).alias("t_at", "word")))
     least = t.agg(F.min("need")).first()[0]
     if least is None:
@@ -139,10 +153,12 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: float =
             .withColumn("both", both)
             # a pair is verified at the first word it shares only
             .where((F.size("both") >= F.col("need")) & (F.element_at("both", 1) == F.col("word")))
+            .where(F.size(F.array_except("telling", "both")) == 0)
             .select("row", "label", (F.size("both") / F.size("t_words")).alias("containment")))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+                  telling: dict[str, set[str]] = TELLING) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score (highest containment of a template
     found, 0 if none).
@@ -154,11 +170,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     spark = docs.sparkSession
     sets = [(label, {w.decode() for w in words(text.encode())}) for label, text in templates]
-    if any(len(words(text.encode())) > STEP for _, text in templates):
-        raise ValueError(f"a template has more than {STEP} words")
     vocabulary = sorted(set().union(*(s for _, s in sets)))
     least = min((math.ceil(len(s) * threshold - 1e-9) for _, s in sets), default=1)
-    made = cut(scan(docs, vocabulary, least), "licenses")
+    made = cut(scan(docs, vocabulary, least, step_for(templates)), "licenses")
     blocks = made.select("row", F.explode("blocks").alias("words"))
     counts = dict(blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect())
     rarest = sorted(range(len(vocabulary)), key=lambda i: (counts.get(i, 0), i))
@@ -166,7 +180,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     for place, i in enumerate(rarest):
         order[i] = place
     number = {w: order[i] for i, w in enumerate(vocabulary)}
-    known = spark.createDataFrame([(label, sorted(number[w] for w in s)) for label, s in sets], "label string, words array<int>")
+    known = spark.createDataFrame([(label, sorted(number[w] for w in s), [number[w] for w in s & telling.get(label, set())])
+                                   for label, s in sets], "label string, words array<int>, telling array<int>")
     places = F.array(*map(F.lit, order))
     ordered = blocks.withColumn("words", F.array_sort(F.transform("words", lambda i: F.element_at(places, i + 1))))
     found = (containment_join(ordered, known, threshold).groupBy("row")

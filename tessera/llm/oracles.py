@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .licenses import BASE_PHRASES, BLOCK, STEP, TEMPLATES, THRESHOLD
+from .licenses import BASE_PHRASES, TELLING, TEMPLATES, THRESHOLD, step_for
 from .quality import (
     COMMON_WORDS,
     LEAST_WORDS,
@@ -30,14 +30,16 @@ def _license_sql() -> str:
     places = " || ".join(
         f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {_quoted(p.split())}), "
         f"lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in BASE_PHRASES.items())
-    templates = ", ".join(f"('{label}', {_quoted(sorted(set(words(text))))})" for label, text in TEMPLATES)
+    templates = ", ".join(f"('{label}', {_quoted(sorted(set(words(text))))}, "
+                          f"{_quoted(sorted(TELLING.get(label, set()) & set(words(text))))}::VARCHAR[])" for label, text in TEMPLATES)
+    step = step_for(TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 base AS (SELECT *, {places} AS found FROM d),
-blocks AS (SELECT r, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM d, LATERAL (SELECT unnest(range(0, greatest(1, len(w) - {STEP}), {STEP})) AS s)),
-templates AS (SELECT * FROM (VALUES {templates}) t(label, t)),
+blocks AS (SELECT r, list_distinct(w[s + 1:s + {2 * step}]) AS b FROM d, LATERAL (SELECT unnest(range(0, greatest(1, len(w) - {step}), {step})) AS s)),
+templates AS (SELECT * FROM (VALUES {templates}) t(label, t, telling)),
 hits AS (SELECT r, list(DISTINCT label) AS more, max(n / len(t)) AS score
-         FROM (SELECT r, label, t, len(list_intersect(b, t)) AS n FROM blocks, templates)
+         FROM (SELECT r, label, t, len(list_intersect(b, t)) AS n FROM blocks, templates WHERE list_has_all(b, telling))
          WHERE n >= ceil(len(t) * {THRESHOLD} - 1e-9) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(found) AS BIGINT) AS n_base,
   list_min(list_transform(found, lambda f: f.at)) AS first_word, list_max(list_transform(found, lambda f: f.at)) AS last_word,

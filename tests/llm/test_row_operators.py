@@ -318,25 +318,48 @@ _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOW = {c: c + 32 for c in range(65, 91)}
 
 
-def _scan(text):
+def _scan(text, templates=licenses.TEMPLATES):
     w, places, labels = _WORDS.findall(text.translate(_LOW)), [], set()
     for phrase, label in licenses.BASE_PHRASES.items():
         p = phrase.split()
         found = [k for k in range(len(w)) if w[k: k + len(p)] == p]
         places += found
         labels |= {label} if found else set()
-    more, best = set(labels), 0.0
-    for s in range(0, max(1, len(w) - licenses.STEP), licenses.STEP):
-        block = set(w[s: s + licenses.BLOCK])
-        for label, template in licenses.TEMPLATES:
+    more, best, step = set(labels), 0.0, licenses.step_for(templates)
+    for s in range(0, max(1, len(w) - step), step):
+        block = set(w[s: s + 2 * step])
+        for label, template in templates:
             own = set(_WORDS.findall(template.translate(_LOW)))
-            if len(block & own) >= math.ceil(len(own) * licenses.THRESHOLD - 1e-9):
+            telling = licenses.TELLING.get(label, set()) & own
+            if len(block & own) >= math.ceil(len(own) * licenses.THRESHOLD - 1e-9) and telling <= block:
                 more.add(label)
                 best = max(best, len(block & own) / len(own))
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
             ",".join(sorted(more)), best)
 
 
+def test_licenses_are_told_apart(spark):
+    texts = {"Released under the BSD License": "bsd", "released under the Apache License": "apache", "Licensed under CC BY 4.0": "",
+             "under the terms of the GNU General Public License": "gpl", "under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+             "Released under the MIT License.": "mit", "licensed under CC BY-NC 4.0": "cc-by-nc", "Released under the terms of a license": ""}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_long_templates_and_many_words(spark):
+    """A template of 400 words, whole, in part and over blocks; more template words than 16 bits hold."""
+    body = [f"w{i}" for i in range(400)]
+    many = [(f"m{k}", " ".join(f"x{k}y{i}" for i in range(350))) for k in range(100)]
+    templates = [("body", " ".join(body)), *many]
+    fill = ["f"] * 333
+    rows = [(0, body), (1, fill + body + fill), (2, body[:320]), (3, body[:319]), (4, fill * 3 + body[50:380] + fill), (5, many[99][1].split())]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = rows_of(licenses.scan_licenses(df, templates), "doc_id", "labels", "score")
+    want = [(i, *_scan(" ".join(t), templates)[5:]) for i, t in rows]
+    assert got == want and [r[1] for r in want] == ["body", "body", "body", "", "body", "m99"]
+
+
 def test_license_scan(odd, small, nothing, odd_rows, small_rows):
     for df, rows in both(odd_rows, small_rows, odd, small):
         got = rows_of(licenses.scan_licenses(df), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
