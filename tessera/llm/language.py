@@ -37,6 +37,9 @@ UNDETERMINED = "und"
 #: Signs that may stand before and after a word.
 SIGNS = string.punctuation
 
+#: Log probability per letter (and word mark) below which a text of so many letters is in none of the languages.
+LEAST_LOG_PROB, MIN_LETTERS = -4.0, 100
+
 COLUMNS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())]
 
 
@@ -187,9 +190,14 @@ class _Predictor:
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """Language and posterior of each text, its log probability in that language,
+        and the letters and word marks that this is the probability of."""
         words, index, begins = letter_words(texts)
         n = len(begins) - 1
-        pred, score = [UNDETERMINED] * n, [0.0] * n
+        pred, score, log_prob, letters = [UNDETERMINED] * n, [0.0] * n, np.zeros(n), np.zeros(n, np.int64)
         full = np.flatnonzero(np.diff(begins)) if self.langs else []
         if len(full):
             places = self._places(words)
@@ -199,7 +207,9 @@ class _Predictor:
             posterior = 1 / np.exp(total - top[:, None]).sum(axis=1)
             for i, k, p in zip(full.tolist(), best.tolist(), posterior.tolist()):
                 pred[i], score[i] = self.langs[k], p
-        return pred, score
+            sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+            log_prob[full], letters[full] = top, np.add.reduceat(sizes[index], begins[full])
+        return pred, score, log_prob, letters
 
 
 def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
@@ -224,13 +234,18 @@ def identify(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) ->
 
 
 def identified(docs: DataFrame, path: str, langs: list[str], log_p: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the languages, all columns as they are."""
+    """The rows of ``docs`` whose text is in one of the languages, all columns as they
+    are. A text without a letter goes, and one of at least ``MIN_LETTERS`` whose log
+    probability per letter, in its best language, is below ``LEAST_LOG_PROB``: text in
+    a language that was not learned, or letters that are no words."""
     model, name = docs.sparkSession.sparkContext.broadcast(log_p), uuid.uuid4().hex
 
     def run(batches):
         predict = worker_memo(name, lambda: _Predictor(path, langs, model.value))
         for part in text_slices(batches):
-            yield part.filter(pa.array([x != UNDETERMINED for x in predict(part.column("text"))[0]], pa.bool_()))
+            pred, _, log_prob, letters = predict.judge(part.column("text"))
+            strange = (letters >= MIN_LETTERS) & (log_prob < LEAST_LOG_PROB * letters)
+            yield part.filter(pa.array(np.array([x != UNDETERMINED for x in pred], bool) & ~strange, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
