@@ -7,23 +7,26 @@ concatenated argument pieces (indices in first-seen order); summed tokens; a
 tool piece without an index is an error.
 
 ``assemble_batch`` is the batch form (grouped aggregates, no Python). The
-streaming form loses nothing however late a piece is: each micro-batch appends
-its pieces to a table, where a repeated batch replaces itself, and the runs it
-touched are assembled anew from all their pieces. The pieces are partitioned by
-a hash of the run, so a batch reads the parts that hold its runs.
+streaming form loses nothing however late a piece is: the pieces of a run are its
+keyed state, kept in the state store with the checkpoint, and a batch assembles
+the runs it touched from all their pieces. So a batch costs its own pieces and
+those of its runs, not the history of the stream, and a batch that runs again
+starts from the same state. On a cluster use the RocksDB state store
+(``session.cluster_conf``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from ..sources.tables import read_table
 
-#: Parts of the table of pieces, by a hash of the run.
-PARTS = 16
-
 TOOL_CALL = "struct<index:int,id:string,type:string,name:string,arguments:string>"
 DELTA_SCHEMA = (f"run_id bigint, seq bigint, ts timestamp, content string, tool_call {TOOL_CALL}, "
                 "input_tokens bigint, output_tokens bigint")
@@ -81,27 +84,37 @@ def assemble_batch(d: DataFrame) -> DataFrame:
         F.when(F.col("_bad"), F.lit("Tool call index is not provided in tool delta")).alias("error"))
 
 
-def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All pieces that a stream has written to ``folder``."""
-    return spark.read.schema(f"{DELTA_SCHEMA}, batch_id long, part int").parquet(f"{folder}/pieces")
+#: What is kept of a piece: one line of JSON (which has no line breaks) for each.
+PIECE = f"seq bigint, content string, tool_call {TOOL_CALL}, input_tokens bigint, output_tokens bigint"
+
+
+def _with_earlier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A run's pieces so far, with those of this batch."""
+    lines = [state.get[0]] if state.exists else []
+    for batch in batches:
+        lines += batch["piece"].tolist()
+    whole = "\n".join(lines)
+    state.update((whole,))
+    yield pd.DataFrame({"run_id": [key[0]], "pieces": [whole]})
+
+
+def touched_runs(d: DataFrame) -> DataFrame:
+    """The runs that a batch of the stream ``d`` touches, each with all its pieces."""
+    piece = F.to_json(F.struct("seq", "content", "tool_call", "input_tokens", "output_tokens"))
+    return d.select("run_id", piece.alias("piece")).groupBy("run_id").applyInPandasWithState(
+        _with_earlier, "run_id bigint, pieces string", "pieces string", "update", "NoTimeout")
 
 
 def start_assembly(d: DataFrame, folder: str) -> DataStreamWriter:
-    """ST1 streaming: a writer that keeps the pieces of the stream ``d`` and, for
-    each batch, the messages of the runs it touched, under ``folder``."""
+    """ST1 streaming: a writer that leaves, for each batch of the stream ``d``, the
+    messages of the runs it touched under ``folder``; a repeated batch replaces its own."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int")
-        (batch.withColumn("part", part).repartition(PARTS, "part").write.mode("overwrite").partitionBy("part")
-         .parquet(f"{folder}/pieces/batch_id={batch_id}"))
-        # the batch as it was written: its source is not read again
-        own = pieces(spark, folder).where(F.col("batch_id") == batch_id)
-        parts = [r["part"] for r in own.select("part").distinct().collect()]  # at most PARTS numbers
-        every = pieces(spark, folder).where((F.col("batch_id") <= batch_id) & F.col("part").isin(parts))
-        touched = every.join(own.select("run_id").distinct(), "run_id", "left_semi")
-        assemble_batch(touched).write.mode("overwrite").parquet(f"{folder}/messages/batch_id={batch_id}")
-
-    return d.writeStream.foreachBatch(step)
+        runs = batch.persist()  # read twice: texts and tool calls
+        pieces = runs.select("run_id", F.explode(F.split("pieces", "\n")).alias("p")).select("run_id", F.from_json("p", PIECE).alias("p"))
+        assemble_batch(pieces.select("run_id", "p.*")).write.mode("overwrite").parquet(f"{folder}/messages/batch_id={batch_id}")
+        runs.unpersist()
+
+    return touched_runs(d).writeStream.outputMode("update").foreachBatch(step)
 
 
 def latest_messages(spark: SparkSession, folder: str) -> DataFrame:

@@ -90,6 +90,24 @@ def test_stream_assembly_loses_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/messages").select("batch_id").distinct().count() == 4
 
 
+def test_a_batch_assembles_the_runs_it_touches_alone(spark, tmp_path):
+    """Each file has one old run (hot) and one new one; what a batch writes does not grow with the others."""
+    from pyspark.sql import functions as F
+
+    from tessera.streaming.source import run_available_now
+    src, folder, ckpt = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    rows = lambda k: [(0, 2 * k, None, f"a\\n\"{k}\u2028", None, None, None), (0, 2 * k + 1, None, None, (None,) * 5, 1, None),
+                      (k, k, None, "x", (0, "i", "function", "n", "{}"), 2, 3)]
+    for k in range(1, 5):
+        spark.createDataFrame(rows(k), DL.DELTA_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(DL.DELTA_SCHEMA).parquet(src)
+        run_available_now(DL.start_assembly(stream, folder).option("checkpointLocation", ckpt))
+    written = spark.read.parquet(f"{folder}/messages").groupBy("batch_id").agg(F.sort_array(F.collect_list("run_id")).alias("r"))
+    assert sorted(tuple(x["r"]) for x in written.collect()) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(DL.latest_messages(spark, folder)) == key(DL.assemble_batch(spark.read.parquet(src)))
+
+
 def test_runs_without_usage_or_steps(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, 9, 1, t, "action", 1.0, 10, 2, None, None), (1, 9, 2, t, "planning", 1.0, None, None, None, None),
