@@ -141,6 +141,26 @@ def catalog_roundtrip(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"))
 
 
+# every priority's orders in a folder of its own name, some with a column that others lack
+@register("S4_flat_catalog_entries",
+          """SELECT lower(o_orderstatus) AS market, o_orderpriority AS segment, count(*) AS n_rows,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(CASE WHEN o_orderstatus <> 'F' THEN o_custkey END) AS with_customer
+FROM orders GROUP BY 1, 2""")
+def flat_catalog(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    orders = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    base, entries = scratch_path(spark, "flat_catalog"), []
+    for r in sorted(map(tuple, orders.select("o_orderstatus", "o_orderpriority").distinct().collect())):  # some 15 pairs
+        status, priority = r
+        path = f"{base}/{status} of {priority}/data+{len(entries)}"
+        own = orders.where((F.col("o_orderstatus") == status) & (F.col("o_orderpriority") == priority))
+        own.select(*(["o_custkey"] if status != "F" else []), "o_totalprice").write.parquet(path)
+        entries.append((status.lower(), priority, path))
+    return CAT.union_catalog(spark, entries).groupBy("market", "segment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").cast("double").alias("total"),
+        F.count("o_custkey").alias("with_customer"))
+
+
 @register("S2_S5_csv_summary_roundtrip",
           with_backtest("""SELECT regexp_replace(trim(geography), ' ', '_') AS market, statement_month,
   sum(actual_payment) AS actual, count(*) AS n_rows FROM backtest GROUP BY 1, 2"""))

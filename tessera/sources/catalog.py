@@ -8,6 +8,7 @@ full inference pass over the data; inspection runs as Spark aggregates
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,17 +66,31 @@ def read_catalog(spark: SparkSession, path: str, keys=("market", "segment"), sch
     return df.select(*[c for c in df.columns if c not in keys], *[F.col(k).cast("string") for k in keys])
 
 
-def union_catalog(spark: SparkSession, entries, reader=None) -> DataFrame:
-    """Flat entries (market, segment, path) that share no folder, stacked with
-    their keys as columns; differing schemas are aligned by name."""
-    reader = reader or (lambda p: spark.read.parquet(p))
-    out = None
-    for market, segment, path in entries:
-        df = reader(path).withColumn("market", F.lit(market)).withColumn("segment", F.lit(segment))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+def union_catalog(spark: SparkSession, entries, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Flat entries (market, segment, path), a file or a folder each and none
+    within another, that share no folder layout: all in one read, each row with the
+    keys of the entry that its file lies in; differing schemas are aligned by name."""
+    entries = [(market, segment, _plain_path(path)) for market, segment, path in entries]
+    if not entries:
         raise ValueError("empty catalog")
-    return out
+    reader = spark.read.option("mergeSchema", True).option("header", True).option("recursiveFileLookup", True)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.format(fmt).load([path for *_, path in entries])
+    columns = df.columns
+    known = spark.createDataFrame(entries, "__market string, __segment string, __path string")
+    # a file is an entry, or one of the folders above it is
+    file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    parts = F.split(file, "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    paths = F.array(*[F.lit(path) for *_, path in entries])
+    df = df.withColumn("__path", F.get(F.array_intersect(above, paths), F.lit(0)))
+    return df.join(F.broadcast(known), "__path").select(  # a row for each entry named by the caller
+        *[c for c in columns if c not in ("market", "segment")], F.col("__market").alias("market"), F.col("__segment").alias("segment"))
+
+
+def _plain_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path).rstrip("/")
 
 
 def catalog_key(c) -> F.Column:
