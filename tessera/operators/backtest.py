@@ -114,7 +114,7 @@ def _stock_sums(df: DataFrame, keys, sums: dict, stmt_col: str, horizon_col: str
 # ---------------------------------------------------------------- feature bins
 
 def quantile_edges(df: DataFrame, feature: str, n_bins: int, exact: bool = True,
-                   accuracy: int = 10000) -> list[float]:
+                   accuracy: int = 10000, is_table: bool = False) -> list[float]:
     """A6 edges: quantiles at i/n (linear interpolation), duplicates dropped.
 
     One aggregate returns n+1 numbers to the driver. ``exact=False`` switches
@@ -125,7 +125,7 @@ def quantile_edges(df: DataFrame, feature: str, n_bins: int, exact: bool = True,
     x = F.col(feature).cast("double")
     if exact:
         # distributed exact selection (no value map of the whole column in one task)
-        row = exact_quantiles(df, [], feature, probs).select(F.col("quantiles").alias("q")).first()
+        row = exact_quantiles(df, [], feature, probs, is_table).select(F.col("quantiles").alias("q")).first()
     else:
         row = df.where(x.isNotNull()).agg(
             F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).alias("q")).first()
@@ -187,12 +187,13 @@ def bin_bounds(idx: Column, method: str, edges: list[float]) -> tuple[Column, Co
 
 
 def feature_bin_edges(df: DataFrame, feature: str, method: str = "quantile", n_bins: int = 5,
-                      thresholds: list[float] | None = None, exact: bool = True) -> tuple[str, list[float]]:
-    """Pick A6/A7/A8 and return (method, edges)."""
+                      thresholds: list[float] | None = None, exact: bool = True,
+                      is_table: bool = False) -> tuple[str, list[float]]:
+    """Pick A6/A7/A8 and return (method, edges); ``is_table``: reading ``df`` again costs a scan only."""
     if thresholds:
         return "thresholds", sorted(set(float(t) for t in thresholds))
     if method == "quantile":
-        return "quantile", quantile_edges(df, feature, n_bins, exact=exact)
+        return "quantile", quantile_edges(df, feature, n_bins, exact=exact, is_table=is_table)
     if method in ("width", "equal_width", "uniform"):
         return "width", width_edges(df, feature, n_bins)
     raise ValueError(f"unknown bin method {method!r}")
@@ -228,7 +229,7 @@ def dimension_column(df: DataFrame, dimension: str, *, vintage_period: str = "ye
                      vintage_col: str = "origination_date", stmt_col: str = "statement_month",
                      perf_col: str = "performance_month", horizon_col: str = "horizon",
                      feature: str | None = None, bin_method: str = "quantile", n_bins: int = 5,
-                     thresholds: list[float] | None = None, exact_bins: bool = True):
+                     thresholds: list[float] | None = None, exact_bins: bool = True, is_table: bool = False):
     """(grouping columns, output name) for a dimension."""
     if dimension == "statement_month":
         return [F.trunc(F.col(stmt_col), "MONTH").alias("statement_month")], None
@@ -243,7 +244,7 @@ def dimension_column(df: DataFrame, dimension: str, *, vintage_period: str = "ye
     if dimension == "feature_bins":
         if not feature:
             raise ValueError("feature_bins needs a feature column")
-        method, edges = feature_bin_edges(df, feature, bin_method, n_bins, thresholds, exact_bins)
+        method, edges = feature_bin_edges(df, feature, bin_method, n_bins, thresholds, exact_bins, is_table)
         return [bin_index(F.col(feature), method, edges).alias("bin_idx")], (method, edges)
     raise ValueError(f"dimension must be one of {DIMENSIONS}")
 
@@ -264,7 +265,11 @@ def aggregate(df: DataFrame, actual: str, predicted: str, dimension: str = "stat
     stmt_col, horizon_col = dim_opts.get("stmt_col", "statement_month"), dim_opts.get("horizon_col", "horizon")
     if metric_type == "stock" and dimension == "feature_bins":
         df = stock_filter(df, stmt_col, horizon_col)  # the edges are those of the stock rows
-    keys, bins = dimension_column(df, dimension, **dim_opts)
+    feature = dim_opts.get("feature")
+    by_rank = dimension == "feature_bins" and feature and not dim_opts.get("thresholds") and dim_opts.get("bin_method", "quantile") == "quantile"
+    if by_rank:  # read by the sketch, the bands and the bins: joined once
+        df = cut_lineage(df.select(*dict.fromkeys([feature, actual, predicted])))
+    keys, bins = dimension_column(df, dimension, is_table=bool(by_rank), **dim_opts)
     if metric_type == "stock" and bins is None:
         name = df.select(*keys).columns
         agg = _stock_sums(df, keys, {actual: "total_actual", predicted: "total_predicted"}, stmt_col, horizon_col)
