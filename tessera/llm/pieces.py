@@ -6,7 +6,10 @@ best score of that position (Viterbi). No piece holds a space or a line break
 after another character, so the best path of a text is made of those of its
 parts between such places, and each distinct part of a slice is run once.
 
-Scores are those in the model file. A character that is no piece costs
+Scores are those in the model file, and the path is the one whose scores add up to
+most. In a BPE model the scores are ranks of merges and no log probabilities, so the
+ids are in general not those that the library's merges give (the README has figures);
+in a unigram model they are. A character that is no piece costs
 ``UNKNOWN_COST`` more than the lowest-scored piece and becomes its UTF-8 byte
 pieces. Pieces are held with real spaces in place of the model's mark, so a
 mark that stands in a text is such a character too, and decoding gives back
