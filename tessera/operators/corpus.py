@@ -24,7 +24,7 @@ from ..functions.chunking import DEFAULT_SEPARATORS, chunk_with_starts
 from ..functions.html import html_to_markdown, route_for_url
 from ..session import cut_lineage
 from .bm25 import BM25_B, BM25_EPSILON, BM25_K1, Bm25Index
-from .ordered import lag_values
+from .ordered import as_of, lag_values
 
 # Characters a viewport may end on (fixed values of the reference).
 VIEWPORT_BREAKS = " \t\r\n"
@@ -325,14 +325,17 @@ def resolve_visits(visits: DataFrame, session_col: str, order_cols, url_col: str
 
 def nearest_snapshot(snapshots: DataFrame, key_col: str, ts_col: str, wanted: DataFrame,
                      wanted_col: str) -> DataFrame:
-    """Per key the snapshot closest in time to the wanted timestamp
-    (ties -> earlier); keys without a wanted time take their newest snapshot."""
-    j = snapshots.join(wanted, key_col, "left")
-    diff = F.abs(F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.col(wanted_col).cast("timestamp")))
-    # min_by skips null orderings, so keys without a wanted time fall to max(ts)
-    ordering = F.when(F.col(wanted_col).isNotNull(), F.struct(diff.alias("d"), F.col(ts_col).alias("t")))
-    pick_near = F.min_by(F.col(ts_col), ordering)
-    return j.groupBy(key_col).agg(F.coalesce(pick_near, F.max(ts_col)).alias("snapshot_ts"))
+    """Per key the snapshot closest in time to a wanted timestamp
+    (ties -> earlier); keys without a wanted time take their newest snapshot.
+    Only the snapshots on either side of a wanted time are compared with it."""
+    near = as_of(wanted.where(F.col(wanted_col).isNotNull()).select(key_col, wanted_col), wanted_col,
+                 snapshots.select(key_col, ts_col), ts_col, [key_col])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sides = near.select(key_col, wanted_col, F.explode(F.array(f"before.{ts_col}", f"after.{ts_col}")).alias("__ts"))
+    picked = sides.where("__ts is not null").groupBy(key_col).agg(
+        F.min_by("__ts", F.struct(F.abs(micros("__ts") - micros(wanted_col)), "__ts")).alias("__ts"))
+    newest = snapshots.groupBy(key_col).agg(F.max(ts_col).alias("__newest"))
+    return newest.join(picked, key_col, "left").select(key_col, F.coalesce("__ts", "__newest").alias("snapshot_ts"))
 
 
 # ------------------------------------------------------------------ search payloads

@@ -104,6 +104,43 @@ def lag_values(t: DataFrame, keys, order_cols, value_cols, ranges: int | None =
         *t.columns, *[F.col("__prev")[v].alias(f"prev_{v}") for v in value_cols])
 
 
+def as_of(rows: DataFrame, at_col: str, others: DataFrame, ts_col: str, keys, value_cols=(),
+          ranges: int | None = None) -> DataFrame:
+    """Each row of ``rows`` with its neighbours in time among ``others`` of the same
+    keys: structs ``before`` (the last at or before ``at_col``) and ``after`` (the
+    first later than it) of ``ts_col`` and ``value_cols``, null where there is none.
+
+    Both sides are merged and dealt into ranges of (keys, time), so no pairs are made,
+    whatever the number of times asked for, and a hot key goes over several ranges.
+    The others nearest across the edge of a range come from a table with at most two
+    rows for each range (keep ``value_cols`` narrow). Of others at one time, ``before``
+    takes the greatest values and ``after`` the least. Null keys meet null keys; a row
+    without a time has no neighbours; others without a time are nobody's.
+    """
+    keys = list(keys)
+    names = [f"__k{i}" for i in range(len(keys))]
+    key_cols = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    left = rows.select(*key_cols, F.col(f"`{at_col}`").alias("__at"), F.lit(True).alias("__asks"),
+                       F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    right = others.select(*key_cols, F.col(f"`{ts_col}`").alias("__at"), F.lit(False).alias("__asks"),
+                          F.struct(*[F.col(f"`{c}`") for c in (ts_col, *value_cols)]).alias("__own"))
+    tb = in_ranges(left.unionByName(right.where("__at is not null"), allowMissingColumns=True), names, ["__at"], ranges)
+    ends = tb.groupBy(PART, *names).agg(F.min("__own").alias("__first"), F.max("__own").alias("__last"))
+    edge = _earlier(names)
+    carry = _crossing(ends, names).select(
+        PART, *names, F.last("__last", True).over(edge.rowsBetween(Window.unboundedPreceding, -1)).alias("__from"),
+        F.last("__first", True).over(edge.orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)).alias("__to"))
+    own = Window.partitionBy(PART, *names)
+    # in both directions a running value; others of a row's own time stand before it and are not after it
+    out = tb.select(PART, *names, "__at", "__asks", "__row",
+                    F.max("__own").over(own.orderBy("__at", "__asks")).alias("__b"),
+                    F.min("__own").over(own.orderBy(F.desc("__at"), F.desc("__asks"))).alias("__a")).where("__asks")
+    out = join_on_keys(out, F.broadcast(carry), [PART, *names], "left")
+    timed = F.col("__at").isNotNull()
+    return out.select("__row.*", F.when(timed, F.coalesce("__b", "__from")).alias("before"),
+                      F.when(timed, F.coalesce("__a", "__to")).alias("after"))
+
+
 #: Rows of a group's bands up to which one window runs over them; more go over ranges.
 WINDOW_ROWS = 2_000_000
 

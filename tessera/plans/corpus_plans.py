@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators.ordered import as_of
 from ..sources.tables import read_table
 from .oracle_views import WS_SQL
 from .registry import register
@@ -248,6 +249,20 @@ def nearest(spark, sf_dir):
     return C.nearest_snapshot(snaps, "url", "ts", wanted, "wanted_ts")
 
 
+@register("J8_views_around_each_purchase", """
+WITH bought AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+seen AS (SELECT user_id, ts FROM events WHERE event_type = 'view')
+SELECT b.event_id, b.user_id, b.ts, p.ts AS previous_view, n.ts AS next_view
+FROM bought b ASOF LEFT JOIN seen p ON b.user_id = p.user_id AND b.ts >= p.ts
+              ASOF LEFT JOIN seen n ON b.user_id = n.user_id AND b.ts < n.ts""")
+def views_around(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"])
+    bought = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = ev.where("event_type = 'view'").select("user_id", "ts")
+    return as_of(bought, "ts", seen, "ts", ["user_id"]).select(
+        "event_id", "user_id", "ts", F.col("before.ts").alias("previous_view"), F.col("after.ts").alias("next_view"))
+
+
 PAYLOAD_SQL = """
 WITH items AS (
   SELECT CAST(trunc(page_id / 10) AS BIGINT) AS payload_id, page_id,

@@ -110,3 +110,39 @@ def test_r2_keeps_its_digits(spark):
     r = backtest_metrics(spark.createDataFrame(odd, "a decimal(18,4), p decimal(18,4)"), "a:p", level="account", rank_metrics=False).first()
     mean = sum(float(a) for a, _ in odd) / 4
     assert abs(r["R2"] - (1 - sum(float(a) ** 2 for a, _ in odd) / sum((float(a) - mean) ** 2 for a, _ in odd))) < 1e-12
+
+
+def test_as_of_finds_the_neighbours_of_hot_and_null_keys(spark):
+    from tessera.operators.ordered import as_of
+    rnd = random.Random(11)
+    key = lambda: rnd.choice([0, 0, 0, 0, 1, 2, None])
+    asks = [(key(), i, rnd.choice([None, *range(60)])) for i in range(400)]
+    own = [(key(), rnd.choice([None, *range(0, 60, 3)]), rnd.randint(0, 3)) for _ in range(90)] + [(5, 1, 1)]
+    asks += [(7, 400, 10), asks[0]]  # a key without others, and a repeated row
+    rows = spark.createDataFrame(asks, "k long, before long, t long").withColumnRenamed("before", "id")
+    others = spark.createDataFrame(own, "k long, ts long, v long")
+
+    def near(k, t):
+        timed = [(s, v) for q, s, v in own if q == k and s is not None and t is not None]
+        return (max([x for x in timed if x[0] <= t], default=None), min([x for x in timed if x[0] > t], default=None))
+
+    want = sorted(((i, *near(k, t)) for k, i, t in asks), key=repr)
+    for ranges in (1, 2, 13, 64):
+        got = as_of(rows, "t", others, "ts", ["k"], ["v"], ranges=ranges).collect()
+        assert sorted(((r["id"], r["before"] and tuple(r["before"]), r["after"] and tuple(r["after"])) for r in got),
+                      key=repr) == want
+    all_own = as_of(rows, "t", others, "ts", [], ranges=9).where("id = 400").first()
+    assert all_own["before"][0] == max(s for _, s, _ in own if s is not None and s <= 10)
+    assert as_of(rows, "t", others.limit(0), "ts", ["k"]).where("before is null and after is null").count() == len(asks)
+    assert as_of(rows.limit(0), "t", others, "ts", ["k"]).count() == 0
+
+
+def test_nearest_snapshot_takes_the_closer_side_then_the_earlier(spark):
+    from tessera.operators.corpus import nearest_snapshot
+    stamp = lambda m: f"2024-01-01 00:{m:02d}:00"
+    snaps = spark.createDataFrame([("a", stamp(1)), ("a", stamp(5)), ("a", stamp(9)), ("b", stamp(2)), ("b", stamp(3)),
+                                   ("c", stamp(4)), (None, stamp(6))], "u string, s string").selectExpr("u", "timestamp(s) AS ts")
+    wanted = spark.createDataFrame([("a", stamp(3)), ("b", None), ("d", stamp(1)), ("c", stamp(0))],
+                                   "u string, s string").selectExpr("u", "timestamp(s) AS w")
+    got = {r["u"]: r["snapshot_ts"].minute for r in nearest_snapshot(snaps, "u", "ts", wanted, "w").collect()}
+    assert got == {"a": 1, "b": 3, "c": 4, None: 6}
