@@ -22,6 +22,8 @@ from ..sources.tables import read_table
 SLICE_BYTES = 4 << 20
 #: Entries a memo of encoded words may hold before it starts anew, and one of hashes.
 MEMO_ENTRIES, HASH_ENTRIES = 500_000, 200_000
+#: Characters of all parts that a memo keeps, and of the longest: text without spaces makes parts of whole paragraphs.
+MEMO_CHARS, MEMO_PART = 8_000_000, 256
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,11 +133,31 @@ def word_hashes() -> WordHashes:
     return worker_memo("word hashes", WordHashes)
 
 
+class Memo(dict):
+    """What parts of texts encode to, bounded in entries and characters. A slice
+    may add all parts it has; ``settle`` then lets go of the long ones among those
+    it added, which seldom come again, and of everything once a bound is passed."""
+
+    chars = 0
+
+    def settle(self, added: Iterable[str]) -> None:
+        for part in added:
+            if len(part) > MEMO_PART:
+                self.pop(part, None)
+            else:
+                self.chars += len(part)
+        if len(self) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
+            self.clear()
+            self.chars = 0
+
+
 class WordHashes(dict):
-    """Memo of the 64-bit hashes of words."""
+    """Memo of the 64-bit hashes of words, long ones left out."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_PART:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -8,8 +8,8 @@ candidates are verified on their full shingle sets.
 * The least node of a bucket leads it. All buckets with one leader make one
   group, in which each text comes once, whatever the number of bands it agrees
   in; a pair of texts in a bucket is in the group of the bucket's leader.
-* A group is dealt into blocks of bounded size, and a task verifies the pairs
-  of two blocks. What it returns is linear in the block: for each text its
+* A group is dealt into blocks of bounded size in texts and shingles, and a task
+  verifies the pairs of two blocks. What it returns is linear in the block: for each text its
   number of links and the least text it is connected with there.
 * Classes are the connected components of the verified links, found by rounds
   of large-star and small-star steps over narrow edges.
@@ -30,8 +30,10 @@ from .common import WordHashes, cut, documents, mix, shingles, table, text_slice
 NGRAM, THRESHOLD = 5, 0.8
 #: Recall of the bands at the threshold, and most hash functions.
 RECALL, MAX_HASHES = 0.999, 192
-#: Texts of a group that one side of a verification holds.
-BLOCK = 512
+#: Texts of a group, and their shingles, that one side of a verification holds (one longer text comes alone).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Places of shingles that are looked up at once.
+LOOKUP = 1 << 22
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -78,8 +80,9 @@ def node_of(shingle_set: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, th, doc_id, node (null without words) and band hashes of each row."""
-    names = [("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    """id, th, doc_id, node (null without words), number of shingles and band hashes of each row."""
+    names = [("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()),
+             ("bands", pa.list_(pa.int64()))]
 
     def run(batches):
         hashes = word_hashes()
@@ -90,19 +93,19 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if full:
                 for i, h in zip(full, band_hashes([sets[i] for i in full], bands, rows).view(np.int64).tolist()):
                     nodes[i], found[i] = node_of(sets[i]), h
-            yield table(names, [part.column("doc_id"), part.column("id"), part.column("th"), nodes, found])
+            yield table(names, [part.column("doc_id"), part.column("id"), part.column("th"), nodes, list(map(len, sets)), found])
 
     return docs.select("doc_id", *row_key(), "text").mapInArrow(
-        run, "doc_id long, id long, th long, node long, bands array<long>")
+        run, "doc_id long, id long, th long, node long, n int, bands array<long>")
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, leader) of all buckets with two nodes or more; the leader is a
-    member of its own group. ``nodes``: node, bands."""
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    """(node, n, leader) of all buckets with two nodes or more; the leader is a
+    member of its own group. ``nodes``: node, n, bands."""
+    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leads = (member.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
              .where("leader < last").select("bucket", "leader"))
-    return member.join(leads, "bucket").select("node", "leader").distinct()
+    return member.join(leads, "bucket").select("node", "n", "leader").distinct()
 
 
 def _links(sets: list[np.ndarray], threshold: float, cross: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +121,14 @@ def _links(sets: list[np.ndarray], threshold: float, cross: int) -> tuple[np.nda
     left, right = [], []
     for i in range(cross or len(sets) - 1):
         own = token[at[i]: at[i + 1]]
-        b, n = begins[own], ends[own] - begins[own]
-        spots = np.repeat(b - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        both = np.bincount(by_token[spots], minlength=len(sets))
+        first, n = begins[own], ends[own] - begins[own]
+        upto, both, a = np.cumsum(n), np.zeros(len(sets), np.int64), 0
+        while a < len(own):  # the sets that have each shingle, a bounded number of places at once
+            before = int(upto[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, before + LOOKUP, "right")))
+            spots = np.repeat(first[a:b] - (upto[a:b] - n[a:b] - before), n[a:b]) + np.arange(int(upto[b - 1]) - before)
+            both += np.bincount(by_token[spots], minlength=len(sets))
+            a = b
         # the least number of common shingles, in whole numbers of a millionth
         like = both * 1_000_000 >= round(threshold * 1_000_000) * (size[i] + size - both)
         like[: max(i + 1, cross)] = False
@@ -167,12 +175,14 @@ def _verified(key: tuple, rows: list[tuple], hashes: WordHashes, threshold: floa
         yield int(node[i]), int(n[i]), int(root[i])
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def verified_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
+                   block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, n_links, root) rows from the verification of all candidates; the
-    links of a node are the sum over its rows. ``nodes``: node, id, th, bands."""
+    links of a node are the sum over its rows. ``nodes``: node, n, id, th, bands."""
     spark = docs.sparkSession
     member = cut(candidate_groups(nodes), "members")
-    blocks = member.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = member.groupBy("leader").agg(F.greatest(
+        F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     shipped = (member.join(blocks, "leader").groupBy("node")
                .agg(F.sort_array(F.collect_list(F.struct("leader", "blocks"))).alias("groups"))  # one of each band at most
                .join(nodes.select("node", "id", "th"), "node"))
@@ -228,7 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
+            block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The class of each row of ``docs`` (doc_id, text): id, th, doc_id, class_id,
     copy_id, n_links, and the key (class_row_id, class_row_th) of the class's first row.
 
@@ -244,12 +255,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     last = F.when(F.col("doc_id").isNull(), 1).otherwise(0)
     nodes = made.where("node is not null").groupBy("node").agg(
         F.min(F.struct(last.alias("last"), "id", "th")).alias("k"), F.min("doc_id").alias("copy_id"),
-        F.first("bands").alias("bands"))
-    nodes = cut(nodes.select("node", "k.last", "k.id", "k.th", "copy_id", "bands"), "nodes")
-    links = cut(verified_links(docs, nodes, threshold, block), "links")
+        F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.select("node", "k.last", "k.id", "k.th", "copy_id", "n", "bands"), "nodes")
+    links = cut(verified_links(docs, nodes, threshold, block, block_shingles), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    rooted = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.drop("n", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_class = rooted.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min(F.struct("last", "id", "th")).alias("k"))
     of_node = (rooted.join(of_class, "root").join(counts, "node", "left")
                .select("node", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, cut, documents, gathered, split_words, table, text_slices, worker_memo
+from .common import Memo, cut, documents, gathered, split_words, table, text_slices, worker_memo
 from .tokens import by_bytes, tokenizer
 
 #: Tokens of a sequence.
@@ -49,7 +49,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Memo()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -69,8 +69,6 @@ class WordIds:
     def of(self, parts: pa.Array) -> tuple[list[bytes], np.ndarray]:
         """(ids of pre-tokens, two places in them for each part): those of its
         letters and of its closing punctuation, or of the whole and of nothing."""
-        if len(self.known) > MEMO_ENTRIES:
-            self.known.clear()
         letters = pc.utf8_rtrim(parts, self.CLOSING)
         plain = pc.utf8_is_alpha(letters)
         closing = pc.struct_field(pc.extract_regex(parts, f"(?P<end>[{self.CLOSING}]*)$"), "end")
@@ -83,6 +81,7 @@ class WordIds:
         for some in by_bytes(x for x, a in new if not a):
             self.known.update(zip(some, self._encode(some)))
         ids = [self.known[x] for x in firsts] + self._encode(seconds)
+        self.known.settle(x for x, _ in new)
         places = np.column_stack([first.indices.to_numpy(zero_copy_only=False),
                                   second.indices.to_numpy(zero_copy_only=False) + len(firsts)])
         return ids, places

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO_ENTRIES, documents, strings, table, text_slices, worker_memo
+from .common import Memo, documents, strings, table, text_slices, worker_memo
 
 #: The model's mark for a space.
 MARK = "▁"
@@ -104,17 +104,18 @@ class PieceCoder:
         return b"".join(map(self.text.__getitem__, ids))[1:]
 
 
-class PartMemo(dict):
+class PartMemo(Memo):
     """What each part encodes to: ids as bytes, score, number of byte pieces, and
-    what the ids decode to."""
+    what the ids decode to; ``added`` lists the parts new since the last slice."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.coder = PieceCoder(path)
+        self.coder, self.added = PieceCoder(path), []
 
     def __missing__(self, part: str) -> tuple[bytes, float, int, bytes]:
         ids, score = self.coder.best(part)
         text = self.coder.text
+        self.added.append(part)
         own = self[part] = (np.array(ids, "<u4").tobytes(), score, sum(map(self.coder.is_byte.__getitem__, ids)),
                             b"".join([text[i] for i in ids]))
         return own
@@ -135,8 +136,6 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(batches):
         known = worker_memo(("parts", path), lambda: PartMemo(path))
         for part in text_slices(batches):
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
             out = [[] for _ in columns]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part)):
                 best = list(map(known.__getitem__, known.coder.parts(text)))
@@ -146,6 +145,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                        zlib.crc32(packed), hashlib.sha256(decoded).hexdigest(), decoded == raw]
                 for c, v in zip(out, row + [np.frombuffer(packed, "<u4").tolist()] * with_ids):
                     c.append(v)
+            known.settle(known.added)
+            known.added = []
             yield table(columns, out)
 
     return docs.select("doc_id", "text").mapInArrow(

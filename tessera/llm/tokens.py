@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO_ENTRIES, documents, strings, table, text_slices
+from .common import Memo, documents, strings, table, text_slices
 
 #: Tokens above which a document is over the limit.
 LIMIT = 1024
@@ -66,15 +66,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     the executors.
     """
     def run(batches):
-        encode, known = tokenizer(path).encode_batch_fast, {}
+        encode, known = tokenizer(path).encode_batch_fast, Memo()
         for part in text_slices(batches):
             texts = strings(part)
             cuts = [SAFE.split(x) for x in texts]
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-            for new in by_bytes(set().union(*cuts).difference(known)):
-                known.update(zip(new, map(len, encode(new, add_special_tokens=False))))
+            new = set().union(*cuts).difference(known)
+            for some in by_bytes(new):
+                known.update(zip(some, map(len, encode(some, add_special_tokens=False))))
             n = [sum(map(known.__getitem__, c)) for c in cuts]
+            known.settle(new)
             yield table(COLUMNS, [part.column("doc_id"), [len(x.encode()) for x in texts], n, [x > limit for x in n]])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -82,6 +82,20 @@ def test_blocks_and_chains(spark, near_groups, block):
     assert rows_of(near_duplicates.classes(docs, block=block), *CLASS) == _classes(near_groups)
 
 
+def test_blocks_follow_the_shingles_of_long_texts(spark, near_groups, monkeypatch):
+    docs = spark.createDataFrame(near_groups, "doc_id long, text string")
+    assert rows_of(near_duplicates.classes(docs, block_shingles=40), *CLASS) == _classes(near_groups)
+    # long near copies that all differ: no block has much more than its shingles
+    words = [f"w{i}" for i in range(3_000)]
+    rows = [(i, " ".join(words[:i * 9] + [f"x{i}"] + words[i * 9:])) for i in range(24)]
+    sets = [near_duplicates.shingles(near_duplicates.word_hashes().of(t.encode().split())) for _, t in rows]
+    whole = near_duplicates._links(sets, 0.8, 0)
+    monkeypatch.setattr(near_duplicates, "LOOKUP", 100)
+    assert all((x == y).all() for x, y in zip(near_duplicates._links(sets, 0.8, 0), whole)) and len(whole[0]) == 276
+    got = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=9_000)
+    assert rows_of(got, *CLASS) == [(i, 0, i, 23) for i in range(24)]
+
+
 def test_one_row_of_a_class_stays(odd, small, odd_rows, small_rows):
     kept = near_duplicates.without_near_duplicates(small)
     want = [i for i, c, *_ in _classes([r[:2] for r in small_rows]) if i == c]

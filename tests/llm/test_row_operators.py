@@ -444,3 +444,30 @@ def test_containment_join_drops_no_pair(spark, threshold):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+
+
+def test_memos_are_bounded_in_characters(monkeypatch):
+    from tessera.llm import common
+    memo = common.Memo()
+    long_part = "x" * (common.MEMO_PART + 1)
+    memo.update({"ab": 1, long_part: 2})
+    memo.settle(["ab", long_part])
+    assert memo == {"ab": 1} and memo.chars == 2
+    monkeypatch.setattr(common, "MEMO_CHARS", 4)
+    memo.update({"cde": 1})
+    memo.settle(["cde"])
+    assert memo == {} and memo.chars == 0
+    hashes = common.WordHashes()
+    assert len(hashes.of([b"a", b"b" * 1000, b"a"])) == 3 and list(hashes) == [b"a"]
+
+
+def test_texts_without_spaces_count_alike_in_a_slice_and_after(spark):
+    # parts longer than the memo keeps, met twice and in several slices
+    rows = [(i, ("\u8a9e\u6587" * (400 + i % 3)) + " ab\n" * (i % 2)) for i in range(12)] + [(12, "a" * 5000), (13, "a" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = tokens.tokenizer(path)
+    want = [(i, len(coder.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted((r.doc_id, r.n_tokens) for r in tokens.count_tokens(docs, path).collect()) == want
+    found = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(found) == 14 and all(r.round_trip for r in found)
