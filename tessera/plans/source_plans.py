@@ -58,6 +58,29 @@ def profile(spark, sf_dir):
     return CAT.column_profile(read_table(spark, sf_dir, "orders"))
 
 
+def _stored_profile_sql(table: str, cols: list[tuple[str, str]]) -> str:
+    ends = lambda c, t: ", ".join(f"CAST({f}({c}) AS DOUBLE)" if t in ("bigint", "double") else "CAST(NULL AS DOUBLE)"
+                                  for f in ("min", "max"))
+    return "SELECT *, TRUE AS distinct_within FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS n_null, {ends(c, t)} "
+        f"FROM {table}" for c, t in cols) + ") AS p(column_name, data_type, n_rows, n_null, low, high)"
+
+
+# the summaries of every month of orders are stored, read back and merged; the distinct
+# values are estimates, so what is returned of them is whether they are within 3 % (four
+# standard errors) of the exact number
+@register("S9_S10_profile_from_stored_sketches", _stored_profile_sql("orders", ORDERS_COLS))
+def stored_profile(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "sketches")
+    CAT.sketch_columns(orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), ["month"]).write.parquet(path)
+    found = CAT.profile_from_sketches(spark.read.parquet(path))
+    exact = CAT.column_profile(orders).select("column_name", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return found.join(exact, "column_name").select(
+        "column_name", "data_type", "n_rows", "n_null", "low", "high", near.alias("distinct_within"))
+
+
 @register("S10_describe_customer",
           """SELECT column_name, count, mean, std, min, q25, q50, q75, max,
        CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM (

@@ -195,6 +195,55 @@ def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     return stats
 
 
+#: Size of the sketches of a column: lg of the registers for distinct values (relative
+#: standard error 0.8 / sqrt(2^14) = 0.7 %), and k of the quantiles (rank error about 0.4 %).
+DISTINCT_LG_K, QUANTILE_K = 14, 800
+
+
+def sketch_columns(df: DataFrame, by=()) -> DataFrame:
+    """Mergeable summaries of all columns but ``by``, one row for each column
+    and group of ``by`` (a catalog's folders, or ``_metadata.file_path`` for files):
+    n_rows, n_null, a HyperLogLog sketch of the values and, for numbers, low, high and a
+    KLL sketch. One aggregate in one pass; sketches are combined before the shuffle.
+
+    Written beside the data, the summaries of any subset of groups give a profile
+    (``profile_from_sketches``) without reading data again. NaN counts as a value but is
+    left out of low, high and the quantiles."""
+    by = list(by)
+    columns = [f for f in df.schema.fields if f.name not in by]
+    aggs, rows = [], []
+    for i, f in enumerate(columns):
+        c = F.col(f"`{f.name}`")
+        number = c.cast("double") if isinstance(f.dataType, NUMERIC) else F.lit(None).cast("double")
+        number = F.when(~F.isnan(number), number)
+        value = c if isinstance(f.dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else c.cast("string")
+        aggs += [F.count(c).alias(f"__n{i}"), F.hll_sketch_agg(value, F.lit(DISTINCT_LG_K)).alias(f"__d{i}"),
+                 F.min(number).alias(f"__l{i}"), F.max(number).alias(f"__h{i}"), F.count(number).alias(f"__c{i}"),
+                 F.kll_sketch_agg_double(number, F.lit(QUANTILE_K)).alias(f"__q{i}")]
+        rows.append(F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.col("__rows").alias("n_rows"), (F.col("__rows") - F.col(f"__n{i}")).alias("n_null"),
+            F.col(f"__d{i}").alias("distinct_sketch"), F.col(f"__l{i}").alias("low"), F.col(f"__h{i}").alias("high"),
+            F.col(f"__c{i}").alias("n_numbers"), F.when(F.col(f"__c{i}") > 0, F.col(f"__q{i}")).alias("quantile_sketch")))
+    total = F.count(F.lit(1)).alias("__rows")
+    grouped = df.groupBy(*[F.col(f"`{c}`") for c in by]).agg(total, *aggs)
+    return grouped.select(*[F.col(f"`{c}`") for c in by], F.inline(F.array(*rows)))
+
+
+def profile_from_sketches(sketches: DataFrame, probs=(0.25, 0.5, 0.75), by=()) -> DataFrame:
+    """S9/S10 from stored summaries: per column (and group of ``by``) n_rows, n_null,
+    low and high exactly, n_distinct and ``quantiles`` (at ``probs``, null for columns
+    without numbers) within the errors of the sketches. Filter ``sketches`` first for a
+    subset of the data; a group that was stored twice counts twice."""
+    merged = sketches.groupBy(*by, "column_name", "data_type").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch", F.lit(False))).alias("n_distinct"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_numbers").alias("__c"),
+        F.kll_merge_agg_double("quantile_sketch").alias("__q"))
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    return merged.withColumn("quantiles", F.when(F.col("__c") > 0, F.kll_sketch_get_quantile_double("__q", at))).drop("__c", "__q")
+
+
 def run_sql(spark: SparkSession, query: str) -> DataFrame:
     """Run SQL text against the registered views."""
     return spark.sql(query)
