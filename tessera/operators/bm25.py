@@ -31,7 +31,10 @@ from ..session import cut_lineage
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 SCORE_SCALE = 1e9  # per-term contributions are summed as integers of 1e-9
 #: Units of a shard, bytes of text it is cut at, and scores that a task holds at once.
-SHARD_UNITS, SHARD_BYTES, SCORES = 4096, 8 << 20, 4 << 20
+SHARD_UNITS, SHARD_BYTES, SCORES = 4096, 2 << 20, 1 << 20
+#: A shard is one row of some MB: the writer looks at its buffer after every few rows, not every
+#: hundred, and a reader holds a small row group at a time.
+SHARD_FILES = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "4"}
 
 
 def tokenize(text) -> Column:
@@ -40,7 +43,7 @@ def tokenize(text) -> Column:
     return F.filter(F.split(t, f"{WHITESPACE}+"), lambda x: x != "")
 
 
-def _slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` rows and about SHARD_BYTES of text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -70,6 +73,18 @@ def _postings(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return coded.dictionary.take(pa.array(present)), counts, units, n, length
 
 
+def _steps(postings: np.ndarray, units: int, at_once: int) -> Iterator[tuple[int, int]]:
+    """Ranges of queries to add up together in a shard of ``units``: as many as have at
+    most ``at_once`` scores and postings to add (one query has no more than the shard)."""
+    upto = np.r_[0, np.cumsum(postings)]
+    most, low = max(1, at_once // max(1, units)), 0
+    while low < len(postings):
+        high = int(np.searchsorted(upto, upto[low] + at_once, "right")) - 1
+        high = min(max(high, low + 1), low + most, len(postings))
+        yield low, high
+        low = high
+
+
 class Bm25Index:
     """Shards of ``units``, a table in the shared folder, with the idf of their terms."""
 
@@ -83,7 +98,7 @@ class Bm25Index:
         names = schema.names
 
         def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _slices(batches, "__text", shard_units):
+            for rows in text_slices(batches, "__text", shard_units):
                 terms, counts, units, n, length = _postings(rows.column("__text"))
                 keys = pa.StructArray.from_arrays([rows.column(k) for k in range(len(self.unit_keys))], names=self.unit_keys)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
@@ -91,7 +106,7 @@ class Bm25Index:
                 yield pa.RecordBatch.from_arrays([one(keys), whole(length), one(terms.cast(pa.string())), whole(counts),
                                                   whole(units), whole(n)], names=names)
 
-        self.shards = cut_lineage(units.select(*self.unit_keys, F.col(text_col).alias("__text")).mapInArrow(build, schema))
+        self.shards = cut_lineage(units.select(*self.unit_keys, F.col(text_col).alias("__text")).mapInArrow(build, schema), **SHARD_FILES)
         whole = self.shards.agg(F.sum(F.size("lengths")).alias("units"), F.sum(
             F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y)).alias("words")).first()
         self.units = whole["units"] or 0
@@ -115,52 +130,46 @@ class Bm25Index:
 
     def best(self, query_field: T.StructField, block: list, k: int) -> DataFrame:
         """The ``k`` best units of each shard for each query of a block: (query, keys, score)."""
-        weights: dict[str, tuple[list, list]] = {}
-        for q, (_, terms) in enumerate(block):
-            for t in terms:
-                qs, ws = weights.setdefault(t["term"], ([], []))
-                qs.append(q)
-                ws.append(t["n"] * t["idf"])
-        ends = np.cumsum([0, *(len(qs) for qs, _ in weights.values())])
-        flat = [np.array([x for pair in weights.values() for x in pair[side]], t) for side, t in ((0, np.int64), (1, np.float64))]
+        number: dict[str, int] = {}
+        term = np.array([number.setdefault(t["term"], len(number)) for _, terms in block for t in terms], np.int64)
+        weight = np.array([t["n"] * t["idf"] for _, terms in block for t in terms], np.float64)
+        ends = np.cumsum([0, *(len(terms) for _, terms in block)])
         shared = self.shards.sparkSession.sparkContext.broadcast(  # of a block of queries
-            ([x[0] for x in block], {t: n for n, t in enumerate(weights)}, ends, *flat))
+            ([x[0] for x in block], list(number), ends, term, weight))
         schema = T.StructType([query_field, *self._keys, T.StructField("score", T.DoubleType())])
         k1, b, mean_length, n_keys, at_once = self.k1, self.b, self.mean_length, len(self.unit_keys), self.scores
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, number, ends, asking, weight = shared.value
-            names = pa.array(names)
+            names, wanted, ends, term, weight = shared.value
+            names, wanted = pa.array(names), pa.array(wanted, pa.string())
             for batch in batches:
                 for at in range(batch.num_rows):
                     shard = {c: batch.column(c)[at].values for c in batch.schema.names}
                     part = lambda c: shard[c].to_numpy(zero_copy_only=False)
-                    found = np.array([number.get(t, -1) for t in shard["terms"].to_pylist()], np.int64)
-                    counts = part("counts")
-                    of = np.repeat(found, counts)
-                    rows, n = part("rows")[of >= 0], part("n")[of >= 0].astype(np.float64)
-                    of = of[of >= 0]
+                    found = pc.fill_null(pc.index_in(shard["terms"], wanted), -1).to_numpy(zero_copy_only=False)
+                    first, count = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+                    counts = part("counts").astype(np.int64)
+                    first[found[found >= 0]] = (np.cumsum(counts) - counts)[found >= 0]
+                    count[found[found >= 0]] = counts[found >= 0]
+                    rows, n = part("rows"), part("n").astype(np.float64)
                     shape = n * (k1 + 1), n + k1 * ((1 - b) + b * part("lengths") / mean_length)[rows]
                     rank = pc.sort_indices(shard["keys"].flatten()[0] if n_keys == 1 else pa.Table.from_arrays(
                         shard["keys"].flatten(), names=[str(i) for i in range(n_keys)]),
                         **({} if n_keys == 1 else {"sort_keys": [(str(i), "ascending") for i in range(n_keys)]}))
                     place = np.empty(len(rank), np.int64)
                     place[rank.to_numpy()] = np.arange(len(rank))
-                    yield from picked(names, shard["keys"], place, asking, weight, ends, of, rows, *shape)
+                    yield from picked(names, shard["keys"], place, ends, first[term], count[term], weight, rows, *shape)
 
-        def picked(names, keys, place, asking, weight, ends, of, rows, top, bottom):
+        def picked(names, keys, place, ends, first, width, weight, rows, top, bottom):
             """Adds up one shard, some queries at a time, and keeps the best of each."""
-            step = max(1, at_once // max(1, len(place)))
-            width = (ends[1:] - ends[:-1])[of]
-            posting = np.repeat(np.arange(len(of)), width)
-            entry = np.repeat(ends[of] - (np.cumsum(width) - width), width) + np.arange(len(posting))
-            q = asking[entry]
-            for low in range(0, len(names), step):
-                here = (q >= low) & (q < low + step)
-                p, e = posting[here], entry[here]
-                part = np.floor(weight[e] * top[p] / bottom[p] * SCORE_SCALE + 0.5)
-                shape = min(step, len(names) - low), len(place)
-                pair = (q[here] - low) * len(place) + rows[p]
+            for low, high in _steps(np.diff(np.r_[0, np.cumsum(width)][ends]), len(place), at_once):
+                here = slice(ends[low], ends[high])
+                wide = width[here]
+                p = np.repeat(first[here] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+                part = np.floor(np.repeat(weight[here], wide) * top[p] / bottom[p] * SCORE_SCALE + 0.5)
+                q = np.repeat(np.arange(high - low), np.diff(ends[low: high + 1]))
+                shape = high - low, len(place)
+                pair = np.repeat(q, wide) * len(place) + rows[p]
                 score = np.bincount(pair, part, shape[0] * shape[1]).astype(np.float64).reshape(shape)  # whole numbers far below 2^53
                 score[np.bincount(pair, minlength=score.size).reshape(shape) == 0] = -np.inf  # no term in common
                 bar = np.partition(score, max(0, shape[1] - k), axis=1)[:, max(0, shape[1] - k), None]

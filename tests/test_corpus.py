@@ -179,3 +179,28 @@ def test_bm25_index_against_plain_scores(spark):
         assert sorted((r["qid"], r["a"], r["b"], r["rank"]) for r in got.collect()) == sorted(want)
     assert C.bm25_top_k(d.where("a > 9"), ["a", "b"], "t", dq, "qid", "qt", 4).collect() == []
     assert C.bm25_top_k(d, ["a", "b"], "t", dq.where("qid > 99"), "qid", "qt", 4).collect() == []
+
+
+def test_bm25_adds_up_no_more_postings_at_once_than_it_may():
+    import numpy as np
+
+    from tessera.operators.bm25 import _steps
+    postings = np.array([0, 900, 50, 60, 5000, 0, 0, 10] + [400] * 50)
+    steps = list(_steps(postings, 100, 1000))
+    assert [x for low, high in steps for x in range(low, high)] == list(range(len(postings)))
+    assert all((postings[low:high].sum() <= 1000 or high == low + 1) and (high - low) * 100 <= 1000 for low, high in steps)
+    assert list(_steps(np.array([], np.int64), 100, 1000)) == []
+
+
+def test_bm25_shards_lie_in_small_row_groups(spark, monkeypatch):
+    """A shard is a row of some MB, so the writer may not wait for a hundred of them."""
+    import pyarrow.parquet as pq
+
+    from tessera.operators import bm25
+    monkeypatch.setattr(bm25, "SHARD_FILES", {**bm25.SHARD_FILES, "parquet.block.size": "4096"})
+    words = F.expr("concat_ws(' ', transform(sequence(1, 60), x -> cast(xxhash64(id, x) as string))) AS t")
+    d = spark.range(0, 200, 1, 1).select("id", words)
+    index = bm25.Bm25Index(d, ["id"], "t", shard_units=1)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 200
+    assert all(m.row_group(i).num_rows <= 20 for m in groups for i in range(m.num_row_groups))
