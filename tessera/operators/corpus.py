@@ -1,7 +1,7 @@
 """Document corpus preparation and retrieval.
 
-* Chunking and HTML conversion are per-document Python helpers run with
-  ``mapInPandas``: Spark partitions the corpus, nothing is collected.
+* Chunking, viewports and HTML conversion are per-document Python helpers run with
+  ``mapInArrow`` or ``mapInPandas``: Spark partitions the corpus, nothing is collected.
 * BM25 has an inverted index (``bm25``), vector search compares units where they
   are; both take blocks of queries whose size is set, and only the best of a shard
   or batch are shuffled.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.chunking import DEFAULT_SEPARATORS, chunk_with_starts
 from ..functions.html import html_to_markdown, route_for_url
 from ..session import cut_lineage
-from .bm25 import BM25_B, BM25_EPSILON, BM25_K1, Bm25Index
+from .bm25 import BM25_B, BM25_EPSILON, BM25_K1, Bm25Index, text_slices
 from .ordered import as_of, lag_values
 
 # Characters a viewport may end on (fixed values of the reference).
@@ -48,17 +49,19 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, chunk_size: int
     seps = tuple(separators)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                text = getattr(rec, text_col)
-                if text is None:
-                    continue
-                for i, (start, chunk) in enumerate(chunk_with_starts(text, chunk_size, chunk_overlap, seps)):
-                    rows.append((getattr(rec, id_col), *[getattr(rec, c) for c in keep], i, start, chunk))
-            yield pd.DataFrame(rows, columns=[f.name for f in fields])
-
-    return docs.select(id_col, *keep, text_col).mapInPandas(run, schema)
+        for rows in text_slices(batches, text_col):  # a task holds the chunks of a slice
+            row, index, starts, chunks = [], [], [], []
+            for at, text in enumerate(rows.column(text_col).to_pylist()):
+                for i, (start, chunk) in enumerate(chunk_with_starts(text, chunk_size, chunk_overlap, seps) if text else ()):
+                    row.append(at)
+                    index.append(i)
+                    starts.append(start)
+                    chunks.append(chunk)
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(row) for c in (id_col, *keep)), pa.array(index, pa.int32()),
+                                              pa.array(starts, pa.int32()), pa.array(chunks, pa.string())], names=schema.names)
+
+    return docs.select(id_col, *keep, text_col).mapInArrow(run, schema)
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

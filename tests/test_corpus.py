@@ -204,3 +204,22 @@ def test_bm25_shards_lie_in_small_row_groups(spark, monkeypatch):
     groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
     assert sum(m.num_rows for m in groups) == 200
     assert all(m.row_group(i).num_rows <= 20 for m in groups for i in range(m.num_row_groups))
+
+
+def test_chunks_of_ids_beyond_doubles_and_without_id(spark):
+    """Rows go through Arrow a slice at a time: an id stays what it is beside a null one."""
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(big, "a b", "s"), (None, "c", None), (3, None, "s"), (4, "", "s")], "id long, t string, s string").coalesce(1)
+    got = C.chunk_documents(df, "id", "t", 500, 50, keep=["s"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(big, "s", 0, 0, "a b"), (None, None, 0, 0, "c")], key=str)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_text_slices_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    from tessera.operators.bm25 import SHARD_BYTES, text_slices
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * (SHARD_BYTES // 4)] * 30 + [None, "", "y" * (2 * SHARD_BYTES), "z"]})
+    slices = list(text_slices([batch], "t"))
+    assert pa.Table.from_batches(slices).column("t").to_pylist() == batch.column("t").to_pylist()
+    assert all(s.num_rows == 1 or sum(len(x or "") for x in s.column("t").to_pylist()) <= SHARD_BYTES for s in slices)
