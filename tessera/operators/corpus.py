@@ -28,7 +28,7 @@ from .bm25 import BM25_B, BM25_EPSILON, BM25_K1, Bm25Index, text_slices
 from .ordered import as_of, lag_values
 
 # Characters a viewport may end on (fixed values of the reference).
-VIEWPORT_BREAKS = " \t\r\n"
+VIEWPORT_END = re.compile("[ \t\r\n]")
 #: Queries that are sent to all tasks at once; more are worked off in blocks.
 QUERY_BLOCK = 4096
 # Retrieved-documents text block (fixed values of the reference).
@@ -183,41 +183,46 @@ def _nearest_block(corpus, id_col, vec_col, block, k, schema) -> DataFrame:
 
 # ------------------------------------------------------------------ viewports
 
-def _viewports_batch(texts: pd.Series, whole: pd.Series, size: int) -> pd.DataFrame:
-    breaks = re.compile(f"[{VIEWPORT_BREAKS}]")
-    starts, ends, contents = [], [], []
-    for text, one in zip(texts, whole):
-        bounds = None if text is None else [(0, len(text))]
-        if text and not one:
-            bounds, at = [], 0
-            while at < len(text):
-                end = min(at + size, len(text))
-                if end < len(text):  # on to the first break at or after the last character
-                    found = breaks.search(text, end - 1)
-                    end = found.end() if found else len(text)
-                bounds.append((at, end))
-                at = end
-        starts.append(bounds and [a for a, _ in bounds])
-        ends.append(bounds and [b for _, b in bounds])
-        contents.append(bounds and [text[a:b] for a, b in bounds])
-    return pd.DataFrame({"start": starts, "end": ends, "content": contents})
+def _viewport_bounds(text: str, size: int) -> list[tuple[int, int]]:
+    """Start and end of the viewports of a text that is not empty."""
+    bounds, at = [], 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text):  # on to the first break at or after the last character
+            found = VIEWPORT_END.search(text, end - 1)
+            end = found.end() if found else len(text)
+        bounds.append((at, end))
+        at = end
+    return bounds
 
 
 def viewports(docs: DataFrame, id_col: str, text_col: str, size: int, whole: Column | None = None) -> DataFrame:
     """D8 rows: (id, page_index, n_pages, start, end, content, header): texts in
     viewports of ``size`` characters, each extended to end on white space; an
     empty text is one empty viewport. Rows where ``whole`` holds (search results)
-    are not split. The split is sequential within a text, so an Arrow-batched
-    pandas UDF cuts the contents too and no text is copied for a viewport."""
-    split = F.pandas_udf(lambda t, w: _viewports_batch(t, w, size),
-                         "start array<int>, end array<int>, content array<string>")
+    are not split. The split is sequential within a text, so an Arrow function cuts
+    the contents too, a slice of the texts at a time, and no text is copied for a viewport."""
     whole = F.coalesce(whole, F.lit(False)) if whole is not None else F.lit(False)
-    v = docs.select(id_col, split(F.col(text_col), whole).alias("v")).select(
-        id_col, F.arrays_zip("v.start", "v.end", "v.content").alias("v"))
-    out = v.select(id_col, F.size("v").alias("n_pages"), F.posexplode("v").alias("page_index", "v"))
-    return out.select(id_col, "page_index", "n_pages", "v.start", "v.end", "v.content",
-                      F.concat(F.lit("Viewport position: Showing page "), (F.col("page_index") + 1).cast("string"),
-                               F.lit(" of "), F.col("n_pages").cast("string"), F.lit(".")).alias("header"))
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.IntegerType()) for c in ("page_index", "n_pages", "start", "end")),
+                           T.StructField("content", T.StringType())])
+
+    def run(batches):
+        for rows in text_slices(batches, "__text"):  # a task holds the viewports of a slice
+            row, spans, contents = [], [], []
+            for at, (text, one) in enumerate(zip(rows.column("__text").to_pylist(), rows.column("__whole").to_pylist())):
+                if text is None:
+                    continue
+                bounds = _viewport_bounds(text, size) if text and not one else [(0, len(text))]
+                row += [at] * len(bounds)
+                spans += [(i, len(bounds), a, b) for i, (a, b) in enumerate(bounds)]
+                contents += [text[a:b] for a, b in bounds]
+            columns = np.array(spans, np.int32).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), *map(pa.array, columns),
+                                              pa.array(contents, pa.string())], names=schema.names)
+
+    out = docs.select(id_col, F.col(text_col).alias("__text"), whole.alias("__whole")).mapInArrow(run, schema)
+    return out.withColumn("header", F.concat(F.lit("Viewport position: Showing page "), (F.col("page_index") + 1).cast("string"),
+                                             F.lit(" of "), F.col("n_pages").cast("string"), F.lit(".")))
 
 
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"

@@ -215,6 +215,14 @@ def test_chunks_of_ids_beyond_doubles_and_without_id(spark):
     assert "MapInArrow" in got._jdf.queryExecution().toString()
 
 
+def test_viewports_leave_python_a_slice_at_a_time(spark):
+    df = spark.createDataFrame([(1, "aa bb cc "), (None, ""), (2, None)], "id long, t string").coalesce(1)
+    vp = C.viewports(df, "id", "t", 3)
+    assert sorted((tuple(r)[:6] for r in vp.collect()), key=str) == sorted(
+        [(1, 0, 3, 0, 3, "aa "), (1, 1, 3, 3, 6, "bb "), (1, 2, 3, 6, 9, "cc "), (None, 0, 1, 0, 0, "")], key=str)
+    assert "MapInArrow" in vp._jdf.queryExecution().toString()
+
+
 def test_text_slices_are_bounded_in_bytes():
     import pyarrow as pa
 
