@@ -143,10 +143,13 @@ def as_of(rows: DataFrame, at_col: str, others: DataFrame, ts_col: str, keys, va
 
 #: Rows of a group's bands up to which one window runs over them; more go over ranges.
 WINDOW_ROWS = 2_000_000
+#: Groups up to which their bands (two numbers for each quantile) are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def exact_quantiles(df: DataFrame, keys, value_col: str, probs, is_table: bool = False,
-                    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS,
+                    broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Exact p-quantiles per group with linear interpolation between the
     values at ranks floor((n-1)p) and ceil((n-1)p) (the definition of
     ``percentile`` / ``quantile_cont``).
@@ -167,8 +170,9 @@ def exact_quantiles(df: DataFrame, keys, value_col: str, probs, is_table: bool =
     everything = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
     bands = t.groupBy(*keys).agg(F.when(F.count(F.lit(1)) * margin < 2, everything).otherwise(  # less than two ranks wide
         F.percentile_approx("__v", marks, accuracy)).alias("__q"))
-    if keys:
-        t = join_on_keys(t, bands, keys)
+    if keys:  # a row for each group: sent to the values where they are few, so no group's values go to one task
+        bands = cut_lineage(bands)
+        t = join_on_keys(t, F.broadcast(bands) if bands.count() <= broadcast_groups else bands, keys)
     else:
         t = t.withColumn("__q", F.lit(bands.first()["__q"]).cast("array<double>"))  # two numbers for each p
     v, ends = F.col("__v"), [(F.col("__q")[2 * i], F.col("__q")[2 * i + 1]) for i in range(len(probs))]

@@ -98,6 +98,17 @@ def test_rank_metrics_with_hot_scores_over_many_ranges(spark):
         assert abs(got[scope]["Gini"] - gini) < 1e-12 and abs(got[scope]["KS"] - ks) < 1e-12
 
 
+def test_quantile_bands_sent_to_the_values_or_joined(spark):
+    """A group's values stay where they are; with too many groups the bands are joined as before."""
+    from tessera.operators.ordered import exact_quantiles
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, "a", "a", "b"]), rnd.choice([None, rnd.randint(0, 500) / 4])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    few, many = (sorted(map(str, exact_quantiles(df, ["g"], "v", [0.25, 0.5], accuracy=200, broadcast_groups=n).collect()))
+                 for n in (100, 0))
+    assert few == many and len(few) == 3
+
+
 def test_r2_keeps_its_digits(spark):
     from decimal import Decimal
 
