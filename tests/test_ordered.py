@@ -109,6 +109,21 @@ def test_quantile_bands_sent_to_the_values_or_joined(spark):
     assert few == many and len(few) == 3
 
 
+def test_rows_are_summed_once_and_only_the_scopes_asked_for(spark, monkeypatch):
+    """Sums per segment and rank stretches are tables: each scope and branch reads them, not the rows."""
+    from tessera.operators import metrics as M
+    rnd = random.Random(6)
+    rows = [(rnd.choice([1, 2]), rnd.choice(["x", "y", None]), float(rnd.randint(0, 9)), rnd.randint(0, 30) / 2) for _ in range(600)]
+    df = spark.createDataFrame(rows, "round int, seg string, a double, p double")
+    both = M.backtest_metrics(df, [("a", "p")], ["seg"], level="account", extra_keys=["round"])
+    written, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda t: (written.append(set(t.columns)), cut(t))[1])
+    one = M.backtest_metrics(df, [("a", "p")], ["seg"], level="account", extra_keys=["round"], overall=False)
+    assert sum({"__sa", "n_rows"} <= c for c in written) == 1 and sum({"edge", "pairs"} <= c for c in written) == 1
+    want = sorted(map(str, both.where("scope = 'segment'").collect()))
+    assert sorted(map(str, one.collect())) == want and len(want) == 4
+
+
 def test_r2_keeps_its_digits(spark):
     from decimal import Decimal
 
